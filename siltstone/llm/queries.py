@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, katz, langid, mixing, perspectives, token_counts, warc
+from . import byte_bpe, exact_dedup, jaccard_join, katz, langid, mixing, perspectives, token_counts, warc
 from .common import crc_mod, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_warc, op5_perspectives, op6_langid, op7_byte_bpe, op8_token_counts, op10_katz)}
+    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_warc, op5_perspectives, op6_langid, op7_byte_bpe, op8_token_counts, op9_jaccard_join, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
