@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, katz, langid, mixing, perspectives, token_counts, warc
+from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, katz, langid, mixing, perspectives, token_counts, warc
 from .common import crc_mod, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -63,7 +67,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_exact_dedup, op4_warc, op5_perspectives, op6_langid, op7_byte_bpe, op8_token_counts, op9_jaccard_join, op10_katz)}
+    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_exact_dedup, op4_warc, op5_perspectives, op6_langid, op7_byte_bpe, op8_token_counts, op9_jaccard_join, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
