@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,10 +51,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like saved(), as a table bucketed by key: joins on key do not move its rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    own = f"siltstone_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    out._scratch, out._table = path, own
+    return out
+
+
+def finished(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of steps that are over: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete the files of frames made by saved() that no later plan reads."""
     for df in frames:
         path = getattr(df, "_scratch", None)
+        if getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE {df._table}")
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

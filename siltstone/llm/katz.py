@@ -44,12 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, saved
+from .common import bucketed, dropped, finished, partitions, saved
 
 K = 5
 EPSILON = 0.01
 #: A history is dealt by pair if its share of all tokens is over 1 / HOT and it has HOT_LEAST tokens.
-HOT, HOT_LEAST = 1 << 14, 2000
+HOT, HOT_LEAST = 65_000, 500
 CHUNK_TOKENS = 1_500_000
 END, BEGIN = b"", b" "  # no word is either
 _RARE = 0xFFFF
@@ -64,6 +64,21 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """The bytes of numbers, lowest first, without the planes that are all zero: these compress better."""
+    out = [(x & 255).astype(np.uint8)]
+    while (x := x >> 8).any():
+        out.append((x & 255).astype(np.uint8))
+    return out
+
+
+def _joined(planes: list[np.ndarray]) -> np.ndarray:
+    out = planes[0].astype(np.int64)
+    for i, p in enumerate(planes[1:], 1):
+        out |= p.astype(np.int64) << (8 * i)
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Consecutive rows of equal first column."""
     key, rows = None, []
@@ -143,8 +158,8 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, held: Column) -> DataFram
             train = np.repeat(~np.array(out, bool), lengths)
             counts = np.bincount(tokens[train], minlength=len(words))
             counts[1] = len(out) - sum(out)  # as a history
-            blob = _pack(lengths.astype(np.uint32), np.array(out, bool), tokens, vocab, counts.astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([blob], pa.binary())], names=["chunk", "ids", "data"])
+            blob = _pack(lengths.astype(np.uint32), np.array(out, bool), _planes(tokens), vocab, counts.astype(np.uint32))
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([out]), pa.array([blob], pa.binary())], names=["chunk", "ids", "held", "data"])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -163,7 +178,11 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, held: Column) -> DataFram
         if parts:
             yield close()
 
-    return df.select(F.col(id_col), F.col(text_col), held).mapInArrow(run, f"chunk long, ids array<{kind}>, data binary")
+    return df.select(F.col(id_col), F.col(text_col), held).mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, data binary")
+
+
+def _word_bucket(vocab: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(vocab) % np.uint64(buckets)).astype(np.int32)
 
 
 def _unigrams(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -172,17 +191,17 @@ def _unigrams(chunks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 vocab, counts = _unpack(blob)[3:5]
-                to = (_mix(vocab) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
+                to = _word_bucket(vocab, buckets)
+                order = np.lexsort((vocab, to))
                 for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(to[part[0]])], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_pack(vocab[part], counts[part])], pa.binary())], names=["bucket", "chunk", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(to[part[0]])], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_pack(np.diff(vocab[part], prepend=np.uint64(0)), counts[part])], pa.binary())], names=["bucket", "chunk", "data"])
 
     def count(batches):
         import xxhash
 
         begin = xxhash.xxh64_intdigest(BEGIN)
         for bucket, rows in _groups(batches):
-            parts = [_unpack(r[2]) for r in rows]
+            parts = [(np.cumsum(x, dtype=np.uint64), n) for x, n in (_unpack(r[2]) for r in rows)]
             words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             total = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
             at = 0
@@ -221,14 +240,22 @@ def _pairs(joined: DataFrame, buckets: int, uni: Unigrams, hot: np.ndarray) -> D
     """From chunks with the counts of their words: rows for each bucket of pairs, and each chunk's plain figures."""
     many = np.uint64(buckets)
 
+    def coded(vocab, place, is_hot, x):
+        """Words as places of hot ones, or as 48 bits of their hashes."""
+        rare = ~is_hot[x]
+        v = vocab[x[rare]]
+        return np.where(rare, _RARE, place[x]).astype(np.uint16), (v >> np.uint64(32)).astype(np.uint32), (v >> np.uint64(16)).astype(np.uint16)
+
+    def chunks(batches):
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
     def run(batches):
-        for chunk, rows in _groups(batches):
-            lengths, held, tokens, vocab, _ = _unpack(next(r[2] for r in rows if r[1] < 0))
-            to = (_mix(vocab) % many).astype(np.int64)
+        for chunk, data, told in chunks(batches):
+            lengths, held, tokens, vocab, _ = _unpack(data)
+            tokens = _joined(tokens)
             c1 = np.zeros(len(vocab), np.int64)
-            for r in rows:
-                if r[1] >= 0:
-                    c1[to == r[1]] = _unpack(r[2])[0]
+            c1[np.lexsort((vocab, _word_bucket(vocab, buckets)))] = np.concatenate([_unpack(t["data"])[0] for t in sorted(told, key=lambda t: t["bucket"])])
             doc = np.repeat(np.arange(len(lengths)), lengths)
             starts = np.cumsum(lengths.astype(np.int64)) - lengths
             c = c1[tokens]
@@ -237,7 +264,7 @@ def _pairs(joined: DataFrame, buckets: int, uni: Unigrams, hot: np.ndarray) -> D
             before = np.empty_like(tokens)
             before[1:] = tokens[:-1]
             before[starts] = 1
-            pair = before.astype(np.int64) * len(vocab) + tokens
+            pair = before * len(vocab) + tokens
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
             new = np.ones(len(pair), bool)
@@ -261,33 +288,31 @@ def _pairs(joined: DataFrame, buckets: int, uni: Unigrams, hot: np.ndarray) -> D
                 hi, wi = h[part], w[part]
                 run_at = np.flatnonzero(np.append(True, hi[1:] != hi[:-1]))
                 heads = hi[run_at]
-                rare = ~is_hot[wi]
-                code = np.where(rare, _RARE, place[wi]).astype(np.uint16)
                 n = int(per[part].sum())
                 took, entries = entries[:n], entries[n:]
-                d = doc[took]
-                small = np.uint16 if len(lengths) < 1 << 15 else np.uint32
-                blob = _pack(vocab[heads], c1[heads], np.diff(np.append(run_at, len(hi))).astype(np.uint32), code, (vocab[wi[rare]] >> np.uint64(32)).astype(np.uint32), (vocab[wi[rare]] >> np.uint64(16)).astype(np.uint16), c1[wi[rare]].astype(np.uint32), per[part].astype(np.uint32), d.astype(small), k[took].astype(np.uint32), len(lengths))
+                blob = _pack(coded(vocab, place, is_hot, heads), np.diff(np.append(run_at, len(hi))).astype(np.uint32), coded(vocab, place, is_hot, wi), c1[wi[~is_hot[wi]]].astype(np.uint32), _planes(per[part]), _planes(doc[took]), _planes(k[took]), len(lengths))
                 yield _row(int(bucket[part[0]]), chunk, "pairs", blob, [])
 
     return joined.mapInArrow(run, _ROW)
 
 
-def _bucket(rows: list[tuple], uni: Unigrams, hot: np.ndarray, hot_c1: np.ndarray) -> Iterator[tuple]:
+def _bucket(rows: list[tuple], uni: Unigrams, hot_c1: np.ndarray) -> Iterator[tuple]:
     """What the owner of a bucket finds: (chunk, kind, data, stats)."""
     parts = [_unpack(r[3]) for r in rows]
-    head_h = np.concatenate([p[0] for p in parts])
-    runs = np.concatenate([p[2] for p in parts])
-    H, C = np.repeat(head_h, runs), np.repeat(np.concatenate([p[1] for p in parts]), runs)
-    code = np.concatenate([p[3] for p in parts])
-    rare = code == _RARE
-    W, cw = code.astype(np.uint64), np.zeros(len(code), np.int64)
-    W[rare] = (np.concatenate([p[4] for p in parts]).astype(np.uint64) << np.uint64(32)) | (np.concatenate([p[5] for p in parts]).astype(np.uint64) << np.uint64(16)) | np.uint64(_RARE)
-    cw[rare] = np.concatenate([p[6] for p in parts])
-    cw[~rare] = hot_c1[code[~rare]]
-    per = np.concatenate([p[7] for p in parts])
-    d = np.concatenate([p[8].astype(np.uint32) for p in parts])
-    k = np.concatenate([p[9] for p in parts]).astype(np.int64)
+
+    def words(i):
+        code = np.concatenate([p[i][0] for p in parts])
+        rare = code == _RARE
+        x = code.astype(np.uint64)
+        x[rare] |= (np.concatenate([p[i][1] for p in parts]).astype(np.uint64) << np.uint64(32)) | (np.concatenate([p[i][2] for p in parts]).astype(np.uint64) << np.uint64(16))
+        return x, rare
+
+    H = np.repeat(words(0)[0], np.concatenate([p[1] for p in parts]))
+    W, rare = words(2)
+    cw = np.zeros(len(W), np.int64)
+    cw[rare] = np.concatenate([p[3] for p in parts])
+    cw[~rare] = hot_c1[W[~rare].astype(np.int64)]
+    per, d, k = (np.concatenate([_joined(p[i]) for p in parts]) for i in (4, 5, 6))
     of = np.repeat(np.arange(len(per)), per)
     train = np.bincount(of, weights=k * (d % 2 == 0), minlength=len(per)).astype(np.int64)
     order = np.lexsort((W, H))
@@ -307,28 +332,29 @@ def _bucket(rows: list[tuple], uni: Unigrams, hot: np.ndarray, hot_c1: np.ndarra
     yield -1, "counts", b"", [int((c2 == r).sum()) for r in range(1, K + 2)]
     first = np.zeros(len(big), np.int64)
     first[hist] = one
-    place = np.searchsorted(hot, H[first])
-    is_hot = (hot[np.minimum(place, len(hot) - 1)] == H[first]) if len(hot) else np.zeros(len(first), bool)
+    is_hot = H[first] & np.uint64(_RARE) != np.uint64(_RARE)
+    place = np.where(is_hot, H[first], 0).astype(np.int64)
+    C = np.where(is_hot, hot_c1[place], np.bincount(hist, weights=c2))  # a history's count is that of its pairs
     if is_hot.any():
         yield -1, "hot", _pack(place[is_hot], *(x[is_hot] for x in (*kinds, big, lower))), []
-    pair_c2, at, to = c2[number], 0, 0
+    pair_c2, to = c2[number], 0
     with np.errstate(divide="ignore"):
-        value = np.log10(pair_c2) - np.log10(C + EPSILON)
+        value = np.log10(pair_c2) - np.log10(C + EPSILON)[hist_of]
     log_p1 = np.log10(p1)
     for r, p in zip(rows, parts, strict=True):
-        n, m = len(p[3]), len(p[8])
-        pairs, docs, count = of[to : to + m], (p[8] // 2).astype(np.int64), k[to : to + m]
-        at, to = at + n, to + m
+        m = len(p[5][0])
+        pairs, docs, count = of[to : to + m], d[to : to + m] // 2, k[to : to + m]
+        to += m
         has = pair_c2[pairs] > 0
-        s = np.bincount(docs[has], weights=(value[pairs] * count)[has], minlength=p[10])
-        ms = [np.bincount(docs[has], weights=(count * (pair_c2[pairs] == x))[has], minlength=p[10]).astype(np.uint32) for x in range(1, K + 1)]
-        touched = np.flatnonzero(np.bincount(docs[has], minlength=p[10]))
-        yield r[1], "sums", _pack(touched.astype(np.uint32), s[touched], *(x[touched] for x in ms)), []
+        s = np.bincount(docs[has], weights=(value[pairs] * count)[has], minlength=p[7])
+        ms = [np.bincount(docs[has], weights=(count * (pair_c2[pairs] == x))[has], minlength=p[7]).astype(np.uint32) for x in range(1, K + 1)]
+        touched = np.flatnonzero(np.bincount(docs[has], minlength=p[7]))
+        yield r[1], "sums", _pack(_planes(touched), s[touched].astype(np.float32), *(_planes(x[touched]) for x in ms)), []
         if not has.all():
             miss = pairs[~has]
             hs, index = np.unique(hist_of[miss], return_inverse=True)
             which = np.where(is_hot[hs], place[hs], -1).astype(np.int32)
-            yield r[1], "unseen", _pack(docs[~has].astype(np.uint32), count[~has].astype(np.uint32), log_p1[miss], index.astype(np.uint32), which, C[first[hs]], *(x[hs] for x in (*kinds, big, lower))), []
+            yield r[1], "unseen", _pack(docs[~has].astype(np.uint32), count[~has].astype(np.uint32), log_p1[miss], index.astype(np.uint32), which, C[hs], *(x[hs] for x in (*kinds, big, lower))), []
 
 
 def _weight(d: np.ndarray, c: np.ndarray, kinds: list[np.ndarray], big: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -342,17 +368,17 @@ def score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     buckets = 2 * partitions(spark)
-    chunks = saved(_chunks(df, id_col, text_col, held), "katz-chunks")
+    chunks = bucketed(_chunks(df, id_col, text_col, held), "katz-chunks", "chunk", partitions(spark))
     unigrams = saved(_unigrams(chunks, buckets), "katz-unigrams")
+    finished(spark)
     table = unigrams.filter("kind = 'table'")
     sums = table.agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(K + 3))).first()
     uni = Unigrams(sums[0], sums[1], list(sums[2:]))
     least = max(HOT_LEAST, sums[0] // HOT + 1)
     hot = _hot_words(table, least)
     hot_c1 = _counts_of(table, hot)
-    told = unigrams.filter("kind = 'told'").select("chunk", "bucket", "data")
-    joined = _by_key(told.unionByName(chunks.select("chunk", F.lit(-1).alias("bucket"), "data")), "chunk", "bucket")
-    pairs = _pairs(joined, buckets, uni, hot)
+    told = unigrams.filter("kind = 'told'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("told"))
+    pairs = _pairs(chunks.join(told.hint("merge"), "chunk").select("chunk", "data", "told"), buckets, uni, hot)
 
     def own(batches):
         for bucket, rows in _groups(batches):
@@ -360,10 +386,13 @@ def score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
                 if r[2] == "plain":
                     yield _row(bucket, r[1], "plain", r[3], [])
             rows = [r for r in rows if r[2] == "pairs"]
-            for chunk, what, data, stats in _bucket(rows, uni, hot, hot_c1) if rows else ():
+            for chunk, what, data, stats in _bucket(rows, uni, hot_c1) if rows else ():
                 yield _row(bucket, chunk, what, data, stats)
 
     found = saved(_by_key(pairs, "bucket", "chunk").mapInArrow(own, _ROW), "katz-sums")
+    documents = saved(chunks.select("chunk", "ids", "held"), "katz-documents")
+    dropped(chunks, unigrams)
+    finished(spark)
     n2 = found.filter("kind = 'counts'").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(K + 1))).first()
     d2 = discounts(list(n2))
     hot_weight = _hot_weights(found, d2, hot_c1)
@@ -373,15 +402,15 @@ def score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
         for _, rows in _groups(batches):
             ids, held_out, plain, total = None, None, None, None
             for r in rows:
-                if r[1] == "chunk":
-                    ids, held_out = r[3], _unpack(r[2])[1]
-                    total = np.zeros(len(held_out))
+                if r[1] == "ids":
+                    ids, held_out = r[3], r[4]
+                    total = np.zeros(len(ids))
             for r in rows:
                 if r[1] == "plain":
                     plain = _unpack(r[2])
                 elif r[1] == "sums":
                     docs, s, *ms = _unpack(r[2])
-                    total[docs] += s + sum(x * y for x, y in zip(ms, log_d, strict=True))
+                    total[_joined(docs)] += s + sum(_joined(x) * y for x, y in zip(ms, log_d, strict=True))
                 elif r[1] == "unseen":
                     docs, count, log_p1, index, which, c, *stats = _unpack(r[2])
                     a = _weight(d2, c, stats[:K], stats[K], stats[K + 1])
@@ -390,8 +419,9 @@ def score(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(held_out), pa.array(plain[0].astype(np.int64)), pa.array(plain[1].astype(np.int64)), pa.array(np.full(len(total), uni.total, np.int64)), pa.array(plain[2]), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     ids_type = to_arrow_type(df.schema[id_col].dataType)
-    rest = found.filter("kind IN ('plain', 'sums', 'unseen')").select("chunk", "kind", "data", F.lit(None).cast(f"array<{kind}>").alias("ids"))
-    last = _by_key(rest.unionByName(chunks.select("chunk", F.lit("chunk").alias("kind"), "data", "ids")), "chunk", "kind")
+    rest = found.filter("kind IN ('plain', 'sums', 'unseen')").select("chunk", "kind", "data")
+    documents = documents.select("chunk", F.lit("ids").alias("kind"), F.lit(b"").alias("data"), "ids", "held")
+    last = _by_key(documents.unionByName(rest, allowMissingColumns=True), "chunk", "kind")
     return last.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
