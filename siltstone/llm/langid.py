@@ -33,7 +33,7 @@ SAMPLE = 600
 CENTROIDS = 4
 MAX_LANGUAGES = 500
 #: Part of the smallest cosine of a training text of the same length class below which a text is rejected.
-REJECT = 0.5
+REJECT = 0.25
 UND = "und"
 _BINS = 24  # length classes: powers of two of the number of n-grams
 _letters: list[np.ndarray] = []
@@ -172,9 +172,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     return model
 
 
-def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """df with lang_pred, score and rejected; columns of these names are replaced."""
-    names = ("lang_pred", "score", "rejected")
+def identify(df: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """df with lang_pred, score and rejected (after prefix); columns of these names are replaced."""
+    names = tuple(prefix + x for x in ("lang_pred", "score", "rejected"))
     keep = [c for c in df.columns if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * MAX_LANGUAGES * DIM floats at most
 
@@ -194,6 +194,6 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
 
     slim = df.select(*keep)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return slim.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
