@@ -6,15 +6,20 @@ equal sets are one node (named by a 128-bit hash of the set).
 1. *Order.* Counts of shingles that repeat inside a chunk of documents are added up
    in a table of fixed size. It only orders shingles, rare ones first; any order
    gives the same links.
-2. *Prefixes.* Two sets that link share one of their first n - ceil(t n) + 1
-   shingles in that order. Prefixes go to buckets as compressed arrays; shingles
-   that one node alone has there are gone after this step.
+2. *Prefixes.* Two sets that link share at least k of their first n - ceil(t n) + k
+   shingles in that order, for any k up to their overlap; k grows with the size of
+   the smaller set. Prefixes go to buckets as compressed arrays; shingles that one
+   node alone has there are gone after this step. Then shingles without a second
+   node of a size that could link go, and nodes that are left with fewer shingles
+   than they would share with any partner.
 3. *Tiles.* A tile has the nodes that hold one shingle and are of one size band or
-   the next smaller: sizes of linked sets are at most a band apart. In the first
-   turns a tile's hub is compared with all others, which joins groups of copies
-   in linear time; whatever then has more than one component is compared in
-   full, in square blocks of at most BLOCK nodes a side, so no tile, however
-   common its shingle, is gathered in one task.
+   the next smaller: sizes of linked sets are at most a band apart. Of tiles with
+   the same nodes one is kept. First a tile's hub is compared with all others,
+   which joins groups of copies in linear time. Tiles that then have more than one
+   component are compared in square blocks of at most BLOCK nodes a side, so no
+   tile, however common its shingle, is gathered in one task: for some turns each
+   node gives its nearest node of another component, and in the last turn every
+   pair that may link.
 4. *Bounds.* Each node has a bitmap in which every hash flips a bit. Bits in which
    two bitmaps differ are at most the sets' symmetric difference, so they bound
    the overlap from above. Pairs that pass are intersected as sorted arrays.
@@ -39,48 +44,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, partitions, saved
+from .common import dropped, finished, partitions, saved
 from .components import contract
 
 WORDS, PERCENT = 5, 75
 #: Cells of the table of frequencies (its size is fixed), and the estimate from which a shingle is dealt by chunk.
-CELL_BITS, COMMON = 20, 15
+CELL_BITS, COMMON = 22, 15
 CHUNK = 1_500_000
 BLOCK = 512
-HUB_TURNS = 2
+HUB_TURNS, NEAREST_TURNS, PRUNE_TURNS = 1, 2, 1
 #: Bits of the filter for nodes that have candidates (fixed; it may let others through).
 FILTER_BITS = 23
-_MEMO = 200_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= _MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-#: Odd multipliers, one for each place in a shingle.
-_PLACE = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(64)]
+#: Shared shingles that are asked of two sets: one, and one more for each so many hashes of the smaller.
+STEP = 16
+_SEGMENT = 1 << 20
+#: Fixed random numbers for bytes, and an odd base whose powers give bytes their places.
+_BYTE = np.random.default_rng(5).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n at least."""
+    if len(_powers[0]) <= n:
+        size = max(1 << 16, 1 << n.bit_length())
+        made = [np.cumprod(np.append(np.uint64(1), np.full(size, x, np.uint64)), dtype=np.uint64) for x in (_BASE, _INVERSE)]
+        if size > 4 * _SEGMENT:
+            return made[0], made[1]  # for a word of extreme length; not kept
+        _powers[:] = made
+    return _powers[0], _powers[1]
 
 
 def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The sorted hashes of the different shingles."""
-    w = raw.lower().split() if raw else []
-    if not w:
+    """The sorted hashes of the different shingles.
+
+    A shingle's hash is a polynomial in its bytes (words with one blank between
+    them), taken as a difference of prefix sums, and mixed.
+    """
+    text = b" ".join(raw.lower().split()) if raw else b""
+    if not text:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    k = min(words, len(h))
-    s = h[: len(h) - k + 1] * _PLACE[0]
-    for i in range(1, k):
-        s += (h[i : len(h) - k + 1 + i] ^ (h[i : len(h) - k + 1 + i] >> np.uint64(29))) * _PLACE[i]
-    s += np.uint64(k)
+    b = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(b == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(b))
+    k = min(words, len(starts))
+    starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
+    out, i = [], 0
+    while i < len(starts):
+        j = len(starts) if len(b) - starts[i] <= _SEGMENT else max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")))
+        lo, hi = starts[i], ends[j - 1]
+        power, inverse = _powers_to(int(hi - lo))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[b[lo:hi]] * power[: hi - lo], out=sums[1:])
+        out.append((sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * inverse[starts[i:j] - lo])
+        i = j
+    s = np.concatenate(out) if len(out) > 1 else out[0]
     s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(s ^ (s >> np.uint64(32)))
+    s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    s ^= s >> np.uint64(32)
+    s.sort()
+    return s[np.append(True, s[1:] != s[:-1])]
+
+
+def asked(n):
+    """Shingles that a set of n hashes asks to share with a set that is no smaller."""
+    return n // STEP + 1
 
 
 def set_name(s: np.ndarray) -> bytes:
@@ -139,17 +168,17 @@ def _chunks(batches, words):
 
 
 def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Facts of each row (id, n, ref), and counts of shingles that repeat in a chunk (piece, data)."""
+    """Facts of each row (id, raw, n, ref), and counts of shingles that repeat in a chunk (piece, data)."""
     kind = df.schema[id_col].dataType
-    per = 1 << (CELL_BITS - 6)
+    per = 1 << (CELL_BITS - 8)
 
     def run(batches):
         facts, own, size, id_type = [], {}, 0, None
 
         def out(rows, counts=()):
-            ids, n, ref = zip(*rows, strict=True) if rows else ((), (), ())
+            ids, raw, n, ref = zip(*rows, strict=True) if rows else ((), (), (), ())
             k = len(rows) + len(counts)
-            return pa.RecordBatch.from_arrays([pa.array([*ids, *[None] * len(counts)], id_type), pa.array([*n, *[None] * len(counts)], pa.int64()), pa.array([*ref, *[None] * len(counts)], pa.binary()), pa.array([*[None] * len(rows), *(c[0] for c in counts)], pa.int32()), pa.array([*[None] * len(rows), *(c[1] for c in counts)], pa.binary())], names=["doc_id", "n", "ref", "piece", "data"]) if k else None
+            return pa.RecordBatch.from_arrays([pa.array([*ids, *[None] * len(counts)], id_type), pa.array([*raw, *[None] * len(counts)], pa.int64()), pa.array([*n, *[None] * len(counts)], pa.int64()), pa.array([*ref, *[None] * len(counts)], pa.binary()), pa.array([*[None] * len(rows), *(c[0] for c in counts)], pa.int32()), pa.array([*[None] * len(rows), *(c[1] for c in counts)], pa.binary())], names=["doc_id", "raw", "n", "ref", "piece", "data"]) if k else None
 
         def counts():
             x, c = np.unique(np.concatenate(list(own.values())), return_counts=True)
@@ -158,10 +187,10 @@ def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            for i, t, h in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = shingles(t, words)
                 name = set_name(s) if len(s) else None
-                facts.append((i, len(s), name))
+                facts.append((i, h, len(s), name))
                 if name and name not in own:
                     own[name] = s
                     size += len(s)
@@ -171,13 +200,13 @@ def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
         if facts:
             yield out(facts, counts() if own else ())
 
-    fields = [T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("ref", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType())]
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    fields = [T.StructField("doc_id", kind), T.StructField("raw", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ref", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType())]
+    return df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, T.StructType(fields))
 
 
 def _ranks(scanned: DataFrame) -> np.ndarray:
     """log2 of the counts in each cell: 1 << CELL_BITS bytes, however large the input is."""
-    per = 1 << (CELL_BITS - 6)
+    per = 1 << (CELL_BITS - 8)
 
     def add(batches):
         piece, total = None, None
@@ -197,13 +226,13 @@ def _ranks(scanned: DataFrame) -> np.ndarray:
     pieces = scanned.filter("piece IS NOT NULL").select("piece", "data")
     pieces = pieces.repartition(partitions(pieces.sparkSession), "piece").sortWithinPartitions("piece")
     out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in pieces.mapInArrow(add, "piece int, ranks binary").collect():  # 64 rows
+    for r in pieces.mapInArrow(add, "piece int, ranks binary").collect():  # 256 rows
         out[r.piece * per : (r.piece + 1) * per] = np.frombuffer(r.ranks, np.uint8)
     return out
 
 
 def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(token, node) for prefix shingles of more than one node, and (node, ref, n, band) for every node."""
+    """(token, node, base) for prefix shingles of more than one node, and (node, ref, n, band) for every node."""
     spark = df.sparkSession
     shared, buckets, edges = spark.sparkContext.broadcast(ranks), 2 * partitions(spark), band_edges(percent)
 
@@ -212,18 +241,19 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
         for own in _chunks(batches, words):
             chunk = (task << 32) + number
             number += 1
-            tokens = []
+            tokens, base = [], []
             for _, s in own:
                 rank = shared.value[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 first = len(s) - (len(s) * percent + 99) // 100 + 1
-                tokens.append(s[np.argsort(rank, kind="stable")[:first]])
+                tokens.append(s[np.argsort(rank, kind="stable")[: first - 1 + asked(len(s))]])
+                base.append(np.arange(len(tokens[-1])) < first)
             node = np.repeat(np.arange(len(own), dtype=np.uint32), [len(t) for t in tokens])
-            tokens = np.concatenate(tokens)
+            tokens, base = np.concatenate(tokens), np.concatenate(base)
             common = shared.value[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >= COMMON
             spread = np.where(common, tokens * np.uint64((chunk * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64), tokens)
             to = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.lexsort((tokens, to))
-            rows = [(int(to[part[0]]), chunk, 0, _pack(np.diff(tokens[part], prepend=np.uint64(0)), node[part], common[part])) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)]
+            rows = [(int(to[part[0]]), chunk, 0, _pack(np.diff(tokens[part], prepend=np.uint64(0)), node[part], common[part], base[part])) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)]
             rows.append((number % buckets, chunk, 1, _pack([x[0] for x in own], [len(x[1]) for x in own])))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["bucket", "chunk", "kind", "data"])
@@ -233,7 +263,7 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
         for _, chunk, _, blob in nodes:
             names, n = _unpack(blob)
             at = [node_number(chunk, i) for i in range(len(n))]
-            yield batch(pa.nulls(len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array([bisect_right(edges, x) for x in n], pa.int32()))
+            yield batch(pa.nulls(len(n), pa.bool_()), pa.nulls(len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array([bisect_right(edges, x) for x in n], pa.int32()))
         parts = [(r[1], *_unpack(r[3])) for r in rows if r[2] == 0]
         if parts:
             token = np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])
@@ -241,13 +271,13 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
             _, back, count = np.unique(token, return_inverse=True, return_counts=True)
             keep = (count[back] > 1) | np.concatenate([p[3] for p in parts])
             k = int(keep.sum())
-            yield batch(pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
+            yield batch(pa.array(np.concatenate([p[4] for p in parts])[keep]), pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
 
     def node_number(chunk, i):
         return ((chunk >> 32) << 40) + ((chunk & 0xFFFFFFFF) << 20) + i  # up to a million nodes a chunk and chunks a task
 
     def batch(*cols):
-        return pa.RecordBatch.from_arrays(list(cols), names=["token", "node", "ref", "n", "band"])
+        return pa.RecordBatch.from_arrays(list(cols), names=["base", "token", "node", "ref", "n", "band"])
 
     def own(batches):
         key, rows = None, []
@@ -262,7 +292,7 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
             yield from close(rows)
 
     sent = df.select(text_col).mapInArrow(send, "bucket int, chunk long, kind int, data binary")
-    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(own, "token long, node long, ref binary, n long, band int")
+    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(own, "base boolean, token long, node long, ref binary, n long, band int")
 
 
 def _node_filter(refs: DataFrame) -> np.ndarray:
@@ -324,7 +354,7 @@ def _pass_bound(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(of("a"), "a").join(of("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return rows.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a binary, b binary")
+    return rows.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
 def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +372,17 @@ def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(of("a"), "a").join(of("b"), "b")
-    return rows.select("a", "b", "ha", "hb").mapInArrow(run, "a binary, b binary")
+    return rows.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
+def _tiles(posted: DataFrame) -> DataFrame:
+    """(token, band, ref, own): the tiles with an own node and another, one of each that hold the same nodes."""
+    base = posted.filter("base").select("token", "band", F.col("id").alias("ref"))
+    rows = base.select("*", F.lit(True).alias("own")).union(base.select("token", F.col("band") + 1, "ref", F.lit(False)))
+    held = rows.groupBy("token", "band").agg(F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("ref", "own").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("own", "ref")).alias("x"))
+    one = held.filter("any_own AND k > 1").groupBy("k", "s", "x").agg(F.min(F.struct("token", "band")).alias("t"))
+    one = one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"))
+    return saved(rows.join(one, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own"), "jaccard-tiles")
 
 
 def _open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
@@ -362,8 +402,8 @@ def _hub_pairs(opened: DataFrame, turn: int) -> DataFrame:
     return rows.select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b")).distinct()
 
 
-def _tile_pairs(opened: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Every pair of an open tile between components that its bitmaps let link."""
+def _tile_pairs(opened: DataFrame, sig: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of open tiles between components that their bitmaps let link: all, or each node's nearest in a block."""
     side = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("ref"), side)
     # block m meets every block: tasks (i, j) with i <= j, of two blocks each
@@ -382,11 +422,17 @@ def _tile_pairs(opened: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             return
-        ok = _may_link(n[left][:, None], n[right][None], differing(bits[left], bits[right]), percent)
+        diff = differing(bits[left], bits[right])
+        ok = _may_link(n[left][:, None], n[right][None], diff, percent)
         ok &= (comp[left][:, None] != comp[right][None]) & (own[left][:, None] | own[right][None])
-        if i == j:
-            ok = np.triu(ok, 1)
-        for x, y in zip(*np.nonzero(ok), strict=True):
+        if nearest:
+            far = np.where(ok, diff / (n[left][:, None] + n[right][None]), np.inf)
+            best = far.argmin(1)
+            at = np.flatnonzero(ok[np.arange(len(left)), best])
+            found = zip(at, best[at], strict=True)
+        else:
+            found = zip(*np.nonzero(np.triu(ok, 1) if i == j else ok), strict=True)
+        for x, y in found:
             a, b = rows[left[x]][5], rows[right[y]][5]
             yield (a, b) if a < b else (b, a)
 
@@ -401,52 +447,81 @@ def _tile_pairs(opened: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
                 key = r[:4]
                 rows.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
         out = list(close(rows)) if rows else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+def _pruned(posted: DataFrame, percent: int) -> DataFrame:
+    """posted (token, id, n, band, base) without what cannot be part of a link."""
+    here = posted.groupBy("token", "band").agg(F.count(F.lit(1)).alias("k"))
+    # a shingle has as many bands at most as there are band edges
+    near = here.groupBy(F.col("token").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("bands"))
+    near = near.filter((F.size("bands") > 1) | F.exists(F.map_values("bands"), lambda k: k > 1))
+    at = lambda d: F.coalesce(F.try_element_at("bands", F.col("band") + d), F.lit(0))
+    rows = posted.join(near, F.col("token") == F.col("t")).filter((at(0) > 1) | (at(1) > 0) | (at(-1) > 0)).select("token", "id", "n", "band", "base")
+    smallest = F.floor((F.col("n") * percent + 99) / 100)
+    need = F.floor(smallest / STEP) + 1  # asked() of the smallest partner
+    good = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= need).select(F.col("id").alias("i"))
+    return saved(rows.join(good, F.col("id") == F.col("i")).select("token", "id", "n", "band", "base"), "jaccard-posted")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id (least id reachable by links), ref."""
+    """One row per row of df: doc_id, n_shingles, component_id (least id reachable by links), raw (of the text)."""
+    spark = df.sparkSession
     scanned = saved(_scan(df, id_col, text_col, words), "jaccard-scan")
     ranks = _ranks(scanned)
-    facts = scanned.filter("piece IS NULL").select("doc_id", "n", "ref")
+    facts = scanned.filter("piece IS NULL").select("doc_id", "raw", "n", "ref")
     found = saved(_shared_prefixes(df, text_col, words, percent, ranks), "jaccard-prefixes")
-    nodes = found.filter("token IS NULL").select(F.col("node").alias("_n"), "ref", "n", "band")
-    posted = found.filter("token IS NOT NULL").select("token", "node").join(nodes, F.col("node") == F.col("_n"))
-    posted = posted.select("token", "ref", "band").distinct()
-    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("token").alias("t"))
-    posted = saved(posted.join(several, F.col("token") == F.col("t")).select("token", "ref", "band"), "jaccard-posted")
-    labels = saved(posted.select("ref").distinct().withColumn("comp", F.col("ref")), "labels")
-    arrays = saved(_arrays(df, text_col, words, _node_filter(labels)).join(labels.select("ref"), "ref", "left_semi"), "jaccard-arrays")
+    finished(spark)
+    nodes = found.filter("token IS NULL").select("node", "ref", "n", "band")
+    # of the nodes that chunks gave to one set, the least is its id
+    ids = saved(nodes.groupBy("ref").agg(F.min("node").alias("id")), "jaccard-ids")
+    nodes = nodes.join(ids, "ref").select(F.col("node").alias("_n"), "id", "n", "band")
+    posted = found.filter("token IS NOT NULL").select("token", "node", "base").join(nodes, F.col("node") == F.col("_n"))
+    posted = _pruned(posted.select("token", "id", "n", "band", "base").distinct(), percent)
     dropped(found)
+    for _ in range(PRUNE_TURNS):
+        less = _pruned(posted, percent)
+        dropped(posted)
+        posted = less
+    labels = saved(posted.select(F.col("id").alias("ref")).distinct().withColumn("comp", F.col("ref")), "labels")
+    wanted = saved(ids.join(labels.select(F.col("ref").alias("id")), "id", "left_semi"), "jaccard-wanted")
+    finished(spark)
+    arrays = _arrays(df, text_col, words, _node_filter(wanted)).join(wanted, "ref")
+    arrays = saved(arrays.select(F.col("id").alias("ref"), "n", "bits", "hashes"), "jaccard-arrays")
     sig = arrays.select("ref", "n", "bits")
-    tiles = posted.select("token", "band", "ref", F.lit(True).alias("own")).union(posted.select("token", F.col("band") + 1, "ref", F.lit(False)))
-    for turn in range(HUB_TURNS + 1):
+    tiles = _tiles(posted)
+    finished(spark)
+    for turn in range(HUB_TURNS + NEAREST_TURNS + 1):
         opened = saved(_open_tiles(tiles, labels), "tiles")
         if opened.isEmpty():
             break
-        pairs = _pass_bound(_hub_pairs(opened, turn), sig, percent) if turn < HUB_TURNS else _tile_pairs(opened, sig, percent)
+        if turn < HUB_TURNS:
+            pairs = _pass_bound(_hub_pairs(opened, turn), sig, percent)
+        else:
+            pairs = _tile_pairs(opened, sig, percent, turn < HUB_TURNS + NEAREST_TURNS)
         links = saved(_links(pairs, arrays, percent), "links")
         labels = contract(labels, links)
         dropped(opened)
+        finished(spark)
     sets = facts.filter("ref IS NOT NULL").groupBy("ref").agg(F.min("doc_id").alias("first_id"))
-    sets = sets.join(labels, "ref", "left").select("ref", F.coalesce("comp", "ref").alias("comp"), "first_id")
+    sets = sets.join(ids, "ref").join(labels.select(F.col("ref").alias("id"), "comp"), "id", "left").select("ref", F.coalesce("comp", "id").alias("comp"), "first_id")
     least = sets.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = sets.join(least, "comp").select(F.col("ref").alias("_r"), "component_id")
     out = facts.join(named, F.col("ref") == F.col("_r"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("ref").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "ref")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("ref").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "raw")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that are the least of their component; rows of empty sets all stay.
+    """The rows of df that have the least id of their component; rows of empty sets all stay.
 
-    Of rows that repeat the least id, those of one text stay (the least).
+    Rows that share the least id stay together, and so do those of a component without any id.
     """
-    stay = join(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    rows = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")))
+    stay = join(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("__stay"), F.col("raw").alias("__raw")).distinct()
+    rows = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")) & (F.xxhash64(df[text_col]) == F.col("__raw")))
     return rows.select(*(df[c] for c in df.columns))
-
