@@ -39,7 +39,8 @@ def stems(text: Column) -> Column:
 def terms_with_bigrams(text: Column) -> Column:
     """Stems followed by the pairs of neighbours among them, joined by an underscore."""
     one = stems(text)
-    pairs = F.transform(F.arrays_zip(F.slice(one, F.lit(1), F.greatest(F.size(one) - 1, F.lit(0))).alias("a"), F.slice(one, F.lit(2), F.greatest(F.size(one) - 1, F.lit(0))).alias("b")), lambda p: F.concat(p["0"], F.lit("_"), p["1"]))
+    n = F.greatest(F.size(one) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
     return F.concat(one, pairs)
 
 

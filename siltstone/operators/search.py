@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import cosine, jaccard, terms_with_bigrams, word_set
+from ..functions.text import jaccard, terms_with_bigrams, word_set
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,18 +41,44 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc
 
 def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query",)) -> DataFrame:
     """The k best rows (query, id, score) of each query, numbered. Spark cuts each task's rows to k first."""
-    w = W.partitionBy(*by).orderBy(F.col("score").desc(), F.col("id"))
+    w = W.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("id"))  # what differs by the order of a sum is a tie
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest vectors of every query vector by cosine over 0; exact.
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", rows: int = 4096, block: int = 512) -> DataFrame:
+    """The k nearest vectors of every query vector by cosine over 0; exact, in blocks.
 
-    queries is a stated set, checked to be small enough to be sent to every task; the vectors are not moved.
+    Vectors are dealt into parts of about `rows` and queries into blocks of about
+    `block`; a task multiplies one part with one block and gives each query's k best
+    there. What a task holds is bounded whatever the sizes are, and nothing is sent
+    to every task.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("_q"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).join(q, F.col("id") != F.col("query"))
-    return top_k(rows.select("query", "id", cosine(F.col("_v"), F.col("_q")).alias("score")).filter("score > 0"), k)
+    import numpy as np
+    import pandas as pd
+
+    parts, blocks = max(1, -(-vectors.count() // rows)), max(1, -(-queries.count() // block))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("bigint").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for width in {len(x) for x in b["v"] if x is not None}:
+            x, y = (d[[z is not None and len(z) == width for z in d["v"]]] for d in (a, b))
+            if len(x) and len(y) and width:
+                m, n = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (x, y))
+                size = np.linalg.norm(n, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None]
+                cos = np.divide(n @ m.T, size, out=np.zeros(size.shape), where=size > 0)
+                ids, own = x["id"].to_numpy(), y["id"].to_numpy()
+                cos[own[:, None] == ids[None]] = -1
+                for i, row in enumerate(cos):
+                    # a few more than k, so that ties are settled by id later
+                    floor = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -1
+                    out += [(own[i], ids[j], row[j]) for j in np.flatnonzero((row > 0) & (row >= floor))]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    found = v.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInPandas(nearest, f"query {kind}, id {kind}, score double")
+    return top_k(found, k)
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, text_weight: float = 0.3, vector_weight: float = 0.7, least: float = 0.1) -> DataFrame:

@@ -1 +1,141 @@
+"""Queries of retrieval and duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import STOP_WORDS, SUFFIXES
+from ..operators import dedup, search
+from ..sources.tables import table
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark, d):
+    return table(spark, d, "documents")
+
+
+_STEM = "CASE " + " ".join(f"WHEN suffix(t, '{s}') AND length(t) > {len(s) + 2} THEN left(t, length(t) - {len(s)})" for s in SUFFIXES) + " ELSE t END"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def terms_sql(name: str, tab: str, key: str) -> str:
+    """Clauses that end in name(id, term, n, tf)."""
+    return f"""{name}_r AS (SELECT {key} AS id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t, generate_subscripts(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), 1) AS i FROM {tab}),
+{name}_s AS (SELECT id, i, {_STEM} AS t FROM {name}_r WHERE strlen(t) >= 2),
+{name}_k AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY i) AS nx FROM {name}_s WHERE t NOT IN ({_STOP})),
+{name}_u AS (SELECT id, t AS term FROM {name}_k UNION ALL SELECT id, t || '_' || nx FROM {name}_k WHERE nx IS NOT NULL),
+{name} AS (SELECT id, term, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY id) AS tf FROM {name}_u GROUP BY id, term)"""
+
+
+@query(f"WITH {terms_sql('d', 'documents', 'doc_id')} SELECT id, CAST(sum(n) AS BIGINT) AS terms, count(*) AS different, min(term) AS first_term, max(term) AS last_term FROM d GROUP BY id")
+def tokenize_terms(spark, d):
+    t = search.term_table(documents(spark, d), "doc_id", "text")
+    return t.groupBy("id").agg(F.sum("n").alias("terms"), F.count(F.lit(1)).alias("different"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+
+
+@query(f"WITH {terms_sql('d', 'documents', 'doc_id')} SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM d GROUP BY term")
+def idf_table(spark, d):
+    docs = documents(spark, d)
+    return search.idf_table(search.term_table(docs, "doc_id", "text"), docs.count()).withColumn("idf", F.round("idf", 6))
+
+
+_TFIDF = f"""WITH {terms_sql('d', 'documents', 'doc_id')}, {terms_sql('q', 'benchmark', 'item_id')},
+i AS (SELECT term, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM d GROUP BY term),
+w AS (SELECT id, term, tf * idf AS w FROM d JOIN i USING (term)),
+dn AS (SELECT id, sqrt(sum(w * w)) AS dn FROM w GROUP BY id), qn AS (SELECT id AS query, sqrt(sum(tf * tf)) AS qn FROM q GROUP BY id),
+s AS (SELECT q.id AS query, w.id, sum(w * tf) AS dot FROM w JOIN q USING (term) GROUP BY q.id, w.id),
+c AS (SELECT query, id, dot / (dn * qn) AS score FROM s JOIN dn USING (id) JOIN qn USING (query) WHERE dot > 0 AND dn > 0 AND qn > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM c)"""
+
+
+@query(f"{_TFIDF} SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def tfidf_topk(spark, d):
+    hits = search.tfidf_search(documents(spark, d), table(spark, d, "benchmark"), 10)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("WITH e AS (SELECT doc_id AS id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents), q AS (SELECT item_id AS query, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM benchmark), en AS (SELECT id, count(*) AS n FROM e GROUP BY id), qn AS (SELECT query, count(*) AS n FROM q GROUP BY query), c AS (SELECT query, id, count(*) AS c FROM e JOIN q USING (w) GROUP BY ALL), s AS (SELECT query, id, c / (en.n + qn.n - c) AS score FROM c JOIN en USING (id) JOIN qn USING (query)), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score >= 0.1) SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def jaccard_recall(spark, d):
+    entries = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return search.recall(entries, q, 5, 0.1).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY coalesce(text, '') HAVING count(*) > 1")
+def exact_dups(spark, d):
+    return dedup.exact_groups(documents(spark, d), "doc_id", "text")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY coalesce(text, '') HAVING count(*) > 1) SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS removable, CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) AS pairs, CAST(coalesce(sum((n - 1) * 500), 0) AS BIGINT) AS saved_bytes FROM g")
+def dup_report(spark, d):
+    return dedup.report(dedup.exact_groups(documents(spark, d), "doc_id", "text"))
+
+
+@query("WITH o AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text), s AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS w FROM o), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) AND len(a.w) > 0) SELECT a, b, round(c / (na + nb - c), 6) AS score FROM p WHERE c / (na + nb - c) >= 0.85")
+def near_dups(spark, d):
+    return dedup.near_pairs(documents(spark, d), "doc_id", "text", 0.85).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT sha256(text) AS digest, max_by(doc_id, (n_chars, doc_id)) AS id, max(n_chars) AS recall_count, min(doc_id) AS created_at, to_json(list_sort(list(DISTINCT source)))::VARCHAR AS errors, count(*) AS merged FROM documents GROUP BY text")
+def dup_merge(spark, d):
+    rows = documents(spark, d).select(F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.col("n_chars").alias("recall_count"), F.array("source").alias("errors"), F.lit(None).cast("boolean").alias("helpful"))
+    out = dedup.merged(rows, ["digest"])
+    return out.select("digest", "id", "recall_count", "created_at", F.to_json("errors").alias("errors"), "merged")
+
+
+TOPICS = {"create": ["make", "the", "neue", "crear"], "fix": ["er", "on", "fix"], "explain": ["que", "what", "nicht"], "review": ["license", "check"]}
+
+
+def _share(words):
+    return "(" + " + ".join(f"contains(x, '{w}')::INT" for w in words) + f") / {len(words)}"
+
+
+_INTENT = "WITH x AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations WHERE role = 'user'), s AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{t}' AS topic, {_share(w)} AS score FROM x" for t, w in TOPICS.items()) + ")"
+
+
+@query(f"{_INTENT}, p AS (SELECT * FROM s WHERE score > 0), b AS (SELECT conv_id, turn, min_by(topic, (-score, topic)) AS topic, max(score) AS score, list_sort(list(topic) FILTER (score > 0.1)) AS a FROM p GROUP BY conv_id, turn) SELECT conv_id, turn, topic, round(score, 6) AS score, array_to_string(list_filter(a, lambda t: t <> topic), ',') AS alternatives FROM b")
+def prompt_intent(spark, d):
+    rows = table(spark, d, "conversations").filter("role = 'user'")
+    best = search.best_topic(search.keyword_scores(rows, ["conv_id", "turn"], TOPICS), ["conv_id", "turn"])
+    return best.withColumn("score", F.round("score", 6)).withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@query("SELECT conv_id, turn, round(least(1, (CASE WHEN contains(lower(role), 'user') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'user') THEN 0.3 ELSE 0 END + CASE WHEN contains(conv_id::VARCHAR, 'user') THEN 0.2 ELSE 0 END + 0.1 * len(list_filter(list_value(role, left(text, 4)), lambda t: contains(lower(t), 'user'))))::DOUBLE), 6) AS score FROM conversations")
+def rag_relevance(spark, d):
+    rows = table(spark, d, "conversations")
+    score = search.relevance({"id": F.col("role"), "message": F.col("text"), "fix": F.col("conv_id").cast("string")}, F.lit("user"), F.array("role", F.left("text", F.lit(4))))
+    return rows.select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
+_VECTOR = "WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT query, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS score FROM embeddings JOIN q ON vec_id <> query), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM c WHERE score > 0)"
+
+
+@query(f"{_VECTOR} SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def vector_topk(spark, d):
+    v = table(spark, d, "embeddings")
+    return search.vector_search(v, v.filter("vec_id % 50 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_TFIDF.replace('WITH ', 'WITH ', 1)}, qv AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+vc AS (SELECT query, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS score FROM embeddings JOIN qv ON vec_id <> query),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM vc WHERE score > 0),
+b AS (SELECT query, id, 0.3::DOUBLE * score AS score FROM r WHERE rank <= 20 UNION ALL SELECT query, id, 0.7::DOUBLE * score FROM vr WHERE rank <= 20),
+g AS (SELECT query, id, sum(score) AS score FROM b GROUP BY query, id), h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM g WHERE score >= 0.1)
+SELECT query, id, round(score, 6) AS score, rank FROM h WHERE rank <= 10""")
+def hybrid_topk(spark, d):
+    items = table(spark, d, "benchmark")
+    text_hits = search.tfidf_search(documents(spark, d), items, 20)
+    v = table(spark, d, "embeddings")
+    vector_hits = search.vector_search(v, v.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 20)
+    return search.hybrid(text_hits, vector_hits).withColumn("score", F.round("score", 6))

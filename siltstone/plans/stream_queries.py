@@ -1 +1,88 @@
+"""Streams over the events table, replayed to their end; SQL says what the batch gives."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import stateful, windows
+
 QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _ended(spark, stream, mode="append"):
+    """The rows of a stream that has run to its end, from files in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = f"{base.rstrip('/')}/siltstone-streams" if base else f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    windows.to_table(stream, f"{path}/rows", f"{path}/state", mode)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def events(spark, d):
+    return windows.replay(spark, d, "events")
+
+
+def _iso(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+# append mode gives a window when the watermark has passed its end: the last one stays open
+@query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2), m AS (SELECT max(ts) AS m FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, round(total, 4) AS total FROM w, m WHERE s + INTERVAL 1 HOUR <= m - INTERVAL 10 MINUTE")
+def stream_tumbling(spark, d):
+    out = _ended(spark, windows.tumbling(events(spark, d), "ts", "1 hour", "10 minutes", ["event_type"], "value"))
+    return out.select(_iso("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("WITH x AS (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s, value FROM events), m AS (SELECT max(ts) AS m FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 4) AS mean FROM x, m WHERE s + INTERVAL 12 HOUR <= m - INTERVAL 10 MINUTE GROUP BY s")
+def stream_sliding(spark, d):
+    out = _ended(spark, windows.sliding(events(spark, d), "ts", "12 hours", "6 hours", "10 minutes", [], "value"))
+    return out.select(_iso("start"), "n", F.round("mean", 4).alias("mean"))
+
+
+@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS f FROM events), g AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM o), s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 4 HOUR AS b, count(*) AS n FROM g GROUP BY user_id, g), m AS (SELECT max(ts) AS m FROM events) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM s, m WHERE b <= m - INTERVAL 10 MINUTE")
+def stream_sessions(spark, d):
+    out = _ended(spark, windows.sessions(events(spark, d), "ts", "4 hours", "10 minutes", ["user_id"]))
+    return out.select("user_id", _iso("start"), "n")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+def stream_unique(spark, d):
+    return _ended(spark, windows.unique(events(spark, d), "ts", "60 days", ["user_id", "event_type"])).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH o AS (SELECT event_id AS id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS occurrence FROM events) SELECT id, occurrence, CASE WHEN occurrence < 3 THEN 'warn' WHEN occurrence = 3 THEN 'learn' ELSE 'accept' END AS action FROM o")
+def stream_learn(spark, d):
+    e = events(spark, d).select(F.col("event_type").alias("rule_id"), F.col("user_id").cast("string").alias("path"), "ts", F.col("event_id").alias("id"))
+    return _ended(spark, stateful.learn(e)).select("id", "occurrence", "action")
+
+
+@query("WITH o AS (SELECT user_id, ts, value, first_value(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) SELECT user_id::VARCHAR AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value, round(f - value, 4) AS drift FROM o WHERE n >= 3 AND f - value > 100")
+def stream_ring_alerts(spark, d):
+    e = events(spark, d).select(F.col("user_id").cast("string").alias("file"), "ts", "value")
+    out = _ended(spark, stateful.ring_alerts(e, 10, 100.0))
+    return out.select("file", _iso("ts"), "value", F.round("drift", 4).alias("drift"))
+
+
+@query("WITH o AS (SELECT user_id::VARCHAR AS path, ts, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS m, lag(CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) END) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT path, CASE WHEN m IS NULL THEN 'deleted' WHEN p IS NULL THEN 'added' ELSE 'changed' END AS change, count(*) AS n FROM o WHERE (m IS NULL AND p IS NOT NULL) OR (m IS NOT NULL AND p IS NULL) OR m > p GROUP BY ALL")
+def stream_watch(spark, d):
+    e = events(spark, d).select(F.col("user_id").cast("string").alias("path"), "ts", F.when(F.col("event_type") != "error", F.floor("value")).alias("mtime"))
+    return _ended(spark, stateful.watch(e)).groupBy("path", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def stream_tiers(spark, d):
+    e = events(spark, d).select(F.col("user_id").alias("id"), "ts")
+    return _ended(spark, stateful.tiers(e)).groupBy("event").agg(F.count(F.lit(1)).alias("n"))

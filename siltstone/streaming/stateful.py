@@ -39,7 +39,8 @@ def ring_alerts(snapshots: DataFrame, size: int = 100, fall: float = 0.15, least
             if len(ring) >= least and drift > fall:
                 out.append((r.file, r.ts, float(r.value), drift))
         state.update((ring,))
-        yield pd.DataFrame(out, columns=["file", "ts", "value", "drift"])
+        if out:
+            yield pd.DataFrame(out, columns=["file", "ts", "value", "drift"])
 
     return snapshots.groupBy("file").applyInPandasWithState(step, "file string, ts timestamp, value double, drift double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -63,7 +64,8 @@ def watch(listings: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((last,))
-        yield pd.DataFrame(out, columns=["path", "ts", "change"])
+        if out:
+            yield pd.DataFrame(out, columns=["path", "ts", "change"])
 
     return listings.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp, change string", "mtime long", "append", GroupStateTimeout.NoTimeout)
 

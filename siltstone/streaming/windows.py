@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def replay(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
+    """A table's files as a stream; times without a zone are taken in the session's, as watermarks need."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet*")
+    return rows.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields))
 
 
 def tumbling(events: DataFrame, ts: str, length: str, late: str, key: Sequence[str], value: str) -> DataFrame:
