@@ -173,7 +173,7 @@ def _scope_issues(text: str):
                 issues.append(("SCOPE002", n, line))
         if not isinstance(node, ast.Module):
             for n, line in own.items():
-                if n not in names and n not in below and not n.startswith("_") and n != "self":
+                if not isinstance(node, ast.ClassDef) and n not in names and n not in below and not n.startswith("_") and n != "self":
                     issues.append(("SCOPE001", n, line))
                 if n in outer and not isinstance(node, ast.ClassDef):
                     issues.append(("SCOPE003", n, line))

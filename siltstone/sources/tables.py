@@ -20,7 +20,10 @@ def load_pack(text: str, language: str | None = None) -> list[Rule]:
     """Rules of a JSON or TOML pack: contracts with id, domain, severity, tags and rules (pattern, message, suggestion)."""
     import tomllib
 
-    doc = json.loads(text) if text.lstrip().startswith(("{", "[")) else tomllib.loads(text)
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        doc = tomllib.loads(text)
     contracts = doc["contracts"] if isinstance(doc, dict) else doc
     out = []
     for c in contracts:
