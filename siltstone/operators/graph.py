@@ -171,3 +171,33 @@ def supersedes(links: DataFrame, max_depth: int = 100) -> DataFrame:
         if step.filter("_more").isEmpty():
             break
     return up
+
+
+def full_context(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(start, direction, depth, nodes): callers and calls of each start by depth."""
+    def side(e: DataFrame, name: str) -> DataFrame:
+        return reach(e, starts, max_depth).groupBy("start", "depth").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("direction", F.lit(name))
+
+    return side(edges, "calls").unionByName(side(reverse(edges), "callers")).select("start", "direction", "depth", "nodes")
+
+
+def entry_points(edges: DataFrame) -> DataFrame:
+    """(node): nodes that call and are not called."""
+    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+
+
+def ancestors(nodes: DataFrame, key: Sequence[str], max_depth: int = 50) -> DataFrame:
+    """(key, node_id, kinds): the kinds from the root of a flattened tree down to each node (kind, parent_id, depth).
+
+    A level is joined to the one above it, so there are as many joins as levels.
+    """
+    level = nodes.filter("depth = 0").select(*key, "node_id", F.array("kind").alias("kinds"))
+    out = level
+    for d in range(1, max_depth + 1):
+        here = nodes.filter(F.col("depth") == d)
+        above = level.select(*key, F.col("node_id").alias("parent_id"), F.col("kinds").alias("_k"))
+        level = _saved(here.join(above, [*key, "parent_id"]).select(*key, "node_id", F.concat("_k", F.array("kind")).alias("kinds")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,9 +55,6 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     there. What a task holds is bounded whatever the sizes are, and nothing is sent
     to every task.
     """
-    import numpy as np
-    import pandas as pd
-
     parts, blocks = max(1, -(-vectors.count() // rows)), max(1, -(-queries.count() // block))
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("bigint").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))

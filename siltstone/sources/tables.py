@@ -17,13 +17,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_pack(text: str, language: str | None = None) -> list[Rule]:
-    """Rules of a JSON or TOML pack: contracts with id, domain, severity, tags and rules (pattern, message, suggestion)."""
+    """Rules of a JSON, TOML or (where its library is installed) YAML pack: contracts with id, domain, severity, tags and rules (pattern, message, suggestion)."""
     import tomllib
 
     try:
         doc = json.loads(text)
     except ValueError:
-        doc = tomllib.loads(text)
+        try:
+            doc = tomllib.loads(text)
+        except tomllib.TOMLDecodeError:
+            import yaml
+
+            doc = yaml.safe_load(text)
     contracts = doc["contracts"] if isinstance(doc, dict) else doc
     out = []
     for c in contracts:
@@ -39,7 +44,7 @@ def load_pack_dir(folder: str, language: str | None = None) -> list[Rule]:
     """All packs of a folder; a file that cannot be read is an error, not a gap."""
     out = []
     for p in sorted(Path(folder).glob("*")):
-        if p.suffix in (".json", ".toml"):
+        if p.suffix in (".json", ".toml", ".yaml", ".yml"):
             out += load_pack(p.read_text(), language)
     return out
 
@@ -51,6 +56,17 @@ def merged_rules(rules: DataFrame) -> DataFrame:
     return rules.groupBy("pattern", "domain").agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.min_by("rule_id", F.struct(severity_rank(F.col("severity")), "rule_id")).alias("rule_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
 
 
+def append_log(df: DataFrame, path: str, by: str = "project") -> None:
+    """Rows added to a log that is partitioned by a column."""
+    df.write.mode("append").partitionBy(by).parquet(path)
+
+
+def ci_report(found: DataFrame, path: str, path_col: str = "path") -> None:
+    """Findings in the form of code-quality reports: a line of JSON each, with a stable fingerprint."""
+    rows = found.select(F.col("message").alias("description"), F.col("rule_id").alias("check_name"), F.sha2(F.concat_ws(":", path_col, "rule_id", F.col("line").cast("string")), 256).alias("fingerprint"), F.struct(F.col(path_col).alias("path"), F.struct(F.col("line").alias("begin")).alias("lines")).alias("location"), F.when(F.col("severity").isin("critical", "error"), "major").when(F.col("severity") == "warning", "minor").otherwise("info").alias("severity"))
+    rows.write.mode("overwrite").json(path)
+
+
 def save_version(df: DataFrame, path: str, version: int) -> None:
     """df as a version of a table; versions are folders of their own."""
     df.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
