@@ -24,6 +24,7 @@ equal sets are one node (named by a 128-bit hash of the set).
    two bitmaps differ are at most the sets' symmetric difference, so they bound
    the overlap from above. Pairs that pass are intersected as sorted arrays.
 
+The input is scanned more than once and must give the same rows each time, as files do.
 Pairs between nodes that are already connected are left out: links inside a
 component change nothing. No pair between components is.
 
@@ -382,7 +383,10 @@ def _tiles(posted: DataFrame) -> DataFrame:
     held = rows.groupBy("token", "band").agg(F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("ref", "own").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("own", "ref")).alias("x"))
     one = held.filter("any_own AND k > 1").groupBy("k", "s", "x").agg(F.min(F.struct("token", "band")).alias("t"))
     one = one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"))
-    return saved(rows.join(one, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own"), "jaccard-tiles")
+    return saved(rows.join(one.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own"), "jaccard-tiles")
+
+
+# Tiles are joined by merging: of those joins Spark splits the partitions that a tile of many nodes makes large.
 
 
 def _open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
@@ -390,7 +394,7 @@ def _open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     rows = tiles.join(labels, "ref")
     more = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own"), F.count(F.lit(1)).alias("size"))
     more = more.filter("lo <> hi AND any_own").select(F.col("token").alias("t"), F.col("band").alias("b"), "size")
-    return rows.join(more, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own", "comp", "size")
+    return rows.join(more.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own", "comp", "size")
 
 
 def _hub_pairs(opened: DataFrame, turn: int) -> DataFrame:
@@ -398,7 +402,7 @@ def _hub_pairs(opened: DataFrame, turn: int) -> DataFrame:
     hub = F.min_by(F.struct("ref", "comp"), F.when(F.col("own"), F.xxhash64("ref", F.lit(turn))))
     hubs = opened.groupBy("token", "band").agg(hub.alias("hub"))
     hubs = hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), F.col("hub.ref").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-    rows = opened.join(hubs, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).filter("comp <> hub_comp")
+    rows = opened.join(hubs.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).filter("comp <> hub_comp")
     return rows.select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b")).distinct()
 
 
