@@ -55,13 +55,17 @@ END, BEGIN = b"", b" "  # no word is either
 _RARE = 0xFFFF
 
 
+#: A level that is worth its time for what is shuffled and saved.
+_CODEC = pa.Codec("zstd", compression_level=5)
+
+
 def _pack(*arrays) -> bytes:
     raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    return pickle.loads(_CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True))
 
 
 def _planes(x: np.ndarray) -> list[np.ndarray]:
