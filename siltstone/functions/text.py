@@ -38,10 +38,12 @@ def stems(text: Column) -> Column:
 
 def terms_with_bigrams(text: Column) -> Column:
     """Stems followed by the pairs of neighbours among them, joined by an underscore."""
-    one = stems(text)
-    n = F.greatest(F.size(one) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
-    return F.concat(one, pairs)
+    def both(one: Column) -> Column:
+        n = F.greatest(F.size(one) - 1, F.lit(0))
+        return F.concat(one, F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b)))
+
+    # a lambda's argument is computed once, however often it stands in the body
+    return F.element_at(F.transform(F.array(stems(text)), both), 1)
 
 
 def word_set(text: Column) -> Column:

@@ -8,25 +8,12 @@ the plan and survives lost executors.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='siltstone-')}")
-    path = f"{folder.rstrip('/')}/siltstone-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import saved as _saved
 
 
 def resolve(nodes: DataFrame, calls: DataFrame) -> DataFrame:

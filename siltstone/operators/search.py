@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, terms_with_bigrams, word_set
+from ..session import saved
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,7 +32,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc
     Ties go to the smaller id. Terms of the queries select the postings before
     anything else; document norms need all terms and are one aggregate.
     """
-    terms = term_table(docs, doc_id, text_col)
+    terms = saved(term_table(docs, doc_id, text_col))
     weights = terms.join(idf_table(terms, docs.count()), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = term_table(queries, query_id, text_col).select(F.col("id").alias("query"), "term", "tf")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import stateful, windows
 
 QUERIES, SQL = {}, {}
@@ -24,9 +24,7 @@ def query(sql: str | None = None):
 
 def _ended(spark, stream, mode="append"):
     """The rows of a stream that has run to its end, from files in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{base.rstrip('/')}/siltstone-streams" if base else f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/siltstone-streams/{uuid.uuid4().hex}"
     windows.to_table(stream, f"{path}/rows", f"{path}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 

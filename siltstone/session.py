@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return f"file://{_own[app]}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: computed once, and not lost with an executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/siltstone/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where it is not installed or on their path."""
     env = spark.sparkContext.environment
