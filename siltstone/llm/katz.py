@@ -271,15 +271,17 @@ def _pairs(joined: DataFrame, buckets: int, uni: Unigrams, hot: np.ndarray) -> D
             pair = before * len(vocab) + tokens
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
+            del before, order, c, tokens  # the sorted pairs are all that is needed from here
             new = np.ones(len(pair), bool)
             new[1:] = pair[1:] != pair[:-1]
             entry = new.copy()
             entry[1:] |= doc[1:] != doc[:-1]
             at = np.flatnonzero(entry)
-            k = np.diff(np.append(at, len(pair)))
-            of = np.cumsum(new)[at] - 1
-            doc = doc[at] * 2 + held[doc[at]]
-            h, w = np.divmod(pair[new], len(vocab))
+            k = np.diff(np.append(at, len(pair))).astype(np.int32)
+            of = (np.cumsum(new, dtype=np.int32) - 1)[at]
+            doc = (doc[at] * 2 + held[doc[at]]).astype(np.int32)
+            h, w = (x.astype(np.int32) for x in np.divmod(pair[new], len(vocab)))
+            del pair, new, entry, at
             place = np.searchsorted(hot, vocab)
             is_hot = (place < len(hot)) & (hot[np.minimum(place, max(0, len(hot) - 1))] == vocab) if len(hot) else np.zeros(len(vocab), bool)
             key = _mix(vocab)
@@ -316,16 +318,19 @@ def _bucket(rows: list[tuple], uni: Unigrams, hot_c1: np.ndarray) -> Iterator[tu
     cw = np.zeros(len(W), np.int64)
     cw[rare] = np.concatenate([p[3] for p in parts])
     cw[~rare] = hot_c1[W[~rare].astype(np.int64)]
-    per, d, k = (np.concatenate([_joined(p[i]) for p in parts]) for i in (4, 5, 6))
-    of = np.repeat(np.arange(len(per)), per)
+    per, d, k = (np.concatenate([_joined(p[i]) for p in parts]).astype(np.int32) for i in (4, 5, 6))
+    sizes = [(len(p[5][0]), p[7]) for p in parts]
+    del parts
+    of = np.repeat(np.arange(len(per), dtype=np.int32), per)
     train = np.bincount(of, weights=k * (d % 2 == 0), minlength=len(per)).astype(np.int64)
     order = np.lexsort((W, H))
     same = np.zeros(len(order), bool)
     same[1:] = (H[order][1:] == H[order][:-1]) & (W[order][1:] == W[order][:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(~same) - 1
-    c2 = np.bincount(number, weights=train).astype(np.int64)
     one = order[~same]  # a row of each different pair
+    del W, order, same
+    c2 = np.bincount(number, weights=train).astype(np.int64)
     _, hist = np.unique(H[one], return_inverse=True)
     hist_of = hist[number]
     seen = c2 > 0
@@ -345,14 +350,13 @@ def _bucket(rows: list[tuple], uni: Unigrams, hot_c1: np.ndarray) -> Iterator[tu
     with np.errstate(divide="ignore"):
         value = np.log10(pair_c2) - np.log10(C + EPSILON)[hist_of]
     log_p1 = np.log10(p1)
-    for r, p in zip(rows, parts, strict=True):
-        m = len(p[5][0])
+    for r, (m, documents) in zip(rows, sizes, strict=True):
         pairs, docs, count = of[to : to + m], d[to : to + m] // 2, k[to : to + m]
         to += m
         has = pair_c2[pairs] > 0
-        s = np.bincount(docs[has], weights=(value[pairs] * count)[has], minlength=p[7])
-        ms = [np.bincount(docs[has], weights=(count * (pair_c2[pairs] == x))[has], minlength=p[7]).astype(np.uint32) for x in range(1, K + 1)]
-        touched = np.flatnonzero(np.bincount(docs[has], minlength=p[7]))
+        s = np.bincount(docs[has], weights=(value[pairs] * count)[has], minlength=documents)
+        ms = [np.bincount(docs[has], weights=(count * (pair_c2[pairs] == x))[has], minlength=documents).astype(np.uint32) for x in range(1, K + 1)]
+        touched = np.flatnonzero(np.bincount(docs[has], minlength=documents))
         yield r[1], "sums", _pack(_planes(touched), s[touched].astype(np.float32), *(_planes(x[touched]) for x in ms)), []
         if not has.all():
             miss = pairs[~has]
