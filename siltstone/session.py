@@ -36,6 +36,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that saved() made under the shared folder: when the results that read them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/siltstone")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where it is not installed or on their path."""
     env = spark.sparkContext.environment

@@ -269,3 +269,14 @@ def test_late_rows_are_dropped(spark, tmp_path):
         windows.to_table(windows.tumbling(spark.readStream.schema(schema).parquet(src), "ts", "1 hour", "1 hour", ["k"], "v"), f"{tmp_path}/out", f"{tmp_path}/ck")
     got = {r.start: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got[t] == 1
+
+
+def test_zz_scratch_is_cleared(spark):
+    import os
+
+    from siltstone.session import clear_scratch, saved, shared_folder
+
+    df = saved(spark.range(3))
+    assert df.count() == 3
+    clear_scratch(spark)
+    assert not os.path.exists(shared_folder(spark).removeprefix("file://") + "/siltstone")
