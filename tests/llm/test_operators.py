@@ -337,7 +337,7 @@ def near_copies(rng, n, words=60, edits=5):
     return out
 
 
-@pytest.mark.parametrize("turns", [(0, 0), (0, 1), (1, 0), (1, 2)])
+@pytest.mark.parametrize("turns", [(0, 0), (1, 1)])
 def test_jaccard_join(spark, docs, rows, turns, monkeypatch):
     import random
 
