@@ -46,7 +46,7 @@ def merged(entries: DataFrame, key: Sequence[str]) -> DataFrame:
         F.max("recall_count").alias("recall_count"),
         F.min("created_at").alias("created_at"),
         F.max_by("helpful", F.when(F.col("helpful").isNotNull(), F.struct("created_at", "id"))).alias("helpful"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("errors", F.array().cast("array<string>")))))).alias("errors"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("errors", F.array().cast("array<string>")))))).alias("errors"),
         F.count(F.lit(1)).alias("merged"),
     )
 

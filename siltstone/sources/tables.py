@@ -53,7 +53,7 @@ def merged_rules(rules: DataFrame) -> DataFrame:
     """rules (pattern, domain, severity, rule_id, refs) with one row per pattern and domain: the most severe, with all refs."""
     from ..functions.scores import severity_rank
 
-    return rules.groupBy("pattern", "domain").agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.min_by("rule_id", F.struct(severity_rank(F.col("severity")), "rule_id")).alias("rule_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"))
+    return rules.groupBy("pattern", "domain").agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.min_by("rule_id", F.struct(severity_rank(F.col("severity")), "rule_id")).alias("rule_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("refs")))).alias("refs"))
 
 
 def append_log(df: DataFrame, path: str, by: str = "project") -> None:
