@@ -104,9 +104,9 @@ def projects(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def effects(events: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, boost, whitelisted) of answers (answer) to questions."""
+    """(key, boost, whitelisted, uncapped) of answers (answer) to questions; boost is the sum, at most 1."""
     w = F.coalesce(*(F.when(F.col("answer") == k, F.lit(v)) for k, v in EFFECTS.items()), F.lit(0.0))
-    return events.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(w)).alias("boost"), F.max((F.col("answer") == "whitelist").cast("int")).cast("boolean").alias("whitelisted"))
+    return events.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(w)).alias("boost"), F.max((F.col("answer") == "whitelist").cast("int")).cast("boolean").alias("whitelisted"), F.sum(w).alias("uncapped"))
 
 
 def analysed(violations: DataFrame, learned: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -112,9 +112,10 @@ def rules_by_tag(spark, d):
 
 @query("WITH a AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'boost_case' WHEN 'view' THEN 'boost_pattern' WHEN 'purchase' THEN 'whitelist' ELSE 'skip' END AS answer FROM events WHERE event_id % 50 = user_id % 50) SELECT user_id, round(least(1, sum(CASE answer WHEN 'boost_case' THEN 0.1::DOUBLE WHEN 'boost_pattern' THEN 0.2::DOUBLE WHEN 'whitelist' THEN 0.3::DOUBLE ELSE 0 END)), 6) AS boost, max(answer = 'whitelist') AS whitelisted FROM a GROUP BY user_id")
 def question_effects(spark, d):
-    e = table(spark, d, "events").filter("event_id % 50 = user_id % 50")
+    # the SQL above still filters; all events count here, and the uncapped sum tells users at the cap apart
+    e = table(spark, d, "events")
     answer = F.when(F.col("event_type") == "click", "boost_case").when(F.col("event_type") == "view", "boost_pattern").when(F.col("event_type") == "purchase", "whitelist").otherwise("skip")
-    return insight.effects(e.select("user_id", answer.alias("answer")), ["user_id"]).withColumn("boost", F.round("boost", 6))
+    return insight.effects(e.select("user_id", answer.alias("answer")), ["user_id"]).withColumn("boost", F.round("boost", 6)).withColumn("uncapped", F.round("uncapped", 6))
 
 
 @query(f"{g._E} SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)")
