@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import raw_terms
+from ..session import saved as _saved
 
 # Manifests that tell a project's language.
 MANIFESTS = {"Cargo.toml": "rust", "package.json": "javascript", "requirements.txt": "python", "pyproject.toml": "python", "pom.xml": "java", "go.mod": "go"}
@@ -134,16 +135,23 @@ def commonest(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     return n.groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b")).select(*key, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))
 
 
-def chain_trust(certificates: DataFrame, anchors: DataFrame, depth: int = 10) -> DataFrame:
-    """(id, trusted) of certificates (id, parent, valid): every link up to an anchor is valid."""
-    up = certificates.select(F.col("id"), F.col("parent").alias("at"), F.col("valid").alias("ok"))
+def chain_trust(certificates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, trusted) of certificates (id, parent, valid): every link up to an anchor is valid.
+
+    Pointers of valid certificates double until each is at an anchor or is gone. A chain
+    has no more links than there are certificates: what is open beyond that is a circle.
+    """
     roots = anchors.select(F.col("id").alias("at")).distinct()
-    links = certificates.select(F.col("id").alias("at"), F.col("parent").alias("_p"), F.col("valid").alias("_v"))
-    done = None
-    for _ in range(depth):
-        hit = up.join(roots, "at", "left_semi").select("id", F.col("ok").alias("trusted"))
-        done = hit if done is None else done.unionByName(hit)
-        up = up.join(roots, "at", "left_anti").join(links, "at").select("id", F.col("_p").alias("at"), (F.col("ok") & F.col("_v")).alias("ok")).filter("at IS NOT NULL")
-    own = certificates.join(roots.withColumnRenamed("at", "id"), "id", "left_semi").select("id", F.col("valid").alias("trusted"))
-    best = done.unionByName(own).groupBy("id").agg(F.max("trusted").alias("trusted"))
+    # invalid ones end every chain through them; a chain ends at its first anchor
+    known = roots.withColumn("end", F.lit(True))
+    up = certificates.filter("valid AND parent IS NOT NULL").select("id", F.col("parent").alias("at")).distinct()
+    up = _saved(up.join(known, "at", "left").select("id", "at", F.coalesce("end", F.lit(False)).alias("end")))
+    most, links = up.count(), 1
+    while links <= most and not up.filter("NOT end").isEmpty():
+        nxt = up.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("end").alias("_end"))
+        moved = up.filter("NOT end").join(nxt, "at").select("id", F.col("_at").alias("at"), F.col("_end").alias("end"))
+        up = _saved(up.filter("end").unionByName(moved).distinct())
+        links *= 2
+    own = certificates.filter("valid").join(roots.withColumnRenamed("at", "id"), "id", "left_semi").select("id")
+    best = up.filter("end").select("id").unionByName(own).distinct().withColumn("trusted", F.lit(True))
     return certificates.select("id").join(best, "id", "left").select("id", F.coalesce("trusted", F.lit(False)).alias("trusted"))

@@ -135,7 +135,7 @@ def chain_trust(spark, d):
     c = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey div 2")).alias("parent"), (F.col("p_size") > 2).alias("valid"))
     # an anchor's own certificate has to be valid too
     ok = c.filter("id = 1 AND valid").select("id")
-    return insight.chain_trust(c, ok, 20)
+    return insight.chain_trust(c, ok)
 
 
 @query()

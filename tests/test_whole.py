@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from siltstone.operators import insight
 from siltstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,11 @@ def test_question_effects_counts_all_events(spark):
         white[user] |= kind == "purchase"
     got = {r.user_id: (r.boost, r.uncapped, r.whitelisted) for r in catalog.queries()["question_effects"](spark, SF).collect()}
     assert got == {u: (round(min(1.0, t), 6), round(t, 6), white[u]) for u, t in total.items()}
+
+
+def test_chains_of_trust_of_any_length(spark):
+    rows = [(0, None, True)] + [(i, i - 1, True) for i in range(1, 100)]
+    rows += [(200, 99, False), (201, 200, True), (300, 301, True), (301, 300, True), (302, 301, True), (400, 999, True)]
+    c = spark.createDataFrame(rows, "id long, parent long, valid boolean")
+    got = {r.id for r in insight.chain_trust(c, c.filter("id = 0").select("id")).collect() if r.trusted}
+    assert got == set(range(100))
