@@ -9,6 +9,7 @@ the plan and survives lost executors.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("o").alias("calls"), F.sum("i").alias("callers"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(start, node, depth): what each start reaches along edges in at most max_depth steps, and the fewest steps."""
+def _rounds(max_depth: int | None):
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth): what each start reaches along edges, and the fewest steps; at most max_depth unless None."""
     e = edges.select("src", "dst").distinct()
     seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for d in range(1, max_depth + 1):
+    for d in _rounds(max_depth):
         nxt = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = _saved(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -48,9 +53,9 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     return seen.filter("depth > 0")
 
 
-def impact(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(node, affected, risk): transitive callers of each start; over 10 high, over 3 medium."""
-    n = reach(reverse(edges), starts, max_depth).groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
+def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, affected, risk): all transitive callers of each start; over 10 high, over 3 medium."""
+    n = reach(reverse(edges), starts).groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
     rows = starts.select("node").distinct().join(n, "node", "left").select("node", F.coalesce("affected", F.lit(0)).alias("affected"))
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "high").when(F.col("affected") > 3, "medium").otherwise("low"))
 

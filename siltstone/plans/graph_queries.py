@@ -66,7 +66,7 @@ def call_resolution(spark, d):
 
 @query(f"{_E}, {_reach('p_size = 50', 'dst', 'src', 10)}, a AS (SELECT start AS node, count(*) - 1 AS affected FROM m GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")
 def impact(spark, d):
-    return graph.impact(edges(spark, d), starts(spark, d), 10)
+    return graph.impact(edges(spark, d), starts(spark, d))
 
 
 @query(f"{_E}, {_reach('p_size = 50', 'src', 'dst', 4)} SELECT start, node, depth FROM m WHERE depth > 0")

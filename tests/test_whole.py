@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from siltstone.operators import insight
+from siltstone.operators import graph, insight
 from siltstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,9 @@ def test_chains_of_trust_of_any_length(spark):
     c = spark.createDataFrame(rows, "id long, parent long, valid boolean")
     got = {r.id for r in insight.chain_trust(c, c.filter("id = 0").select("id")).collect() if r.trusted}
     assert got == set(range(100))
+
+
+def test_impact_has_no_depth_limit(spark):
+    e = spark.createDataFrame([(i, i - 1) for i in range(1, 14)] + [(0, 13)], "src long, dst long")
+    got = graph.impact(e, spark.createDataFrame([(0,), (5,)], "node long")).collect()
+    assert {(r.node, r.affected, r.risk) for r in got} == {(0, 13, "high"), (5, 13, "high")}
