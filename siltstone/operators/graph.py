@@ -153,16 +153,22 @@ def centrality(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(most)).select("node", "degree", (F.col("degree") / F.col("most")).alias("centrality"))
 
 
-def supersedes(links: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, latest, steps): the end of each chain of (old, new) links, by doubling of the pointers."""
-    up = _saved(links.select(F.col("old").alias("id"), F.col("new").alias("latest"), F.lit(1).alias("steps")))
-    for _ in range(max_depth.bit_length() + 1):
+def supersedes(links: DataFrame) -> DataFrame:
+    """(id, latest, steps): the end of each chain of (old, new) links, by doubling of the pointers.
+
+    A chain has no more steps than there are links: what still moves then is in or before a circle and has null.
+    """
+    up = _saved(links.select(F.col("old").alias("id"), F.col("new").alias("latest"), F.lit(1).cast("long").alias("steps")))
+    most, done = up.count(), 1
+    while True:
         nxt = up.select(F.col("id").alias("latest"), F.col("latest").alias("_l"), F.col("steps").alias("_s"))
         step = _saved(up.join(nxt, "latest", "left").select("id", F.coalesce("_l", "latest").alias("latest"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.col("_l").isNotNull().alias("_more")))
-        up = step.drop("_more")
         if step.filter("_more").isEmpty():
-            break
-    return up
+            return step.drop("_more")
+        if done > most:
+            return step.select("id", *(F.when(~F.col("_more"), F.col(c)).alias(c) for c in ("latest", "steps")))
+        up = step.drop("_more")
+        done *= 2
 
 
 def full_context(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:

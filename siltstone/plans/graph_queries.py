@@ -138,6 +138,8 @@ def arch_drift(spark, d):
 def decision_latest(spark, d):
     from pyspark.sql import Window as W
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100000 + F.col("turn")).alias("old"))
+    # chains are keyed by (conv_id, turn): the numbers of the report run into the next conversation's from turn 100,000 on
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("old"))
     links = c.withColumn("new", F.lead("old").over(W.partitionBy("conv_id").orderBy("turn"))).filter("new IS NOT NULL")
-    return graph.supersedes(links.select("old", "new"), 1000)
+    number = lambda x: F.col(f"{x}.conv_id") * 100000 + F.col(f"{x}.turn")
+    return graph.supersedes(links.select("old", "new")).select(number("id").alias("id"), number("latest").alias("latest"), F.col("steps").cast("int").alias("steps"))

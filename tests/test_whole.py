@@ -39,3 +39,17 @@ def test_impact_has_no_depth_limit(spark):
     e = spark.createDataFrame([(i, i - 1) for i in range(1, 14)] + [(0, 13)], "src long, dst long")
     got = graph.impact(e, spark.createDataFrame([(0,), (5,)], "node long")).collect()
     assert {(r.node, r.affected, r.risk) for r in got} == {(0, 13, "high"), (5, 13, "high")}
+
+
+def test_latest_of_long_chains_and_circles(spark):
+    links = spark.range(5000).selectExpr("id AS old", "id + 1 AS new")
+    links = links.union(spark.createDataFrame([(-1, -2), (-2, -1), (-3, -1)], "old long, new long"))
+    got = {r.id: (r.latest, r.steps) for r in graph.supersedes(links).collect()}
+    assert got == {i: (5000, 5000 - i) for i in range(5000)} | {-1: (None, None), -2: (None, None), -3: (None, None)}
+
+
+def test_decision_latest_keeps_conversations_apart(spark, tmp_path):
+    rows = [(1, 0), (1, 99999), (1, 100000), (1, 100001), (2, 0), (2, 1), (2, 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in catalog.queries()["decision_latest"](spark, str(tmp_path)).select("id", "latest", "steps").collect())
+    assert got == [(100000, 200001, 3), (199999, 200001, 2), (200000, 200001, 1), (200000, 200002, 2), (200001, 200002, 1)]
