@@ -58,10 +58,12 @@ def call_resolution(spark, d):
     p = table(spark, d, "part")
     full = F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit("::"), F.col("p_name"))
     nodes = p.select(full.alias("node_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
-    calls = p.filter("p_size IN (49, 50)").select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 2 == 0, full).otherwise(F.concat(F.lit("gone::"), F.col("p_name"))).alias("ref"))
-    # several nodes can have one full name: targets are counted by key
-    found = graph.resolve(nodes.select("node_id", "name").distinct(), calls)
-    return found.join(nodes, found["dst"] == nodes["node_id"]).groupBy("src").agg(F.countDistinct("key").alias("targets"))
+    calls = p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 2 == 0, full).otherwise(F.concat(F.lit("gone::"), F.col("p_name"))).alias("ref"))
+    # a reference is resolved once, whoever makes it; several nodes can have one full name: targets are counted by key
+    refs = calls.select(F.col("ref").alias("src"), "ref").distinct()
+    found = graph.resolve(nodes.select("node_id", "name").distinct(), refs)
+    targets = found.join(nodes, found["dst"] == nodes["node_id"]).groupBy(F.col("src").alias("ref")).agg(F.countDistinct("key").alias("targets"))
+    return calls.join(targets, "ref").select("src", "targets")
 
 
 @query(f"{_E}, {_reach('p_size = 50', 'dst', 'src', 10)}, a AS (SELECT start AS node, count(*) - 1 AS affected FROM m GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")

@@ -53,3 +53,14 @@ def test_decision_latest_keeps_conversations_apart(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
     got = sorted(tuple(r) for r in catalog.queries()["decision_latest"](spark, str(tmp_path)).select("id", "latest", "steps").collect())
     assert got == [(100000, 200001, 3), (199999, 200001, 2), (200000, 200001, 1), (200000, 200002, 2), (200001, 200002, 1)]
+
+
+@tables
+def test_every_part_is_a_call(spark):
+    parts = read(spark, "part", "p_partkey", "p_name", "p_size")
+    named, full = defaultdict(set), defaultdict(set)
+    for key, name, size in parts:
+        named[name].add(key)
+        full[name, size].add(key)
+    got = {r.src: r.targets for r in catalog.queries()["call_resolution"](spark, SF).collect()}
+    assert got == {key: len(named[name] if size % 2 else full[name, size]) for key, name, size in parts}
