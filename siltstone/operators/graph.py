@@ -60,12 +60,12 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "high").when(F.col("affected") > 3, "medium").otherwise("low"))
 
 
-def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int) -> DataFrame:
-    """(start, goal, path): one shortest path each (the least by node names)."""
+def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, goal, path): one shortest path each (the least by node names); of any length if max_depth is None."""
     e = edges.select("src", "dst").distinct()
     seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("path", F.array(F.col("node")))
     frontier = seen
-    for _ in range(max_depth):
+    for _ in _rounds(max_depth):
         nxt = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         nxt = nxt.groupBy("start", "node").agg(F.min("path").alias("path"))
         frontier = _saved(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
@@ -75,8 +75,8 @@ def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int
     return seen.filter(F.size("path") > 1).join(goals.select(F.col("node")).distinct(), "node", "left_semi").select("start", F.col("node").alias("goal"), "path")
 
 
-def cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """(path): every cycle of at most max_length different nodes, from its least node.
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(path): every cycle, from its least node; of at most max_length different nodes unless None.
 
     Paths only pass nodes above their start, so each cycle is found once.
     """
@@ -84,7 +84,9 @@ def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     paths = e.filter("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
     found = [paths.filter("start = node").select("path")]
     paths = paths.filter("start < node")
-    for _ in range(1, max_length):
+    for _ in _rounds(None if max_length is None else max_length - 1):
+        if paths.isEmpty():
+            break
         step = _saved(paths.join(e, paths["node"] == e["src"]).select("start", F.col("dst").alias("node"), "path"))
         found.append(step.filter("start = node").select("path"))
         paths = step.filter("node > start").filter(~F.array_contains("path", F.col("node"))).select("start", "node", F.concat("path", F.array("node")).alias("path"))

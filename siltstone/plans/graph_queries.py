@@ -84,7 +84,7 @@ def dependents_k(spark, d):
 @query(f"{_E}, p AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_size = 50 UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) <= 5 AND NOT list_contains(path, dst)), b AS (SELECT start, node, min((len(path), path)) AS m FROM p WHERE len(path) > 1 GROUP BY start, node) SELECT start, node AS goal, array_to_string(m[2], '>') AS path FROM b WHERE node <= 20")
 def call_chain(spark, d):
     goals = table(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_partkey").alias("node"))
-    out = graph.chains(edges(spark, d), starts(spark, d), goals, 5)
+    out = graph.chains(edges(spark, d), starts(spark, d), goals)
     return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
@@ -96,7 +96,7 @@ def context_score(spark, d):
 
 @query(f"{_E}, p AS (SELECT src AS start, dst AS node, [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) < 5 AND dst > start AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path FROM p JOIN e ON node = src AND dst = start")
 def cycles(spark, d):
-    return graph.cycles(edges(spark, d), 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return graph.cycles(edges(spark, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), s AS (SELECT DISTINCT dst AS node, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION ALL SELECT src, level + 1 FROM s JOIN e ON node = dst) SELECT node, max(level) AS level FROM s GROUP BY node")

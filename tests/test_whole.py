@@ -64,3 +64,17 @@ def test_every_part_is_a_call(spark):
         full[name, size].add(key)
     got = {r.src: r.targets for r in catalog.queries()["call_resolution"](spark, SF).collect()}
     assert got == {key: len(named[name] if size % 2 else full[name, size]) for key, name, size in parts}
+
+
+def test_chains_and_cycles_of_any_length(spark):
+    e = spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)] + [(20, 0), (8, 30)], "src long, dst long")
+    got = graph.chains(e, spark.createDataFrame([(20,)], "node long"), spark.createDataFrame([(30,), (5,)], "node long")).collect()
+    assert {(r.start, r.goal): r.path for r in got} == {(20, 30): [20, *range(9), 30], (20, 5): [20, *range(6)]}
+    assert [r.path for r in graph.cycles(e).collect()] == [list(range(9))]
+
+
+@tables
+def test_call_chain_reaches_node_1_from_every_start(spark):
+    starts = {key for key, size in read(spark, "part", "p_partkey", "p_size") if size == 50 and key > 1}
+    got = catalog.queries()["call_chain"](spark, SF).filter("goal = 1").collect()
+    assert {r.start for r in got} == starts
