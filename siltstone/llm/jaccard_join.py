@@ -52,6 +52,8 @@ WORDS, PERCENT = 5, 75
 #: Cells of the table of frequencies (its size is fixed), and the estimate from which a shingle is dealt by chunk.
 CELL_BITS, COMMON = 22, 15
 CHUNK = 1_500_000
+#: Places for nodes in a chunk, and for chunks in a task.
+NODES = 1 << 20
 BLOCK = 512
 HUB_TURNS, NEAREST_TURNS, PRUNE_TURNS = 1, 2, 1
 #: Bits of the filter for nodes that have candidates (fixed; it may let others through).
@@ -151,7 +153,7 @@ def _unpack(blob: bytes) -> tuple:
 
 
 def _chunks(batches, words):
-    """Lists of (name, set) of different sets, of about CHUNK shingles each."""
+    """Lists of (name, set) of different sets, of about CHUNK shingles and at most NODES sets each."""
     own, size = {}, 0
     for b in batches:
         for t in b.column(0).cast(pa.large_binary()).to_pylist():
@@ -161,7 +163,7 @@ def _chunks(batches, words):
                 if name not in own:
                     own[name] = s
                     size += len(s)
-            if size >= CHUNK:
+            if size >= CHUNK or len(own) >= NODES:
                 yield list(own.items())
                 own, size = {}, 0
     if own:
@@ -240,6 +242,8 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
     def send(batches):
         task, number = TaskContext.get().partitionId(), 0
         for own in _chunks(batches, words):
+            if len(own) > NODES or number >= NODES or task >= 1 << 23:
+                raise ValueError(f"chunk {number} of task {task} with {len(own)} nodes has no numbers")
             chunk = (task << 32) + number
             number += 1
             tokens, base = [], []
@@ -275,7 +279,7 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
             yield batch(pa.array(np.concatenate([p[4] for p in parts])[keep]), pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
 
     def node_number(chunk, i):
-        return ((chunk >> 32) << 40) + ((chunk & 0xFFFFFFFF) << 20) + i  # up to a million nodes a chunk and chunks a task
+        return ((chunk >> 32) << 40) + ((chunk & 0xFFFFFFFF) << 20) + i  # NODES places for nodes and for chunks
 
     def batch(*cols):
         return pa.RecordBatch.from_arrays(list(cols), names=["base", "token", "node", "ref", "n", "band"])
