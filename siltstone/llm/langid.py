@@ -4,10 +4,10 @@ A text is lower-cased, everything but letters becomes one space, and its 1-, 2-
 and 3-grams of characters are hashed into DIM places. Vectors are damped counts
 times inverse document frequency, of length 1. Per language, spherical k-means
 finds a few centroids; a text has the language of the centroid with the largest
-cosine. A text is rejected when it is further from its nearest centroid than
-REJECT times the furthest training text of about its length.
+cosine. A text is rejected when its cosine is below REJECT times the QUANTILE of
+the cosines of the training rows of that language and of about its length.
 
-Document frequencies come from all training rows. Centroids are fitted on the
+Document frequencies and those quantiles come from all training rows. Centroids are fitted on the
 driver to a sample of at most about SAMPLE rows a language, chosen by a hash of
 the text, and whole texts are used everywhere.
 
@@ -32,8 +32,10 @@ DIM = 1 << 13
 SAMPLE = 600
 CENTROIDS = 4
 MAX_LANGUAGES = 500
-#: Part of the smallest cosine of a training text of the same length class below which a text is rejected.
-REJECT = 0.25
+#: Part of the low quantile of a language's and length class's training cosines below which a text is rejected.
+REJECT = 0.7
+QUANTILE = 0.01
+_CELLS = 256  # of the histograms of cosines
 UND = "und"
 _BINS = 24  # length classes: powers of two of the number of n-grams
 _letters: list[np.ndarray] = []
@@ -79,7 +81,7 @@ class Model:
     owner: np.ndarray  # the language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: np.ndarray  # least cosine by length class
+    floor: np.ndarray  # least cosine by language and length class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -151,8 +153,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     x = np.zeros((len(labels), DIM), np.float32)
     for i, (at, k) in enumerate(zip(picked.column("at"), picked.column("k"), strict=True)):
         x[i, at.values.to_numpy()] = k.values.to_numpy()
-    model = Model(languages, np.zeros(0, int), np.zeros((0, DIM)), idf.astype(np.float32), np.zeros(_BINS))
-    total = x.sum(1)
+    model = Model(languages, np.zeros(0, int), np.zeros((0, DIM)), idf.astype(np.float32), np.zeros((len(languages), _BINS)))
     v, rng = model.vectors(x), np.random.default_rng(seed)
     own = np.array([languages.index(a) for a in labels], int)
     found_c = [_kmeans(v[own == j], centroids, rng) for j in range(len(languages)) if (own == j).any()]
@@ -161,17 +162,46 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     present = [j for j in range(len(languages)) if (own == j).any()]
     model.centroids = np.vstack(found_c).astype(np.float32)
     model.owner = np.repeat(present, [len(c) for c in found_c])
-    best = (v @ model.centroids.T).max(1)
-    least = np.full(_BINS, np.inf)
-    for n, c in zip(total, best, strict=True):
-        least[_bin(n)] = min(least[_bin(n)], c)
-    low = 0.0  # a class without training texts has the floor of the next shorter one; the shortest have none
-    for j in range(_BINS):
-        low = least[j] if np.isfinite(least[j]) else low
-        model.floor[j] = REJECT * low
+    model.floor = REJECT * _quantiles(rows.select(text_col, lang_col), model)
     return model
 
 
+def _quantiles(rows: DataFrame, model: Model) -> np.ndarray:
+    """The QUANTILE of the cosines of rows (text, label) by language and length class."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        m, held = shared.value, {}
+        number = {a: j for j, a in enumerate(m.languages)}
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                found = [(features(t), number[a]) for t, a in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                found = [f for f in found if f[0] is not None]
+                if found:
+                    x = np.stack([f[0] for f in found]).astype(np.float32)
+                    for (_, a), c, n in zip(found, m.predict(x)[1], x.sum(1), strict=True):
+                        key = (a, _bin(n), min(_CELLS - 1, int(c * _CELLS)))
+                        held[key] = held.get(key, 0) + 1
+        if held:
+            a, k, c = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(held.values(), pa.int64())], names=["a", "k", "c", "n"])
+
+    counts = np.zeros((len(model.languages), _BINS, _CELLS), np.int64)
+    cells = rows.mapInArrow(measure, "a int, k int, c int, n long").groupBy("a", "k", "c").agg(F.sum("n").alias("n"))
+    for r in cells.collect():  # at most MAX_LANGUAGES * _BINS * _CELLS rows
+        counts[r.a, r.k, r.c] = r.n
+    out = np.zeros((len(model.languages), _BINS))
+    for a in range(len(out)):
+        low = 0.0  # a class without training texts has the quantile of the next shorter one; the shortest have none
+        for k in range(_BINS):
+            up = counts[a, k].cumsum()
+            if up[-1]:
+                low = int(np.searchsorted(up, max(1.0, QUANTILE * up[-1]))) / _CELLS
+            out[a, k] = low
+    return out
+
+
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
     """df with lang_pred, score and rejected (after prefix); columns of these names are replaced."""
     names = tuple(prefix + x for x in ("lang_pred", "score", "rejected"))
@@ -189,7 +219,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", prefix:
                 if some:
                     x = np.stack([found[j] for j in some]).astype(np.float32)
                     for j, a, c, n in zip(some, *m.predict(x), x.sum(1), strict=True):
-                        lang[j], score[j], far[j] = m.languages[a], float(c), bool(c < m.floor[_bin(n)])
+                        lang[j], score[j], far[j] = m.languages[a], float(c), bool(c < m.floor[a, _bin(n)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang), pa.array(score, pa.float64()), pa.array(far)], names=[*keep, *names])
 
     slim = df.select(*keep)
