@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch_path
 from ..streaming import stateful, windows
 
 QUERIES, SQL = {}, {}
@@ -24,7 +22,7 @@ def query(sql: str | None = None):
 
 def _ended(spark, stream, mode="append"):
     """The rows of a stream that has run to its end, from files in the shared folder."""
-    path = f"{shared_folder(spark)}/siltstone-streams/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stream")
     windows.to_table(stream, f"{path}/rows", f"{path}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 

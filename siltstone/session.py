@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder where it is unset and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="siltstone-")
@@ -28,18 +30,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/siltstone/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in scratch_folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """df, written to the shared folder and read back: computed once, and not lost with an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siltstone/{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder by whatever file system its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames made by saved() that no later plan reads."""
+    for df in frames:
+        if getattr(df, "_scratch", None):
+            delete(df.sparkSession, df._scratch)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that saved() made under the shared folder: when the results that read them are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/siltstone")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application saved, when the results that read it are written. Other applications' stays."""
+    delete(spark, scratch_folder(spark))
 
 
 def ready(spark: SparkSession) -> SparkSession:

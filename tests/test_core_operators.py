@@ -271,12 +271,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got[t] == 1
 
 
-def test_zz_scratch_is_cleared(spark):
+def test_zz_scratch_is_cleared(spark, tmp_path):
     import os
 
-    from siltstone.session import clear_scratch, saved, shared_folder
+    from siltstone.session import clear_scratch, saved, scratch_folder, shared_folder
 
     df = saved(spark.range(3))
     assert df.count() == 3
+    other = shared_folder(spark).removeprefix("file://") + "/siltstone/another-application"
+    os.makedirs(other)
     clear_scratch(spark)
-    assert not os.path.exists(shared_folder(spark).removeprefix("file://") + "/siltstone")
+    assert not os.path.exists(scratch_folder(spark).removeprefix("file://"))
+    assert os.path.isdir(other)  # other applications' tables stay
