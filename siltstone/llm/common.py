@@ -2,64 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these bytes; ``bytes.split()`` splits on the same set.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-
-_DIR = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the cluster names none, as in tests, a temporary folder is made.
-    """
-    named = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, _own[app], True)
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return f"file://{_own[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+from ..session import delete, dropped, saved, scratch_path
 
+__all__ = ["SPACE_CLASS", "WORD", "crc_mod", "delete", "dropped", "finished", "lower_az", "partitions", "saved", "scratch_path", "table"]
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage is cut there.
-
-    Unlike a cached or locally checkpointed frame, the files survive executors.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like saved(), as a table bucketed by key: joins on key do not move its rows."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    own = f"siltstone_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(own)
-    out = spark.table(own)
-    out._scratch, out._table = path, own
-    return out
+#: Words are runs of anything but these bytes; ``bytes.split()`` splits on the same set.
+SPACE_CLASS = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def finished(spark: SparkSession) -> None:
@@ -68,18 +22,6 @@ def finished(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Delete the files of frames made by saved() that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_scratch", None)
-        if getattr(df, "_table", None):
-            df.sparkSession.sql(f"DROP TABLE {df._table}")
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,26 +7,35 @@ finds a few centroids; a text has the language of the centroid with the largest
 cosine. A text is rejected when its cosine is below REJECT times the QUANTILE of
 the cosines of the training rows of that language and of about its length.
 
-Document frequencies and those quantiles come from all training rows. Centroids are fitted on the
-driver to a sample of at most about SAMPLE rows a language, chosen by a hash of
-the text, and whole texts are used everywhere.
+Document frequencies and those quantiles come from all training rows. The centroids of a
+language are fitted, in a task of its own, to at most SAMPLE different texts: those with
+the smallest hashes, so copies of a text count once and every label with a text of
+letters is learned. What reaches the driver is CENTROIDS vectors of DIM numbers for each
+of at most MAX_LANGUAGES labels; with more labels fit() raises.
+
+A row's cosines are computed from that row alone and rounded, so they do not depend on
+the rows beside it.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 is rejected; rows with a null label are not learned from; without any training
-row all texts are ``und``; of equal cosines the first language by name wins.
+row, as of an empty table, all texts are ``und``; of equal cosines the first language by name
+wins; very long texts are used whole; repeated rows are each identified; the
+result's names replace columns of those names.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import saved
+from .common import dropped, saved
 
 DIM = 1 << 13
 SAMPLE = 600
@@ -38,6 +47,7 @@ QUANTILE = 0.01
 _CELLS = 256  # of the histograms of cosines
 UND = "und"
 _BINS = 24  # length classes: powers of two of the number of n-grams
+_DIGITS = 6  # of cosines
 _letters: list[np.ndarray] = []
 
 
@@ -61,7 +71,7 @@ def features(text: str | None) -> np.ndarray | None:
     c = np.where(letter, c, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of each run of others one stays
-    c = np.concatenate(([np.uint32(32)] if letter[0] else [], c[keep], [np.uint32(32)] if letter[-1] else [])).astype(np.uint32)
+    c = np.concatenate(([np.uint32(32)], c[keep], [np.uint32(32)] if letter[-1] else [])).astype(np.uint32)
     one = c * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ (one[1:] >> np.uint32(7))) * np.uint32(0x85EBCA6B)
     three = (two[:-1] ^ (one[2:] >> np.uint32(5))) * np.uint32(0xC2B2AE35)
@@ -79,7 +89,7 @@ def _bin(total: float) -> int:
 class Model:
     languages: list[str]
     owner: np.ndarray  # the language of each centroid
-    centroids: np.ndarray
+    centroids: np.ndarray  # a column each
     idf: np.ndarray
     floor: np.ndarray  # least cosine by language and length class
 
@@ -87,11 +97,16 @@ class Model:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language numbers and cosines for rows of counts."""
-        cos = self.vectors(counts) @ self.centroids.T
-        best = cos.argmax(1)
-        return self.owner[best], np.clip(cos[np.arange(len(cos)), best], 0.0, 1.0)
+    def predict(self, counts: np.ndarray) -> tuple[int, float]:
+        """The number of the language, and the cosine, of one text's counts."""
+        at = np.flatnonzero(counts)
+        x = np.log1p(counts[at]) * self.idf[at]
+        cos = np.round(x @ self.centroids[at] / max(float(np.sqrt(x @ x)), 1e-12), _DIGITS)
+        best = int(cos.argmax())
+        return int(self.owner[best]), min(1.0, max(0.0, float(cos[best])))
+
+    def rejects(self, language: int, cosine: float, counts: np.ndarray) -> bool:
+        return cosine < self.floor[language, _bin(counts.sum())]
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -110,19 +125,24 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS, seed: int = 0) -> Model | None:
-    """A model of the labelled rows of train; None if there are none."""
-    rows = train.filter(F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+    """A model of the labelled rows of train; None if no labelled row has a letter."""
+    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # copies of a text are one; at most sample rows a language leave a task, and at most that many are kept
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample)
+    last = {r.lang: r.last for r in chosen.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(last) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    languages = sorted(counts)
-    if not languages:
-        return None
-    rate = {a: sample / counts[a] for a in languages}
 
     def pick(batches):
-        """Document frequencies of a task's rows, and the counts of sampled rows."""
-        df, seen = np.zeros(DIM, np.int64), 0
+        """Document frequencies of a task's rows, and the counts of chosen texts, once for each."""
+        df, seen, had = np.zeros(DIM, np.int64), 0, set()
+
+        def row(lang, h, n, x):
+            at = np.flatnonzero(x)
+            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([h], pa.int64()), pa.array([n], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([x[at].tolist()], pa.list_(pa.int64()))], names=["lang", "h", "n", "at", "k"])
+
         for b in batches:
             for t, a, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = features(t)
@@ -130,15 +150,13 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
                     continue
                 df += x > 0
                 seen += 1
-                if h / 2**32 < rate[a]:
-                    at = np.flatnonzero(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([0], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([x[at].tolist()], pa.list_(pa.int64()))], names=["lang", "n", "at", "k"])
+                if h <= last[a] and (a, h) not in had:
+                    had.add((a, h))  # at most sample a language
+                    yield row(a, h, 0, x)
         if seen:
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([seen], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([df[at].tolist()], pa.list_(pa.int64()))], names=["lang", "n", "at", "k"])
+            yield row(None, None, seen, df)
 
-    draw = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
-    found = saved(rows.select(text_col, lang_col, draw).mapInArrow(pick, "lang string, n long, at array<int>, k array<long>"), "langid-fit")
+    found = saved(rows.mapInArrow(pick, "lang string, h long, n long, at array<int>, k array<long>"), "langid-fit")
     tasks = found.filter("lang IS NULL")
     seen = tasks.agg(F.sum("n")).first()[0]
     if not seen:
@@ -147,22 +165,29 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     pairs = tasks.select(F.explode(F.arrays_zip("at", "k")).alias("x")).groupBy("x.at").agg(F.sum("x.k").alias("k"))
     for r in pairs.collect():  # at most DIM rows
         df[r["at"]] = r["k"]
-    idf = np.log((1.0 + seen) / (1.0 + df)) + 1.0
-    picked = found.filter("lang IS NOT NULL").orderBy("lang", F.hash("at", "k")).toArrow()
-    labels = picked.column("lang").to_pylist()
-    x = np.zeros((len(labels), DIM), np.float32)
-    for i, (at, k) in enumerate(zip(picked.column("at"), picked.column("k"), strict=True)):
-        x[i, at.values.to_numpy()] = k.values.to_numpy()
-    model = Model(languages, np.zeros(0, int), np.zeros((0, DIM)), idf.astype(np.float32), np.zeros((len(languages), _BINS)))
-    v, rng = model.vectors(x), np.random.default_rng(seed)
-    own = np.array([languages.index(a) for a in labels], int)
-    found_c = [_kmeans(v[own == j], centroids, rng) for j in range(len(languages)) if (own == j).any()]
-    if not found_c:
-        return None
-    present = [j for j in range(len(languages)) if (own == j).any()]
-    model.centroids = np.vstack(found_c).astype(np.float32)
-    model.owner = np.repeat(present, [len(c) for c in found_c])
-    model.floor = REJECT * _quantiles(rows.select(text_col, lang_col), model)
+    model = Model([], np.zeros(0, int), np.zeros((DIM, 0)), np.log((1.0 + seen) / (1.0 + df)) + 1.0, np.zeros((0, _BINS)))
+
+    def learn(table: pa.Table) -> pa.Table:
+        """The centroids of one language, from its chosen texts in order of hash."""
+        table = table.combine_chunks().sort_by("h")
+        lang, seen_h, x = table.column("lang")[0].as_py(), set(), []
+        for h, at, k in zip(*(table.column(c).to_pylist() for c in ("h", "at", "k")), strict=True):
+            if h not in seen_h:  # several tasks may have sent it
+                seen_h.add(h)
+                x.append(np.zeros(DIM))
+                x[-1][at] = k
+        c = _kmeans(model.vectors(np.stack(x)), centroids, np.random.default_rng([seed, zlib.crc32(lang.encode())]))
+        return pa.table({"lang": pa.array([lang] * len(c)), "place": pa.array(range(len(c)), pa.int32()), "at": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+    # copies that several tasks sent go before the group is gathered: a group has at most sample rows
+    texts = found.filter("lang IS NOT NULL").dropDuplicates(["lang", "h"]).select("lang", "h", "at", "k")
+    learned = texts.groupBy("lang").applyInArrow(learn, "lang string, place int, at array<double>")
+    learned = sorted(learned.collect(), key=lambda r: (r.lang, r.place))  # at most CENTROIDS * MAX_LANGUAGES rows
+    model.languages = sorted({r.lang for r in learned})
+    model.owner = np.array([model.languages.index(r.lang) for r in learned])
+    model.centroids = np.array([r["at"] for r in learned]).T.copy()
+    model.floor = REJECT * _quantiles(rows.select("text", "lang"), model)
+    dropped(found)
     return model
 
 
@@ -174,23 +199,19 @@ def _quantiles(rows: DataFrame, model: Model) -> np.ndarray:
         m, held = shared.value, {}
         number = {a: j for j, a in enumerate(m.languages)}
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
-                found = [(features(t), number[a]) for t, a in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                found = [f for f in found if f[0] is not None]
-                if found:
-                    x = np.stack([f[0] for f in found]).astype(np.float32)
-                    for (_, a), c, n in zip(found, m.predict(x)[1], x.sum(1), strict=True):
-                        key = (a, _bin(n), min(_CELLS - 1, int(c * _CELLS)))
-                        held[key] = held.get(key, 0) + 1
+            for t, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = features(t)
+                if x is not None:
+                    key = (number[a], _bin(x.sum()), min(_CELLS - 1, int(m.predict(x)[1] * _CELLS)))
+                    held[key] = held.get(key, 0) + 1
         if held:
             a, k, c = zip(*held, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(k, pa.int32()), pa.array(c, pa.int32()), pa.array(held.values(), pa.int64())], names=["a", "k", "c", "n"])
 
     counts = np.zeros((len(model.languages), _BINS, _CELLS), np.int64)
     cells = rows.mapInArrow(measure, "a int, k int, c int, n long").groupBy("a", "k", "c").agg(F.sum("n").alias("n"))
-    for r in cells.collect():  # at most MAX_LANGUAGES * _BINS * _CELLS rows
-        counts[r.a, r.k, r.c] = r.n
+    cells = cells.toArrow()  # at most MAX_LANGUAGES * _BINS * _CELLS rows
+    counts[tuple(cells.column(c).to_numpy() for c in ("a", "k", "c"))] = cells.column("n").to_numpy()
     out = np.zeros((len(model.languages), _BINS))
     for a in range(len(out)):
         low = 0.0  # a class without training texts has the quantile of the next shorter one; the shortest have none
@@ -206,7 +227,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", prefix:
     """df with lang_pred, score and rejected (after prefix); columns of these names are replaced."""
     names = tuple(prefix + x for x in ("lang_pred", "score", "rejected"))
     keep = [c for c in df.columns if c not in names]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * MAX_LANGUAGES * DIM floats at most
+    shared = df.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * MAX_LANGUAGES * DIM numbers at most
 
     def run(batches):
         m = shared.value
@@ -214,16 +235,13 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", prefix:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
                 found = [features(t) if m else None for t in part.column(text_col).to_pylist()]
-                some = [j for j, x in enumerate(found) if x is not None]
                 lang, score, far = [UND] * len(found), [0.0] * len(found), [True] * len(found)
-                if some:
-                    x = np.stack([found[j] for j in some]).astype(np.float32)
-                    for j, a, c, n in zip(some, *m.predict(x), x.sum(1), strict=True):
-                        lang[j], score[j], far[j] = m.languages[a], float(c), bool(c < m.floor[a, _bin(n)])
+                for j, x in enumerate(found):
+                    if x is not None:
+                        a, score[j] = m.predict(x)
+                        lang[j], far[j] = m.languages[a], bool(m.rejects(a, score[j], x))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang), pa.array(score, pa.float64()), pa.array(far)], names=[*keep, *names])
 
     slim = df.select(*keep)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in slim.schema.fields)
     return slim.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
-
-

@@ -3,9 +3,14 @@
 import base64
 import hashlib
 import math
+import os
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import langid_brute
+import numpy as np
 import public_tokenizers
 import pytest
 from katz_brute import Brute, held, tokens
@@ -51,19 +56,41 @@ def test_mixing(docs, rows):
         assert r.source_size == size[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-9)
         assert 0 <= r.copies <= 3
         taken[r.source] += r.copies * r.size
-    largest = max(len(words(r[1])) for r in rows)
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(0.1 * t, largest if size[s] > largest else 60), (s, taken[s], t)
+        assert abs(taken[s] - t) <= max(len(words(r[1])) for r in rows if r[3] == s), (s, taken[s], t)
     assert by_row(plan, "doc_id", "source", "copies") == by_row(mixing.mixing_plan(mixing.word_counts(docs), (1, 2, 3), 3.0), "doc_id", "source", "copies")
+    assert by_row(plan, "doc_id", "copies") != by_row(mixing.mixing_plan(mixing.word_counts(docs), (1, 2, 3), 3.0, seed=1), "doc_id", "copies")
+
+
+def test_copies_are_due_in_expectation(spark):
+    """Over all offsets a document has its expected copies, never more than one off, and no source misses by more than its largest document."""
+    rng = random.Random(2)
+    sizes = sorted(int(rng.paretovariate(1.1) * 20) for _ in range(120))
+    for rate in (0.013, 0.37, 1.0, 2.6):
+        rows = [(i + 1, n, (u + 0.5) / 1000) for i, n in enumerate(sizes) for u in range(1000)]
+        out = spark.createDataFrame(rows, "n long, size long, u double").select("n", "size", "u", mixing.crossed(F.col("n"), F.lit(rate), F.col("u")).alias("c")).toPandas()
+        assert abs(out.groupby("n").c.mean() - rate).max() < 2e-3
+        assert set(out.c) <= {math.floor(rate), math.ceil(rate)}
+        assert abs((out["size"] * out.c).groupby(out.u).sum() - rate * sum(sizes)).max() <= sizes[-1]
+    u = [r.u for r in spark.range(2000).selectExpr("CAST(id AS STRING) AS source").select(mixing.offset(7).alias("u")).collect()]
+    assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.03
 
 
 def test_mix_keeps_columns_and_repeats(docs):
     plan = mixing.mixing_plan(mixing.word_counts(docs), (1, 2, 3), 3.0)
     out = mixing.mix(docs, (1, 2, 3), 3.0)
     assert out.columns == docs.columns
-    assert out.count() == plan.agg(F.sum("copies")).first()[0]
-    want = {(r.doc_id, r.source): r.n for r in plan.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r.n}
-    assert want == {(r.doc_id, r.source): r["count"] for r in out.groupBy("doc_id", "source").count().collect()}
+    want = {(r.doc_id, r.source, r.size): r.n for r in plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).collect() if r.n}
+    assert want == Counter((r.doc_id, r.source, len(words(r.text))) for r in out.select("doc_id", "source", "text").collect())
+
+
+def test_mix_deals_copies_by_text(spark):
+    """Rows that share an id and a source, some with equal texts, take the words that the plan says."""
+    df = spark.createDataFrame([(1, "a", "b c d", i, {"k": i}) for i in range(5)] + [(1, "a", "bbbbbbbbbbbb", 9, {}), (None, "a", "x y", 1, None), (None, "a", "x y", 2, None)], "doc_id long, source string, text string, nth long, m map<string,int>")
+    plan = mixing.mixing_plan(mixing.word_counts(df), (1,), 3.0, share=0.6)
+    out = mixing.mix(df, (1,), 3.0, share=0.6).collect()
+    assert sum(r.copies * r.size for r in plan.collect()) == sum(len(r.text.split()) for r in out)
+    assert sorted(r.nth for r in out) == sorted(r.nth for r in mixing.mix(df.repartition(5), (1,), 3.0, share=0.6).collect())
 
 
 # 2
@@ -248,6 +275,52 @@ def test_langid(docs, rows, spark):
     assert by_row(out, "doc_id", "lang_pred", "score") == by_row(langid.identify(df, langid.fit(df.filter(~F.col("held_out")))), "doc_id", "lang_pred", "score")
 
 
+def test_langid_against_brute_force(docs, rows):
+    train = [r for r in rows if not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2)]
+    model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
+    weights = langid_brute.idf([r[1] for r in train if r[2]])
+    assert np.allclose(weights, model.idf)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=0), 1)
+    assert Counter(model.owner.tolist()) == {0: 4, 1: 4, 2: 4}
+    low = langid_brute.floors([(r[1], r[2]) for r in train], model, weights)
+    for (lang, k), f in low.items():
+        assert math.isclose(model.floor[model.languages.index(lang), k], f)
+    got = defaultdict(list)
+    for r in langid.identify(docs.select("doc_id", "text"), model).collect():
+        got[r.doc_id, r.text].append((r.lang_pred, r.score, r.rejected))
+    for r in rows:
+        lang, cos = langid_brute.nearest(r[1], model, weights)
+        for found in got[r[0], r[1]]:
+            assert found[0] == lang and math.isclose(found[1], max(0, cos), abs_tol=2e-6)
+            if (lang, k := int(math.log2(sum(langid_brute.grams(r[1]).values()))) if lang != "und" else 0) in low:
+                assert found[2] == (found[1] < low[lang, k])
+
+
+def test_langid_does_not_depend_on_the_rows_beside(docs):
+    model = langid.fit(docs)
+    assert by_row(langid.identify(docs.coalesce(1), model), "doc_id", "lang_pred", "score") == by_row(langid.identify(docs.repartition(7), model), "doc_id", "lang_pred", "score")
+
+
+@pytest.mark.parametrize("texts", [1, 4])
+def test_langid_learns_every_label(spark, texts):
+    """Copies of a text are drawn once, however many there are, and no language is lost."""
+    german = [f"der Fluss und das Haus sind nicht weit {'sehr ' * i}" for i in range(texts)]
+    many = [(german[i % texts], "de") for i in range(6000)] + [(f"the river and house number {i} are far", "en") for i in range(300)]
+    model = langid.fit(spark.createDataFrame([*many, ("çok güzel", "tr"), ("123", "xx")], "text string, lang string"), sample=50)
+    assert model.languages == ["de", "en", "tr"]
+    assert Counter(model.owner.tolist()) == {0: min(4, texts), 1: 4, 2: 1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_langid_accuracy_on_held_out_rows(spark):
+    from siltstone.llm.queries import op6_langid
+
+    lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    found = op6_langid(spark, "/root/testdata/sf0.01").join(lang, "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = found.agg(F.sum(F.expr("int(lang = lang_pred)")), F.count(F.lit(1))).first()
+    assert n > 150 and right / n >= 0.95
+
+
 def test_langid_without_training(docs, no_docs):
     assert langid.fit(no_docs) is None
     assert langid.fit(docs.filter("lang IS NULL")) is None

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import langid_brute
 import public_tokenizers
 import pytest
 
@@ -16,10 +17,6 @@ from siltstone.llm import byte_bpe, langid
 SF = "/root/testdata/sf0.001"
 
 
-def fraction(x):
-    return x % 1.0
-
-
 def brute_mix(docs):
     """(doc_id, source, words) rows to numbers of copies, in plain loops."""
     by = defaultdict(list)
@@ -43,23 +40,8 @@ def brute_mix(docs):
         rate = target / size[s] if size[s] else 0.0
         u = int(hashlib.md5(f"0:{s if s is not None else chr(0)}".encode()).hexdigest()[:8], 16) / 2**32
 
-        def taken(part, r, k, rows=rows, u=u):
-            o = fraction(u + k / 32)
-            return [(i, n, math.floor((j + 1) * r + o) - math.floor(j * r + o)) for j, (n, i) in enumerate(rows) if part(n)]
-
-        def best(part, r, want, taken=taken):
-            sums = [sum(n * c for _, n, c in taken(part, r, k)) for k in range(32)]
-            k = min(range(32), key=lambda k: (abs(sums[k] - want), k))
-            return k, sums[k]
-
-        large = lambda n, t=target: n * 64 > t
-        small = lambda n, t=target: n * 64 <= t
-        k, got = best(large, rate, rate * sum(n for n, _ in rows if large(n)))
-        others = sum(n for n, _ in rows if small(n))
-        rest = min(max((target - got) / others, 0.0), 3.0) if others else 0.0
-        k2, _ = best(small, rest, target - got)
-        for i, _, c in taken(large, rate, k) + taken(small, rest, k2):
-            copies[i] = c
+        for j, (_, i) in enumerate(rows):
+            copies[i] = math.floor((j + 1) * rate + u) - math.floor(j * rate + u)
     return copies
 
 
@@ -68,12 +50,16 @@ def test_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     train = spark.createDataFrame([(t, a) for i, t, a, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2], "text string, lang string")
     model = langid.fit(train)
+    labelled = [(t, a) for i, t, a, _ in docs if a and zlib.crc32(str(i).encode()) % 4 != 2]
+    weights = langid_brute.idf([t for t, _ in labelled])
+    low = langid_brute.floors(labelled, model, weights)
     kept = []
     for d in docs:
-        x = langid.features(d[1])
-        if x is not None:
-            _, cos = model.predict(x[None].astype("float32"))
-            if cos[0] >= model.floor[langid._bin(x.sum())]:
+        lang, cos = langid_brute.nearest(d[1], model, weights)
+        if lang != "und":
+            k = int(math.log2(sum(langid_brute.grams(d[1]).values())))
+            shorter = [j for a, j in low if a == lang and j <= k]
+            if not shorter or cos >= low[lang, max(shorter)]:
                 kept.append(d)
     seen, unique = set(), []
     for d in sorted(kept):
