@@ -1,51 +1,41 @@
 """Mixing sources to target weights by systematic sampling.
 
-The expected copies of a source's documents are the source's target over its size. Within a source these are prefix-summed in order of
-(size, id), one offset is added, and a document is emitted once for each integer
-that its interval crosses. Sizes in order make the sum of the taken sizes follow
-the target; of a fixed grid of offsets shifted by one random number, the one
-whose sum comes nearest is used. Documents that are large for their source are
-settled first; what they take above or below their due changes the expected
-copies of all others of the source, so that the source still meets its target.
+A document's expected copies are its source's target over its source's size. Within a
+source they are prefix-summed in order of (size, id), one random offset is added to all
+sums, and a document is emitted once for each integer that its interval crosses. Its
+chance of a copy is therefore its expected copies, whatever its size, and a source's
+taken words meet its target in expectation; in order of size they never miss it by more
+than the source's largest document.
 
 The prefix sums are global and distributed: rows are range-partitioned, numbered
 inside their partition, and partition totals are added up per source. No source,
 however large, is gathered in one task.
 
 Defined cases: null text has size 0 and takes 0 words; the null source is a
-source, ordered last; a source without words has target 0; repeated rows are
-separate documents; an empty table gives an empty result.
+source, ordered last; a source without words has target 0 and no copies; repeated rows are
+separate documents, and of rows with one id, source and text the first by their other columns' hash get
+their copies first; an empty table gives an empty result; texts of any length are one
+number here; mix() returns the columns of its input whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import dropped, partitions, saved
+from .common import WORD, dropped, partitions, saved
 
-#: Offsets that are tried.
-GRID = 32
-#: A document is large for its source if this many would exceed the source's target.
-LARGE = 64
 _POS_BITS = 33  # of monotonically_increasing_id()
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size): the number of words of each row's text."""
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("source", df.schema[source_col].dataType), T.StructField("size", T.LongType())])
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(2).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t.split()) if t else 0 for t in texts], pa.int64())], names=schema.names)
-
-    return df.select(id_col, source_col, text_col).mapInArrow(run, schema)
+    """(doc_id, source, size, raw): the number of words and a hash of each row's text."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("raw"))
 
 
 def _positions(df: DataFrame, *order: Column) -> DataFrame:
@@ -79,60 +69,47 @@ def source_targets(sized: DataFrame, weights: Sequence[float], cap: float, share
     return ranked.select("source", "source_size", F.least(F.col("_w") * level, F.col("_cap")).alias("target"))
 
 
-def _offset(seed: int) -> Column:
-    """A number from 0 to 1 for each source and seed."""
+def offset(seed: int) -> Column:
+    """The random offset, from 0 to 1, of each source for a seed."""
     head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source").cast("string"), F.lit("\0")))), 1, 8)
     return F.conv(head, 16, 10).cast("long") / float(1 << 32)
 
 
+def crossed(nth: Column, rate: Column, offset: Column) -> Column:
+    """Integers that the nth document's interval of the shifted prefix sums crosses."""
+    return (F.floor(nth * rate + offset) - F.floor((nth - 1) * rate + offset)).cast("long")
+
+
 def mixing_plan(sized: DataFrame, weights: Sequence[float], cap: float, seed: int = 0, share: float = 1.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for rows of (doc_id, source, size)."""
-    sized = saved(sized.select("doc_id", "source", "size"), "sized")
+    """(doc_id, source, raw, size, source_size, target, rate, offset, nth, copies) for rows of (doc_id, source, size, raw)."""
+    sized = saved(sized.select("doc_id", "source", "size", "raw"), "sized")
     targets = source_targets(sized, weights, cap, share)
-    placed = _positions(sized, F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.withColumn("rate", rate).withColumn("offset", offset(seed)).withColumnRenamed("source", "_t")
+    placed = _positions(sized, F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.col("raw"))
     runs = placed.groupBy("_pid", "source").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     earlier = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("_pid", F.col("source").alias("_s"), (earlier - F.col("_first")).alias("_shift"))
-    large = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).filter(sized["size"] * LARGE > targets["target"])
-    large = large.groupBy(sized["source"].alias("_t")).agg(F.sum(sized["size"]).alias("_large"))
-    targets = targets.join(large, F.col("source").eqNullSafe(F.col("_t")), "left").select("source", "source_size", "target", F.coalesce("_large", F.lit(0)).alias("_large"))
-    targets = targets.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("_u", _offset(seed))
-    runs = runs.join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
-    rows = placed.alias("d").join(runs, (placed["_pid"] == runs["_pid"]) & F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_rate", "_u", "_large", (F.col("_pos") + F.col("_shift") + 1).alias("_nth"))
-    rows = saved(rows, "numbered")
-
-    def copies(rate: Column, offset: Column) -> Column:
-        upto = lambda n: F.floor(n * rate + offset)
-        return (upto(F.col("_nth")) - upto(F.col("_nth") - 1)).cast("long")
-
-    def best(rows: DataFrame, part: Column, rate: Column, wanted: Column) -> DataFrame:
-        """By source: the place on the grid whose sum of taken sizes in part is nearest to wanted, and that sum."""
-        sums = [F.coalesce(F.sum(F.when(part, copies(rate, u) * F.col("size"))), F.lit(0)) for u in grid]
-        one = rows.groupBy("source").agg(F.first(wanted).alias("_want"), F.coalesce(F.sum(F.when(~part, F.col("size"))), F.lit(0)).alias("_others"), *(x.alias(f"_s{k}") for k, x in enumerate(sums)))
-        tried = F.array(*(F.struct(F.abs(F.col(f"_s{k}") - F.col("_want")).alias("e"), F.lit(k).alias("k"), F.col(f"_s{k}").alias("sum")) for k in range(GRID)))
-        return one.select(F.col("source").alias("_s"), F.array_min(tried).alias("_b"), "_others")
-
-    grid = [F.pmod(F.col("_u") + k / GRID, F.lit(1.0)) for k in range(GRID)]
-    large, small = F.col("size") * LARGE > F.col("target"), F.col("size") * LARGE <= F.col("target")
-    first = best(rows, large, F.col("_rate"), F.col("_rate") * F.col("_large"))
-    rest = F.when(F.col("_others") > 0, F.least(F.greatest((F.col("target") - F.col("_b.sum")) / F.col("_others"), F.lit(0.0)), F.lit(float(cap)))).otherwise(0.0)
-    rows = saved(rows.join(first, F.col("source").eqNullSafe(F.col("_s"))).select(*rows.columns, F.col("_b.k").alias("_k"), F.col("_b.sum").alias("_got"), rest.alias("_rest")), "large")
-    second = best(rows, small, F.col("_rest"), F.col("target") - F.col("_got"))
-    out = rows.join(second, F.col("source").eqNullSafe(F.col("_s")))
-    at = F.pmod(F.col("_u") + F.when(large, F.col("_k")).otherwise(F.col("_b.k")) / GRID, F.lit(1.0))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies(F.when(large, F.col("_rate")).otherwise(F.col("_rest")), at).alias("copies"))
+    runs = runs.select(F.col("_pid").alias("_p"), F.col("source").alias("_s"), (earlier - F.col("_first")).alias("_shift"))
+    runs = runs.join(targets, F.col("_s").eqNullSafe(F.col("_t")))
+    rows = placed.join(runs, (F.col("_pid") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.withColumn("nth", F.col("_pos") + F.col("_shift") + 1)
+    return rows.select("doc_id", "source", "raw", "size", "source_size", "target", "rate", "offset", "nth", crossed(F.col("nth"), F.col("rate"), F.col("offset")).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float], cap: float, seed: int = 0, share: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.
+def _hashable(kind: T.DataType) -> bool:
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
 
-    Rows that repeat an id and a source share their numbers of copies in the order of their texts' lengths.
-    """
+
+def mix(docs: DataFrame, weights: Sequence[float], cap: float, seed: int = 0, share: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
     plan = mixing_plan(word_counts(docs, id_col, source_col, text_col), weights, cap, seed, share)
-    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("__mix_copies"))
-    plan = plan.filter(F.exists("__mix_copies", lambda x: x["copies"] > 0))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source")))
-    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source").orderBy(F.length(docs[text_col]).asc_nulls_first()))
-    rows = rows.withColumn("__mix_n", F.try_element_at("__mix_copies", nth)["copies"])
-    return rows.filter(F.col("__mix_n") > 0).withColumn("__mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n")))).select(*(docs[c] for c in docs.columns))
+    # rows of one id, source and text are neighbours in the order: their first place and their number say all
+    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("raw").alias("__mix_raw"))
+    plan = plan.agg(F.min("nth").alias("__mix_first"), F.sum("copies").alias("__mix_all"), F.first("rate").alias("__mix_rate"), F.first("offset").alias("__mix_offset")).filter("__mix_all > 0")
+    own = docs.withColumn("__mix_text", F.xxhash64(text_col))
+    rows = own.join(plan, own[id_col].eqNullSafe(F.col("__mix_id")) & own[source_col].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_text") == F.col("__mix_raw")))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType) and f.name != text_col]
+    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_raw").orderBy(F.xxhash64(*others)))
+    copies = crossed(F.col("__mix_first") + nth - 1, F.col("__mix_rate"), F.col("__mix_offset"))
+    rows = rows.withColumn("__mix_n", copies).filter("__mix_n > 0")
+    return rows.withColumn("__mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))

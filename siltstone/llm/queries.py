@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, katz, langid, mixing, perspectives, token_counts, warc
-from .common import crc_mod, scratch_path, table
+from .common import WORD, crc_mod, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,10 +74,8 @@ def oracle_sql() -> dict[str, str]:
     return {"op1_mixing": OP1, "op3_exact_dedup": OP3, "op4_warc": OP4, "op5_perspectives": perspectives.ORACLE}
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
-
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS cap FROM d GROUP BY source),
 w AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 AS w FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER a, 0) AS c, coalesce(sum(w) OVER a, 0) AS v FROM w
@@ -87,21 +85,11 @@ l AS (SELECT coalesce(arg_min(x, v) FILTER (x <= cap / w), 0) AS level FROM e),
 t AS (SELECT source, source_size, least(w * level, cap) AS target,
         CASE WHEN source_size > 0 THEN least(w * level, cap) / source_size ELSE 0 END AS rate,
         ('0x' || left(md5('0:' || coalesce(source, chr(0))), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM w, l),
-n AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS n, d.size * 64 > target AS large
+n AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS n
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-z AS (SELECT source, coalesce(sum(size) FILTER (large), 0) AS large_size, coalesce(sum(size) FILTER (NOT large), 0) AS small_size FROM n GROUP BY source),
-k1 AS (SELECT n.source, k, coalesce(sum((floor(n * rate + (u + k / 32.0::DOUBLE) % 1) - floor((n - 1) * rate + (u + k / 32.0::DOUBLE) % 1)) * size) FILTER (large), 0) AS got,
-         abs(got - first(rate * large_size)) AS e
-       FROM n JOIN z ON n.source IS NOT DISTINCT FROM z.source, range(32) r(k) GROUP BY n.source, k),
-b1 AS (SELECT source, arg_min(k, (e, k)) AS k1, arg_min(got, (e, k)) AS got FROM k1 GROUP BY source),
-m AS (SELECT n.*, k1, got, CASE WHEN small_size > 0 THEN least(greatest((target - got) / small_size, 0), 3.0::DOUBLE) ELSE 0 END AS rest
-      FROM n JOIN z ON n.source IS NOT DISTINCT FROM z.source JOIN b1 ON n.source IS NOT DISTINCT FROM b1.source),
-k2 AS (SELECT source, k, abs(coalesce(sum((floor(n * rest + (u + k / 32.0::DOUBLE) % 1) - floor((n - 1) * rest + (u + k / 32.0::DOUBLE) % 1)) * size) FILTER (NOT large), 0) - first(target - got)) AS e
-       FROM m, range(32) r(k) GROUP BY source, k),
-b2 AS (SELECT source, arg_min(k, (e, k)) AS k2 FROM k2 GROUP BY source),
-f AS (SELECT m.*, CASE WHEN large THEN rate ELSE rest END AS r, (u + CASE WHEN large THEN k1 ELSE k2 END / 32.0::DOUBLE) % 1 AS a
-      FROM m JOIN b2 ON m.source IS NOT DISTINCT FROM b2.source)
-SELECT doc_id, size, source_size, target, CAST(floor(n * r + a) - floor((n - 1) * r + a) AS BIGINT) * size AS taken FROM f
+p AS (SELECT *, floor(n * rate + u) AS upto, floor(u) AS none FROM n)
+SELECT doc_id, size, source_size, target,
+  CAST(upto - coalesce(lag(upto) OVER (PARTITION BY source ORDER BY n), none) AS BIGINT) * size AS taken FROM p
 """
 
 OP3 = r"""
