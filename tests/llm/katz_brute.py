@@ -1,49 +1,62 @@
-"""Katz back-off by the book, over whole dictionaries."""
+"""Katz back-off by the book, over whole dictionaries, of any order."""
 
 import math
 import zlib
 from collections import Counter, defaultdict
 
-from siltstone.llm.katz import EPSILON, K, discounts
+from siltstone.llm.katz import K, discounts
+
+BEGIN = "<begin>"
 
 
 class Brute:
-    def __init__(self, texts):
+    def __init__(self, texts, order):
         """texts: lists of tokens, with the end."""
-        self.c1, self.c2, self.ch = Counter(), Counter(), Counter()
+        self.order, self.c, self.ch = order, defaultdict(Counter), defaultdict(Counter)
         for t in texts:
-            for h, w in zip(["<begin>", *t], t, strict=False):
-                self.c1[w] += 1
-                self.c2[h, w] += 1
-                self.ch[h] += 1
-        self.n = sum(self.c1.values())
-        cc = lambda c: [sum(v == r for v in c.values()) for r in range(1, K + 2)]
-        self.d1, self.d2 = discounts(cc(self.c1)), discounts(cc(self.c2))
-        seen = sum(self._d(self.d1, c) * c / self.n for c in self.c1.values()) if self.n else 0.0
-        self.unseen = max(1 - seen, 1 / (self.n + 1))
-        self.scale = (1 - self.unseen) / seen if seen else 0.0
-        after = defaultdict(list)
-        for (h, w), c in self.c2.items():
-            after[h].append((w, c))
-        self.alpha = {h: (1 - sum(self._d(self.d2, c) * c for _, c in x) / (self.ch[h] + EPSILON)) / (1 - sum(self.p1(w) for w, _ in x)) for h, x in after.items()}
-
-    @staticmethod
-    def _d(d, c):
-        return d[c - 1] if c <= K else 1.0
-
-    def p1(self, w):
-        c = self.c1[w]
-        return self._d(self.d1, c) * c / self.n * self.scale if c else self.unseen
-
-    def p(self, h, w):
-        c = self.c2[h, w]
-        return self._d(self.d2, c) * c / (self.ch[h] + EPSILON) if c else self.alpha.get(h, 1.0) * self.p1(w)
+            for n in range(1, order + 1):
+                padded = [*[BEGIN] * (n - 1), *t]
+                for i in range(len(t)):
+                    h, w = tuple(padded[i : i + n - 1]), padded[i + n - 1]
+                    self.c[n][h, w] += 1
+                    self.ch[n][h] += 1
+        self.n = sum(self.c[1].values())
+        self.d = {n: discounts([sum(v == r for v in self.c[n].values()) for r in range(1, K + 2)]) for n in range(1, order + 1)}
+        self.after = {n: defaultdict(list) for n in range(1, order + 1)}
+        for n in range(1, order + 1):
+            for (h, w), c in self.c[n].items():
+                self.after[n][h].append((w, c))
+        self.kept = {}
+
+    def total(self, n, h):
+        """The history's count, one more where no count after it is discounted."""
+        return self.ch[n][h] + all(c > K for _, c in self.after[n][h])
+
+    def seen(self, n, h, w):
+        c = self.c[n][h, w]
+        return (self.d[n][c - 1] if c <= K else 1.0) * c / self.total(n, h)
+
+    def weight(self, n, h):
+        if (n, h) not in self.kept:
+            words = [w for w, _ in self.after[n].get(h, ())]
+            left = 1 - sum(self.seen(n, h, w) for w in words)
+            self.kept[n, h] = left / (1 - sum(self.p(n - 1, h[1:], w) for w in words)) if words else 1.0
+        return self.kept[n, h]
+
+    def p(self, n, h, w):
+        if self.c[n][h, w]:
+            return self.seen(n, h, w)
+        if n == 1:
+            return 1 - sum(self.seen(1, (), w) for w, _ in self.after[1][()]) if self.n else 1.0
+        return self.weight(n, h) * self.p(n - 1, h[1:], w)
 
     def score(self, t):
-        return sum(math.log10(self.p(h, w)) for h, w in zip(["<begin>", *t], t, strict=False))
+        k = self.order - 1
+        padded = [*[BEGIN] * k, *t]
+        return sum(math.log10(self.p(self.order, tuple(padded[i : i + k]), padded[i + k])) for i in range(len(t)))
 
     def base(self, t):
-        return sum(math.log10((self.c1[w] + 1) / (self.n + len(self.c1) + 1)) for w in t)
+        return sum(math.log10((self.c[1][(), w] + 1) / (self.n + len(self.c[1]) + 1)) for w in t)
 
 
 def tokens(text):
