@@ -4,32 +4,38 @@
 2. *Directory*: different keys are counted by their leading bits. From one bucket
    for all keys, an overfull bucket is split in two by its next bit, doubling the
    directory where the bucket is as deep as the directory.
-3. *Pages*: each task combines the copies it reads, so that a group of copies
-   sends one text per task however large it is. Entries go to the owner of
-   their key range, which reads them in order of key, chains different texts of
-   one key, and compares bytes with each text of the chain. The pages (files in
-   the shared folder) hold key, place in the chain, digest, first id and count.
-4. *Probe*: facts are joined to the pages by key and digest.
+3. *Pages*: a page is a folder of files with the entries of one bucket, or of a run of
+   neighbouring buckets that are small. Each task combines the copies it reads, so that a
+   group of copies sends one text per task however large it is. Entries go to the owner of
+   their page, a key range, which reads them in order of key, chains different texts of
+   one key, and compares bytes with each text of the chain. Pages
+   hold key, place in the chain, digest, first id and count; the directory is saved beside them.
+4. *Probe*: the directory gives each fact its page and bucket, and the entry is sought
+   there by key and digest. A probe of few texts reads the pages that the directory names and no others.
 
 Defined cases: null counts as empty text; a null id counts as larger than any
-other; of rows that repeat an id and a text one is kept; extra columns are ignored.
+other; of rows that repeat an id and a text one is kept; an empty table gives an empty index
+and result; texts of any length are compared whole; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, saved
+from .common import partitions, saved, scratch_path
 
 #: Keys in a bucket before it splits, and bits that the directory may use: with more
 #: keys buckets of the greatest depth get longer and stay right.
 CAPACITY, MAX_DEPTH = 64, 18
+#: Pages for each shuffle partition; a page has one bucket at least.
+PAGES = 8
 _SPACE = frozenset(b" \t\n\v\f\r")
 #: Text that a task holds while it combines copies.
 _HELD = 32 << 20
@@ -87,25 +93,59 @@ def directory(counts: dict[int, int], depth: int = MAX_DEPTH, capacity: int = CA
     return g, slots
 
 
-def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """The index pages of df's texts (saved), and the directory's figures."""
+@dataclass
+class Index:
+    """An index on shared files: pages/page=N and directory, under path."""
+
+    path: str
+    depth: int  # of the directory, in bits
+    buckets: int
+    pages: int
+    kind: str  # of the ids
+
+    def directory(self, spark: SparkSession) -> DataFrame:
+        """(slot, bucket, page): 2 ** depth rows."""
+        return spark.read.schema("slot long, bucket int, page int").parquet(f"{self.path}/directory")
+
+    def read(self, spark: SparkSession, only: list[int] | None = None) -> DataFrame:
+        """The entries of all pages, or of some."""
+        paths = [f"{self.path}/pages"] if only is None else [f"{self.path}/pages/page={p}" for p in only]
+        entries = spark.read.schema(f"bucket int, key long, slot int, text_sha256 string, keep_id {self.kind}, group_size long, n_bytes long, page int")
+        return entries.option("basePath", f"{self.path}/pages").parquet(*paths)
+
+
+def paged(keys: np.ndarray, pages: int) -> np.ndarray:
+    """The page of each bucket, from its number of keys: runs of buckets, in about so many pages of about equal size."""
+    ends = np.cumsum(keys)
+    return np.unique((ends - keys) * pages // max(1, int(ends[-1])), return_inverse=True)[1]
+
+
+def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index of df's texts, whose facts are given."""
     spark = df.sparkSession
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
-    # at most 2 ** MAX_DEPTH rows reach the driver
-    counts = facts.select("key").distinct().groupBy(prefix.alias("p")).count()
-    counts = {r.p: r["count"] for r in counts.collect()}
-    g, slots = directory(counts)
-    shared = spark.sparkContext.broadcast(slots)
+    counts = facts.select("key").distinct().groupBy(prefix.alias("p")).count().toArrow()  # at most 2 ** MAX_DEPTH rows
+    counts = dict(zip(*(c.to_pylist() for c in counts.columns), strict=True))
+    g, slots = directory(counts, MAX_DEPTH, CAPACITY)
+    in_bucket = np.zeros(int(slots.max()) + 1, np.int64)
+    np.add.at(in_bucket, slots[np.array([*counts], np.int64) >> (MAX_DEPTH - g)], np.array([*counts.values()], np.int64))
+    page_of = paged(in_bucket, PAGES * partitions(spark))
     kind = df.schema[id_col].dataType.simpleString()
+    index = Index(scratch_path(spark, "exact-index"), g, len(in_bucket), int(page_of.max()) + 1, kind)
+    rows = pa.table({"slot": pa.array(range(1 << g), pa.int64()), "bucket": pa.array(slots, pa.int32()), "page": pa.array(page_of[slots], pa.int32())})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{index.path}/directory")
+    shared = spark.sparkContext.broadcast((slots, page_of))  # at most 2 ** MAX_DEPTH entries each
 
     def combine(batches):
         held, size = {}, 0
 
         def flush():
-            rows = [(int(shared.value[(k & (2**64 - 1)) >> (64 - g)] if g else 0), k, i, n, t) for t, (k, i, n) in held.items()]
+            slots, page_of = shared.value
+            at = [int(slots[(k & (2**64 - 1)) >> (64 - g)] if g else 0) for k, _, _ in held.values()]
+            rows = [(int(page_of[b]), b, k, i, n, t) for b, (t, (k, i, n)) in zip(at, held.items(), strict=True)]
             for at in range(0, len(rows), 256):
                 cols = list(zip(*rows[at : at + 256], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], id_type), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["bucket", "key", "first_id", "n", "norm"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], id_type), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["page", "bucket", "key", "first_id", "n", "norm"])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -129,19 +169,19 @@ def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_co
 
         def close():
             for slot, (t, i, n) in enumerate(chain):
-                out.append((at, key, slot, hashlib.sha256(t).hexdigest(), i, n, len(t)))
+                out.append((*at, key, slot, hashlib.sha256(t).hexdigest(), i, n, len(t)))
 
         def rows():
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], id_type), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.int64())], names=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size", "n_bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string()), pa.array(cols[5], id_type), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64())], names=["page", "bucket", "key", "slot", "text_sha256", "keep_id", "group_size", "n_bytes"])
 
         for b in batches:
-            id_type = b.schema.field(2).type
-            for bucket, k, i, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            id_type = b.schema.field(3).type
+            for page, bucket, k, i, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key:
                     if chain:
                         close()
-                    key, chain, at = k, [], bucket
+                    key, chain, at = k, [], (page, bucket)
                 for slot, (have, first, count) in enumerate(chain):
                     if have == t:
                         chain[slot] = (have, i if first is None else first if i is None else min(i, first), count + n)
@@ -156,21 +196,40 @@ def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_co
         if out:
             yield rows()
 
-    entries = df.select(id_col, text_col).mapInArrow(combine, f"bucket int, key long, first_id {kind}, n long, norm binary")
-    owned = entries.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key")
-    pages = saved(owned.mapInArrow(own, f"bucket int, key long, slot int, text_sha256 string, keep_id {kind}, group_size long, n_bytes long"), "exact-index")
-    return pages, {"global_depth": g, "buckets": int(slots.max()) + 1}
+    entries = df.select(id_col, text_col).mapInArrow(combine, f"page int, bucket int, key long, first_id {kind}, n long, norm binary")
+    owners = min(index.pages, partitions(spark))
+    owned = entries.repartitionById(owners, F.expr(f"int(page * {owners}L div {index.pages})")).sortWithinPartitions("page", "bucket", "key")
+    pages = owned.mapInArrow(own, f"page int, bucket int, key long, slot int, text_sha256 string, keep_id {kind}, group_size long, n_bytes long")
+    pages.write.partitionBy("page").parquet(f"{index.path}/pages")
+    return index
+
+
+def probe(index: Index, facts: DataFrame, few: bool = False) -> DataFrame:
+    """facts with keep_id and group_size of the index's entry of their text; rows without an entry go.
+
+    few: read only the pages that the directory names for these facts (their numbers are collected).
+    """
+    spark = facts.sparkSession
+    slot = F.shiftrightunsigned("key", 64 - index.depth) if index.depth else F.lit(0).cast("long")
+    table = index.directory(spark).withColumnRenamed("slot", "_slot")
+    placed = facts.withColumn("_at", slot).join(F.broadcast(table), F.col("_at") == F.col("_slot")).drop("_at", "_slot")  # 2 ** MAX_DEPTH rows at most
+    only = sorted(r.page for r in placed.select("page").distinct().collect()) if few else None
+    pages = index.read(spark, only).select(F.col("page").alias("_p"), F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("text_sha256").alias("_sha"), "keep_id", "group_size")
+    found = (F.col("page") == F.col("_p")) & (F.col("bucket") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("text_sha256") == F.col("_sha"))
+    return placed.join(pages, found).drop("_p", "_b", "_k", "_sha")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256, key, _raw."""
-    facts = saved(text_facts(df, id_col, text_col), "exact-facts")
-    pages, _ = build_index(df, facts, id_col, text_col)
-    pages = pages.select(F.col("key").alias("_k"), F.col("text_sha256").alias("_sha"), "keep_id", "group_size")
-    nth = F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy("_raw"))
-    facts = facts.withColumn("_nth", nth)
-    out = facts.join(pages, (F.col("key") == F.col("_k")) & (F.col("text_sha256") == F.col("_sha")))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)).alias("kept"), "text_sha256", "key", "_raw")
+    facts = saved(text_facts(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "exact-facts")
+    index = build_index(df, facts, id_col, text_col)
+    out = probe(index, facts)
+    # rows that repeat an id and a text: the first of them by text and place stays
+    again = facts.groupBy("text_sha256", "doc_id").agg(F.min(F.struct("_raw", "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = again.select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"), F.col("_first._row").alias("_first"))
+    out = out.join(again, (F.col("text_sha256") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.coalesce("_first", "_row") == F.col("_row"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "key", "_raw")
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,5 +239,3 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.join(stay, rows[id_col].eqNullSafe(F.col("__kept_id")) & (F.col("__raw") == F.col("__kept_raw")))
     nth = F.row_number().over(W.partitionBy("__kept_id", "__kept_raw").orderBy("__raw"))
     return rows.withColumn("__nth", nth).filter("__nth = 1").select(*(rows[c] for c in df.columns))
-
-
