@@ -128,12 +128,19 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     """A model of the labelled rows of train; None if no labelled row has a letter."""
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # copies of a text are one; at most sample rows a language leave a task, and at most that many are kept
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample)
-    last = {r.lang: r.last for r in chosen.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(last) > MAX_LANGUAGES:
+    hashes = saved(rows.select("lang", "h").distinct(), "langid-hashes")  # copies of a text are one
+    counts = {r.lang: r["count"] for r in hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    if not counts:
+        return None
+    # about 4 * sample hashes of a language are below its bound: these alone are ranked
+    bounds = [(a, min(2**63 - 1, int(4 * sample / n * 2**64) - 2**63)) for a, n in counts.items()]
+    bounds = hashes.sparkSession.createDataFrame(bounds, "_lang string, bound long")
+    near = hashes.join(F.broadcast(bounds), F.col("lang") == F.col("_lang")).filter("h <= bound")  # MAX_LANGUAGES rows at most
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = near.withColumn("nth", nth).filter(F.col("nth") <= sample)
+    last = {r.lang: r.last for r in chosen.groupBy("lang").agg(F.max("h").alias("last")).collect()}
 
     def pick(batches):
         """Document frequencies of a task's rows, and the counts of chosen texts, once for each."""
@@ -150,7 +157,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
                     continue
                 df += x > 0
                 seen += 1
-                if h <= last[a] and (a, h) not in had:
+                if h <= last.get(a, -(2**63)) and (a, h) not in had:
                     had.add((a, h))  # at most sample a language
                     yield row(a, h, 0, x)
         if seen:
@@ -187,7 +194,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     model.owner = np.array([model.languages.index(r.lang) for r in learned])
     model.centroids = np.array([r["at"] for r in learned]).T.copy()
     model.floor = REJECT * _quantiles(rows.select("text", "lang"), model)
-    dropped(found)
+    dropped(found, hashes)
     return model
 
 
