@@ -11,7 +11,9 @@ probability r = 2 ** -BITS, so a share m of agreeing bins is read as
 
 Defined cases: null text is empty; a text without words has the empty
 fingerprint, whose likeness is 1 to itself and 0 to others; a text of fewer words
-than a shingle is one shingle; equal texts have equal fingerprints.
+than a shingle is one shingle; equal texts have equal fingerprints; rows without an id come
+after all others, by a hash of their texts; rows that repeat an id are ordered by text; an empty
+table gives an empty result; texts of any length are used whole; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import partitions
 BINS, BITS, WORDS = 256, 8, 5
 #: Bins that are tried along an empty bin's order before the earliest non-empty one is computed.
 _TRIES = 10
-#: Ranges of ids for each shuffle partition.
-_RANGES = 4
+#: Ranges of ids for each shuffle partition, and at most (their ends are literals of the plan).
+_RANGES, _MAX_RANGES = 4, 1 << 14
 _COARSE = 64
 
 
@@ -105,26 +107,42 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, own, next_text, next_own): each row with the row after it, by descending id.
 
     own is the fingerprint. The last row is followed by the first; rows without an
-    id come after all others, and ties are in order of their texts. Ids are dealt
+    id come after all others, by descending hash of their texts, and ties are in order of their texts. Ids (and those hashes) are dealt
     in ranges that end at an id, and that id's rows also go, as ghosts, to the next
     range, of which they are the followers: texts move once and no range is large.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = _RANGES * n
-    found = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q"), F.max("doc_id").alias("m")).first()
-    ends = sorted({*(found.q or []), found.m} - {None})
-    kind = docs.schema[id_col].dataType
-    lit = lambda xs: F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind.simpleString()}>")
-    below = lambda xs: F.size(F.filter(xs, lambda e: e < F.col("doc_id")))
-    coarse = below(lit(ends[_COARSE - 1 :: _COARSE])) * _COARSE
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(coarse + below(F.slice(lit(ends), coarse + 1, F.lit(_COARSE))))
-    rows = rows.withColumn("_range", place)
-    is_end = F.get(lit(ends), F.col("_range")) == F.col("doc_id")
-    both = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost")), F.when(is_end, F.struct(F.pmod(F.col("_range") + 1, F.lit(max(1, len(ends)))).alias("r"), F.lit(1).alias("ghost"))))
+    no_id = F.col("doc_id").isNull()
+    rows = rows.withColumn("_h", F.when(no_id, F.xxhash64("text")))
+    ranges = min(_RANGES * n, _MAX_RANGES)
+    cuts = [i / ranges for i in range(1, ranges)]
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def placed(value: Column, ends: list, kind: str) -> tuple[Column, Column]:
+        """(number of a value's range, whether the value ends it)."""
+        lit = lambda xs: F.array(*(F.lit(x) for x in xs)).cast(f"array<{kind}>")
+        below = lambda xs: F.size(F.filter(xs, lambda e: e < value))
+        coarse = below(lit(ends[_COARSE - 1 :: _COARSE])) * _COARSE
+        at = coarse + below(F.slice(lit(ends), coarse + 1, F.lit(_COARSE)))
+        return at, F.get(lit(ends), at) == value
+
+    cuts = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(*(F.percentile_approx(c, cuts, 20 * ranges) for c in ("doc_id", "_h"))).first()
+    near = [sorted({*(x or [])}) for x in found]
+    # percentiles are approximate: the ends are the largest values that there are in each range
+    rough = F.when(no_id, placed(F.col("_h"), near[1], "long")[0]).otherwise(placed(F.col("doc_id"), near[0], kind)[0])
+    found = rows.groupBy(no_id, rough).agg(F.max("doc_id"), F.max("_h")).collect()  # a row for each range
+    ends, null_ends = (sorted({r[i] for r in found} - {None}) for i in (2, 3))
+    all_ranges = len(null_ends) + len(ends)
+    null_at, null_end = placed(F.col("_h"), null_ends, "long")
+    at, end = placed(F.col("doc_id"), ends, kind)
+    rows = rows.withColumn("_range", F.when(no_id, null_at).otherwise(at + len(null_ends)))
+    follows = F.pmod(F.col("_range") + 1, F.lit(max(1, all_ranges)))
+    both = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost")), F.when(F.when(no_id, null_end).otherwise(end), F.struct(follows.alias("r"), F.lit(1).alias("ghost"))))
     rows = rows.withColumn("_at", F.explode(F.filter(both, lambda x: x.isNotNull())))
-    rows = rows.select("doc_id", "text", F.col("_at.r").alias("_range"), F.col("_at.ghost").alias("_ghost"))
-    order = (F.col("_ghost"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = rows.select("doc_id", "text", "_h", F.col("_at.r").alias("_range"), F.col("_at.ghost").alias("_ghost"))
+    order = (F.col("_ghost"), F.col("doc_id").desc_nulls_last(), F.col("_h").desc(), F.col("text"))
     rows = rows.repartition(n, "_range").sortWithinPartitions("_range", *order)
     rows = rows.withColumn("own", fingerprint(shingle_hashes(F.col("text"))))
     w = W.partitionBy("_range").orderBy(*order)
