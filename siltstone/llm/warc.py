@@ -1,14 +1,20 @@
 """Content-addressed web archive.
 
 An archive is two tables in shared storage. *payloads* holds every different
-payload once, named by its SHA-256; *headers* holds the exact header block of
+payload once, named by its SHA-256; *headers* holds the exact header blocks of
 every record with the name of its payload. Records come back by joining the two;
 on reading, each payload's length and both digests are computed again and a
 payload that does not match its name ends the query.
 
+Records are those of WARC 1.1: a response's block is an HTTP header and the payload, a revisit's block the HTTP
+header alone, and Content-Length is the block's. Record ids are name-based UUIDs of the page's id, URL, payload
+and place, so they are unique, also where ids repeat or are null. ``record_bytes`` gives the archive's
+records, ``original_bytes`` every record as a response with its whole payload.
+
 Defined cases: null payload is empty; null ids count as larger than any other;
 of rows that repeat an id and a payload one is the response and the others
-revisit it; line breaks in a URL are percent-encoded, so that a header stays a line.
+revisit it; line breaks in a URL are percent-encoded, so that a header stays a line; an empty table
+gives an empty archive; payloads of any length are stored whole; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .common import saved
 
 #: RFC 4648.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,8 +46,11 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+def _record_id(*parts: Column) -> Column:
+    """A name-based UUID of these values."""
+    h = F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("\0")) for p in parts))), 256)
+    cut = lambda at, n: F.substring(h, at, n)
+    return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-8"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
@@ -56,24 +66,31 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_co
     stored = rows.groupBy("name").agg(F.first("payload").alias("payload"))
     stored.write.parquet(f"{path}/payloads")
     slim = rows.select("page_id", "url", "name", F.length("payload").cast("long").alias("n"), base32_of_hex(F.sha1("payload")).alias("digest"))
-    first = slim.groupBy("name").agg(F.min("page_id").alias("first_id")).withColumnRenamed("name", "_name")
-    nth = F.row_number().over(W.partitionBy("page_id", "name").orderBy("url"))
-    slim = slim.withColumn("nth", nth).join(first, F.col("name") == F.col("_name"))
-    revisit = (F.col("n") >= min_revisit_bytes) & ~(F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == 1))
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
+    slim = saved(slim.withColumn("row", F.monotonically_increasing_id()), "warc-rows")
+    # one row a payload by a partial aggregate: no group of copies is gathered
+    first = slim.groupBy("name").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "row")).alias("first"))
+    slim = slim.join(first.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"))
+    revisit = (F.col("n") >= min_revisit_bytes) & (F.col("row") != F.col("first.row"))
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "%0D"), "\n", "%0A")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    record = lambda of: _record_id(*(F.col(f"{of}{c}") for c in ("page_id", "url", "row")), F.col("name"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}"), _line("Content-Length", F.col("n").cast("string")), F.lit(_CRLF))
+    slim = slim.withColumn("http", http)
+    block = F.octet_length("http") + F.when(revisit, 0).otherwise(F.col("n"))
     header = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        _line("WARC-Target-URI", url),
+        _line("WARC-Record-ID", record("")),
+        _line("WARC-Target-URI", clean(F.col("url"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, F.concat(_line("WARC-Refers-To", _record_id(F.col("first_id"))), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
-        _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.col("n").cast("string")),
+        F.when(revisit, F.concat(_line("WARC-Refers-To", record("first.")), _line("WARC-Refers-To-Target-URI", clean(F.col("first.url"))), _line("WARC-Profile", F.lit(PROFILE)), _line("Page-Referred-To", named(F.col("first.page_id"))))).otherwise(""),
+        _line("Page", named(F.col("page_id"))),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", block.cast("string")),
         F.lit(_CRLF),
     )
-    slim.select("page_id", "name", header.alias("header")).write.parquet(f"{path}/headers")
+    slim.select("page_id", "name", header.alias("header"), "http").write.parquet(f"{path}/headers")
 
 
 def _field(name: str) -> Column:
@@ -91,16 +108,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     stored = stored.select(F.col("name").alias("_name"), F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("binary")).alias("payload"))
     headers = spark.read.parquet(f"{path}/headers")
     rows = headers.join(stored, F.col("name") == F.col("_name"))
-    refers = F.regexp_extract(_field("WARC-Refers-To"), "^<urn:page:(.*)>$", 1)
     return rows.select(
         "page_id",
         "header",
+        "http",
         "payload",
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Target-URI").alias("url"),
         F.regexp_extract(_field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
-        F.when(F.col("header").contains("\r\nWARC-Refers-To: "), refers).alias("refers_to"),
-        _field("Content-Length").cast("long").alias("content_length"),
+        F.when(F.col("header").contains("\r\nPage-Referred-To: "), _field("Page-Referred-To")).alias("refers_to"),
+        F.regexp_extract("http", r"\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long").alias("payload_length"),
     )
 
 
@@ -110,7 +127,7 @@ def digests(records: DataFrame) -> DataFrame:
     A header whose digest or length is not its payload's ends the query.
     """
     digest = base32_of_hex(F.sha1("payload"))
-    ok = (digest == F.col("payload_digest")) & (F.length("payload") == F.col("content_length"))
+    ok = (digest == F.col("payload_digest")) & (F.length("payload") == F.col("payload_length"))
     kind = records.schema["page_id"].dataType.simpleString()
     return records.select(
         "page_id",
@@ -122,15 +139,24 @@ def digests(records: DataFrame) -> DataFrame:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """page_id and the whole original record: header, payload, and the two line ends after a record."""
-    return records.select("page_id", F.concat(F.col("header").cast("binary"), F.col("payload"), F.lit(b"\r\n\r\n")).alias("record"))
+    """page_id and the archive's record: header, block, and the two line ends after a record. A revisit has no payload."""
+    payload = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return records.select("page_id", F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"), payload, F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def original_bytes(records: DataFrame) -> DataFrame:
+    """page_id, url and the original block: the HTTP header and the whole payload, of revisits as well."""
+    return records.select("page_id", "url", F.concat(F.col("http").cast("binary"), F.col("payload")).alias("block"))
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers and the payload of one record's bytes; its digest is checked."""
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """The headers, the HTTP header and the payload of one record's bytes; the digest of a response is checked."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split(_CRLF)[1:])
-    payload = rest[: int(fields["Content-Length"])]
-    if fields["WARC-Payload-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode():
+    block = rest[: int(fields["Content-Length"])]
+    if rest[len(block) :] != b"\r\n\r\n":
+        raise ValueError("a record does not end where its length says")
+    http, _, payload = block.partition(b"\r\n\r\n")
+    if fields["WARC-Type"] == "response" and fields["WARC-Payload-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode():
         raise ValueError("digest mismatch")
-    return fields, payload
+    return fields, http, payload
