@@ -3,10 +3,12 @@
 The rank file is read once on the driver (its size is checked) and sent to the
 executors as bytes, so they need no file of their own. Long texts are cut where
 no match of the split pattern can span the cut, so ids, digests and decoded
-bytes are those of the whole text while memory stays bounded by the chunk.
+bytes are those of the whole text while memory stays bounded by the chunk and the text's
+longest stretch without such a place: a run of letters alone, of any script, is one match and is encoded whole.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
-repeated rows are each encoded; other columns are kept by ``encode_documents``.
+repeated rows are each encoded; an empty table gives an empty result; very long texts are
+encoded whole; other columns are kept by ``encode_documents`` and ignored by ``round_trip``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import types as T
 
 MAX_RANK_FILE = 64 << 20
 CHUNK_CHARS = 1 << 18
-#: A cut is made after a letter or digit and before a blank: every alternative of
-#: the split pattern has blanks only at its start or is made of blanks alone.
-_CUT = re.compile(r"[A-Za-z0-9](?= )")
+#: A cut is made before white space that follows anything else (blanks are only at the start of a match, or all of
+#: it), and between a letter and a mark (no match has both). The classes are those that all Unicode versions share.
+_CUT = re.compile("\\S(?=[ \t\n\r])|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0905-\u0939\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3](?=[.,;:!?()\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c\u300d])")
 
 _cache: dict[bytes, "ByteBPE"] = {}
 
