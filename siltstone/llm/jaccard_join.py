@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its different shingles; documents wi
 equal sets are one node (named by a 128-bit hash of the set).
 
 1. *Order.* Counts of shingles that repeat inside a chunk of documents are added up
-   in a table of fixed size. It only orders shingles, rare ones first; any order
+   in a table whose size follows the number of shingles, to a limit. It only orders shingles, rare ones first; any order
    gives the same links.
 2. *Prefixes.* Two sets that link share at least k of their first n - ceil(t n) + k
    shingles in that order, for any k up to their overlap; k grows with the size of
@@ -30,12 +30,12 @@ component change nothing. No pair between components is.
 
 Defined cases: null or blank text is an empty set that links with nothing; a text
 of fewer words than a shingle is one shingle; null ids count as larger than any
-other; rows that repeat an id have the same component as their equals.
+other; rows that repeat an id have the same component as their equals; an empty table
+gives an empty result; very long texts are read whole, in segments; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
-import pickle
 from bisect import bisect_right
 
 import numpy as np
@@ -45,19 +45,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import pack as _pack
+from .arrays import unpack as _unpack
 from .common import dropped, finished, partitions, saved
 from .components import contract
 
 WORDS, PERCENT = 5, 75
-#: Cells of the table of frequencies (its size is fixed), and the estimate from which a shingle is dealt by chunk.
-CELL_BITS, COMMON = 22, 15
+#: Bits of the cells of the table of frequencies, least and most (a byte a cell reaches every task), and the estimate from which a shingle is dealt by chunk.
+CELL_BITS, MAX_CELL_BITS, COMMON = 22, 26, 15
+_PIECE_BITS = 8
 CHUNK = 1_500_000
+#: Rows whose facts a task holds, and shingles for each bucket of prefixes.
+FACTS, BUCKET = 1 << 16, 1 << 21
 #: Places for nodes in a chunk, and for chunks in a task.
 NODES = 1 << 20
 BLOCK = 512
 HUB_TURNS, NEAREST_TURNS, PRUNE_TURNS = 1, 2, 1
-#: Bits of the filter for nodes that have candidates (fixed; it may let others through).
-FILTER_BITS = 23
+#: Bits of the filter for nodes that have candidates, least and most, in powers of two (it may let others through).
+FILTER_BITS, MAX_FILTER_BITS = 23, 30
+#: Tiles that are salted (at most; they are broadcast), and the parts that each of them gets.
+HOT_TILES, SALTS = 10_000, 64
 #: Shared shingles that are asked of two sets: one, and one more for each so many hashes of the smaller.
 STEP = 16
 _SEGMENT = 1 << 20
@@ -143,15 +150,6 @@ def band_edges(percent: int = PERCENT) -> list[int]:
     return edges
 
 
-def _pack(*arrays) -> bytes:
-    raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
-
-
 def _chunks(batches, words):
     """Lists of (name, set) of different sets, of about CHUNK shingles and at most NODES sets each."""
     own, size = {}, 0
@@ -173,7 +171,6 @@ def _chunks(batches, words):
 def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """Facts of each row (id, raw, n, ref), and counts of shingles that repeat in a chunk (piece, data)."""
     kind = df.schema[id_col].dataType
-    per = 1 << (CELL_BITS - 8)
 
     def run(batches):
         facts, own, size, id_type = [], {}, 0, None
@@ -185,8 +182,11 @@ def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
         def counts():
             x, c = np.unique(np.concatenate(list(own.values())), return_counts=True)
-            cells = np.bincount((x[c > 1] >> np.uint64(64 - CELL_BITS)).astype(np.int64), weights=c[c > 1], minlength=1 << CELL_BITS).astype(np.uint32)
-            return [(i, _pack(p)) for i, p in enumerate(cells.reshape(-1, per)) if p.any()]
+            cells, back = np.unique((x[c > 1] >> np.uint64(64 - MAX_CELL_BITS)).astype(np.int64), return_inverse=True)
+            sums = np.bincount(back, weights=c[c > 1]).astype(np.int64)
+            piece = cells >> (MAX_CELL_BITS - _PIECE_BITS)
+            cuts = np.flatnonzero(np.diff(piece)) + 1
+            return [(int(p[0]), _pack(at, n)) for p, at, n in zip(np.split(piece, cuts), np.split(cells, cuts), np.split(sums, cuts), strict=True) if len(p)]
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -197,19 +197,22 @@ def _scan(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 if name and name not in own:
                     own[name] = s
                     size += len(s)
-                if size >= CHUNK:
+                if size >= CHUNK or len(own) >= NODES:
                     yield out(facts, counts())
                     facts, own, size = [], {}, 0
-        if facts:
+                elif len(facts) >= FACTS:  # copies and empty texts add no shingles
+                    yield out(facts)
+                    facts = []
+        if facts or own:
             yield out(facts, counts() if own else ())
 
     fields = [T.StructField("doc_id", kind), T.StructField("raw", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ref", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType())]
     return df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, T.StructType(fields))
 
 
-def _ranks(scanned: DataFrame) -> np.ndarray:
-    """log2 of the counts in each cell: 1 << CELL_BITS bytes, however large the input is."""
-    per = 1 << (CELL_BITS - 8)
+def _ranks(scanned: DataFrame, bits: int) -> np.ndarray:
+    """log2 of the counts in each cell: 1 << bits bytes."""
+    per = 1 << (bits - _PIECE_BITS)
 
     def add(batches):
         piece, total = None, None
@@ -218,8 +221,9 @@ def _ranks(scanned: DataFrame) -> np.ndarray:
                 if p != piece:
                     if total is not None:
                         yield row(piece, total)
-                    piece, total = p, np.zeros(per, np.uint64)
-                total += _unpack(blob)[0]
+                    piece, total = p, np.zeros(per, np.int64)
+                at, n = _unpack(blob)
+                np.add.at(total, (at >> (MAX_CELL_BITS - bits)) & (per - 1), n)
         if total is not None:
             yield row(piece, total)
 
@@ -228,16 +232,18 @@ def _ranks(scanned: DataFrame) -> np.ndarray:
 
     pieces = scanned.filter("piece IS NOT NULL").select("piece", "data")
     pieces = pieces.repartition(partitions(pieces.sparkSession), "piece").sortWithinPartitions("piece")
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in pieces.mapInArrow(add, "piece int, ranks binary").collect():  # 256 rows
+    out = np.zeros(1 << bits, np.uint8)
+    for r in pieces.mapInArrow(add, "piece int, ranks binary").collect():  # 1 << _PIECE_BITS rows
         out[r.piece * per : (r.piece + 1) * per] = np.frombuffer(r.ranks, np.uint8)
     return out
 
 
-def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
+def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ranks: np.ndarray, n_shingles: int) -> DataFrame:
     """(token, node, base) for prefix shingles of more than one node, and (node, ref, n, band) for every node."""
     spark = df.sparkSession
-    shared, buckets, edges = spark.sparkContext.broadcast(ranks), 2 * partitions(spark), band_edges(percent)
+    owners = max(partitions(spark), -(-n_shingles // BUCKET))
+    shared, buckets, edges = spark.sparkContext.broadcast(ranks), 2 * owners, band_edges(percent)
+    shift = np.uint64(64 - (len(ranks).bit_length() - 1))
 
     def send(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -248,18 +254,18 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
             number += 1
             tokens, base = [], []
             for _, s in own:
-                rank = shared.value[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                rank = shared.value[(s >> shift).astype(np.int64)]
                 first = len(s) - (len(s) * percent + 99) // 100 + 1
                 tokens.append(s[np.argsort(rank, kind="stable")[: first - 1 + asked(len(s))]])
                 base.append(np.arange(len(tokens[-1])) < first)
             node = np.repeat(np.arange(len(own), dtype=np.uint32), [len(t) for t in tokens])
             tokens, base = np.concatenate(tokens), np.concatenate(base)
-            common = shared.value[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >= COMMON
+            common = shared.value[(tokens >> shift).astype(np.int64)] >= COMMON
             spread = np.where(common, tokens * np.uint64((chunk * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64), tokens)
             to = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.lexsort((tokens, to))
             rows = [(int(to[part[0]]), chunk, 0, _pack(np.diff(tokens[part], prepend=np.uint64(0)), node[part], common[part], base[part])) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)]
-            rows.append((number % buckets, chunk, 1, _pack([x[0] for x in own], [len(x[1]) for x in own])))
+            rows.append((number % buckets, chunk, 1, _pack(np.frombuffer(b"".join(x[0] for x in own), np.uint8), np.array([len(x[1]) for x in own]))))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["bucket", "chunk", "kind", "data"])
 
@@ -267,16 +273,18 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
         nodes = [r for r in rows if r[2] == 1]
         for _, chunk, _, blob in nodes:
             names, n = _unpack(blob)
+            names = names.astype(np.uint8).tobytes()
+            names, n = [names[i : i + 16] for i in range(0, len(names), 16)], n.tolist()
             at = [node_number(chunk, i) for i in range(len(n))]
             yield batch(pa.nulls(len(n), pa.bool_()), pa.nulls(len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array([bisect_right(edges, x) for x in n], pa.int32()))
         parts = [(r[1], *_unpack(r[3])) for r in rows if r[2] == 0]
         if parts:
-            token = np.concatenate([np.cumsum(p[1], dtype=np.uint64) for p in parts])
-            node = np.concatenate([node_number(p[0], p[2].astype(np.int64)) for p in parts])
+            token = np.concatenate([np.cumsum(p[1].astype(np.uint64), dtype=np.uint64) for p in parts])
+            node = np.concatenate([node_number(p[0], p[2]) for p in parts])
             _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-            keep = (count[back] > 1) | np.concatenate([p[3] for p in parts])
+            keep = (count[back] > 1) | np.concatenate([p[3] for p in parts]).astype(bool)
             k = int(keep.sum())
-            yield batch(pa.array(np.concatenate([p[4] for p in parts])[keep]), pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
+            yield batch(pa.array(np.concatenate([p[4] for p in parts]).astype(bool)[keep]), pa.array(token[keep].view(np.int64)), pa.array(node[keep]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
 
     def node_number(chunk, i):
         return ((chunk >> 32) << 40) + ((chunk & 0xFFFFFFFF) << 20) + i  # NODES places for nodes and for chunks
@@ -297,15 +305,16 @@ def _shared_prefixes(df: DataFrame, text_col: str, words: int, percent: int, ran
             yield from close(rows)
 
     sent = df.select(text_col).mapInArrow(send, "bucket int, chunk long, kind int, data binary")
-    return sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(own, "base boolean, token long, node long, ref binary, n long, band int")
+    return sent.repartition(owners, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(own, "base boolean, token long, node long, ref binary, n long, band int")
 
 
 def _node_filter(refs: DataFrame) -> np.ndarray:
-    """A bitmap of the nodes' hashes, of FILTER_BITS bits."""
-    place = F.pmod(F.conv(F.hex(F.substring("ref", 1, 4)), 16, 10).cast("long"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
+    """A bitmap of the nodes' hashes, of some 16 bits for each node as far as MAX_FILTER_BITS allow."""
+    size = 1 << min(MAX_FILTER_BITS, max(FILTER_BITS, (16 * refs.count()).bit_length()))
+    place = F.pmod(F.conv(F.hex(F.substring("ref", 1, 4)), 16, 10).cast("long"), F.lit(size)) + 1  # the bitmap functions count from 1
     pieces = refs.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in pieces.collect():  # at most 1 << FILTER_BITS bits in all
+    out = np.zeros(size // 8, np.uint8)
+    for r in pieces.toLocalIterator():  # size bits in all
         m = np.frombuffer(r.m, np.uint8)
         at = (r.b - 1) * len(m)
         out[at : at + len(m)] = m[: len(out) - at]
@@ -320,7 +329,7 @@ def _arrays(df: DataFrame, text_col: str, words: int, wanted: np.ndarray) -> Dat
         for own in _chunks(batches, words):
             rows = []
             for name, s in own:
-                x = int.from_bytes(name[:4], "big") % (1 << FILTER_BITS)
+                x = int.from_bytes(name[:4], "big") % (8 * len(shared.value))
                 if shared.value[x >> 3] >> (x & 7) & 1:
                     rows.append((name, len(s), bitmap(s), s.tobytes()))
             for at in range(0, len(rows), 64):
@@ -380,33 +389,46 @@ def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
+def _of_tiles(rows: DataFrame, tiles: DataFrame, count: int) -> DataFrame:
+    """rows (token, band, ref, ..) with the columns of their tiles (t, b, k, ..), one row for each with its number of rows.
+
+    Tiles of many rows are dealt in SALTS parts. As the tiles have count rows in all, no
+    more than HOT_TILES are salted, and these alone are broadcast.
+    """
+    least = max(2 * BLOCK, count // HOT_TILES + 1)
+    hot = tiles.filter(F.col("k") >= least).select(F.col("t").alias("_t"), F.col("b").alias("_b"))
+    rows = rows.join(F.broadcast(hot), (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b")), "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_t").isNull(), 0).otherwise(F.pmod(F.xxhash64("ref"), F.lit(SALTS)))).drop("_t", "_b")
+    parts = F.sequence(F.lit(0).cast("long"), F.when(F.col("k") >= least, SALTS - 1).otherwise(0).cast("long"))
+    tiles = tiles.withColumn("_part", F.explode(parts))
+    # by merging: of such joins Spark also splits partitions that are large by chance
+    return rows.join(tiles.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b")) & (F.col("_salt") == F.col("_part"))).drop("t", "b", "_salt", "_part")
+
+
 def _tiles(posted: DataFrame) -> DataFrame:
     """(token, band, ref, own): the tiles with an own node and another, one of each that hold the same nodes."""
     base = posted.filter("base").select("token", "band", F.col("id").alias("ref"))
     rows = base.select("*", F.lit(True).alias("own")).union(base.select("token", F.col("band") + 1, "ref", F.lit(False)))
     held = rows.groupBy("token", "band").agg(F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("ref", "own").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("own", "ref")).alias("x"))
     one = held.filter("any_own AND k > 1").groupBy("k", "s", "x").agg(F.min(F.struct("token", "band")).alias("t"))
-    one = one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"))
-    return saved(rows.join(one.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own"), "jaccard-tiles")
-
-
-# Tiles are joined by merging: of those joins Spark splits the partitions that a tile of many nodes makes large.
+    one = saved(one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"), "k"), "jaccard-tile-sizes")
+    return saved(_of_tiles(rows, one, 2 * base.count()).select("token", "band", "ref", "own"), "jaccard-tiles")
 
 
-def _open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_tiles(tiles: DataFrame, labels: DataFrame, count: int) -> DataFrame:
     """tiles (token, band, ref, own) with components, of tiles with more than one and an own node."""
     rows = tiles.join(labels, "ref")
-    more = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own"), F.count(F.lit(1)).alias("size"))
-    more = more.filter("lo <> hi AND any_own").select(F.col("token").alias("t"), F.col("band").alias("b"), "size")
-    return rows.join(more.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("token", "band", "ref", "own", "comp", "size")
+    more = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"))
+    more = saved(more.filter("lo <> hi AND any_own").select(F.col("token").alias("t"), F.col("band").alias("b"), "k"), "jaccard-open")
+    return _of_tiles(rows, more, count).select("token", "band", "ref", "own", "comp", F.col("k").alias("size"))
 
 
-def _hub_pairs(opened: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(opened: DataFrame, turn: int, count: int) -> DataFrame:
     """Each tile's hub with its other nodes of other components."""
     hub = F.min_by(F.struct("ref", "comp"), F.when(F.col("own"), F.xxhash64("ref", F.lit(turn))))
-    hubs = opened.groupBy("token", "band").agg(hub.alias("hub"))
-    hubs = hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), F.col("hub.ref").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-    rows = opened.join(hubs.hint("merge"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).filter("comp <> hub_comp")
+    hubs = opened.groupBy("token", "band").agg(hub.alias("hub"), F.count(F.lit(1)).alias("k"))
+    hubs = saved(hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), "k", F.col("hub.ref").alias("hub"), F.col("hub.comp").alias("hub_comp")), "jaccard-hubs")
+    rows = _of_tiles(opened, hubs, count).filter("comp <> hub_comp")
     return rows.select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b")).distinct()
 
 
@@ -481,9 +503,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     """One row per row of df: doc_id, n_shingles, component_id (least id reachable by links), raw (of the text)."""
     spark = df.sparkSession
     scanned = saved(_scan(df, id_col, text_col, words), "jaccard-scan")
-    ranks = _ranks(scanned)
     facts = scanned.filter("piece IS NULL").select("doc_id", "raw", "n", "ref")
-    found = saved(_shared_prefixes(df, text_col, words, percent, ranks), "jaccard-prefixes")
+    n_shingles = facts.agg(F.sum("n")).first()[0] or 0
+    ranks = _ranks(scanned, min(MAX_CELL_BITS, max(CELL_BITS, (n_shingles // 16).bit_length())))
+    found = saved(_shared_prefixes(df, text_col, words, percent, ranks, n_shingles), "jaccard-prefixes")
     finished(spark)
     nodes = found.filter("token IS NULL").select("node", "ref", "n", "band")
     # of the nodes that chunks gave to one set, the least is its id
@@ -503,13 +526,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     arrays = saved(arrays.select(F.col("id").alias("ref"), "n", "bits", "hashes"), "jaccard-arrays")
     sig = arrays.select("ref", "n", "bits")
     tiles = _tiles(posted)
+    count = tiles.count()
     finished(spark)
     for turn in range(HUB_TURNS + NEAREST_TURNS + 1):
-        opened = saved(_open_tiles(tiles, labels), "tiles")
+        opened = saved(_open_tiles(tiles, labels, count), "tiles")
         if opened.isEmpty():
             break
         if turn < HUB_TURNS:
-            pairs = _pass_bound(_hub_pairs(opened, turn), sig, percent)
+            pairs = _pass_bound(_hub_pairs(opened, turn, count), sig, percent)
         else:
             pairs = _tile_pairs(opened, sig, percent, turn < HUB_TURNS + NEAREST_TURNS)
         links = saved(_links(pairs, arrays, percent), "links")
