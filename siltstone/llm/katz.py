@@ -33,7 +33,7 @@ Defined cases: null text is empty and has the end token alone; null ids count as
 training; rows that repeat an id are separate texts; very long texts are one chunk's;
 without training texts every token has probability 1 (of the one unknown class); an empty
 table gives an empty result; extra columns are ignored, whatever they are called.
-The input is read once.
+The input is read once. Order 3 moves about twice what order 2 does: nearly every history is then another hash.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ from .arrays import pack as _pack
 from .arrays import unpack as _unpack
 from .common import dropped, finished, partitions, saved
 
-ORDER, K = 3, 5
+ORDER, K = 2, 5
 #: A history is dealt by n-gram if its share of all tokens is over 1 / HOT and it has HOT_LEAST tokens.
 HOT, HOT_LEAST = 65_000, 500
 CHUNK_TOKENS = 1_500_000
@@ -446,7 +446,7 @@ def _own(n: int, order: int, rows: list[tuple], known: Known, least: int) -> Ite
     seen = c > 0
     per = np.bincount(hist, weights=seen).astype(np.int64)
     code_one, W_one = code[one], W[one]
-    table = _pack(h, per, code_one[seen], W_one[seen & (code_one == _RARE)] >> np.uint64(16), c[seen], *kinds, lower, is_hot)
+    table = _pack(np.diff(h, prepend=np.uint64(0)), per, code_one[seen], W_one[seen & (code_one == _RARE)] >> np.uint64(16), c[seen], *kinds, lower, is_hot)
     yield _row(-1, n, bucket, "table", table, [int((c == r).sum()) for r in range(1, K + 2)])
     if is_hot.any():
         yield _row(-1, n, bucket, "hot", _pack(place[is_hot], *(k[is_hot] for k in kinds), np.round(lower[is_hot] * _FIXED).astype(np.int64)))
@@ -581,9 +581,10 @@ class Model:
             for b in batches:
                 for blob in b.column(0).to_pylist():
                     h, per, code, rare, c, *_ = _unpack(blob)
+                    h = np.cumsum(h.astype(np.uint64), dtype=np.uint64)
                     w = known.hot[2][np.minimum(code, len(known.hot[2]) - 1)] if len(known.hot[2]) else np.zeros(len(code), np.uint64)
                     w[code == _RARE] = rare.astype(np.uint64) << np.uint64(16)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h.astype(np.uint64), per).view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["history", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, per).view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["history", "word", "n"])
 
         return self.rows[n].filter("kind = 'table'").select("data").mapInArrow(rows, "history long, word long, n long")
 
@@ -595,7 +596,7 @@ class Model:
             for b in batches:
                 for blob in b.column(0).to_pylist():
                     h, per, _, _, c, *kinds, lower, hot = _unpack(blob)
-                    h = h.astype(np.uint64)
+                    h = np.cumsum(h.astype(np.uint64), dtype=np.uint64)
                     C = np.bincount(np.repeat(np.arange(len(h)), per), weights=c, minlength=len(h))
                     short = sum(kinds) == 0
                     with np.errstate(all="ignore"):
