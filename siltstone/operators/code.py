@@ -7,6 +7,7 @@ between rows; everything after the rows exist is DataFrame expressions.
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator, Sequence
 
@@ -266,29 +267,87 @@ def signature_issues(calls: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 
+# Formats, kinds of cells, required facts of a kernel, and magic commands of notebooks.
+FORMATS = [(3, 0), (4, 0), (4, 1), (4, 2), (4, 3), (4, 4), (4, 5)]
+CELLS = ["code", "markdown", "raw"]
+KERNEL = ["name", "language", "display_name"]
+CELL_MAGIC = "bash sh script pypy python python2 python3 perl ruby node javascript js html svg latex markdown time timeit capture writefile file prun memit cython rust sql R".split()
+LINE_MAGIC = "time timeit prun memit debug pdb load run who whos reset history save store cd pwd ls env set_env system sx automagic matplotlib config precision pprint".split()
+_NOTEBOOK = T.StructType([T.StructField("issue", T.StringType()), T.StructField("cell", T.IntegerType())])
+
+
+def _blank_source(source) -> bool:
+    if source is None or isinstance(source, str):
+        return not (source or "").strip()
+    return isinstance(source, list) and not any(isinstance(x, str) and x.strip() for x in source)
+
+
+def _magic(source) -> str | None:
+    """The magic command that a cell begins with."""
+    text = source if isinstance(source, str) else "".join(x for x in source if isinstance(x, str)) if isinstance(source, list) else ""
+    first = text.split("\n", 1)[0].strip()
+    return first.split()[0] if first.startswith("%") else None
+
+
+def _notebook_issues(text: str):
+    try:
+        doc = json.loads(text)
+    except (ValueError, RecursionError):
+        yield "NB001", None
+        return
+    whole = isinstance(doc, dict)
+    is_int = lambda x: isinstance(x, int) and not isinstance(x, bool)
+    if whole:
+        minor = doc.get("nbformat_minor")
+        if not is_int(doc.get("nbformat")):
+            yield "NB003", None
+        elif (doc["nbformat"], minor if is_int(minor) else 0) not in FORMATS:
+            yield "NB002", None
+        if "cells" not in doc:
+            yield "NB004", None
+        elif not isinstance(doc["cells"], list):
+            yield "NB005", None
+    else:
+        yield "NB006", None
+    meta = doc.get("metadata") if whole else None
+    if isinstance(meta, dict):
+        kernel, info = meta.get("kernelspec"), meta.get("language_info")
+        if isinstance(kernel, dict):
+            yield from (("NB009", None) for k in KERNEL if k not in kernel)
+        else:
+            yield ("NB010" if "kernelspec" in meta else "NB011"), None
+        if isinstance(info, dict) and "name" not in info:
+            yield "NB012", None
+    else:
+        yield ("NB007" if whole and "metadata" in doc else "NB008"), None
+    cells = doc.get("cells") if whole else None
+    if cells == []:
+        yield "NB013", None
+    for i, cell in enumerate(cells if isinstance(cells, list) else ()):
+        if not isinstance(cell, dict):
+            yield "NB014", i
+            continue
+        kind = cell.get("cell_type")
+        if kind not in CELLS:
+            yield ("NB015" if isinstance(kind, str) else "NB016"), i
+            continue
+        if _blank_source(cell.get("source")):
+            yield "NB017", i
+        magic = _magic(cell.get("source"))
+        if magic and not (magic[2:] in CELL_MAGIC if magic.startswith("%%") else magic[1:] in LINE_MAGIC) and magic != "%%sx":
+            yield "NB018", i
+        if kind == "code":
+            outputs = cell.get("outputs", [])
+            if not isinstance(outputs, list):
+                yield "NB019", i
+            if cell.get("execution_count") is not None and not is_int(cell["execution_count"]):
+                yield "NB020", i
+            yield from (("NB021", i) for o in (outputs if isinstance(outputs, list) else ()) if isinstance(o, dict) and o.get("output_type") == "error")
+
+
 def notebook_issues(texts: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
-    """(key, issue, cell): structural checks of notebook documents, by JSON functions alone."""
-    schema = "struct<nbformat:int,metadata:struct<kernelspec:struct<name:string>,language_info:struct<name:string>>,cells:array<struct<cell_type:string,source:string,outputs:string,execution_count:int>>>"
-    rows = texts.select(*key, F.from_json(text_col, schema).alias("nb"), F.expr(f"try_parse_json({text_col}) IS NOT NULL").alias("_ok"))
-    top = F.array(
-        F.when(~F.col("_ok"), F.lit("NB001 not JSON")),
-        F.when(F.col("_ok") & F.col("nb.nbformat").isNull(), F.lit("NB002 no format")),
-        F.when(F.col("nb.nbformat") < 4, F.lit("NB003 old format")),
-        F.when(F.col("_ok") & F.col("nb.metadata.kernelspec").isNull(), F.lit("NB004 no kernel")),
-        F.when(F.col("_ok") & F.coalesce(F.size("nb.cells") <= 0, F.lit(True)), F.lit("NB005 no cells")),
-    )
-    whole = rows.select(*key, F.explode(F.filter(top, lambda x: x.isNotNull())).alias("issue"), F.lit(None).cast("int").alias("cell"))
-    cells = rows.select(*key, F.posexplode("nb.cells").alias("cell", "c"))
-    w = F.array(
-        F.when(F.col("c.cell_type").isNull() | ~F.col("c.cell_type").isin("code", "markdown", "raw"), F.lit("NB006 unknown cell")),
-        F.when(F.coalesce(F.trim("c.source"), F.lit("")).isin("", "[]", '""'), F.lit("NB007 empty cell")),
-        F.when((F.col("c.cell_type") == "code") & F.col("c.execution_count").isNull() & F.coalesce(F.col("c.outputs"), F.lit("[]")).rlike(r"\{"), F.lit("NB008 outputs without a run")),
-        F.when((F.col("c.cell_type") == "code") & F.col("c.outputs").contains('"output_type":"error"'), F.lit("NB009 error output")),
-        F.when((F.col("c.cell_type") == "markdown") & F.col("c.execution_count").isNotNull(), F.lit("NB010 run of a text cell")),
-        F.when((F.col("c.cell_type") == "code") & F.col("c.source").rlike(r"(^|\\n|\[\")\s*[!%]"), F.lit("NB011 shell or magic")),
-    )
-    each = cells.select(*key, F.explode(F.filter(w, lambda x: x.isNotNull())).alias("issue"), "cell")
-    return whole.unionByName(each)
+    """(key, issue, cell): structural checks of notebook documents, NB001 to NB021; cells count from 0."""
+    return _with_rows(texts, key, text_col, _NOTEBOOK, _notebook_issues)
 
 
 def histograms(texts: DataFrame, text_col: str, patterns: dict[str, str]) -> DataFrame:

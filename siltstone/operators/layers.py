@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from .code import blanked
 
 COMMENT = r"^\s*(//|#|\*|--)"
+CODE_COMMENT = r"^\s*(//|/\*|#)"
 GUARDS = r"is_some\(\)|is_ok\(\)|is_none\(\)|is_err\(\)|if let|match |unwrap_or|assert"
 SAFETY = r"(?i)safety"
 # Forms of well-known access tokens.
@@ -36,13 +37,9 @@ class LineRule:
     needle: str
     severity: str = "warning"
     language: str | None = None
-    context: str | None = None  # in_loop, unguarded, unexplained
+    context: str | None = None  # in_loop, unguarded, unexplained, no_enum
     whole_word: bool = False
-
-
-# Our own small packs.
-LOGIC = [LineRule("LOGIC001", ".unwrap()", "error", "rust", "unguarded"), LineRule("LOGIC002", "unsafe", "error", "rust", "unexplained", True), LineRule("LOGIC003", ".clone()", "info", "rust", "in_loop"), LineRule("LOGIC004", "panic!(", "warning", "rust"), LineRule("LOGIC005", "except:", "warning", "python"), LineRule("LOGIC006", "== None", "info", "python"), LineRule("LOGIC007", "console.log(", "info", "javascript")]
-SECURITY = [LineRule("SEC001", "eval(", "critical", None, None, True), LineRule("SEC002", "exec(", "critical", "python", None, True), LineRule("SEC003", "os.system(", "error", "python"), LineRule("SEC004", "shell=True", "error", "python"), LineRule("SEC005", "pickle.loads(", "error", "python"), LineRule("SEC006", "innerHTML", "warning", "javascript", None, True), LineRule("SEC007", "verify=False", "error", "python"), LineRule("SEC008", "md5(", "warning", None, None, True), LineRule("SEC009", "document.write(", "warning", "javascript")]
+    in_comments: bool = False
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -83,10 +80,33 @@ def _loop_lines(text: str) -> list[bool]:
     return out
 
 
+_TEST = re.compile(r"^\s*#\[(cfg\(test\)|test|tokio::test|async_test|rstest)\]|\bfn (test|\w+_test\b)")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def test_lines(text: pd.Series) -> pd.Series:
+    """For each line of a source, whether it is part of a test module or a test function."""
+    return text.map(lambda t: _test_lines(t or ""))
+
+
+def _test_lines(text: str) -> list[bool]:
+    out, inside, opened, depth = [], False, False, 0
+    for line, code in zip(text.split("\n"), blanked(text, hashes=False).split("\n"), strict=True):
+        if not inside and _TEST.search(line):
+            inside, opened, depth = True, False, 0
+        out.append(inside)
+        if inside:
+            opened = opened or "{" in code
+            depth += code.count("{") - code.count("}")
+            inside = not opened or depth > 0
+    return out
+
+
 def flagged_lines(texts: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
-    """(key, line, content, in_loop) of sources."""
-    rows = texts.select(*key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_l"), loop_lines(F.col(text_col)).alias("_f"))
-    return rows.select(*key, F.posexplode(F.arrays_zip("_l", "_f")).alias("_i", "_z")).select(*key, (F.col("_i") + 1).alias("line"), F.regexp_replace("_z._l", "\r$", "").alias("content"), F.coalesce("_z._f", F.lit(False)).alias("in_loop"))
+    """(key, line, content, in_loop, in_test) of sources."""
+    rows = texts.select(*key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_l"), loop_lines(F.col(text_col)).alias("_f"), test_lines(F.col(text_col)).alias("_t"))
+    flag = lambda c: F.coalesce(f"_z.{c}", F.lit(False))
+    return rows.select(*key, F.posexplode(F.arrays_zip("_l", "_f", "_t")).alias("_i", "_z")).select(*key, (F.col("_i") + 1).alias("line"), F.regexp_replace("_z._l", "\r$", "").alias("content"), flag("_f").alias("in_loop"), flag("_t").alias("in_test"))
 
 
 def _hit(rule: LineRule, content: Column) -> Column:
@@ -100,8 +120,8 @@ def _outside_strings(content: Column, needle: str) -> Column:
     return (F.size(F.split(F.substring_index(content, needle, 1), '"', -1)) - 1) % 2 == 0
 
 
-def line_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[LineRule], language_col: str | None = None) -> DataFrame:
-    """(key, rule_id, severity, line) of rules whose needle and context hold; comments do not count.
+def line_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[LineRule], language_col: str | None = None, comment: str = COMMENT) -> DataFrame:
+    """(key, rule_id, severity, line) of rules whose needle and context hold; strings, tests and most comments do not count.
 
     Context flags are one window each over the file's lines and are made only if a
     rule asks for them; all rules are literal expressions of one projection.
@@ -113,18 +133,38 @@ def line_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[LineRule]
     if "unexplained" in asked:
         rows = rows.withColumn("_explained", F.max((F.col("content").rlike(COMMENT) & F.col("content").rlike(SAFETY)).cast("int")).over(w.rowsBetween(-3, 3)) == 1)
     c = F.col("content")
+    # a comparison with a member of an enumeration compares no secret
+    contexts = {"unguarded": lambda: ~F.col("_guarded"), "unexplained": lambda: ~F.col("_explained"), "in_loop": lambda: F.col("in_loop"), "no_enum": lambda: ~c.rlike("==.*::")}
 
     def one(r: LineRule) -> Column:
-        ok = _hit(r, c) & _outside_strings(c, r.needle) & ~c.rlike(COMMENT)
+        ok = _hit(r, c) & _outside_strings(c, r.needle)
+        if not r.in_comments:
+            ok = ok & ~c.rlike(comment)
+        if "in_test" in rows.columns:
+            ok = ok & ~F.col("in_test")
         if r.language and language_col:
             ok = ok & (F.col(language_col) == r.language)
-        ok = ok & {"unguarded": ~F.col("_guarded"), "unexplained": ~F.col("_explained"), "in_loop": F.col("in_loop")}[r.context] if r.context else ok
+        ok = ok & contexts[r.context]() if r.context else ok
         return F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity")))
 
-    found = rows.select(*key, "line", F.explode(F.filter(F.array(*map(one, rules)), lambda x: x.isNotNull())).alias("f"))
+    found = rows.select(*key, "line", F.explode(F.array_distinct(F.filter(F.array(*map(one, rules)), lambda x: x.isNotNull()))).alias("f"))
     return found.select(*key, "f.rule_id", "f.severity", "line")
 
 
+def regex_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(key, rule_id, severity, line) of rules (id, expression, severity) that are found in a line; narrow."""
+    each = [F.when(F.col("content").rlike("(?s)" + rx), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, rx, s in rules]
+    found = rows.select(*key, "line", F.explode(F.array_distinct(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("f"))
+    return found.select(*key, "f.rule_id", "f.severity", "line")
+
+
+def items(rows: DataFrame, key: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """(key, rule_id, line, n): kinds of items that a file has, the first of each and their number."""
+    kind = F.regexp_extract("content", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(" + "|".join(kinds) + r")\b", 1)
+    rule = F.coalesce(*(F.when(kind == k, F.lit(i)) for k, i in kinds.items()))
+    return rows.select(*key, "line", rule.alias("rule_id")).filter("rule_id IS NOT NULL").groupBy(*key, "rule_id").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
+
+
 def secrets(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Lines with the form of an access token, by one alternation."""
     return rows.filter(F.col("content").rlike("|".join(SECRETS))).select(*key, F.lit("SEC090").alias("rule_id"), "line")
@@ -196,15 +236,39 @@ def imports(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.withColumn("module", m).filter("module IS NOT NULL").select(*key, "line", "module", F.col("content").rlike(r"\*\s*;?\s*$").alias("wildcard"))
 
 
-def architecture(import_rows: DataFrame, layer: Column, target: Column, allowed: Sequence[tuple[str, str]], key: Sequence[str], most: int = 20) -> DataFrame:
-    """(key, rule_id, detail): layers that may not depend on each other, wildcards, and too many imports."""
-    ok = F.lit(False)
-    for a, b in allowed:
-        ok = ok | ((layer == a) & (target == b))
-    crossed = import_rows.filter(layer.isNotNull() & target.isNotNull() & (layer != target) & ~ok).select(*key, F.lit("ARCH001").alias("rule_id"), F.col("module").alias("detail"))
-    wild = import_rows.filter("wildcard").select(*key, F.lit("ARCH002").alias("rule_id"), F.col("module").alias("detail"))
-    many = import_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*key, F.lit("ARCH003").alias("rule_id"), F.col("n").cast("string").alias("detail"))
-    return crossed.unionByName(wild).unionByName(many)
+def layer_of(path: Column, folders: dict[str, Sequence[str]]) -> Column:
+    """The layer whose folder a path goes through; null without one."""
+    low = F.concat(F.lit("/"), F.lower(F.replace(path, F.lit("\\"), F.lit("/"))))
+    return F.coalesce(*(F.when(low.rlike("/(" + "|".join(names) + ")/"), F.lit(layer)) for layer, names in folders.items()))
+
+
+def architecture(import_rows: DataFrame, key: Sequence[str], layer: Column, may_use: dict[str, Sequence[str]], forbidden: Sequence[tuple[str, str]], most: int = 20) -> DataFrame:
+    """(key, rule_id, detail) of imports (line, module, wildcard) of files in layers.
+
+    ARCH002 a module imported again, ARCH003 a forbidden import, ARCH004 another layer
+    than may be used, ARCH005 too many imports, ARCH006 a wildcard. The layer of a module is the first whose name it holds.
+    """
+    target = F.coalesce(*(F.when(F.contains("module", F.lit(x)), F.lit(x)) for x in may_use))
+    allowed = F.coalesce(*(F.when(F.col("_layer") == a, F.col("_target").isin(*b, a)) for a, b in may_use.items()))
+    rows = import_rows.withColumn("_layer", layer).withColumn("_target", target)
+    banned = F.lit(False)
+    for a, text in forbidden:
+        banned = banned | (F.contains("module", F.lit(text)) & (F.lit(a == "*") | (F.col("_layer") == a)))
+    each = F.array(F.when(banned, F.lit("ARCH003")), F.when(~allowed, F.lit("ARCH004")), F.when(F.col("wildcard"), F.lit("ARCH006")))
+    found = rows.select(*key, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("rule_id"), F.col("module").alias("detail"))
+    again = import_rows.groupBy(*key, "module").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, F.lit("ARCH002").alias("rule_id"), F.col("module").alias("detail"))
+    many = import_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*key, F.lit("ARCH005").alias("rule_id"), F.col("n").cast("string").alias("detail"))
+    return found.unionByName(again).unionByName(many)
+
+
+def architecture_graph(edges: DataFrame, layers: DataFrame, may_use: dict[str, Sequence[str]]) -> DataFrame:
+    """(rule_id, detail) of module edges (src, dst): ARCH001 cycles of dependencies, ARCH007 edges that cross layers where they may not."""
+    from . import graph
+
+    text = lambda c: F.col(c).cast("string")
+    round_ = graph.cycles(edges).select(F.lit("ARCH001").alias("rule_id"), F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("detail"))
+    crossed = graph.layer_violations(edges, layers, [(a, b) for a, bs in may_use.items() for b in bs])
+    return round_.unionByName(crossed.select(F.lit("ARCH007").alias("rule_id"), F.concat_ws(" -> ", text("src"), text("dst")).alias("detail")))
 
 
 def domain(rule_id: Column) -> Column:

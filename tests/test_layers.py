@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import graph, insight, layers, lines
+from siltstone.operators import graph, insight, layers, lines, packs
 
 RUST = """fn main() {
     let x = foo().unwrap();
@@ -39,8 +39,8 @@ def flagged(spark):
 
 def test_logic_context(spark):
     _, rows = flagged(spark)
-    got = {(r.rule_id, r.line) for r in layers.line_findings(rows, ["path", "language"], layers.LOGIC, "language").collect()}
-    assert got == {("LOGIC001", 2), ("LOGIC003", 4), ("LOGIC002", 25)}
+    got = {(r.rule_id, r.line) for r in layers.line_findings(rows, ["path", "language"], packs.LOGIC, "language").collect()}
+    assert got == {("LOGIC010", 2), ("LOGIC060", 4), ("LOGIC061", 4), ("LOGIC030", 25)}
 
 
 def test_loops_by_braces_and_indentation():
@@ -71,10 +71,10 @@ def test_secrets_and_sql(spark):
     assert [r.line for r in layers.sql_built(rows, ["path"]).collect()] == [2]
 
 
-def test_security_skips_strings_and_parts_of_words(spark):
+def test_security_skips_strings_and_comments(spark):
     src = 'eval(x)\nmy_eval(x)\nprint("eval(x)")\n# eval(x)\nobj.eval(x)'
     rows = lines.line_table(spark.createDataFrame([("f", src)], "path string, text string"), ["path"])
-    assert [(r.rule_id, r.line) for r in layers.line_findings(rows, ["path"], layers.SECURITY).collect()] == [("SEC001", 1)]
+    assert [(r.rule_id, r.line) for r in layers.line_findings(rows, ["path"], packs.SECURITY).collect()] == [("SEC090", 1), ("SEC090", 2), ("SEC090", 5)]
 
 
 def test_complexity(spark):
@@ -88,8 +88,18 @@ def test_architecture(spark):
     src = "from db.core import x\nimport ui.view\nfrom q import *\nuse std::io;\n#include <a.h>"
     rows = layers.imports(lines.line_table(spark.createDataFrame([("core/a.py", src)], "path string, text string"), ["path"]), ["path"])
     assert {(r.module, r.wildcard) for r in rows.collect()} == {("db.core", False), ("ui.view", False), ("q", True), ("std::io", False), ("a.h", False)}
-    out = layers.architecture(rows, F.split("path", "/")[0], F.when(F.col("module").rlike("^(db|ui)"), F.split("module", "[.]")[0]), [("core", "db")], ["path"], 4)
-    assert {(r.rule_id, r.detail) for r in out.collect()} == {("ARCH001", "ui.view"), ("ARCH002", "q"), ("ARCH003", "5")}
+    out = layers.architecture(rows, ["path"], F.lit("core"), {"core": ["db"], "ui": [], "db": []}, [("core", "std::"), ("ui", "q")], 4)
+    assert {(r.rule_id, r.detail) for r in out.collect()} == {("ARCH004", "ui.view"), ("ARCH006", "q"), ("ARCH003", "std::io"), ("ARCH005", "5")}
+    again = layers.architecture(rows.union(rows), ["path"], F.lit("core"), {"core": []}, [], 99)
+    assert again.filter("rule_id = 'ARCH002'").count() == 5
+    paths = spark.createDataFrame([("a/ui/x",), ("Services/y",), ("m\\models\\z",), ("src/db.rs",)], "p string")
+    assert [r[0] for r in paths.select(layers.layer_of(F.col("p"), packs.LAYER_FOLDERS)).collect()] == ["ui", "application", "domain", None]
+
+
+def test_lines_of_tests():
+    src = "fn a() {}\n#[test]\nfn b() {\n  x\n}\nfn c() {}\nfn test_d() { }\nfn e() {}"
+    assert layers._test_lines(src) == [False, True, True, True, True, False, True, False]
+    assert layers._test_lines("") == [False]
 
 
 def test_private_rules(spark):
