@@ -14,6 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped as _dropped
 from ..session import saved as _saved
 
 
@@ -96,23 +97,30 @@ def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     return out
 
 
-def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path to a node without successors; nodes in or before a cycle have null.
 
-    Nodes are peeled off in rounds, those whose successors all have a level first.
+    Each round a node without a level counts its successors that got one in the last round; its own is due when none
+    is left. Rounds end when none gives a level: with the longest path, however long that is.
     """
     e = edges.select("src", "dst").distinct()
-    nodes = _saved(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    done = _saved(nodes.join(e.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    left = _saved(e.join(done.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    for r in range(1, max_rounds + 1):
-        open_nodes = nodes.join(done, "node", "left_anti")
-        ready = _saved(open_nodes.join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(r)))
+    nodes = e.select(F.col("src").alias("node"), F.lit(1).alias("n")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("n")))
+    # left: successors without a level
+    open_ = _saved(nodes.groupBy("node").agg(F.sum("n").alias("left")))
+    done = []
+    for r in count():
+        ready = _saved(open_.filter("left = 0").select("node", F.lit(r).alias("level")))
         if ready.isEmpty():
             break
-        done = done.unionByName(ready)
-        left = _saved(left.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return nodes.join(done, "node", "left")
+        done.append(ready)
+        fewer = e.join(ready.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_k"))
+        last = open_
+        open_ = _saved(open_.filter("left > 0").join(fewer, "node", "left").select("node", (F.col("left") - F.coalesce("_k", F.lit(0))).alias("left")))
+        _dropped(last)
+    out = open_.select("node", F.lit(None).cast("int").alias("level"))
+    for f in done:
+        out = out.unionByName(f)
+    return out
 
 
 def context_score(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -155,6 +163,33 @@ def centrality(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(most)).select("node", "degree", (F.col("degree") / F.col("most")).alias("centrality"))
 
 
+# Places of kinds of nodes in a feature vector.
+NODE_KINDS = ["function", "method", "variable", "parameter", "return", "literal", "binary_op", "unary_op", "call", "branch", "loop", "struct", "enum", "trait", "impl", "field", "module", "block"]
+
+
+def property_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, features): 34 numbers for each node of a property graph.
+
+    nodes: (node, kind: a place in NODE_KINDS, depth, complexity, loc, params, public, documented); edges: (src, dst,
+    kind: ast, cfg, dfg or call). 0 to 17 are the kind, 18 depth / 20, 19 complexity / 10, 20 loc / 100, 21 parameters / 10, 22 public,
+    23 documented, 24 whether it calls, 25 whether it is called, 26 and 27 degrees in and out / 20, 28 degree / 40,
+    29 to 31 whether it has edges of control, of data and of calls, 32 whether it calls and is not called by anything, 33 degree over the largest.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), "kind").unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"), "kind"))
+    has = lambda k: F.max((F.col("kind") == k).cast("double"))
+    call = F.col("kind") == "call"
+    d = ends.groupBy("node").agg(F.sum("o").alias("_o"), F.sum("i").alias("_i"), has("cfg").alias("_c"), has("dfg").alias("_d"), has("call").alias("_l"), F.max(F.when(call, F.col("o")).otherwise(0)).alias("_calls"), F.max(F.when(call, F.col("i")).otherwise(0)).alias("_called"))
+    d = _saved(d)
+    most = d.agg(F.max(F.col("_o") + F.col("_i"))).first()[0] or 1
+    rows = nodes.join(d, "node", "left").na.fill(0, ["_o", "_i", "_c", "_d", "_l", "_calls", "_called"])
+    one = lambda c: F.col(c).cast("double")
+    total = one("_o") + one("_i")
+    kinds = [(F.col("kind") == i).cast("double") for i in range(len(NODE_KINDS))]
+    own = [one("depth") / 20, one("complexity") / 10, one("loc") / 100, one("params") / 10, one("public"), one("documented"), one("_calls"), one("_called")]
+    of_graph = [one("_i") / 20, one("_o") / 20, total / 40, one("_c"), one("_d"), one("_l"), ((F.col("_i") == 0) & (F.col("_o") > 0)).cast("double"), total / float(most)]
+    return rows.select("node", F.array(*kinds, *own, *of_graph).alias("features"))
+
+
 def supersedes(links: DataFrame) -> DataFrame:
     """(id, latest, steps): the end of each chain of (old, new) links, by doubling of the pointers.
 
@@ -186,18 +221,17 @@ def entry_points(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def ancestors(nodes: DataFrame, key: Sequence[str], max_depth: int = 50) -> DataFrame:
+def ancestors(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, node_id, kinds): the kinds from the root of a flattened tree down to each node (kind, parent_id, depth).
 
-    A level is joined to the one above it, so there are as many joins as levels.
+    A level is joined to the one above it, so there are as many joins as levels; a tree may have any depth.
     """
     level = nodes.filter("depth = 0").select(*key, "node_id", F.array("kind").alias("kinds"))
     out = level
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         here = nodes.filter(F.col("depth") == d)
         above = level.select(*key, F.col("node_id").alias("parent_id"), F.col("kinds").alias("_k"))
         level = _saved(here.join(above, [*key, "parent_id"]).select(*key, "node_id", F.concat("_k", F.array("kind")).alias("kinds")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out

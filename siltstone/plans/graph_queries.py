@@ -53,7 +53,7 @@ def who_calls(spark, d):
     return graph.reverse(edges(spark, d)).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("callers"), F.min("dst").alias("first_caller"))
 
 
-@query(f"{_E}, n AS (SELECT p_partkey AS id, 'f' || p_size || '::' || p_name AS node_id, p_name AS name FROM part), c AS (SELECT p_partkey AS src, CASE WHEN p_size % 2 = 0 THEN 'f' || p_size || '::' || p_name ELSE 'gone::' || p_name END AS ref FROM part WHERE p_size = 50 OR p_size = 49), x AS (SELECT src, ref, id AS dst FROM c JOIN n ON ref = node_id), y AS (SELECT src, id AS dst FROM c JOIN n ON name = split_part(ref, '::', 2) WHERE ref NOT IN (SELECT node_id FROM n)) SELECT src, count(DISTINCT dst) AS targets FROM (SELECT src, dst FROM x UNION ALL SELECT src, dst FROM y) GROUP BY src")
+@query(f"{_E}, n AS (SELECT p_partkey AS id, 'f' || p_size || '::' || p_name AS node_id, p_name AS name FROM part), c AS (SELECT p_partkey AS src, CASE WHEN p_size % 2 = 0 THEN 'f' || p_size || '::' || p_name ELSE 'gone::' || p_name END AS ref FROM part), x AS (SELECT src, ref, id AS dst FROM c JOIN n ON ref = node_id), y AS (SELECT src, id AS dst FROM c JOIN n ON name = split_part(ref, '::', 2) WHERE ref NOT IN (SELECT node_id FROM n)) SELECT src, count(DISTINCT dst) AS targets FROM (SELECT src, dst FROM x UNION ALL SELECT src, dst FROM y) GROUP BY src")
 def call_resolution(spark, d):
     p = table(spark, d, "part")
     full = F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit("::"), F.col("p_name"))
@@ -66,7 +66,7 @@ def call_resolution(spark, d):
     return calls.join(targets, "ref").select("src", "targets")
 
 
-@query(f"{_E}, {_reach('p_size = 50', 'dst', 'src', 10)}, a AS (SELECT start AS node, count(*) - 1 AS affected FROM m GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")
+@query(f"{_E}, r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_size = 50 UNION SELECT start, src FROM r JOIN e ON node = dst), a AS (SELECT start AS node, count(*) - 1 AS affected FROM r GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")
 def impact(spark, d):
     return graph.impact(edges(spark, d), starts(spark, d))
 
@@ -81,7 +81,7 @@ def dependents_k(spark, d):
     return graph.reach(graph.reverse(edges(spark, d)), starts(spark, d), 3)
 
 
-@query(f"{_E}, p AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_size = 50 UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) <= 5 AND NOT list_contains(path, dst)), b AS (SELECT start, node, min((len(path), path)) AS m FROM p WHERE len(path) > 1 GROUP BY start, node) SELECT start, node AS goal, array_to_string(m[2], '>') AS path FROM b WHERE node <= 20")
+@query(f"{_E}, p AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_size = 50 UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) <= 60 AND NOT list_contains(path, dst)), b AS (SELECT start, node, min((len(path), path)) AS m FROM p WHERE len(path) > 1 GROUP BY start, node) SELECT start, node AS goal, array_to_string(m[2], '>') AS path FROM b WHERE node <= 20")
 def call_chain(spark, d):
     goals = table(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_partkey").alias("node"))
     out = graph.chains(edges(spark, d), starts(spark, d), goals)
@@ -94,7 +94,7 @@ def context_score(spark, d):
     return graph.context_score(f, edges(spark, d), f).withColumn("score", F.round("score", 6))
 
 
-@query(f"{_E}, p AS (SELECT src AS start, dst AS node, [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) < 5 AND dst > start AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path FROM p JOIN e ON node = src AND dst = start")
+@query(f"{_E}, p AS (SELECT src AS start, dst AS node, [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) < 40 AND dst > start AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path FROM p JOIN e ON node = src AND dst = start")
 def cycles(spark, d):
     return graph.cycles(edges(spark, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 

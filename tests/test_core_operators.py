@@ -1,6 +1,5 @@
 """Graphs, drift, state, duplicates, code, sources and streams on small frames."""
 
-import json
 import subprocess
 from datetime import datetime, timedelta
 
@@ -42,6 +41,15 @@ def test_chains_cycles_levels(spark):
     assert level == {"c": 0, "b": 1, "a": 2, "p": None, "q": None, "r": None}
 
 
+def test_property_features(spark):
+    n = spark.createDataFrame([("f", 0, 1, 3, 12, 2, True, False), ("g", 8, 2, 1, 1, 0, False, True), ("h", 17, 0, 0, 0, 0, False, False)], "node string, kind int, depth int, complexity int, loc int, params int, public boolean, documented boolean")
+    e = spark.createDataFrame([("f", "g", "call"), ("f", "g", "cfg"), ("f", "g", "dfg")], "src string, dst string, kind string")
+    got = {r.node: r.features for r in graph.property_features(n, e).collect()}
+    assert got["f"] == [1.0] + [0.0] * 17 + [0.05, 0.3, 0.12, 0.2, 1.0, 0.0, 1.0, 0.0, 0.0, 0.15, 0.075, 1.0, 1.0, 1.0, 1.0, 1.0]
+    assert got["g"][18:] == [0.1, 0.1, 0.01, 0.0, 0.0, 1.0, 0.0, 1.0, 0.15, 0.0, 0.075, 1.0, 1.0, 1.0, 0.0, 1.0] and got["g"][8] == 1.0
+    assert got["h"] == [0.0] * 17 + [1.0] + [0.0] * 16
+
+
 def test_resolution(spark):
     n = spark.createDataFrame([("f1::a", "a"), ("f2::a", "a"), ("f1::b", "b")], "node_id string, name string")
     c = spark.createDataFrame([("m", "f1::a"), ("m", "other::a"), ("k", "b"), ("k", "gone")], "src string, ref string")
@@ -186,17 +194,6 @@ def test_signatures(spark):
     assert [(r.unknown, r.missing) for r in out] == [(["z"], ["a"])]
 
 
-def test_notebooks(spark):
-    good = {"nbformat": 4, "metadata": {"kernelspec": {"name": "python3"}}, "cells": [{"cell_type": "code", "source": ["x = 1"], "outputs": [], "execution_count": 1}]}
-    bad = {"nbformat": 3, "metadata": {}, "cells": [{"cell_type": "odd", "source": []}, {"cell_type": "code", "source": ["!ls"], "outputs": [{"output_type": "error"}], "execution_count": None}]}
-    df = spark.createDataFrame([("good", json.dumps(good)), ("bad", json.dumps(bad)), ("broken", "{"), ("empty", json.dumps({"nbformat": 4, "metadata": {"kernelspec": {"name": "x"}}, "cells": []}))], "path string, text string")
-    got = {}
-    for r in code.notebook_issues(df, ["path"]).collect():
-        got.setdefault(r.path, set()).add(r.issue[:5])
-    assert "good" not in got and got["broken"] >= {"NB001"} and got["empty"] == {"NB005"}
-    assert got["bad"] >= {"NB003", "NB004", "NB006", "NB007", "NB008", "NB011"}
-
-
 def test_learner(spark):
     df = spark.createDataFrame([("fn a_b() fn c_d() fn eF()",)], "text string")
     h = code.histograms(df, "text", {"fn": r"fn (\w)"})
