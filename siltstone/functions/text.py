@@ -7,9 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Suffixes that are cut from terms, longest uses first, and words that are not terms.
-SUFFIXES = ["ization", "ational", "fulness", "ousness", "iveness", "tional", "ing", "edly", "ed", "ly", "ies", "es", "s"]
-STOP_WORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "is", "are", "be", "it", "this", "that", "with", "for", "as", "by", "was", "at", "from"]
+# Suffixes of terms and what takes their place, in order of use, and words that are not terms.
+SUFFIXES = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "t"), ("ences", "ence"), ("ances", "ance"), ("ments", "ment"), ("ities", "ity"), ("ings", "ing"), ("ives", "ive"), ("ized", "ize"), ("ful", ""), ("ous", ""), ("ive", ""), ("ing", ""), ("ed", ""), ("es", ""), ("ly", ""), ("er", ""), ("s", "")]
+STOP_WORDS = """the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would
+could should may might must shall can this that these those it its not no yes all any each every both few more most other
+some such than too very just also now here there where when which who what how why if then else so up out into over
+after before between through during about new""".split()
 
 
 def lines(text: Column) -> Column:
@@ -24,10 +27,11 @@ def raw_terms(text: Column) -> Column:
 
 
 def stem(term: Column) -> Column:
-    """A term without the first suffix of the list that leaves more than two characters."""
+    """A term with the first suffix of the list that it has replaced, where more than two bytes stand before it."""
     out = F.when(F.lit(False), term)
-    for s in SUFFIXES:
-        out = out.when(term.endswith(s) & (F.length(term) > len(s) + 2), F.substring(term, F.lit(1), F.length(term) - len(s)))
+    for s, instead in SUFFIXES:
+        cut = F.substring(term, F.lit(1), F.length(term) - len(s))
+        out = out.when(term.endswith(s) & (F.octet_length(term) > len(s) + 2), F.concat(cut, F.lit(instead)) if instead else cut)
     return out.otherwise(term)
 
 

@@ -21,7 +21,7 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) ->
 
     Equal contents are one entry (the least id). Words are ordered rare first; two
     sets that reach t share one of their first n - ceil(t n) + 1 words, so only
-    those prefixes are joined, with a bound on the sizes, before exact likeness.
+    those prefixes are joined, inside bands of sizes, before exact likeness.
     """
     one = rows.groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).agg(F.min(id_col).alias("id"), F.first(text_col).alias("_t"))
     sets = one.select("id", F.array_sort(word_set(F.col("_t"))).alias("words")).filter(F.size("words") > 0)
@@ -30,8 +30,12 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) ->
     order = W.partitionBy("id").orderBy("df", "word")
     ranked = words.join(freq, "word").withColumn("place", F.row_number().over(order))
     prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("id", "n", "word")
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    pairs = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "word").join(right, "word").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
+    # the larger of two alike sets is in the size band of the smaller or the next: words meet inside bands alone
+    prefix = prefix.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n").cast("long"))
+    small = prefix.select(F.col("id").alias("s"), F.col("n").alias("ns"), "word", "band")
+    large = prefix.select(F.col("id").alias("l"), F.col("n").alias("nl"), "word", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
+    met = small.join(large, ["word", "band"]).filter("(ns < nl OR (ns = nl AND s < l))").filter(F.col("ns") >= F.col("nl") * threshold)
+    pairs = met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
     of = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, terms_with_bigrams, word_set
-from ..session import saved
+from ..session import exists, saved
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,20 +27,71 @@ def idf_table(terms: DataFrame, n_docs: int) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(max(1, n_docs))) / F.col("df")))
 
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of every query by the cosine of its TF with their TF-IDF: an inverted-index join on terms.
+def _hashed(terms: DataFrame) -> DataFrame:
+    """(id, term, tf) with terms as 64-bit hashes, which move and join as numbers."""
+    return terms.select("id", F.xxhash64("term").alias("term"), "tf")
 
-    Ties go to the smaller id. Terms of the queries select the postings before
-    anything else; document norms need all terms and are one aggregate.
-    """
-    terms = saved(term_table(docs, doc_id, text_col))
-    weights = terms.join(idf_table(terms, docs.count()), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = term_table(queries, query_id, text_col).select(F.col("id").alias("query"), "term", "tf")
-    q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
-    dots = weights.join(q, "term").groupBy("query", "id").agg(F.sum(F.col("w") * F.col("tf")).alias("dot"))
-    scored = dots.join(norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0 AND dot > 0")
-    return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
+
+#: Terms that are weighed without moving their postings: as many at most, so their table may be broadcast.
+HOT_TERMS = 10_000
+
+
+@dataclass
+class TermIndex:
+    """A saved inverted index: postings (id, term, tf, w) and documents (id, norm), with their number."""
+
+    terms: DataFrame
+    postings: DataFrame
+    norms: DataFrame
+    documents: int
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
+        return cls.of(saved(_hashed(term_table(docs, id_col, text_col)), "index-terms"), docs.count())
+
+    @classmethod
+    def of(cls, terms: DataFrame, documents: int) -> TermIndex:
+        """An index of saved terms (id, term, tf)."""
+        idf = saved(idf_table(terms, documents), "index-idf")
+        # the postings of a frequent term meet its weight where they are; as the dfs add up to the postings, few terms are frequent
+        least = max(1000, terms.count() // HOT_TERMS + 1)
+        hot, rest = idf.filter(F.col("df") >= least).select("term", "idf"), idf.filter(F.col("df") < least).select("term", "idf")
+        both = terms.join(F.broadcast(hot), "term").unionByName(terms.join(F.broadcast(hot), "term", "left_anti").join(rest, "term"))
+        postings = saved(both.select("id", "term", "tf", (F.col("tf") * F.col("idf")).alias("w")), "index-postings")
+        norms = saved(postings.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "index-norms")
+        return cls(terms, postings, norms, documents)
+
+    def exists(self) -> bool:
+        return all(exists(df.sparkSession, df._scratch) for df in (self.terms, self.postings, self.norms))
+
+    def replaced(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
+        """The index with documents added, or replaced where their id is known. A document without terms still counts."""
+        ids = docs.select(F.col(id_col).alias("id")).distinct()
+        old = self.norms.join(ids, "id", "left_semi").count()
+        terms = self.terms.join(ids, "id", "left_anti").unionByName(_hashed(term_table(docs, id_col, text_col)))
+        return TermIndex.of(saved(terms, "index-terms"), self.documents - old + ids.count())
+
+    def removed(self, ids: DataFrame) -> TermIndex:
+        """The index without documents (id)."""
+        gone = self.norms.join(ids.select("id").distinct(), "id", "left_semi").count()
+        return TermIndex.of(saved(self.terms.join(ids.select("id").distinct(), "id", "left_anti"), "index-terms"), self.documents - gone)
+
+    def search(self, queries: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+        """The k best documents of every query by the cosine of its TF with their TF-IDF; ties go to the smaller id.
+
+        Terms of the queries select the postings before anything else.
+        """
+        q = _hashed(term_table(queries, id_col, text_col)).withColumnRenamed("id", "query")
+        q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
+        hits = self.postings.select("id", "term", "w").join(q, "term")
+        dots = hits.groupBy("query", "id").agg(F.sum(F.col("w") * F.col("tf")).alias("dot")).filter("dot > 0")
+        scored = dots.join(self.norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0")
+        return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
+
+
+def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The k best documents of every query, by an index made for this search."""
+    return TermIndex.build(docs, doc_id, text_col).search(queries, k, query_id, text_col)
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query",)) -> DataFrame:

@@ -25,7 +25,18 @@ def documents(spark, d):
     return table(spark, d, "documents")
 
 
-_STEM = "CASE " + " ".join(f"WHEN suffix(t, '{s}') AND length(t) > {len(s) + 2} THEN left(t, length(t) - {len(s)})" for s in SUFFIXES) + " ELSE t END"
+_kept: dict[tuple[str, str], search.TermIndex] = {}
+
+
+def index(spark, d):
+    """The saved index of the documents of a folder: built by the first search of an application, and again if it was cleared."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _kept or not _kept[key].exists():
+        _kept[key] = search.TermIndex.build(documents(spark, d))
+    return _kept[key]
+
+
+_STEM = "CASE " + " ".join(f"WHEN suffix(t, '{s}') AND strlen(t) > {len(s) + 2} THEN left(t, length(t) - {len(s)}) || '{i}'" for s, i in SUFFIXES) + " ELSE t END"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -61,7 +72,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) D
 
 @query(f"{_TFIDF} SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def tfidf_topk(spark, d):
-    hits = search.tfidf_search(documents(spark, d), table(spark, d, "benchmark"), 10)
+    hits = index(spark, d).search(table(spark, d, "benchmark"), 10)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -135,7 +146,7 @@ g AS (SELECT query, id, sum(score) AS score FROM b GROUP BY query, id), h AS (SE
 SELECT query, id, round(score, 6) AS score, rank FROM h WHERE rank <= 10""")
 def hybrid_topk(spark, d):
     items = table(spark, d, "benchmark")
-    text_hits = search.tfidf_search(documents(spark, d), items, 20)
+    text_hits = index(spark, d).search(items, 20)
     v = table(spark, d, "embeddings")
     vector_hits = search.vector_search(v, v.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 20)
     return search.hybrid(text_hits, vector_hits).withColumn("score", F.round("score", 6))

@@ -50,6 +50,11 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or a folder by whatever file system its path names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
