@@ -42,6 +42,22 @@ def drift_score(trend: DataFrame, key: Sequence[str], weights: dict[str, float]
     return trend.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(part)).alias("score"), F.max("n").alias("snapshots"))
 
 
+# What a decline of each severity adds to the flat score.
+FLAT = {"high": 0.3, "medium": 0.15, "low": 0.05}
+
+
+def flat_score(trend: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, score): declines by severity alone, at most 1."""
+    part = F.coalesce(*(F.when((F.col("direction") == "declining") & (F.col("severity") == s), F.lit(x)) for s, x in FLAT.items()), F.lit(0.0))
+    return trend.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(part)).alias("score"))
+
+
+def report(scores: DataFrame, key: str, k: int) -> DataFrame:
+    """The k files that drift most, with their places; ties by key."""
+    best = scores.orderBy(F.round("score", 9).desc(), key).limit(k)
+    return best.withColumn("place", F.row_number().over(W.orderBy(F.round("score", 9).desc(), key)))  # k rows
+
+
 def alerts(scores: DataFrame, least: int = 3) -> DataFrame:
     """Scores of enough snapshots with their level: from 0.30 critical, from 0.15 warning."""
     level = F.when(F.col("score") >= 0.30, "critical").when(F.col("score") >= 0.15, "warning")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -45,14 +46,28 @@ def ring_alerts(snapshots: DataFrame, size: int = 100, fall: float = 0.15, least
     return snapshots.groupBy("file").applyInPandasWithState(step, "file string, ts timestamp, value double, drift double", "ring array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def watch(listings: DataFrame) -> DataFrame:
-    """(path, ts, change) of listings (path, ts, mtime, or null when gone): added, changed, deleted."""
+def watched(listings: DataFrame, extensions: list[str], max_bytes: int) -> DataFrame:
+    """The listings (path, size) of files that may be watched: of some extensions, up to a size."""
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return listings.filter(kind.isin(*extensions) & (F.coalesce("size", F.lit(0)) <= max_bytes))
+
+
+def watch(listings: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(path, ts, change) of listings (path, ts, mtime, or null when gone): added, changed, deleted.
+
+    With idle_ms a path of which nothing is heard for so long, in event time, is given up (expired), and its state goes.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"), "expired")], columns=["path", "ts", "change"])
+            return
         last = state.get[0] if state.exists else None
+        seen = 0
         out = []
         for r in pd.concat(batches).sort_values("ts").itertuples(index=False):
-            now = None if pd.isna(r.mtime) else int(r.mtime)
+            now, seen = None if pd.isna(r.mtime) else int(r.mtime), int(r.ts.timestamp() * 1000)
             if now is None and last is not None:
                 out.append((r.path, r.ts, "deleted"))
             elif now is not None and last is None:
@@ -64,26 +79,35 @@ def watch(listings: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((last,))
+            if idle_ms is not None:
+                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["path", "ts", "change"])
 
-    return listings.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp, change string", "mtime long", "append", GroupStateTimeout.NoTimeout)
+    rows = listings if idle_ms is None else listings.withWatermark("ts", "0 seconds")
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp, change string", "mtime long", "append", timeout)
 
 
-def tiers(uses: DataFrame, short_ms: int = 300_000) -> DataFrame:
-    """(id, ts, event): first uses are stored; entries idle for short_ms of event time move to the next tier."""
+def tiers(uses: DataFrame, short_ms: int = 300_000, medium_ms: int = 3_600_000) -> DataFrame:
+    """(id, ts, event): first uses are stored, in the short tier; entries idle for short_ms of event time move to the
+    medium tier, those idle for medium_ms to the long one, which keeps them without state. A use brings an entry back to the short tier."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="ms"), "promoted")], columns=["id", "ts", "event"])
+            last, tier = state.get
+            if tier == 0:
+                state.update((last, 1))
+                state.setTimeoutTimestamp(max(last + medium_ms, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="ms"), "medium" if tier == 0 else "long")], columns=["id", "ts", "event"])
             return
         rows = pd.concat(batches).sort_values("ts")
         last = int(rows["ts"].max().timestamp() * 1000)
         new = not state.exists
-        state.update((max(last, 0 if new else state.get[0]),))
+        state.update((max(last, 0 if new else state.get[0]), 0))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + short_ms)
         yield pd.DataFrame([(key[0], rows["ts"].iloc[0], "stored" if new else "used")], columns=["id", "ts", "event"])
 
-    return uses.withWatermark("ts", "0 seconds").groupBy("id").applyInPandasWithState(step, "id long, ts timestamp, event string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return uses.withWatermark("ts", "0 seconds").groupBy("id").applyInPandasWithState(step, "id long, ts timestamp, event string", "last long, tier int", "append", GroupStateTimeout.EventTimeTimeout)
