@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: order of the canonical form's fields.
 CANONICAL = ("id", "file_hash", "passed", "errors", "warnings", "ts", "agent")
@@ -26,12 +24,10 @@ def issue(files: DataFrame, key: str, text_col: str, verdict: DataFrame, agent:
 
 def signed(certificates: DataFrame, secret: bytes) -> DataFrame:
     """Certificates with an HMAC-SHA256 of their canonical form (the platform has no asymmetric signatures)."""
-
-    @F.pandas_udf(T.StringType())
-    def sign(text):
-        return text.map(lambda t: hmac.new(secret, t.encode(), hashlib.sha256).hexdigest())
-
-    return certificates.withColumn("signature", sign(canonical(*CANONICAL)))
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(inner, canonical(*CANONICAL).cast("binary")), 256))
+    return certificates.withColumn("signature", F.sha2(F.concat(outer, first), 256))
 
 
 def verified(certificates: DataFrame, secret: bytes, revoked: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ..functions.text import raw_terms
 from ..session import saved as _saved
 
+#: Bounds of words of ASCII letters, digits and underscores, whatever other letters stand beside them.
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 # Manifests that tell a project's language.
 MANIFESTS = {"Cargo.toml": "rust", "package.json": "javascript", "requirements.txt": "python", "pyproject.toml": "python", "pom.xml": "java", "go.mod": "go"}
 EFFECTS = {"boost_case": 0.1, "boost_pattern": 0.2, "whitelist": 0.3, "record": 0.0, "skip": 0.0}
@@ -66,10 +68,10 @@ def hashed_embedding(text: Column, dim: int = 384) -> Column:
 def prompt_facts(texts: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
     """(key, words, questions, entities, files, vague, ambiguity): what a prompt names and leaves open."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    vague = F.regexp_count(F.lower(t), F.lit(r"\b(it|this|that|something|somehow|stuff|thing)\b"))
+    vague = F.regexp_count(F.lower(t), F.lit(f"{_B}(it|this|that|something|somehow|stuff|thing){_E}"))
     words = F.size(raw_terms(t))
-    files = F.regexp_extract_all(t, F.lit(r"[\w/]+\.[a-z]{1,4}\b"), 0)
-    entities = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b|\b[a-z]+(?:_[a-z0-9]+)+\b"), 0))
+    files = F.regexp_extract_all(t, F.lit(rf"[\w/]+\.[a-z]{{1,4}}{_E}"), 0)
+    entities = F.array_distinct(F.regexp_extract_all(t, F.lit(f"{_B}[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+{_E}|{_B}[a-z]+(?:_[a-z0-9]+)+{_E}"), 0))
     open_ = F.when(words < 5, 0.4).otherwise(0.0) + F.least(F.lit(0.4), vague * 0.1) + F.when((F.size(files) == 0) & (F.size(entities) == 0), 0.2).otherwise(0.0)
     return texts.select(*key, words.alias("words"), F.regexp_count(t, F.lit(r"\?")).alias("questions"), F.size(entities).alias("entities"), F.size(files).alias("files"), vague.alias("vague"), F.round(open_, 6).alias("ambiguity"))
 
@@ -77,7 +79,7 @@ def prompt_facts(texts: DataFrame, key: Sequence[str], text_col: str = "text") -
 def scope_of(text: Column) -> Column:
     """project, file, function or unknown: the widest that a prompt names."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike(r"\b(project|repo|repository|codebase|everywhere)\b"), "project").when(low.rlike(r"\b(file|module|\w+\.[a-z]{1,4})\b"), "file").when(low.rlike(r"\b(function|method|fn|def)\b"), "function").otherwise("unknown")
+    return F.when(low.rlike(f"{_B}(project|repo|repository|codebase|everywhere){_E}"), "project").when(low.rlike(rf"{_B}(file|module|\w+\.[a-z]{{1,4}}){_E}"), "file").when(low.rlike(f"{_B}(function|method|fn|def){_E}"), "function").otherwise("unknown")
 
 
 def context_quality(text: Column, good: Sequence[Sequence[str]], bad: Sequence[Sequence[str]]) -> Column:

@@ -63,7 +63,8 @@ def layer_totals(found: DataFrame, layers: Sequence[str], weight: str = "count")
     """Findings and texts per layer; layers without any have zeros."""
     spark = found.sparkSession
     names = spark.createDataFrame([(x,) for x in layers], "layer string")
-    return F.broadcast(names).join(found.groupBy("layer").agg(F.sum(weight).alias("findings"), F.count(F.lit(1)).alias("hits")), "layer", "left").select("layer", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    totals = found.filter(F.col("layer").isin(*layers)).groupBy("layer").agg(F.sum(weight).alias("findings"), F.count(F.lit(1)).alias("hits"))
+    return names.join(F.broadcast(totals), "layer", "left").select("layer", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def halted(found: DataFrame, order: Sequence[str], key: Sequence[str], gate: str = "syntax") -> DataFrame:

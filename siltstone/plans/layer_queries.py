@@ -54,8 +54,7 @@ def private_rules(spark, d):
 
 @query(f"{_LINES} SELECT doc_id, line, len(regexp_extract_all(content, '(^|[^\\w.])[0-9]{{2,}}(\\.[0-9]+)?($|[^\\w.])')) AS n FROM l WHERE NOT regexp_matches(content, '{_S}') AND NOT regexp_matches(content, '^\\s*(const|static|final|[A-Z_]+ =)') AND regexp_matches(content, '(^|[^\\w.])[0-9]{{2,}}(\\.[0-9]+)?($|[^\\w.])')")
 def magic_numbers(spark, d):
-    rows = doc_lines(spark, d).withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", "a"))
-    return layers.magic_numbers(rows, ["doc_id"]).select("doc_id", "line", "n")
+    return layers.magic_numbers(doc_lines(spark, d), ["doc_id"]).select("doc_id", "line", "n")
 
 
 @query("WITH p AS (SELECT page_id, html FROM pages), l0 AS (SELECT page_id, string_split(html, chr(10)) AS a FROM p), l AS (SELECT page_id, unnest(a) AS content, unnest(range(1, len(a) + 1)) AS line FROM l0), s AS (SELECT *, len(string_split(content, '{')) - len(string_split(content, '}')) AS step, len(regexp_extract_all(content, '\\b(if|for|while|case|catch|except|elif|match)\\b')) AS b FROM l), r AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY line) AS s FROM s), e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY line)) AS dp FROM r) SELECT page_id, CAST(sum(b) + 1 AS BIGINT) AS cyclomatic, CAST(sum(b * (1 + greatest(0, dp - greatest(0, step)))) AS BIGINT) AS cognitive, CAST(max(dp) AS BIGINT) AS max_nesting FROM e WHERE NOT (content = '' AND line > 1 AND line = (SELECT max(line) FROM l x WHERE x.page_id = e.page_id)) GROUP BY page_id")
@@ -71,15 +70,14 @@ def rule_domains(spark, d):
     return rows.groupBy(layers.domain(F.col("r")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(project|repo|repository|codebase|everywhere)\\b') THEN 'project' WHEN regexp_matches(lower(text), '\\b(file|module|\\w+\\.[a-z]{1,4})\\b') THEN 'file' WHEN regexp_matches(lower(text), '\\b(function|method|fn|def)\\b') THEN 'function' ELSE 'unknown' END AS scope FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', 'e', 'g') AS text FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(project|repo|repository|codebase|everywhere)\\b') THEN 'project' WHEN regexp_matches(lower(text), '\\b(file|module|\\w+\\.[a-z]{1,4})\\b') THEN 'file' WHEN regexp_matches(lower(text), '\\b(function|method|fn|def)\\b') THEN 'function' ELSE 'unknown' END AS scope FROM conversations")
 def prompt_scope(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", insight.scope_of(F.regexp_replace("text", "[^ -~]", "e")).alias("scope"))
+    return table(spark, d, "conversations").select("conv_id", "turn", insight.scope_of(F.col("text")).alias("scope"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', 'e', 'g') AS t FROM conversations), f AS (SELECT *, len(list_filter(string_split_regex(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)) AS words, len(regexp_extract_all(t, '\\?')) AS questions, len(list_distinct(regexp_extract_all(t, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b|\\b[a-z]+(?:_[a-z0-9]+)+\\b'))) AS entities, len(regexp_extract_all(t, '[\\w/]+\\.[a-z]{1,4}\\b')) AS files, len(regexp_extract_all(lower(t), '\\b(it|this|that|something|somehow|stuff|thing)\\b')) AS vague FROM t) SELECT conv_id, turn, words, questions, entities, files, vague, round((CASE WHEN words < 5 THEN 0.4 ELSE 0 END + least(0.4, vague * 0.1) + CASE WHEN files = 0 AND entities = 0 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS ambiguity FROM f")
+@query("WITH t AS (SELECT conv_id, turn, text AS t FROM conversations), f AS (SELECT *, len(list_filter(string_split_regex(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) >= 2)) AS words, len(regexp_extract_all(t, '\\?')) AS questions, len(list_distinct(regexp_extract_all(t, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b|\\b[a-z]+(?:_[a-z0-9]+)+\\b'))) AS entities, len(regexp_extract_all(t, '[\\w/]+\\.[a-z]{1,4}\\b')) AS files, len(regexp_extract_all(lower(t), '\\b(it|this|that|something|somehow|stuff|thing)\\b')) AS vague FROM t) SELECT conv_id, turn, words, questions, entities, files, vague, round((CASE WHEN words < 5 THEN 0.4 ELSE 0 END + least(0.4, vague * 0.1) + CASE WHEN files = 0 AND entities = 0 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS ambiguity FROM f")
 def prompt_facts(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "e").alias("text"))
-    return insight.prompt_facts(rows, ["conv_id", "turn"])
+    return insight.prompt_facts(table(spark, d, "conversations"), ["conv_id", "turn"])
 
 
 @query("SELECT doc_id, round(greatest(0, CASE WHEN n = 0 THEN 0.3 ELSE least(0.95, 0.5 + 0.1 * n) END - 0.1 * b)::DOUBLE, 6) AS score FROM (SELECT doc_id, (contains(lower(text), 'the') AND contains(lower(text), 'and'))::INT + contains(lower(text), 'ou')::INT AS n, contains(lower(text), '!!')::INT AS b FROM documents)")
@@ -110,9 +108,9 @@ def rules_by_tag(spark, d):
     return insight.by_tag(r)
 
 
-@query("WITH a AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'boost_case' WHEN 'view' THEN 'boost_pattern' WHEN 'purchase' THEN 'whitelist' ELSE 'skip' END AS answer FROM events WHERE event_id % 50 = user_id % 50) SELECT user_id, round(least(1, sum(CASE answer WHEN 'boost_case' THEN 0.1::DOUBLE WHEN 'boost_pattern' THEN 0.2::DOUBLE WHEN 'whitelist' THEN 0.3::DOUBLE ELSE 0 END)), 6) AS boost, max(answer = 'whitelist') AS whitelisted FROM a GROUP BY user_id")
+@query("WITH a AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'boost_case' WHEN 'view' THEN 'boost_pattern' WHEN 'purchase' THEN 'whitelist' ELSE 'skip' END AS answer FROM events), s AS (SELECT user_id, sum(CASE answer WHEN 'boost_case' THEN 0.1::DOUBLE WHEN 'boost_pattern' THEN 0.2::DOUBLE WHEN 'whitelist' THEN 0.3::DOUBLE ELSE 0 END) AS boost, max(answer = 'whitelist') AS whitelisted FROM a GROUP BY user_id) SELECT user_id, round(least(1, boost), 6) AS boost, round(boost, 6) AS uncapped, whitelisted FROM s")
 def question_effects(spark, d):
-    # the SQL above still filters; all events count here, and the uncapped sum tells users at the cap apart
+    # the uncapped sum tells users at the cap apart
     e = table(spark, d, "events")
     answer = F.when(F.col("event_type") == "click", "boost_case").when(F.col("event_type") == "view", "boost_pattern").when(F.col("event_type") == "purchase", "whitelist").otherwise("skip")
     return insight.effects(e.select("user_id", answer.alias("answer")), ["user_id"]).withColumn("boost", F.round("boost", 6)).withColumn("uncapped", F.round("uncapped", 6))
