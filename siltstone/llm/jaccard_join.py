@@ -314,7 +314,7 @@ def _node_filter(refs: DataFrame) -> np.ndarray:
     place = F.pmod(F.conv(F.hex(F.substring("ref", 1, 4)), 16, 10).cast("long"), F.lit(size)) + 1  # the bitmap functions count from 1
     pieces = refs.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m"))
     out = np.zeros(size // 8, np.uint8)
-    for r in pieces.toLocalIterator():  # size bits in all
+    for r in pieces.collect():  # size bits in all
         m = np.frombuffer(r.m, np.uint8)
         at = (r.b - 1) * len(m)
         out[at : at + len(m)] = m[: len(out) - at]
@@ -411,7 +411,7 @@ def _tiles(posted: DataFrame) -> DataFrame:
     rows = base.select("*", F.lit(True).alias("own")).union(base.select("token", F.col("band") + 1, "ref", F.lit(False)))
     held = rows.groupBy("token", "band").agg(F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("ref", "own").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("own", "ref")).alias("x"))
     one = held.filter("any_own AND k > 1").groupBy("k", "s", "x").agg(F.min(F.struct("token", "band")).alias("t"))
-    one = saved(one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"), "k"), "jaccard-tile-sizes")
+    one = one.select(F.col("t.token").alias("t"), F.col("t.band").alias("b"), "k")
     return saved(_of_tiles(rows, one, 2 * base.count()).select("token", "band", "ref", "own"), "jaccard-tiles")
 
 
@@ -419,7 +419,7 @@ def _open_tiles(tiles: DataFrame, labels: DataFrame, count: int) -> DataFrame:
     """tiles (token, band, ref, own) with components, of tiles with more than one and an own node."""
     rows = tiles.join(labels, "ref")
     more = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own"), F.count(F.lit(1)).alias("k"))
-    more = saved(more.filter("lo <> hi AND any_own").select(F.col("token").alias("t"), F.col("band").alias("b"), "k"), "jaccard-open")
+    more = more.filter("lo <> hi AND any_own").select(F.col("token").alias("t"), F.col("band").alias("b"), "k")
     return _of_tiles(rows, more, count).select("token", "band", "ref", "own", "comp", F.col("k").alias("size"))
 
 
@@ -427,7 +427,7 @@ def _hub_pairs(opened: DataFrame, turn: int, count: int) -> DataFrame:
     """Each tile's hub with its other nodes of other components."""
     hub = F.min_by(F.struct("ref", "comp"), F.when(F.col("own"), F.xxhash64("ref", F.lit(turn))))
     hubs = opened.groupBy("token", "band").agg(hub.alias("hub"), F.count(F.lit(1)).alias("k"))
-    hubs = saved(hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), "k", F.col("hub.ref").alias("hub"), F.col("hub.comp").alias("hub_comp")), "jaccard-hubs")
+    hubs = hubs.select(F.col("token").alias("t"), F.col("band").alias("b"), "k", F.col("hub.ref").alias("hub"), F.col("hub.comp").alias("hub_comp"))
     rows = _of_tiles(opened, hubs, count).filter("comp <> hub_comp")
     return rows.select(F.least("ref", "hub").alias("a"), F.greatest("ref", "hub").alias("b")).distinct()
 
