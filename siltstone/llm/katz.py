@@ -33,13 +33,15 @@ Defined cases: null text is empty and has the end token alone; null ids count as
 training; rows that repeat an id are separate texts; very long texts are one chunk's;
 without training texts every token has probability 1 (of the one unknown class); an empty
 table gives an empty result; extra columns are ignored, whatever they are called.
-The input is read once. Order 3 moves about twice what order 2 does: nearly every history is then another hash.
+The input's sizes are read first, and its texts once. Order 3 moves about twice what order 2 does: nearly every history is then another hash.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrays import pack as _pack
 from .arrays import unpack as _unpack
-from .common import dropped, finished, partitions, saved
+from .common import delete, dropped, finished, partitions, saved, scratch_path
 
 ORDER, K = 2, 5
 #: A history is dealt by n-gram if its share of all tokens is over 1 / HOT and it has HOT_LEAST tokens.
@@ -58,6 +60,8 @@ HOT, HOT_LEAST = 65_000, 500
 CHUNK_TOKENS = 1_500_000
 #: Tokens for each bucket: an owner holds the n-grams of one bucket.
 BUCKET_TOKENS = 1 << 21
+#: Bytes of a word and its blank, to estimate the number of tokens.
+WORD_BYTES = 6
 END, BEGIN = b"", b" "  # no word is either
 _END, _BEGIN = 0, 1  # their places in a chunk's vocabulary
 _RARE = 0xFFFF
@@ -471,10 +475,21 @@ class Model:
     def __init__(self, df: DataFrame, held: Column, id_col: str, text_col: str, order: int):
         spark = df.sparkSession
         self.order, self.id_type = order, df.schema[id_col].dataType
-        self.chunks = saved(_chunks(df, id_col, text_col, held), "katz-chunks")
-        tokens = self.chunks.agg(F.sum("n")).first()[0] or 0
-        self.width = max(partitions(spark), -(-tokens // BUCKET_TOKENS))
-        self.known = known = Known(self.width)
+        size = df.agg(F.sum(F.octet_length(text_col) / WORD_BYTES + 1)).first()[0] or 0
+        self.width = max(partitions(spark), int(size // BUCKET_TOKENS) + 1)
+        self.known = Known(self.width)
+        # in buckets by chunk, so that what a chunk is told comes to it and the chunk does not move
+        self.path, self.table = scratch_path(spark, "katz-chunks"), f"siltstone_{uuid.uuid4().hex}"
+        chunks = _chunks(df, id_col, text_col, held)
+        try:
+            chunks.write.bucketBy(self.width, "chunk").option("path", self.path).saveAsTable(self.table)
+            self.chunks = spark.read.schema(chunks.schema).parquet(self.path)
+            self._learn()
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # its entry in the catalog; the files stay
+
+    def _learn(self) -> None:
+        spark, known, order = self.chunks.sparkSession, self.known, self.order
         self.rows = {1: saved(_unigrams(self.chunks, self.width), "katz-1")}
         finished(spark)
         sums = self._stats(1, K + 4)
@@ -488,23 +503,26 @@ class Model:
     def _stats(self, n: int, k: int) -> list[int]:
         return list(self.rows[n].filter("kind = 'table'").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(k))).first())
 
-    def _with_answers(self, n: int, *more: str) -> DataFrame:
-        """The chunks, each followed by what it was told about orders up to n."""
-        rows = self.chunks.select("chunk", "level", "bucket", "data", *more)
-        for k in range(1, n + 1):
-            told = self.rows[k].filter("kind = 'told'").select("chunk", "level", "bucket", "data")
-            rows = rows.unionByName(told, allowMissingColumns=True)
-        return rows.repartition(self.width, "chunk").sortWithinPartitions("chunk", "level", "bucket")
+    def _told(self, n: int) -> list[DataFrame]:
+        """What chunks were told about orders up to n."""
+        return [self.rows[k].filter("kind = 'told'").select("chunk", "level", "bucket", "data") for k in range(1, n + 1)]
+
+    def _with_answers(self, n: int) -> DataFrame:
+        """(chunk, data, told) of every chunk: a row has one chunk's answers, as many as buckets."""
+        told = reduce(DataFrame.unionByName, self._told(n)).groupBy("chunk").agg(F.collect_list(F.struct("chunk", "level", "bucket", "data")).alias("told"))
+        return self.chunks.sparkSession.table(self.table).join(told.hint("merge"), "chunk").select("chunk", "data", "told")
 
     def _count(self, n: int, least: int) -> None:
         known, order = self.known, self.order
 
         def ask(batches):
-            for chunk, rows in _groups(batches):
-                c = Chunk(rows, known)
-                for k in range(2, n):
-                    c.learn(k, c.grams(k))
-                yield from c.requests(n, chunk)
+            for b in batches:
+                for chunk, data, told in zip(*(b.column(i) for i in range(3)), strict=True):
+                    chunk = chunk.as_py()
+                    c = Chunk([(chunk, 0, 0, data.as_py()), *(tuple(t.values()) for t in told.as_py())], known)
+                    for k in range(2, n):
+                        c.learn(k, c.grams(k))
+                    yield from c.requests(n, chunk)
 
         def own(batches):
             for _, rows in _groups(batches):
@@ -570,7 +588,8 @@ class Model:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-        rows = self._with_answers(order, "ids")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self._told(order), self.chunks.select("chunk", "level", "bucket", "data", "ids"))
+        rows = rows.repartition(self.width, "chunk").sortWithinPartitions("chunk", "level", "bucket")
         return rows.mapInArrow(finish, f"doc_id {self.id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def ngrams(self, n: int) -> DataFrame:
@@ -610,7 +629,8 @@ class Model:
 
     def drop(self) -> None:
         """Delete the saved tables, when nothing reads them any more."""
-        dropped(self.chunks, *self.rows.values())
+        delete(self.chunks.sparkSession, self.path)
+        dropped(*self.rows.values())
 
 
 def train(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> Model:
