@@ -158,6 +158,16 @@ def regex_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[tuple[st
     return found.select(*key, "f.rule_id", "f.severity", "line")
 
 
+def source_risks(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, rule_id, severity, line): code that comes from elsewhere: built requires, imports from URLs, downloads into a shell."""
+    c = F.col("content")
+    has = lambda s: F.contains(c, F.lit(s))
+    risks = [("SUPP004", "warning", has("require(") & has("+")), ("SUPP005", "warning", has("import") & c.rlike("https?://")), ("SUPP006", "error", c.rlike("curl|wget") & has("|") & has("bash"))]
+    each = F.array(*(F.when(ok, F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, ok in risks))
+    found = rows.filter(~c.rlike(r"^\s*(//|#|/\*|\*|--)")).select(*key, "line", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f"))
+    return found.select(*key, "f.rule_id", "f.severity", "line")
+
+
 def items(rows: DataFrame, key: Sequence[str], kinds: dict[str, str]) -> DataFrame:
     """(key, rule_id, line, n): kinds of items that a file has, the first of each and their number."""
     kind = F.regexp_extract("content", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(" + "|".join(kinds) + r")\b", 1)

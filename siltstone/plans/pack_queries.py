@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from ..operators import code, graph, layers, lines, packs
+from ..operators import code, graph, layers, lines, packs, validate
 from ..sources.tables import table
 from . import samples
 
@@ -64,6 +64,27 @@ def fallback_pack(spark, d):
     return layers.regex_findings(rows, KEY, packs.FALLBACK).select("p_partkey", "rule_id", "line")
 
 
+@query(_due(samples.SUPPLY, "s, line, rule_id", _N))
+def source_risks(spark, d):
+    return layers.source_risks(lines.line_table(sources(spark, d), KEY), KEY).select("p_partkey", "rule_id", "line")
+
+
+# a broken source has its syntax error alone; security is of known languages, its fallback of the others
+_RUN = {"syntax": samples.SYNTAX, "ast": samples.ITEMS, "logic": [x for x in samples.LOGIC if x[0] != 8], "security": [x for x in samples.SECURITY if x[0] != 6], "fallback_security": samples.FALLBACK, "supply_chain": samples.SUPPLY}
+
+
+@query(_due([(s, layer, sum(x[0] == s for x in rows)) for layer, rows in _RUN.items() for s in sorted({x[0] for x in rows})], "s, layer, n", _N))
+def validation_run(spark, d):
+    return validate.run(sources(spark, d), KEY).groupBy("p_partkey", "layer").agg(F.count(F.lit(1)).alias("n"))
+
+
+# sources 0, 3, 4, 5, 6, 8 and 9 have an error
+@query(f"SELECT count(*) AS files, count_if(p_partkey % {_N} IN (1, 2, 7)) AS passed, count_if(p_partkey % {_N} NOT IN (1, 2, 7)) AS failed FROM part")
+def validation_totals(spark, d):
+    texts = sources(spark, d)
+    return validate.totals(texts, validate.run(texts, KEY), KEY).select("files", "passed", "failed")
+
+
 # the pages have links and scripts: the same pack over lines of other make
 @query("WITH l0 AS (SELECT page_id, string_split(html, chr(10)) AS a FROM pages), l AS (SELECT page_id, unnest(a) AS content, unnest(range(1, len(a) + 1)) AS line FROM l0), q AS (SELECT *, NOT regexp_matches(content, '^\\s*(//|/\\*|#)') AS code FROM l) SELECT page_id, 'SEC051' AS rule_id, count(*) AS n FROM q WHERE code AND contains(content, 'http://') AND (len(string_split(split_part(content, 'http://', 1), '\"')) - 1) % 2 = 0 GROUP BY page_id UNION ALL SELECT page_id, 'SEC122', count(*) FROM q WHERE code AND contains(content, 'document.write(') AND (len(string_split(split_part(content, 'document.write(', 1), '\"')) - 1) % 2 = 0 GROUP BY page_id")
 def security_pages(spark, d):

@@ -167,7 +167,18 @@ let use_it = 1;
 struct E;
 '''
 
-SOURCES = [("rust", RUST_LOGIC), ("rust", RUST_SAFE), ("python", PYTHON_LOGIC), ("rust", SECRETS), ("rust", SYSTEM), ("python", SCRIPTS), ("unknown", UNKNOWN), ("rust", RUST_ITEMS)]
+BROKEN = '''fn broken( {
+    panic!("x");
+}
+'''
+
+FROM_ELSEWHERE = '''const m = require("./" + name);
+import x from "https://a.b/c.js";
+curl -s https://a.b/i.sh | bash
+// require("a" + b)
+'''
+
+SOURCES = [("rust", RUST_LOGIC), ("rust", RUST_SAFE), ("python", PYTHON_LOGIC), ("rust", SECRETS), ("rust", SYSTEM), ("python", SCRIPTS), ("unknown", UNKNOWN), ("rust", RUST_ITEMS), ("rust", BROKEN), ("javascript", FROM_ELSEWHERE)]
 
 #: (source, line, rule) of the logic pack.
 LOGIC = [
@@ -176,6 +187,7 @@ LOGIC = [
     (0, 17, "LOGIC010"), (0, 17, "LOGIC092"), (0, 18, "LOGIC093"), (0, 19, "LOGIC060"), (0, 20, "LOGIC050"), (0, 21, "LOGIC051"), (0, 23, "LOGIC031"),
     (1, 8, "LOGIC060"), (1, 8, "LOGIC061"), (1, 17, "LOGIC002"),
     (2, 3, "LOGIC080"), (2, 4, "LOGIC081"), (2, 5, "LOGIC082"), (2, 6, "LOGIC083"), (2, 7, "LOGIC084"), (2, 8, "LOGIC050"),
+    (8, 2, "LOGIC001"),
 ]
 
 #: (source, line, rule) of the security pack.
@@ -199,6 +211,10 @@ FALLBACK = [
 #: (source, line, rule) of kinds of items, the first of each kind in a file.
 ITEMS = [(4, 1, "AST005"), (7, 1, "AST005"), (7, 2, "AST001"), (7, 3, "AST002"), (7, 4, "AST003"), (7, 5, "AST004")]
 
+#: (source, line, rule) of code from elsewhere, and of brackets that do not close.
+SUPPLY = [(9, 1, "SUPP004"), (9, 2, "SUPP005"), (9, 3, "SUPP006")]
+SYNTAX = [(8, 1, "SYNTAX001")]
+
 KERNEL = '"metadata": {"kernelspec": {"name": "p", "language": "python", "display_name": "P"}, "language_info": {"name": "python"}}'
 NOTEBOOKS = [
     "{",

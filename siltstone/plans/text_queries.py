@@ -166,6 +166,16 @@ def grouping_sets_stats(spark, d):
     return rows.cube("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.grouping_id().alias("g"))
 
 
+@query("SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY value, event_id) AS quarter, round(percent_rank() OVER (PARTITION BY user_id ORDER BY value, event_id), 6) AS place, rank() OVER (PARTITION BY user_id ORDER BY floor(value)) AS rank, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM events")
+def ranked_events(spark, d):
+    """Ranks and frames of each user's events by value."""
+    from pyspark.sql import Window as W
+
+    kind = W.partitionBy("user_id")
+    own = kind.orderBy("value", "event_id")
+    return table(spark, d, "events").select("event_id", F.ntile(4).over(own).alias("quarter"), F.round(F.percent_rank().over(own), 6).alias("place"), F.rank().over(kind.orderBy(F.floor("value"))).alias("rank"), F.count(F.lit(1)).over(kind.orderBy("value").rangeBetween(-5, 5)).alias("near"))
+
+
 @query()
 def approx_stats(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", [0.5, 0.9]).alias("quantiles"))

@@ -80,6 +80,60 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return rows.filter(F.col("version") == version).drop("version")
 
 
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """(version, rows) of the versions that a table has, newest first."""
+    return spark.read.parquet(path).groupBy("version").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("version").desc())
+
+
+def write_store(df: DataFrame, path: str, by: str = "project") -> None:
+    """Rows as lines of JSON, a folder for each project; projects that are written are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+
+
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A store's rows in a stated schema; a line that is no JSON ends the query."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def load_memory(text: str) -> list[dict]:
+    """Entries of a memory in TOML (tables named entries), each with all fields; unknown fields are dropped."""
+    import tomllib
+
+    fields = {"id": None, "code": "", "language": "", "memory_type": "code", "errors": [], "project": None, "created_at": None, "recall_count": 0, "helpful": None}
+    return [{k: e.get(k, v) for k, v in fields.items()} for e in tomllib.loads(text).get("entries", [])]
+
+
+def load_settings(*texts: str) -> dict[str, str]:
+    """Settings of several levels in TOML as one flat map of dotted names to JSON; later texts win."""
+    import tomllib
+
+    def flat(doc: dict, at: str = "") -> dict[str, str]:
+        out: dict[str, str] = {}
+        for k, v in doc.items():
+            out |= flat(v, f"{at}{k}.") if isinstance(v, dict) else {f"{at}{k}": json.dumps(v, default=str)}
+        return out
+
+    merged: dict[str, str] = {}
+    for t in texts:
+        merged |= flat(tomllib.loads(t))
+    return merged
+
+
+def load_signatures(text: str) -> list[tuple[str, list[tuple[str, bool]], str | None]]:
+    """(function, [(parameter, required)], returns) of a JSON or YAML knowledge base: modules of functions with params and returns."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        import yaml
+
+        doc = yaml.safe_load(text)
+    out = []
+    for module, functions in doc.items():
+        for name, f in (functions or {}).items():
+            out.append((f"{module}.{name}", [(p["name"], bool(p.get("required", True))) for p in f.get("params") or []], f.get("returns")))
+    return out
+
+
 class GitHistory(DataSource):
     """Commits of a local repository with their changed files, newest first: format("git_history").load(path)."""
 

@@ -1,6 +1,7 @@
 """Graphs, drift, state, duplicates, code, sources and streams on small frames."""
 
 import subprocess
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -220,6 +221,7 @@ def test_versions_and_git(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     for i in (1, 2):
         tables.save_version(spark.range(i), path, i)
+    assert [tuple(r) for r in tables.versions(spark, path).collect()] == [(2, 2), (1, 1)]
     assert tables.read_version(spark, path).count() == 2 and tables.read_version(spark, path, 1).count() == 1
     repo = tmp_path / "r"
     repo.mkdir()
@@ -235,6 +237,18 @@ def test_versions_and_git(spark, tmp_path):
     assert sorted((r.path, r.status) for r in rows) == [("f", "A"), ("f", "M")]
 
 
+def test_stores_memory_and_signatures(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/s", "id long, project string"
+    tables.write_store(spark.createDataFrame([(1, "a"), (2, "b")], schema), path)
+    tables.write_store(spark.createDataFrame([(3, "b")], schema), path)
+    assert {tuple(r) for r in tables.read_store(spark, path, schema).collect()} == {(1, "a"), (3, "b")}
+    got = tables.load_memory('[[entries]]\nid = "x"\ncode = "c"\nrecall_count = 3\nother = 1\n[[entries]]\nid = "y"')
+    assert [(e["id"], e["recall_count"], e["errors"]) for e in got] == [("x", 3, []), ("y", 0, [])] and "other" not in got[0]
+    assert tables.load_settings("a = 1\n[t]\nx = 2\ny = 'q'", "[t]\nx = 3") == {"a": "1", "t.x": "3", "t.y": '"q"'}
+    sig = tables.load_signatures('{"json": {"loads": {"params": [{"name": "s"}, {"name": "cls", "required": false}], "returns": "object"}, "x": {}}}')
+    assert sig == [("json.loads", [("s", True), ("cls", False)], "object"), ("json.x", [], None)]
+
+
 def test_certificates(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     v = spark.createDataFrame([(1, True, 0, 0), (2, False, 2, 1)], "doc_id long, passed boolean, errors long, warnings long")
@@ -275,8 +289,9 @@ def test_zz_scratch_is_cleared(spark, tmp_path):
 
     df = saved(spark.range(3))
     assert df.count() == 3
-    other = shared_folder(spark).removeprefix("file://") + "/siltstone/another-application"
+    other = shared_folder(spark).removeprefix("file://") + f"/siltstone/another-application-{uuid.uuid4().hex}"
     os.makedirs(other)
     clear_scratch(spark)
     assert not os.path.exists(scratch_folder(spark).removeprefix("file://"))
     assert os.path.isdir(other)  # other applications' tables stay
+    os.rmdir(other)
