@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, katz, langid, mixing, perspectives, token_counts, warc
+from . import byte_bpe, exact_dedup, fill_in_middle, fingerprints, jaccard_join, katz, langid, line_dedup, mixing, perspectives, releases, token_counts, warc
 from .common import WORD, crc_mod, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,12 +66,52 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return releases.quarantine(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored()).alias("restored_sha256"))
+
+
+OPERATORS = (
+    op1_mixing,
+    op2_fingerprints,
+    op3_exact_dedup,
+    op4_warc,
+    op5_perspectives,
+    op6_langid,
+    op7_byte_bpe,
+    op8_token_counts,
+    op9_jaccard_join,
+    op10_katz,
+    op11_line_dedup,
+    op12_releases,
+    op13_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_exact_dedup, op4_warc, op5_perspectives, op6_langid, op7_byte_bpe, op8_token_counts, op9_jaccard_join, op10_katz)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op3_exact_dedup": OP3, "op4_warc": OP4, "op5_perspectives": perspectives.ORACLE}
+    return {
+        "op1_mixing": OP1,
+        "op3_exact_dedup": OP3,
+        "op4_warc": OP4,
+        "op5_perspectives": perspectives.ORACLE,
+        "op11_line_dedup": line_dedup.ORACLE,
+        "op12_releases": releases.ORACLE,
+        "op13_fill_in_middle": fill_in_middle.ORACLE,
+    }
 
 
 OP1 = f"""
