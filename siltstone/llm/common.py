@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import delete, dropped, saved, scratch_path
 
-__all__ = ["SPACE_CLASS", "WORD", "crc_mod", "delete", "dropped", "finished", "lower_az", "partitions", "saved", "scratch_path", "table"]
+__all__ = ["SPACE_CLASS", "WORD", "crc_mod", "delete", "dropped", "finished", "free", "hashed_columns", "lower_az", "packed", "partitions", "saved", "scratch_path", "table", "unpacked"]
 
 #: Words are runs of anything but these bytes; ``bytes.split()`` splits on the same set.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -39,3 +39,25 @@ def crc_mod(id_col: str | Column, mod: int) -> Column:
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, made longer until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's rows as one column, row, so that columns made beside it clash with none of its own."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
+def hashed_columns(df: DataFrame, but: str) -> Column:
+    """A hash of all columns of packed rows that Spark can hash, without one: an order for rows that agree otherwise."""
+    plain = [f.name for f in df.schema.fields if f.name != but and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*(F.col("row").getField(c) for c in plain))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, saved, scratch_path
+from .common import hashed_columns, packed, partitions, saved, scratch_path, unpacked
 
 #: Keys in a bucket before it splits, and bits that the directory may use: with more
 #: keys buckets of the greatest depth get longer and stay right.
@@ -233,9 +233,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay."""
-    stay = dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("_raw").alias("__kept_raw"))
-    rows = df.withColumn("__raw", F.xxhash64(text_col))
-    rows = rows.join(stay, rows[id_col].eqNullSafe(F.col("__kept_id")) & (F.col("__raw") == F.col("__kept_raw")))
-    nth = F.row_number().over(W.partitionBy("__kept_id", "__kept_raw").orderBy("__raw"))
-    return rows.withColumn("__nth", nth).filter("__nth = 1").select(*(rows[c] for c in df.columns))
+    """The rows of df that stay; of rows that repeat an id and a text the first by their other columns' hash."""
+    stay = dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("id"), F.col("_raw").alias("text_hash"))
+    rows = packed(df).withColumn("own_hash", F.xxhash64(F.col("row").getField(text_col)))
+    rows = rows.join(stay, F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
+    nth = F.row_number().over(W.partitionBy("id", "text_hash").orderBy(hashed_columns(df, text_col)))
+    return unpacked(rows.withColumn("nth", nth).filter("nth = 1"), df.columns)

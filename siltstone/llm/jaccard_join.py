@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from .arrays import pack as _pack
 from .arrays import unpack as _unpack
-from .common import dropped, finished, partitions, saved
+from .common import dropped, finished, packed, partitions, saved, unpacked
 from .components import contract
 
 WORDS, PERCENT = 5, 75
@@ -554,6 +554,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that share the least id stay together, and so do those of a component without any id.
     """
     stay = join(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("__stay"), F.col("raw").alias("__raw")).distinct()
-    rows = df.join(stay, df[id_col].eqNullSafe(F.col("__stay")) & (F.xxhash64(df[text_col]) == F.col("__raw")))
-    return rows.select(*(df[c] for c in df.columns))
+    stay = stay.select(F.col("doc_id").alias("id"), F.col("raw").alias("text_hash")).distinct()
+    field = F.col("row").getField
+    rows = packed(df).join(stay, field(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(field(text_col)) == F.col("text_hash")))
+    return unpacked(rows, df.columns)

@@ -208,7 +208,7 @@ def _quantiles(rows: DataFrame, model: Model) -> np.ndarray:
         for b in batches:
             for t, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = features(t)
-                if x is not None:
+                if x is not None and a in number:
                     key = (number[a], _bin(x.sum()), min(_CELLS - 1, int(m.predict(x)[1] * _CELLS)))
                     held[key] = held.get(key, 0) + 1
         if held:

@@ -24,10 +24,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WORD, dropped, partitions, saved
+from .common import WORD, dropped, hashed_columns, packed, partitions, saved, unpacked
 
 _POS_BITS = 33  # of monotonically_increasing_id()
 
@@ -96,20 +95,15 @@ def mixing_plan(sized: DataFrame, weights: Sequence[float], cap: float, seed: in
     return rows.select("doc_id", "source", "raw", "size", "source_size", "target", "rate", "offset", "nth", crossed(F.col("nth"), F.col("rate"), F.col("offset")).alias("copies"))
 
 
-def _hashable(kind: T.DataType) -> bool:
-    return not any(x in kind.simpleString() for x in ("map<", "variant"))
-
-
 def mix(docs: DataFrame, weights: Sequence[float], cap: float, seed: int = 0, share: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     plan = mixing_plan(word_counts(docs, id_col, source_col, text_col), weights, cap, seed, share)
     # rows of one id, source and text are neighbours in the order: their first place and their number say all
-    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("raw").alias("__mix_raw"))
-    plan = plan.agg(F.min("nth").alias("__mix_first"), F.sum("copies").alias("__mix_all"), F.first("rate").alias("__mix_rate"), F.first("offset").alias("__mix_offset")).filter("__mix_all > 0")
-    own = docs.withColumn("__mix_text", F.xxhash64(text_col))
-    rows = own.join(plan, own[id_col].eqNullSafe(F.col("__mix_id")) & own[source_col].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_text") == F.col("__mix_raw")))
-    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType) and f.name != text_col]
-    nth = F.row_number().over(W.partitionBy("__mix_id", "__mix_source", "__mix_raw").orderBy(F.xxhash64(*others)))
-    copies = crossed(F.col("__mix_first") + nth - 1, F.col("__mix_rate"), F.col("__mix_offset"))
-    rows = rows.withColumn("__mix_n", copies).filter("__mix_n > 0")
-    return rows.withColumn("__mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("raw").alias("text_hash"))
+    plan = plan.agg(F.min("nth").alias("first"), F.sum("copies").alias("all"), F.first("rate").alias("rate"), F.first("offset").alias("offset")).filter("all > 0")
+    field = F.col("row").getField
+    rows = packed(docs).withColumn("own_hash", F.xxhash64(field(text_col)))
+    rows = rows.join(plan, field(id_col).eqNullSafe(F.col("id")) & field(source_col).eqNullSafe(F.col("of")) & (F.col("own_hash") == F.col("text_hash")))
+    nth = F.row_number().over(W.partitionBy("id", "of", "text_hash").orderBy(hashed_columns(docs, text_col)))
+    rows = rows.withColumn("n", crossed(F.col("first") + nth - 1, F.col("rate"), F.col("offset"))).filter("n > 0")
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), docs.columns)

@@ -24,6 +24,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 
@@ -72,7 +73,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_co
     slim = slim.join(first.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"))
     revisit = (F.col("n") >= min_revisit_bytes) & (F.col("row") != F.col("first.row"))
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "%0D"), "\n", "%0A")
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    # a text id is quoted and escaped, so that no id looks like a null one or ends a line
+    text_id = isinstance(pages.schema[id_col].dataType, T.StringType)
+    named = lambda c: F.coalesce(F.concat(F.lit('"'), F.url_encode(c), F.lit('"')) if text_id else c.cast("string"), F.lit("none"))
     record = lambda of: _record_id(*(F.col(f"{of}{c}") for c in ("page_id", "url", "row")), F.col("name"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}"), _line("Content-Length", F.col("n").cast("string")), F.lit(_CRLF))
     slim = slim.withColumn("http", http)
@@ -108,6 +111,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     stored = stored.select(F.col("name").alias("_name"), F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("binary")).alias("payload"))
     headers = spark.read.parquet(f"{path}/headers")
     rows = headers.join(stored, F.col("name") == F.col("_name"))
+    referred = _field("Page-Referred-To")
+    if isinstance(headers.schema["page_id"].dataType, T.StringType):
+        referred = F.when(referred != "none", F.url_decode(F.regexp_extract(referred, '^"(.*)"$', 1)))
     return rows.select(
         "page_id",
         "header",
@@ -116,7 +122,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Target-URI").alias("url"),
         F.regexp_extract(_field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
-        F.when(F.col("header").contains("\r\nPage-Referred-To: "), _field("Page-Referred-To")).alias("refers_to"),
+        F.when(F.col("header").contains("\r\nPage-Referred-To: "), referred).alias("refers_to"),
         F.regexp_extract("http", r"\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long").alias("payload_length"),
     )
 

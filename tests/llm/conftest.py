@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
 #: Names that operators give to columns of their own.
-CLASHING = ["size", "target", "copies", "keep_id", "text_sha256", "key", "bucket", "n", "ref", "raw", "band", "lang_pred", "score", "rejected", "token_ids", "component_id", "chunk", "data", "kind", "stay", "_pid", "own"]
+CLASHING = ["size", "target", "copies", "keep_id", "text_sha256", "key", "bucket", "n", "ref", "raw", "band", "lang_pred", "score", "rejected", "token_ids", "component_id", "chunk", "data", "kind", "stay", "_pid", "own", "__raw", "__nth", "__kept_id", "__stay", "__mix_n", "__mix_text", "__mix_first", "__langid_score", "__langid_lang_pred", "row", "id", "of", "nth", "text_hash", "own_hash", "rate", "first", "all"]
 WORDS = {"en": "the of and to in that with river stone light house paper".split(), "fr": "le la les des être élève fenêtre garçon très été".split(), "de": "der die das und über straße größe nicht können".split()}
 
 

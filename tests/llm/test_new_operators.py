@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import fill_in_middle, line_dedup, releases
@@ -199,3 +200,33 @@ def test_ranked_bits():
             bits = rng.getrandbits(width) | 1
             ones = [i for i, c in enumerate(f"{bits:0{width}b}") if c == "1"]
             assert [fill_in_middle.place(bits, width, k + 1) for k in range(len(ones))] == ones
+
+
+# names of columns, in all stages that give rows back
+
+
+def test_columns_of_any_name_keep_their_values(docs, rows):
+    """Every row that comes back holds, by value, the extra columns of a row that went in."""
+    from siltstone.llm import exact_dedup, jaccard_join, mixing
+
+    marked = docs
+    extra = [c for c in docs.columns if c not in {"doc_id", "text", "lang", "source", "n_chars"}]
+    for i, c in enumerate(extra):
+        marked = marked.withColumn(c, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for out in (exact_dedup.survivors(marked), jaccard_join.representatives(marked), mixing.mix(marked, (1, 2, 3), 3.0)):
+        found = out.collect()
+        assert out.columns == docs.columns and found
+        for r in found:
+            assert [r[c] for c in extra] == [f"{i}:{'none' if r.doc_id is None else r.doc_id}" for i in range(len(extra))]
+
+
+def test_text_ids_of_pages_come_back(spark, tmp_path):
+    from siltstone.llm import warc
+
+    ids = ["none", None, "", "a\r\nPage: b", "é \"x\"", "%0A+"]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    path = f"file://{tmp_path}/archive"
+    warc.write_archive(pages, path)
+    out = warc.digests(warc.read_archive(spark, path)).collect()
+    assert {r.page_id for r in out} == set(ids)
+    assert {(r.record_type, r.refers_to) for r in out} == {("response", None), ("revisit", "")}
