@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import byte_bpe, exact_dedup, jaccard_join, langid, mixing
-from siltstone.llm.common import crc_mod, saved, table
+from siltstone.llm.common import crc_mod, free, saved, table
 from siltstone.llm.queries import CAP, WEIGHTS
 from siltstone.session import ready
 
@@ -24,8 +24,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     ready(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang").filter(crc_mod("doc_id", 4) != 2))
-    rows = langid.identify(docs, model, prefix="__langid_")
-    return rows.filter(~F.col("__langid_rejected")).select(*docs.columns)
+    prefix = free(docs, "langid_")
+    rows = langid.identify(docs, model, prefix=prefix)
+    return rows.filter(~F.col(f"{prefix}rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
