@@ -13,9 +13,11 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import dropped as _dropped
 from ..session import saved as _saved
+from .components import strong_components
 
 
 def resolve(nodes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -40,17 +42,26 @@ def _rounds(max_depth: int | None):
     return count(1) if max_depth is None else range(1, max_depth + 1)
 
 
+#: Rounds after which what was seen is written as one table, so that a round reads few.
+_COMPACT = 8
+
+
+def _with(seen: DataFrame, more: DataFrame, r: int) -> DataFrame:
+    seen = seen.unionByName(more)
+    return _saved(seen, "seen") if r % _COMPACT == 0 else seen
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): what each start reaches along edges, and the fewest steps; at most max_depth unless None."""
-    e = edges.select("src", "dst").distinct()
-    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0))
+    e = _saved(edges.select("src", "dst").distinct(), "edges")
+    seen = _saved(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "starts")
     frontier = seen
     for d in _rounds(max_depth):
         nxt = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = _saved(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = _with(seen, frontier, d)
     return seen.filter("depth > 0")
 
 
@@ -61,30 +72,67 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "high").when(F.col("affected") > 3, "medium").otherwise("low"))
 
 
+def leading_to(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(node): goals (node), and what reaches one."""
+    own = frontier = _saved(goals.select("node").distinct(), "goals")
+    for r in count(1):
+        back = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        frontier = _saved(back.join(own, "node", "left_anti"), "back")
+        if frontier.isEmpty():
+            break
+        own = _with(own, frontier, r)
+    return own
+
+
 def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(start, goal, path): one shortest path each (the least by node names); of any length if max_depth is None."""
-    e = edges.select("src", "dst").distinct()
-    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("path", F.array(F.col("node")))
-    frontier = seen
-    for _ in _rounds(max_depth):
-        nxt = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        nxt = nxt.groupBy("start", "node").agg(F.min("path").alias("path"))
-        frontier = _saved(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+    """(start, goal, path): one shortest path each (the least by node names); of any length if max_depth is None.
+
+    A search back from all goals leaves the edges that can lead to one. The search from the starts keeps a row for each node it
+    visits: its predecessor, and its rank among the nodes of its depth, which orders their least paths. The
+    paths of the goals are rebuilt from these pointers, one depth after the other.
+    """
+    e = _saved(edges.select("src", "dst").distinct(), "edges")
+    useful = leading_to(e, goals)
+    e = _saved(e.join(useful.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
+    # a start that leads to no goal has no chain
+    firsts = starts.select("node").distinct().join(useful, "node", "left_semi")
+    frontier = _saved(firsts.select(F.col("node").alias("start"), "node", F.lit(1).alias("rank")), "frontier")
+    seen, depths = frontier.select("start", "node"), []
+    for d in _rounds(max_depth):
+        nxt = frontier.join(e, frontier["node"] == e["src"]).groupBy("start", F.col("dst")).agg(F.min(F.struct("rank", F.col("node").alias("pred"))).alias("by"))
+        nxt = nxt.select("start", F.col("dst").alias("node"), "by").join(seen, ["start", "node"], "left_anti")
+        order = W.partitionBy("start").orderBy("by.rank", "node")
+        frontier = _saved(nxt.select("start", "node", F.col("by.pred").alias("pred"), F.row_number().over(order).alias("rank")), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.size("path") > 1).join(goals.select(F.col("node")).distinct(), "node", "left_semi").select("start", F.col("node").alias("goal"), "path")
+        depths.append(frontier)
+        seen = _with(seen, frontier.select("start", "node"), d)
+    ends = goals.select("node").distinct()
+    open_ = None  # (start, goal, node, path): paths of goals, from their end back to node
+    for n, at in enumerate(reversed(depths), 1):
+        own = at.join(ends, "node", "left_semi").select("start", F.col("node").alias("goal"), "node", F.array("node").alias("path"))
+        open_ = own if open_ is None else open_.union(own)
+        step = open_.join(at.select("start", "node", "pred"), ["start", "node"])
+        open_ = step.select("start", "goal", F.col("pred").alias("node"), F.concat(F.array("pred"), "path").alias("path"))
+        open_ = _saved(open_, "paths") if n % 4 == 0 else open_
+    if open_ is None:
+        return seen.filter("false").select("start", F.col("node").alias("goal"), F.array("node").alias("path"))
+    return open_.select("start", "goal", "path")
 
 
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """(path): every cycle, from its least node; of at most max_length different nodes unless None.
 
-    Paths only pass nodes above their start, so each cycle is found once.
+    A cycle stays inside a strongly connected component, so only the edges inside components are walked: where there is no cycle,
+    no path is listed. Paths only pass nodes above their start, so each cycle is found once.
     """
-    e = edges.select("src", "dst").distinct()
-    paths = e.filter("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst")).alias("path"))
-    found = [paths.filter("start = node").select("path")]
-    paths = paths.filter("start < node")
+    loops = edges.filter("src = dst").select("src").distinct().select(F.array("src").alias("path"))
+    e = _saved(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
+    parts = strong_components(e)
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    e = _saved(e.join(of("src"), "src").join(of("dst"), "dst").filter("csrc = cdst").select("src", "dst"), "edges")
+    paths = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+    found = [loops]
     for _ in _rounds(None if max_length is None else max_length - 1):
         if paths.isEmpty():
             break
@@ -150,8 +198,6 @@ def layer_violations(edges: DataFrame, layers: DataFrame, allowed: Sequence[tupl
 
 def expand(edges: DataFrame, starts: DataFrame, max_depth: int = 3, max_files: int = 50) -> DataFrame:
     """(start, node, depth) of the first max_files by depth and name, the start included: a feature of the report."""
-    from pyspark.sql import Window as W
-
     rows = reach(edges, starts, max_depth).unionByName(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("start").orderBy("depth", "node"))).filter(F.col("_n") <= max_files).drop("_n")
 

@@ -136,7 +136,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, text_weight: float = 0.3, vector_weight: float = 0.7, least: float = 0.1) -> DataFrame:
     """Weighted sums of two top lists (query, id, score); scores under least go."""
     both = text_hits.select("query", "id", (F.col("score") * text_weight).alias("score")).unionByName(vector_hits.select("query", "id", (F.col("score") * vector_weight).alias("score")))
-    return top_k(both.groupBy("query", "id").agg(F.sum("score").alias("score")).filter(F.col("score") >= least), min(k, 10))
+    return top_k(both.groupBy("query", "id").agg(F.sum("score").alias("score")).filter(F.col("score") >= least), k)
 
 
 def recall(entries: DataFrame, queries: DataFrame, k: int, least: float = 0.3, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift, graph
+from ..operators import components, drift, graph
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -38,7 +38,7 @@ def files(spark, d):
 
 
 def starts(spark, d):
-    return table(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("node"))
+    return table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
 
 
 _E = "WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey * 8 % ((SELECT count(*) FROM part) + 1) FROM part WHERE p_size > 45 AND p_partkey > 0) WHERE src <> dst AND dst > 0)"
@@ -66,24 +66,24 @@ def call_resolution(spark, d):
     return calls.join(targets, "ref").select("src", "targets")
 
 
-@query(f"{_E}, r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_size = 50 UNION SELECT start, src FROM r JOIN e ON node = dst), a AS (SELECT start AS node, count(*) - 1 AS affected FROM r GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")
+@query(f"{_E}, r AS (SELECT p_partkey AS start, p_partkey AS node FROM part WHERE p_partkey % 50 = 0 UNION SELECT start, src FROM r JOIN e ON node = dst), a AS (SELECT start AS node, count(*) - 1 AS affected FROM r GROUP BY start) SELECT node, affected, CASE WHEN affected > 10 THEN 'high' WHEN affected > 3 THEN 'medium' ELSE 'low' END AS risk FROM a")
 def impact(spark, d):
     return graph.impact(edges(spark, d), starts(spark, d))
 
 
-@query(f"{_E}, {_reach('p_size = 50', 'src', 'dst', 4)} SELECT start, node, depth FROM m WHERE depth > 0")
+@query(f"{_E}, {_reach('p_partkey % 50 = 0', 'src', 'dst', 4)} SELECT start, node, depth FROM m WHERE depth > 0")
 def deps_k(spark, d):
     return graph.reach(edges(spark, d), starts(spark, d), 4)
 
 
-@query(f"{_E}, {_reach('p_size = 50', 'dst', 'src', 3)} SELECT start, node, depth FROM m WHERE depth > 0")
+@query(f"{_E}, {_reach('p_partkey % 50 = 0', 'dst', 'src', 3)} SELECT start, node, depth FROM m WHERE depth > 0")
 def dependents_k(spark, d):
     return graph.reach(graph.reverse(edges(spark, d)), starts(spark, d), 3)
 
 
-@query(f"{_E}, p AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_size = 50 UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) <= 60 AND NOT list_contains(path, dst)), b AS (SELECT start, node, min((len(path), path)) AS m FROM p WHERE len(path) > 1 GROUP BY start, node) SELECT start, node AS goal, array_to_string(m[2], '>') AS path FROM b WHERE node <= 20")
+@query(f"{_E}, p AS (SELECT p_partkey AS start, p_partkey AS node, [p_partkey] AS path FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT start, dst, list_append(path, dst) FROM p JOIN e ON node = src WHERE len(path) <= 60 AND NOT list_contains(path, dst)), b AS (SELECT start, node, min((len(path), path)) AS m FROM p WHERE len(path) > 1 GROUP BY start, node) SELECT start, node AS goal, array_to_string(m[2], '>') AS path FROM b WHERE node % 50 = 1")
 def call_chain(spark, d):
-    goals = table(spark, d, "part").filter("p_partkey <= 20").select(F.col("p_partkey").alias("node"))
+    goals = table(spark, d, "part").filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("node"))
     out = graph.chains(edges(spark, d), starts(spark, d), goals)
     return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
@@ -99,6 +99,13 @@ def cycles(spark, d):
     return graph.cycles(edges(spark, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query(f"""{_E}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT n AS node, least(n, coalesce(min(b) FILTER (EXISTS (SELECT 1 FROM r s WHERE s.a = r.b AND s.b = r.a)), n)) AS component
+FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) LEFT JOIN r ON a = n GROUP BY n""")
+def strong_components(spark, d):
+    return components.strong_components(edges(spark, d))
+
+
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1), s AS (SELECT DISTINCT dst AS node, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION ALL SELECT src, level + 1 FROM s JOIN e ON node = dst) SELECT node, max(level) AS level FROM s GROUP BY node")
 def topo_levels(spark, d):
     return graph.levels(tree(spark, d))
@@ -110,7 +117,7 @@ def layer_violations(spark, d):
     return graph.layer_violations(edges(spark, d), layers, [(1, 0), (2, 1)])
 
 
-@query(f"{_E}, {_reach('p_size = 50', 'src', 'dst', 3)}, n AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS n FROM m) SELECT start, node, depth FROM n WHERE n <= 50")
+@query(f"{_E}, {_reach('p_partkey % 50 = 0', 'src', 'dst', 3)}, n AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS n FROM m) SELECT start, node, depth FROM n WHERE n <= 50")
 def expand_dependencies(spark, d):
     return graph.expand(edges(spark, d), starts(spark, d), 3, 50)
 
@@ -127,7 +134,7 @@ def file_dependencies(spark, d):
     return graph.file_edges(edges(spark, d), files(spark, d)).withColumn("targets", F.count(F.lit(1)).over(W.partitionBy("src")))
 
 
-@query(f"{_E}, {_reach('p_size = 50', 'src', 'dst', 3)}, s AS (SELECT m.*, p_retailprice / 10000 AS score FROM m JOIN part ON node = p_partkey) SELECT start, round(sum(score / (1 + depth)) / sum(1 / (1 + depth)), 6) AS weighted, arg_min(node, (-score, node)) AS worst, count_if(score > 0.15) AS concerning, count(*) AS files FROM s GROUP BY start")
+@query(f"{_E}, {_reach('p_partkey % 50 = 0', 'src', 'dst', 3)}, s AS (SELECT m.*, p_retailprice / 10000 AS score FROM m JOIN part ON node = p_partkey) SELECT start, round(sum(score / (1 + depth)) / sum(1 / (1 + depth)), 6) AS weighted, arg_min(node, (-score, node)) AS worst, count_if(score > 0.15) AS concerning, count(*) AS files FROM s GROUP BY start")
 def arch_drift(spark, d):
     s = starts(spark, d)
     rows = graph.reach(edges(spark, d), s, 3).unionByName(s.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")))

@@ -121,7 +121,7 @@ def entry_points(spark, d):
     return graph.entry_points(g.edges(spark, d))
 
 
-@query(f"{g._E}, {g._reach('p_size = 50', 'src', 'dst', 3)}, r2 AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_size = 50 UNION SELECT start, src, depth + 1 FROM r2 JOIN e ON node = dst WHERE depth < 3), m2 AS (SELECT start, node, min(depth) AS depth FROM r2 GROUP BY start, node), u AS (SELECT start, 'calls' AS direction, depth, node FROM m WHERE depth > 0 UNION ALL SELECT start, 'callers', depth, node FROM m2 WHERE depth > 0) SELECT start, direction, depth, array_to_string(list_sort(list(node)), ',') AS nodes FROM u GROUP BY start, direction, depth")
+@query(f"{g._E}, {g._reach('p_partkey % 50 = 0', 'src', 'dst', 3)}, r2 AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0 UNION SELECT start, src, depth + 1 FROM r2 JOIN e ON node = dst WHERE depth < 3), m2 AS (SELECT start, node, min(depth) AS depth FROM r2 GROUP BY start, node), u AS (SELECT start, 'calls' AS direction, depth, node FROM m WHERE depth > 0 UNION ALL SELECT start, 'callers', depth, node FROM m2 WHERE depth > 0) SELECT start, direction, depth, array_to_string(list_sort(list(node)), ',') AS nodes FROM u GROUP BY start, direction, depth")
 def full_context(spark, d):
     out = graph.full_context(g.edges(spark, d), g.starts(spark, d), 3)
     return out.withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ","))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from ..operators import code, graph, layers, lines, packs, validate
+from ..operators import code, graph, layers, lines, matching, packs, validate
 from ..sources.tables import table
 from . import samples
 
@@ -158,3 +158,42 @@ def property_features(spark, d):
     at = lambda i: F.round(F.col("features")[i], 6)
     kind = F.array_position(F.slice("features", 1, 18), F.lit(1.0)) - 1
     return out.select("node", kind.alias("kind"), at(26).alias("in_degree"), at(27).alias("out_degree"), at(29).alias("has_cfg"), at(31).alias("has_call"), at(32).alias("entry"), at(33).alias("centrality"), F.size("features").alias("features"))
+
+
+# a pack of thousands of literal rules: all runs of two and of three words of the benchmark's items
+_PHRASES = """WITH w AS (SELECT string_split(text, ' ') AS ws FROM benchmark),
+i AS (SELECT ws, unnest(range(1, len(ws))) AS i FROM w),
+p AS (SELECT DISTINCT unnest([ws[i] || ' ' || ws[i + 1], ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]]) AS needle FROM i),
+n AS (SELECT needle, 'P-' || left(md5(needle), 12) AS rule_id FROM p WHERE needle IS NOT NULL)"""
+
+
+def phrases(spark, d):
+    """(rule_id, needle)."""
+    words = table(spark, d, "benchmark").select(F.split("text", " ").alias("ws"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - n + 1)), lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " "))
+    whole = lambda n: F.when(F.size("ws") >= n, run(n)).otherwise(F.array().cast("array<string>"))
+    needles = words.select(F.explode(F.concat(whole(2), whole(3))).alias("needle")).distinct()
+    return needles.select(F.concat(F.lit("P-"), F.left(F.md5("needle"), F.lit(12))).alias("rule_id"), "needle")
+
+
+def _phrase_sql(tab: str, key: str, col: str) -> str:
+    before = "left(t, strpos(t, needle) - 1)"
+    return f"""{_PHRASES}, t AS (SELECT {key}, coalesce({col}, '') AS t FROM {tab})
+SELECT {key}, rule_id, CAST((strlen(t) - strlen(replace(t, needle, ''))) // strlen(needle) AS BIGINT) AS count,
+  CAST(length({before}) - length(replace({before}, chr(10), '')) + 1 AS INT) AS line FROM t JOIN n ON contains(t, needle)"""
+
+
+@query(_phrase_sql("documents", "doc_id", "text"))
+def large_pack_documents(spark, d):
+    return matching.literal_findings(table(spark, d, "documents"), phrases(spark, d), ["doc_id"])
+
+
+@query(_phrase_sql("pages", "page_id", "html"))
+def large_pack_pages(spark, d):
+    return matching.literal_findings(table(spark, d, "pages"), phrases(spark, d), ["page_id"], "html")
+
+
+@query(_phrase_sql("documents", "doc_id", "text"))
+def large_pack_joined(spark, d):
+    """The same, as for a pack that is too large to be sent to all tasks."""
+    return matching.literal_findings(table(spark, d, "documents"), phrases(spark, d), ["doc_id"], pack_bytes=0)
