@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from ..functions.scores import PENALTIES, SEVERITIES
+from ..operators.layers import COMMENT, GUARDS, SAFETY
 from ..operators.patterns import Pattern, parse
 from ..operators.rules import Rule
 
@@ -72,3 +74,28 @@ def totals_sql(key: str) -> str:
     sums = ", ".join(f"CAST(coalesce(sum(n) FILTER (severity = '{s}'), 0) AS BIGINT) AS n_{s}" for s in SEVERITIES)
     cases = " ".join(f"WHEN '{s}' THEN {p}::DOUBLE" for s, p in PENALTIES.items())
     return f"SELECT {key}, {sums}, sum(n * CASE severity {cases} END) AS penalty FROM f GROUP BY {key}"
+
+
+def line_rule_sql(rule, comment: str) -> str:
+    """Whether a line, content, has a line rule's hit: as layers.line_findings, but for rules that ask for loops."""
+    needle, quote = _quoted(rule.needle), _quoted('"')
+    before = f"left(content, strpos(content, {needle}) - 1)"
+    ok = [f"contains(content, {needle})", f"(length({before}) - length(replace({before}, {quote}, ''))) % 2 = 0"]
+    if rule.whole_word:
+        ok.append(f"regexp_matches(content, {_quoted('(^|[^A-Za-z0-9_.])' + re.escape(rule.needle) + ('($|[^A-Za-z0-9_])' if rule.needle[-1].isalnum() else ''))})")
+    if not rule.in_comments:
+        ok.append(f"NOT regexp_matches(content, {_quoted(comment)})")
+    context = {"unguarded": "NOT guarded", "unexplained": "NOT explained", "no_enum": "NOT regexp_matches(content, '==.*::')"}
+    return " AND ".join(ok + ([context[rule.context]] if rule.context else []))
+
+
+def line_pack_sql(table: str, key: str, col: str, packs: dict[str, tuple[Sequence, str]], expressions: dict[str, Sequence]) -> str:
+    """(layer, rule_id, key, line) of packs of line rules (with their comments) and of expressions over the lines of a table."""
+    each = [f"SELECT {key}, line, '{layer}' AS layer, '{r.rule_id}' AS rule_id FROM x WHERE {line_rule_sql(r, comment)}" for layer, (rules, comment) in packs.items() for r in rules]
+    each += [f"SELECT {key}, line, '{layer}', '{i}' FROM x WHERE regexp_matches(content, {_quoted(rx)})" for layer, rules in expressions.items() for i, rx, _ in rules]
+    return f"""WITH t AS (SELECT {key}, coalesce({col}, '') AS txt FROM {table}),
+l0 AS (SELECT {key}, string_split(replace(txt, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM t),
+l AS (SELECT {key}, unnest(ls) AS content, unnest(range(1, len(ls) + 1)) AS line FROM l0),
+x AS (SELECT *, max(regexp_matches(content, {_quoted(GUARDS)})::INT) OVER (PARTITION BY {key} ORDER BY line ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) = 1 AS guarded,
+        max((regexp_matches(content, {_quoted(COMMENT)}) AND regexp_matches(content, {_quoted(SAFETY)}))::INT) OVER (PARTITION BY {key} ORDER BY line ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 AS explained FROM l)
+SELECT DISTINCT {key}, CAST(line AS INT) AS line, layer, rule_id FROM ({" UNION ALL ".join(each)})"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code, graph, layers, lines, matching, packs, validate
 from ..sources.tables import table
-from . import samples
+from . import pack, samples
 
 QUERIES, SQL = {}, {}
 
@@ -197,3 +197,31 @@ def large_pack_pages(spark, d):
 def large_pack_joined(spark, d):
     """The same, as for a pack that is too large to be sent to all tasks."""
     return matching.literal_findings(table(spark, d, "documents"), phrases(spark, d), ["doc_id"], pack_bytes=0)
+
+
+# the packs over the lines of real tables; loops are of code, which these tables have none of
+_LOGIC = [r for r in packs.LOGIC if r.context != "in_loop" and r.language is None]
+_PACKS = {"logic": (_LOGIC, layers.COMMENT), "security": (packs.SECURITY, layers.CODE_COMMENT)}
+
+
+def _packs_over(rows, key):
+    """The three packs over one table of lines."""
+    of = lambda found, layer: found.select(key, "line", F.lit(layer).alias("layer"), "rule_id")
+    found = [of(layers.line_findings(rows, [key], rules, comment=comment), layer) for layer, (rules, comment) in _PACKS.items()]
+    return found[0].unionByName(found[1]).unionByName(of(layers.regex_findings(rows, [key], packs.FALLBACK), "fallback_security"))
+
+
+@query(pack.line_pack_sql("documents", "doc_id", "text", _PACKS, {"fallback_security": packs.FALLBACK}))
+def packs_over_documents(spark, d):
+    return _packs_over(lines.line_table(table(spark, d, "documents"), ["doc_id"]), "doc_id").distinct()
+
+
+# a script may hold what a rule of code asks for, and a page links to others
+_PAGE_RULES = [*packs.SECURITY, layers.LineRule("PAGE_SCRIPT", "<script", "warning"), layers.LineRule("PAGE_STYLE", "<style", "info"), layers.LineRule("PAGE_LINK", "<a href=", "info")]
+
+
+@query(pack.line_pack_sql("pages", "page_id", "html", {"security": (_PAGE_RULES, layers.CODE_COMMENT)}, {"fallback_security": packs.FALLBACK}))
+def packs_over_pages(spark, d):
+    rows = lines.line_table(table(spark, d, "pages"), ["page_id"], "html")
+    found = layers.line_findings(rows, ["page_id"], _PAGE_RULES, comment=layers.CODE_COMMENT).select("page_id", "line", F.lit("security").alias("layer"), "rule_id")
+    return found.unionByName(layers.regex_findings(rows, ["page_id"], packs.FALLBACK).select("page_id", "line", F.lit("fallback_security").alias("layer"), "rule_id")).distinct()

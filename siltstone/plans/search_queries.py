@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, SUFFIXES
-from ..operators import dedup, search, vector_index
+from ..operators import components, dedup, search, vector_index
+from ..operators.term_index import SegmentedIndex
+from ..session import saved, scratch_path
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -92,11 +94,28 @@ def near_dups(spark, d):
     return dedup.near_pairs(documents(spark, d), "doc_id", "text", 0.85).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT sha256(text) AS digest, max_by(doc_id, (n_chars, doc_id)) AS id, max(n_chars) AS recall_count, min(doc_id) AS created_at, to_json(list_sort(list(DISTINCT source)))::VARCHAR AS errors, count(*) AS merged FROM documents GROUP BY text")
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text), s AS (SELECT id, {_WORDS} AS w FROM o),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb
+      FROM s a JOIN s b ON a.id < b.id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) AND len(a.w) > 0),
+l AS (SELECT a, b FROM p WHERE c / (na + nb - c) >= 0.85), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT o.id, o.text, least(o.id, coalesce(min(b), o.id)) AS component FROM o LEFT JOIN r ON r.a = o.id GROUP BY o.id, o.text)
+SELECT component, max_by(doc_id, (doc_id, doc_id)) AS id, max(n_chars) AS recall_count, min(doc_id) AS created_at,
+  to_json(list_sort(list(DISTINCT source)))::VARCHAR AS errors, count(*) AS merged
+FROM documents d JOIN k ON d.text IS NOT DISTINCT FROM k.text GROUP BY component""")
 def dup_merge(spark, d):
-    rows = documents(spark, d).select(F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.col("n_chars").alias("recall_count"), F.array("source").alias("errors"), F.lit(None).cast("boolean").alias("helpful"))
-    out = dedup.merged(rows, ["digest"])
-    return out.select("digest", "id", "recall_count", "created_at", F.to_json("errors").alias("errors"), "merged")
+    """Entries that near likeness connects, directly or through others, as one."""
+    docs = documents(spark, d)
+    same = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("ref"))
+    pairs = dedup.near_pairs(docs, "doc_id", "text", 0.85).select("a", "b")
+    near = components.connected(saved(pairs, "pairs"))
+    rows = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(same, "digest").join(near, "ref", "left")
+    rows = rows.select(F.coalesce("comp", "ref").alias("component"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), F.col("n_chars").alias("recall_count"), F.array("source").alias("errors"), F.lit(None).cast("boolean").alias("helpful"))
+    out = dedup.merged(rows, ["component"])
+    return out.select("component", "id", "recall_count", "created_at", F.to_json("errors").alias("errors"), "merged")
 
 
 TOPICS = {"create": ["make", "the", "neue", "crear"], "fix": ["er", "on", "fix"], "explain": ["que", "what", "nicht"], "review": ["license", "check"]}
@@ -162,3 +181,60 @@ def vector_index_exact(spark, d):
 def vector_index_topk(spark, d):
     """By the cells that hold most neighbours; tests hold its recall to 0.9 at least."""
     return _by_index(spark, d, False)
+
+
+def _segments(spark, d):
+    return SegmentedIndex.open(spark, scratch_path(spark, "segments"))
+
+
+def _hits(index, spark, d):
+    return index.search(table(spark, d, "benchmark"), 10).withColumn("score", F.round("score", 6))
+
+
+_RANKED = "SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
+
+
+@query(f"{_TFIDF} {_RANKED}")
+def index_add(spark, d):
+    """Two additions find what one index of all documents finds."""
+    docs = documents(spark, d)
+    return _hits(_segments(spark, d).add(docs.filter("doc_id % 3 = 0")).add(docs.filter("doc_id % 3 <> 0")), spark, d)
+
+
+@query(f"{_TFIDF} {_RANKED}")
+def index_replace(spark, d):
+    """Documents with other texts are replaced by their own."""
+    docs = documents(spark, d)
+    other = docs.withColumn("text", F.concat_ws(" ", "text", F.reverse("text"), F.lit("replaced")))
+    return _hits(_segments(spark, d).add(other).add(docs), spark, d)
+
+
+_LEFT = _TFIDF.replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang IS DISTINCT FROM 'en')")
+
+
+@query(f"{_LEFT} {_RANKED}")
+def index_remove(spark, d):
+    """All documents, without those of one language."""
+    docs = documents(spark, d)
+    return _hits(_segments(spark, d).add(docs).remove(docs.filter("lang = 'en'").select(F.col("doc_id").alias("id"))), spark, d)
+
+
+@query(f"{_LEFT} {_RANKED}")
+def index_compact(spark, d):
+    """The same after compaction into one segment."""
+    docs = documents(spark, d)
+    index = _segments(spark, d).add(docs).remove(docs.filter("lang = 'en'").select(F.col("doc_id").alias("id"))).compact()
+    return _hits(index, spark, d)
+
+
+@query("""SELECT 'added' AS step, count(*) AS documents FROM documents UNION ALL SELECT 'replaced', count(*) FROM documents
+UNION ALL SELECT 'removed', count(*) FROM documents WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT 'compacted', count(*) FROM documents WHERE lang IS DISTINCT FROM 'en' UNION ALL SELECT 'cleared', 0""")
+def index_len(spark, d):
+    """The number of documents after each kind of change."""
+    docs = documents(spark, d)
+    index, out = _segments(spark, d), []
+    english = docs.filter("lang = 'en'")
+    for step, change in (("added", lambda: index.add(docs)), ("replaced", lambda: index.add(english)), ("removed", lambda: index.remove(english.select(F.col("doc_id").alias("id")))), ("compacted", index.compact), ("cleared", index.clear)):
+        change()
+        out.append((step, len(index)))
+    return spark.createDataFrame(out, "step string, documents long")
