@@ -42,13 +42,19 @@ def not_revoked(certificates: DataFrame, revoked: DataFrame) -> DataFrame:
 
 
 def audit_chain(entries: DataFrame, key: str) -> DataFrame:
-    """entries (ts, id, action, subject) of each key with a digest over their own fields and the previous entry's.
+    """entries (ts, id, action, subject) of each key with own_hash, seq, prev_hash (the link before it) and link.
 
-    Each entry names its predecessor's content, so a change breaks the next link.
+    Links accumulate: a link is the digest of its number and of four running sums over 48-bit pieces of the digests of all entries up to
+    it, each with its number, so an entry that is changed, dropped, added or moved changes every later link. Sums are one
+    window, which no key's entries have to be gathered for.
     """
     from pyspark.sql import Window as W
 
-    own = F.sha2(canonical("id", "ts", "action", "subject"), 256)
     w = W.partitionBy(key).orderBy("ts", "id")
-    rows = entries.withColumn("own_hash", own).withColumn("seq", F.row_number().over(w)).withColumn("prev_hash", F.coalesce(F.lag("own_hash").over(w), F.lit("")))
-    return rows.withColumn("link", F.sha2(F.concat_ws(":", "prev_hash", "own_hash"), 256))
+    rows = entries.withColumn("own_hash", F.sha2(canonical("id", "ts", "action", "subject"), 256)).withColumn("seq", F.row_number().over(w))
+    rows = rows.withColumn("_d", F.sha2(F.concat_ws(":", F.col("seq").cast("string"), "own_hash"), 256))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    piece = lambda n: F.conv(F.substring("_d", 12 * n + 1, 12), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(piece(n)).over(upto).cast("string") for n in range(4)]
+    rows = rows.withColumn("link", F.sha2(F.concat_ws(":", F.col("seq").cast("string"), *sums), 256)).drop("_d")
+    return rows.withColumn("prev_hash", F.coalesce(F.lag("link").over(w), F.lit("")))

@@ -102,9 +102,10 @@ def _test_lines(text: str) -> list[bool]:
     return out
 
 
-def flagged_lines(texts: DataFrame, key: Sequence[str], text_col: str = "text") -> DataFrame:
-    """(key, line, content, in_loop, in_test) of sources."""
-    rows = texts.select(*key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_l"), loop_lines(F.col(text_col)).alias("_f"), test_lines(F.col(text_col)).alias("_t"))
+def flagged_lines(texts: DataFrame, key: Sequence[str], text_col: str = "text", rules: Sequence[LineRule] | None = None) -> DataFrame:
+    """(key, line, content, in_loop, in_test) of sources; loops are only sought if one of the rules asks for them."""
+    loops = loop_lines(F.col(text_col)) if rules is None or any(r.context == "in_loop" for r in rules) else F.array().cast("array<boolean>")
+    rows = texts.select(*key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_l"), loops.alias("_f"), test_lines(F.col(text_col)).alias("_t"))
     flag = lambda c: F.coalesce(f"_z.{c}", F.lit(False))
     return rows.select(*key, F.posexplode(F.arrays_zip("_l", "_f", "_t")).alias("_i", "_z")).select(*key, (F.col("_i") + 1).alias("line"), F.regexp_replace("_z._l", "\r$", "").alias("content"), flag("_f").alias("in_loop"), flag("_t").alias("in_test"))
 
@@ -240,6 +241,53 @@ def complexity(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return run.withColumn("_n", before).groupBy(*key).agg((F.sum("_b") + 1).alias("cyclomatic"), F.sum(F.col("_b") * (1 + F.col("_n"))).alias("cognitive"), F.max("_d").alias("max_nesting"))
 
 
+#: What defines something that calls, by language: the name is the group.
+DEFINITIONS = {
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+([A-Za-z_]\w*)",
+    "python": r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)",
+    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?\s+([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function|\([^)]*\)\s*=>))",
+    "go": r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
+    "c": r"^(?:[A-Za-z_][\w:<>*&,]*\s+)+\**([A-Za-z_]\w*)\s*\([^;]*$",
+    "html": r"^<(nav|article|header|footer|section|aside|main|body)\b",
+}
+#: What refers to something, where it is not a name before a bracket.
+REFERENCES = {"html": r'^<a [^>]*href="/?([^"]+)"'}
+#: Words before brackets that call nothing.
+KEYWORDS = ["if", "for", "while", "switch", "match", "return", "catch", "fn", "def", "func", "function", "sizeof", "and", "or", "not", "in", "elif", "loop", "await", "yield", "class", "new", "assert", "print", "with", "lambda", "case", "else", "do"]
+
+
+def definitions(rows: DataFrame, key: Sequence[str], language: str) -> DataFrame:
+    """(key, name, line) of what lines (key, line, content) define."""
+    return _defined(rows, language).filter("_def IS NOT NULL").select(*key, F.col("_def").alias("name"), "line")
+
+
+def _defined(rows: DataFrame, language: str) -> DataFrame:
+    rx = DEFINITIONS[language]
+    groups = re.compile(rx).groups
+    names = [F.nullif(F.regexp_extract("content", rx, n + 1), F.lit("")) for n in range(groups)]
+    return rows.withColumn("_def", F.coalesce(*names) if groups > 1 else names[0])
+
+
+def calls(rows: DataFrame, key: Sequence[str], language: str) -> DataFrame:
+    """(key, line, caller, ref): what lines refer to, and the definition that encloses them: the last one above.
+
+    Strings and comment lines do not count. The enclosing definition is carried over the lines of a file by one window; calls before any
+    definition have none.
+    """
+    rows = _defined(rows, language)
+    if language in REFERENCES:
+        found = F.regexp_extract_all("content", F.lit(REFERENCES[language]), 1)
+    else:
+        plain = F.regexp_replace("content", r"\"(?:[^\"\\]|\\.)*\"", '\"\"')
+        names = F.regexp_extract_all(plain, F.lit(r"([A-Za-z_][\w$]*(?:(?:::|\.)[A-Za-z_][\w$]*)*)!?\s*\("), 1)
+        # a name that the line defines stands before a bracket as well
+        found = F.filter(names, lambda x: ~x.isin(*KEYWORDS) & ~x.eqNullSafe(F.col("_def")))
+        found = F.when(F.col("content").rlike(COMMENT), F.array().cast("array<string>")).otherwise(found)
+    above = W.partitionBy(*key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("caller", F.last("_def", ignorenulls=True).over(above))
+    return rows.select(*key, "line", "caller", F.explode(found).alias("ref"))
+
+
 def imports(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, line, module, wildcard) of import lines."""
     m = F.coalesce(*(F.when(F.col("content").rlike(rx), F.regexp_extract("content", rx, 1)) for rx in (r"^\s*from\s+([\w.]+)\s+import", r"^\s*import\s+([\w.]+)", r"^\s*use\s+([\w:]+)", r"^\s*import\s.*from\s+['\"]([^'\"]+)", r"^\s*#include\s+[<\"]([^>\"]+)")))

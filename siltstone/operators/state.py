@@ -42,13 +42,28 @@ def tier(rule: Column, domain: Column) -> Column:
 
 
 def exempted(violations: DataFrame, exemptions: DataFrame) -> DataFrame:
-    """violations (rule_id, path) with the first exemption (ordinal) whose scope has them: file, dir, glob or project."""
+    """violations (rule_id, path) with the first exemption (ordinal) whose scope has them: file, dir, glob or project.
+
+    A scope is filed under the folder that it names (a glob under what stands before its first wildcard), a path asks each folder
+    above it: an equi-join, in which a rule with very many exemptions shows a path those of its own folders alone.
+    """
     from ..functions.text import glob_column
 
-    e = exemptions.select(F.col("rule_id").alias("_r"), "scope_kind", "scope_value", "ordinal", F.col("id").alias("exemption"), glob_column(F.col("scope_value")).alias("_g"))
-    hit = (F.col("scope_kind") == "project") | ((F.col("scope_kind") == "file") & (F.col("path") == F.col("scope_value"))) | ((F.col("scope_kind") == "dir") & F.startswith("path", F.concat(F.rtrim(F.col("scope_value")), F.lit("/")))) | ((F.col("scope_kind") == "glob") & F.expr("path rlike _g"))
+    value = F.coalesce(F.col("scope_value"), F.lit(""))
+    fixed = F.regexp_extract(value, r"^([^*?]*)/[^/]*[*?]", 1)
+    of = F.when(F.col("scope_kind") == "project", "p:").when(F.col("scope_kind") == "file", F.concat(F.lit("f:"), value)).when(F.col("scope_kind") == "dir", F.concat(F.lit("d:"), F.rtrim(value)))
+    of = of.when((F.col("scope_kind") == "glob") & ~value.rlike("[*?]"), F.concat(F.lit("f:"), value)).when(F.col("scope_kind") == "glob", F.concat(F.lit("g:"), F.regexp_replace(fixed, r"[^/]*[*?].*$", "")))
+    glob = F.when(F.col("scope_kind") == "glob", glob_column(value))
+    e = exemptions.select(F.col("rule_id").alias("_r"), of.alias("_of"), glob.alias("_g"), "ordinal", F.col("id").alias("exemption"))
     paths = violations.select("rule_id", "path").distinct()
-    first = paths.join(e, F.col("rule_id") == F.col("_r")).filter(hit).groupBy("rule_id", "path").agg(F.min_by("exemption", "ordinal").alias("exemption"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+    named = lambda kind: F.transform(above, lambda x: F.concat(F.lit(kind), x))
+    asked = F.concat(F.array(F.lit("p:"), F.lit("g:"), F.concat(F.lit("f:"), F.col("path"))), named("d:"), named("g:"))
+    rows = paths.select("rule_id", "path", F.explode(F.array_distinct(asked)).alias("_ask"))
+    met = rows.join(e, (F.col("rule_id") == F.col("_r")) & (F.col("_ask") == F.col("_of"))).filter("_g IS NULL OR path rlike _g")
+    first = met.groupBy("rule_id", "path").agg(F.min_by("exemption", "ordinal").alias("exemption"))
     return violations.join(first, ["rule_id", "path"], "left")
 
 

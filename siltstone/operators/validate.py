@@ -39,7 +39,7 @@ def logic(texts: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def security(texts: DataFrame, key: Sequence[str]) -> DataFrame:
-    rows = layers.flagged_lines(texts.filter("language <> 'unknown'"), key)
+    rows = layers.flagged_lines(texts.filter("language <> 'unknown'"), key, rules=packs.SECURITY)
     return layers.line_findings(rows, key, packs.SECURITY, comment=layers.CODE_COMMENT)
 
 

@@ -182,13 +182,17 @@ def decision_ranked(spark, d):
     return c.select("conv_id", "turn", F.round(s, 6).alias("score"))
 
 
-_AUDIT = "WITH o AS (SELECT conv_id, turn, sha256(conv_id::VARCHAR || '/' || turn || ':' || turn || ':' || role || ':' || coalesce(text, '')) AS own_hash FROM conversations), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS seq, coalesce(lag(own_hash) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev_hash FROM o)"
+_PIECE = "('0x' || substr(d, {}, 12))::BIGINT"
+_AUDIT = f"""WITH o AS (SELECT conv_id, turn, sha256(conv_id::VARCHAR || '/' || turn || ':' || turn || ':' || role || ':' || coalesce(text, '')) AS own_hash FROM conversations),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS seq FROM o),
+d AS (SELECT *, sha256(seq || ':' || own_hash) AS d FROM n),
+w AS (SELECT *, sha256(concat_ws(':', seq, {", ".join(f"sum({_PIECE.format(12 * n + 1)}) OVER u" for n in range(4))})) AS link FROM d WINDOW u AS (PARTITION BY conv_id ORDER BY seq))"""
 
 
-@query(f"{_AUDIT} SELECT conv_id, seq, own_hash, sha256(prev_hash || ':' || own_hash) AS link FROM w")
+@query(f"{_AUDIT} SELECT conv_id, seq, own_hash, coalesce(lag(link) OVER (PARTITION BY conv_id ORDER BY seq), '') AS prev_hash, link FROM w")
 def audit_trail(spark, d):
     c = table(spark, d, "conversations").select("conv_id", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"), F.col("turn").alias("ts"), F.col("role").alias("action"), F.col("text").alias("subject"))
-    return certify.audit_chain(c, "conv_id").select("conv_id", "seq", "own_hash", "link")
+    return certify.audit_chain(c, "conv_id").select("conv_id", "seq", "own_hash", "prev_hash", "link")
 
 
 _CERT = f"{findings_sql(PROSE, 'documents', 'doc_id', 'text')}, s AS ({totals_sql('doc_id')})"
@@ -246,3 +250,38 @@ def maintainability(spark, d):
     docs = table(spark, d, "documents")
     m = scores.maintainability(F.col("n_chars").cast("double"), F.size(F.split("text", " ")).cast("double"), F.size(F.split("text", "\n")).cast("double"))
     return docs.select("doc_id", F.round(m, 6).alias("maintainability"))
+
+
+# every part is a package's release with advisories of its own for a narrow range, and some are pre-releases
+@query("""WITH d AS (SELECT p_partkey, p_brand AS package, p_size AS major, p_partkey % 97 AS minor, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS release FROM part)
+SELECT d.p_partkey, count(*) AS advisories, min(v.p_partkey) AS first_advisory FROM d JOIN d v ON d.package = v.package
+  AND (d.major, d.minor, d.release) >= (v.major, v.minor, 1) AND (d.major, d.minor, d.release) <= (v.major, v.minor + 5, 1) GROUP BY d.p_partkey""")
+def vuln_many_ranges(spark, d):
+    """Hundreds of ranges a package: a version meets those of its own bins."""
+    p = table(spark, d, "part")
+    version = lambda minor: F.concat(F.col("p_size").cast("string"), F.lit("."), minor.cast("string"))
+    minor = F.col("p_partkey") % 97
+    deps = p.select("p_partkey", F.lit("b").alias("ecosystem"), F.col("p_brand").alias("package"), F.concat(version(minor), F.when(F.col("p_partkey") % 7 == 0, F.lit("-rc.1")).otherwise(F.lit(".0"))).alias("version"))
+    v = p.select(F.lit("b").alias("ecosystem"), F.col("p_brand").alias("package"), version(minor).alias("min_version"), version(minor + 5).alias("max_version"), F.col("p_partkey").alias("advisory"), F.lit("high").alias("severity"))
+    return files.vulnerable(deps, v).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("advisories"), F.min("advisory").alias("first_advisory"))
+
+
+# an exemption for each customer of the users' numbers: its folder, one of its files, or a glob in it
+@query(f"""{_VIOL}, e AS (SELECT c_custkey AS id, 'u' || (c_custkey % 10) || '/f' || c_custkey AS path, c_custkey % 3 AS kind FROM customer),
+p AS (SELECT DISTINCT path FROM v),
+m AS (SELECT DISTINCT v.path, e.id FROM p v JOIN e ON e.kind = 0 AND v.path = e.path OR e.kind = 1 AND e.id < 10 AND starts_with(v.path, 'u' || e.id || '/') OR e.kind = 2 AND regexp_matches(v.path, '^u' || (e.id % 10) || '/f' || e.id || '[^/]*$'))
+SELECT v.id, v.path, min(m.id) AS exemption FROM v LEFT JOIN m ON v.path = m.path GROUP BY v.id, v.path""")
+def many_exemptions(spark, d):
+    """As many exemptions of each rule as there are customers."""
+    v = violations(spark, d)
+    kind = F.col("c_custkey") % 3
+    path = F.concat(F.lit("u"), (F.col("c_custkey") % 10).cast("string"), F.lit("/f"), F.col("c_custkey").cast("string"))
+    dirs = F.when(F.col("c_custkey") < 10, F.concat(F.lit("u"), F.col("c_custkey").cast("string")))
+    ex = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(kind == 0, "file").when(kind == 1, "dir").otherwise("glob").alias("scope_kind"),
+        F.when(kind == 0, path).when(kind == 1, dirs).otherwise(F.concat(path, F.lit("*"))).alias("scope_value"),
+        F.col("c_custkey").alias("ordinal"),
+        F.explode(F.array(*(F.lit(r) for r in RULE_OF.values()))).alias("rule_id"),
+    )
+    return state.exempted(v, ex.filter("scope_value IS NOT NULL")).select("id", "path", "exemption")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import graph, insight, layers, lines
 from ..operators.layers import LineRule
@@ -91,10 +92,13 @@ def decision_recall(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", insight.keyword_recall(F.lit("the"), F.col("text"), F.array("role", F.lit("the end"))).alias("score"))
 
 
-@query("WITH c AS (SELECT conv_id * 100000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 100000 + turn - 1 END AS old FROM conversations) SELECT id FROM c WHERE id NOT IN (SELECT old FROM c WHERE old IS NOT NULL)")
+@query("SELECT conv_id, turn FROM conversations QUALIFY lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL")
 def decision_active(spark, d):
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.array(F.col("conv_id") * 100000 + F.col("turn") - 1)).otherwise(F.array().cast("array<bigint>")).alias("supersedes"))
-    return insight.active(c).select("id")
+    """Each turn supersedes the one before it, whatever its number."""
+    id_ = F.struct("conv_id", "turn")
+    before = F.lag(id_).over(W.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, d, "conversations").select(id_.alias("id"), F.when(before.isNotNull(), F.array(before)).otherwise(F.array().cast("array<struct<conv_id:bigint,turn:bigint>>")).alias("supersedes"))
+    return insight.active(c).select("id.conv_id", "id.turn")
 
 
 @query("WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, arg_min(lang, (-n, lang)) AS lang, max(n) AS n FROM n GROUP BY source")
@@ -139,3 +143,21 @@ def chain_trust(spark, d):
 @query()
 def hashed_embeddings(spark, d):
     return table(spark, d, "benchmark").select("item_id", insight.hashed_embedding(F.col("text"), 64).alias("embedding"))
+
+
+# links of pages under the element that encloses them, resolved to pages whose title has the word that is linked
+@query("""WITH l0 AS (SELECT page_id, string_split(html, '<') AS a FROM pages), l AS (SELECT page_id, '<' || unnest(a) AS content, unnest(range(1, len(a) + 1)) AS line FROM l0),
+x AS (SELECT *, nullif(regexp_extract(content, '^<(nav|article|header|footer|section|aside|main|body)\\b', 1), '') AS def, nullif(regexp_extract(content, '^<a [^>]*href="/?([^"]+)"', 1), '') AS ref FROM l),
+c AS (SELECT page_id, ref, last_value(def IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS caller FROM x QUALIFY ref IS NOT NULL),
+t AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[^ .,]+')) AS word FROM pages)
+SELECT caller, ref, count(DISTINCT t.page_id) AS pages, count(DISTINCT c.page_id) AS linked_from FROM c JOIN t ON ref = word GROUP BY caller, ref""")
+def page_links(spark, d):
+    pages = table(spark, d, "pages")
+    parts = pages.select("page_id", F.posexplode(F.split("html", "<")).alias("_i", "_c")).select("page_id", (F.col("_i") + 1).alias("line"), F.concat(F.lit("<"), "_c").alias("content"))
+    calls = layers.calls(parts, ["page_id"], "html")
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit("[^ .,]+"), 0)))
+    nodes = pages.select("page_id", word.alias("name")).select("page_id", "name", F.concat(F.col("page_id").cast("string"), F.lit("::"), "name").alias("node_id"))
+    refs = calls.select(F.col("ref").alias("src"), "ref").distinct()
+    found = g.graph.resolve(nodes.select("node_id", "name"), refs).join(nodes.select(F.col("node_id").alias("dst"), F.col("page_id").alias("to")), "dst")
+    targets = found.groupBy(F.col("src").alias("ref")).agg(F.countDistinct("to").alias("pages"))
+    return calls.groupBy("caller", "ref").agg(F.countDistinct("page_id").alias("linked_from")).join(targets, "ref").select("caller", "ref", "pages", "linked_from")

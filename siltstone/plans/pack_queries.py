@@ -54,7 +54,7 @@ def logic_pack(spark, d):
 
 @query(_due(samples.SECURITY, "s, line, rule_id", _N))
 def security_pack(spark, d):
-    rows = layers.flagged_lines(sources(spark, d), KEY)
+    rows = layers.flagged_lines(sources(spark, d), KEY, rules=packs.SECURITY)
     return layers.line_findings(rows, KEY, packs.SECURITY, comment=layers.CODE_COMMENT).select("p_partkey", "rule_id", "line")
 
 

@@ -85,16 +85,58 @@ def dependencies(files: DataFrame, path_col: str = "path", text_col: str = "text
 
 
 def version_key(version: Column) -> Column:
-    """A version as an array of numbers, which compares as versions do: missing parts are 0."""
-    parts = F.transform(F.slice(F.split(F.regexp_replace(version, r"^[^0-9]*", ""), r"[.\-+]"), 1, 4), lambda p: F.coalesce(F.regexp_extract(p, "^[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("bigint")))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 4)), 1, 4)
+    """A version as a struct that compares as versions do.
+
+    Any number of parts count, missing ones as 0; what stands before the first digit and after a plus does not. A pre-release
+    (after a hyphen, or letters right after a number) comes before its release; its parts compare as numbers before words.
+    """
+    plain = F.split_part(F.regexp_replace(version, r"^[^0-9]*", ""), F.lit("+"), F.lit(1))
+    head = F.regexp_extract(plain, r"^[0-9]+(\.[0-9]+)*", 0)
+    tail = F.regexp_extract(plain, r"^[0-9]++(?:\.[0-9]++)*+-?([A-Za-z0-9].*)$", 1)
+    number = lambda x: F.coalesce(x.try_cast("bigint"), F.lit(2**63 - 1))
+    parts = F.transform(F.split(F.regexp_replace(head, r"(\.0+)+$", ""), r"\."), number)
+    part = lambda x: F.struct(F.when(x.rlike("^[0-9]+$"), 0).otherwise(1).alias("word"), F.when(x.rlike("^[0-9]+$"), number(x)).otherwise(0).alias("number"), x.alias("text"))
+    words = F.transform(F.filter(F.split(F.regexp_replace(tail, "([A-Za-z])([0-9])", "$1.$2"), r"[.\-]"), lambda x: x != ""), part)
+    return F.struct(parts.alias("parts"), F.when(tail == "", 1).otherwise(0).alias("release"), words.alias("pre"))
+
+
+#: Bits of the first four parts in a version's place on the line that bins cut, and bits that a level of bins is coarser than the one below.
+_PLACE, _STEP = (24, 15, 12, 12), 4
+
+
+def _place(version: Column) -> Column:
+    """A number that never falls as versions grow; large parts share the last place."""
+    parts = version["parts"]
+    out = F.lit(0).cast("bigint")
+    free = F.lit(True)  # after a part that was cut off, later ones say nothing
+    for i, bits in enumerate(_PLACE):
+        most = (1 << bits) - 1
+        x = F.coalesce(F.get(parts, F.lit(i)), F.lit(0))
+        out = F.shiftleft(out, bits) + F.when(free, F.least(x, F.lit(most))).otherwise(F.lit(most))
+        free = free & (x < most)
+    return out
+
+
+_LEVELS = sum(_PLACE) // _STEP + 1
 
 
 def vulnerable(deps: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
-    """deps with an advisory whose range (min_version, max_version, both included) has their version."""
+    """deps with an advisory whose range (min_version, max_version, both included) has their version.
+
+    A range is filed in one or two bins of the finest level where it needs no more, a version asks one bin of each level: an equi-join,
+    in which a package with very many ranges shows a version only those of its own bins. What meets is compared exactly.
+    """
     v = vulnerabilities.select("ecosystem", "package", version_key(F.col("min_version")).alias("_lo"), version_key(F.col("max_version")).alias("_hi"), "advisory", "severity")
-    rows = deps.withColumn("_v", version_key(F.col("version"))).join(v, ["ecosystem", "package"])
-    return rows.filter("_v >= _lo AND _v <= _hi").drop("_v", "_lo", "_hi")
+    v = v.withColumn("_a", _place(F.col("_lo"))).withColumn("_b", _place(F.col("_hi"))).filter("_lo <= _hi")
+    cell = lambda c, n: F.shiftright(F.col(c), _STEP * n)
+    level = F.coalesce(*(F.when(cell("_b", n) - cell("_a", n) <= 1, F.lit(n)) for n in range(_LEVELS)))
+    at = F.coalesce(*(F.when(F.col("_level") == n, F.array_distinct(F.array(cell("_a", n), cell("_b", n)))) for n in range(_LEVELS)))
+    v = v.withColumn("_level", level).select("ecosystem", "package", "_lo", "_hi", "advisory", "severity", "_level", F.explode(at).alias("_bin"))
+    rows = deps.withColumn("_v", version_key(F.col("version"))).withColumn("_p", _place(F.col("_v")))
+    asked = F.array(*(F.struct(F.lit(n).alias("_level"), cell("_p", n).alias("_bin")) for n in range(_LEVELS)))
+    rows = rows.withColumn("_q", F.explode(asked)).withColumn("_level", F.col("_q._level")).withColumn("_bin", F.col("_q._bin"))
+    rows = rows.join(v, ["ecosystem", "package", "_level", "_bin"])
+    return rows.filter("_v >= _lo AND _v <= _hi").drop("_v", "_p", "_q", "_lo", "_hi", "_level", "_bin")
 
 
 def unpinned(deps: DataFrame) -> DataFrame:

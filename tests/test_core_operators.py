@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import certify, code, dedup, drift, graph, search, state
+from siltstone.operators import certify, code, components, dedup, drift, graph, layers, lines, search, state
 from siltstone.sources import files, tables
 from siltstone.streaming import stateful, windows
 
@@ -295,3 +295,84 @@ def test_zz_scratch_is_cleared(spark, tmp_path):
     assert not os.path.exists(scratch_folder(spark).removeprefix("file://"))
     assert os.path.isdir(other)  # other applications' tables stay
     os.rmdir(other)
+
+
+def test_versions_compare_as_versions(spark):
+    """Each before the next; all parts count, and a pre-release comes before its release."""
+    order = ["0.9", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0", "1.0.0.0.1", "1.0.0.0.2-rc1", "1.0.0.0.2", "1.2", "1.10b1", "1.10rc1", "v1.10", "2.0", "20240101", "20240101.0.7", "99999999999999999999"]
+    df = spark.createDataFrame(list(enumerate(order)), "i int, v string").withColumn("k", files.version_key(F.col("v"))).withColumn("p", files._place(F.col("k")))
+    rows = df.orderBy("k", "i").collect()
+    assert [r.v for r in rows] == order
+    assert [r.p for r in rows] == sorted(r.p for r in rows)
+    same = df.filter("i = 0").select(*(files.version_key(F.lit(v)).alias(f"c{i}") for i, v in enumerate(("1.0", "1", "1.0.0.0", "v1.0+build.7")))).first()
+    assert len({str(x) for x in same}) == 1
+
+
+def test_ranges_by_bins_equal_all_ranges(spark):
+    import random
+
+    rng = random.Random(9)
+    some = lambda: ".".join(str(rng.choice([0, 1, 2, 9, 31, 400, 70000])) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", "", "-rc.1"])
+    deps = spark.createDataFrame([(i, "e", rng.choice("ab"), some()) for i in range(150)], "id int, ecosystem string, package string, version string")
+    v = spark.createDataFrame([("e", rng.choice("ab"), some(), some(), i, "low") for i in range(200)], "ecosystem string, package string, min_version string, max_version string, advisory int, severity string")
+    lo, hi, at = (files.version_key(F.col(c)) for c in ("min_version", "max_version", "version"))
+    want = deps.join(v, ["ecosystem", "package"]).filter((at >= lo) & (at <= hi)).select("id", "advisory").collect()
+    assert sorted(files.vulnerable(deps, v).select("id", "advisory").collect()) == sorted(want) and len(want) > 500
+
+
+def test_scopes_of_exemptions(spark):
+    paths = ["src/a.py", "src/x/b.py", "src2/a.py", "a.py", "src/x/y/c.rs"]
+    scopes = [("dir", "src"), ("dir", "src/x"), ("file", "a.py"), ("glob", "src/*.py"), ("glob", "**/c.rs"), ("glob", "src/x/**"), ("glob", "a.py"), ("glob", "s?c/x/*"), ("project", "")]
+    hits = {0: [0, 1, 4], 1: [1, 4], 2: [3], 3: [0], 4: [4], 5: [1, 4], 6: [3], 7: [1], 8: [0, 1, 2, 3, 4]}
+    v = spark.createDataFrame([("R", p) for p in paths], "rule_id string, path string")
+    for i, (kind, value) in enumerate(scopes):
+        e = spark.createDataFrame([("e", "R", kind, value, 1), ("other", "S", "project", "", 0)], "id string, rule_id string, scope_kind string, scope_value string, ordinal int")
+        got = {r.path for r in state.exempted(v, e).filter("exemption IS NOT NULL").collect()}
+        assert got == {paths[k] for k in hits[i]}, (kind, value)
+
+
+def test_audit_links_show_a_dropped_beginning(spark):
+    rows = [("k", 1, "a", "x", "1"), ("k", 2, "b", "x", "2"), ("k", 3, "c", "x", "3"), ("k", 3, "c", "x", "3")]
+    chain = lambda r: [x.link for x in certify.audit_chain(spark.createDataFrame(r, "key string, ts int, id string, action string, subject string"), "key").orderBy("seq").collect()]
+    whole = chain(rows)
+    assert len(set(whole)) == 4
+    assert not set(whole) & set(chain(rows[1:]))
+    changed = chain([rows[0], ("k", 2, "b", "x", "other"), *rows[2:]])
+    assert changed[0] == whole[0] and not set(changed[1:]) & set(whole[1:])
+
+
+def test_components_and_chains_of_dense_graphs(spark):
+    """Many paths and no cycle: nothing is listed; components, chains and cycles of a small graph by hand."""
+    dag = spark.createDataFrame([(i, j) for i in range(60) for j in range(i + 1, 60)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 103), (103, 104), (104, 103), (5, 100)], "src int, dst int")
+    comp = {r.node: r.component for r in components.strong_components(dag).collect()}
+    assert comp == {**{i: i for i in range(60)}, 100: 100, 101: 100, 102: 100, 103: 103, 104: 103}
+    assert sorted(r.path for r in graph.cycles(dag).collect()) == [[100, 101, 102], [103], [103, 104]]
+    one = lambda *n: spark.createDataFrame([(x,) for x in n], "node int")
+    found = {(r.start, r.goal): r.path for r in graph.chains(dag, one(0, 5, 104, 999), one(59, 104, 0)).collect()}
+    assert found == {(0, 59): [0, 59], (5, 59): [5, 59], (0, 104): [0, 5, 100, 101, 102, 103, 104], (5, 104): [5, 100, 101, 102, 103, 104]}
+    assert graph.chains(dag, one(0), one(104), 3).count() == 0
+
+
+def test_merging_by_components(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 7), (20, 21)], "a int, b int")
+    assert {r.ref: r.comp for r in components.connected(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+
+
+def test_calls_have_the_definition_above(spark):
+    sources = {
+        "rust": "use a;\nstart();\npub async fn one(x: u8) {\n    two(x);\n    println!(\"three(x)\");\n    // four()\n    if (y) { v.push(six::seven(1)) }\n}\nfn eight() { one(1) }",
+        "python": "def f(a):\n    return g(h(a))\nclass K:\n    async def m(self):\n        self.f()",
+        "javascript": "const a = (x) => b(x)\nexport function c() {\n  d()\n}",
+        "go": "func (s *T) Run() {\n\ts.stop()\n}",
+        "c": "static int *make(int n) {\n  return grow(n);\n}",
+    }
+    df = spark.createDataFrame(list(sources.items()), "path string, text string")
+    got = {}
+    for lang in sources:
+        rows = lines.line_table(df.filter(F.col("path") == lang), ["path"])
+        got[lang] = [(r.line, r.caller, r.ref) for r in layers.calls(rows, ["path"], lang).orderBy("line").collect()]
+        assert layers.definitions(rows, ["path"], lang).count() > 0
+    assert got["rust"] == [(2, None, "start"), (4, "one", "two"), (5, "one", "println"), (7, "one", "v.push"), (7, "one", "six::seven"), (9, "eight", "one")]
+    assert got["python"] == [(2, "f", "g"), (2, "f", "h"), (5, "m", "self.f")]
+    assert got["javascript"] == [(1, "a", "b"), (3, "c", "d")]
+    assert got["go"] == [(2, "Run", "s.stop")] and got["c"] == [(2, "make", "grow")]
