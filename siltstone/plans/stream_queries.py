@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..streaming import stateful, windows
+from ..streaming import stateful, tiers, windows
+from ..streaming.progress import Progress
+from ..streaming.upserts import KeyedTable
 
 QUERIES, SQL = {}, {}
 
@@ -82,3 +84,53 @@ def stream_watch(spark, d):
 def stream_tiers(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("id"), "ts")
     return _ended(spark, stateful.tiers(e)).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _in_files(spark, d, files=6):
+    """The events as a stream of several files in order of time, some at a time."""
+    path = scratch_path(spark, "events")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    e.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS id, epoch_us(max(ts)) AS us, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def stream_upserts(spark, d):
+    """The newest event of each user and kind, from batches that are all delivered twice."""
+    path = scratch_path(spark, "keyed")
+    table = KeyedTable(spark, path, "user_id long, event_type string, at struct<ts:timestamp,id:long>, value double", ["user_id", "event_type"], "at")
+    e = _in_files(spark, d).select("user_id", "event_type", F.struct("ts", F.col("event_id").alias("id")).alias("at"), "value")
+    table.feed(e, f"{path}/first")
+    table.feed(e, f"{path}/again")  # another checkpoint: the same batches once more
+    return table.read().select("user_id", "event_type", F.col("at.id").alias("id"), F.unix_micros("at.ts").alias("us"), "value")
+
+
+@query("SELECT count(*) AS rows, 3 AS batches FROM events")
+def stream_progress(spark, d):
+    """What the listener wrote of a stream's batches adds up to the table."""
+    path = scratch_path(spark, "progress")
+    with Progress(spark, f"import {path}", f"{path}/progress", every=2):
+        out = _in_files(spark, d).select("event_id").writeStream.queryName(f"import {path}").format("parquet")
+        out.option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(Progress.SCHEMA).parquet(f"{path}/progress").filter("rows > 0")
+    return rows.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("batches"))
+
+
+_SIZE, _SHORT, _MEDIUM = 2, 6 * 3_600_000, 24 * 3_600_000
+
+
+@query(f"""WITH u AS (SELECT event_id AS id, user_id AS owner, event_type AS entry, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+l AS (SELECT *, lag(t) OVER e AS before, lag(n) OVER e AS last_n FROM u WINDOW e AS (PARTITION BY owner, entry ORDER BY n)),
+c AS (SELECT l.*, (SELECT count(DISTINCT o.entry) FROM u o WHERE o.owner = l.owner AND o.n > l.last_n AND o.n < l.n) AS others FROM l)
+SELECT owner, id, entry, n AS uses, CASE WHEN before IS NULL THEN 'new' WHEN t - before <= {_SHORT} AND others < {_SIZE} THEN 'short'
+  WHEN t - before <= {_MEDIUM} THEN 'medium' ELSE 'long' END AS found FROM c""")
+def stream_read_through(spark, d):
+    """What each use of an entry finds: the least recently used of a user's entries leave the short tier first."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tiers.ROCKS)
+    try:
+        e = events(spark, d).select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("event_type").alias("entry"), "ts")
+        out = _ended(spark, tiers.read_through(e, _SIZE, _SHORT, _MEDIUM))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out.select("owner", "id", "entry", "uses", "found")
