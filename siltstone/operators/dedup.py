@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import word_set
+from ..session import saved
+from .prefixes import frequent, hashed, prefixes
 
 
 def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,19 +20,14 @@ def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(a, b, score), a < b: entries of different content whose word sets have this Jaccard likeness or more.
 
-    Equal contents are one entry (the least id). Words are ordered rare first; two
-    sets that reach t share one of their first n - ceil(t n) + 1 words, so only
-    those prefixes are joined, inside bands of sizes, before exact likeness.
+    Equal contents are one entry (the least id). Prefixes of rare words are joined, inside bands of sizes, before exact likeness.
     """
     one = rows.groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).agg(F.min(id_col).alias("id"), F.first(text_col).alias("_t"))
-    sets = one.select("id", F.array_sort(word_set(F.col("_t"))).alias("words")).filter(F.size("words") > 0)
-    words = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    order = W.partitionBy("id").orderBy("df", "word")
-    ranked = words.join(freq, "word").withColumn("place", F.row_number().over(order))
-    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("id", "n", "word")
+    sets = saved(hashed(one.select("id", F.array_sort(word_set(F.col("_t"))).alias("words")).filter(F.size("words") > 0)), "word-sets")
+    prefix = prefixes(sets, threshold, frequent(sets))
     # the larger of two alike sets is in the size band of the smaller or the next: words meet inside bands alone
     prefix = prefix.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n").cast("long"))
+    prefix = saved(prefix, "prefixes")
     small = prefix.select(F.col("id").alias("s"), F.col("n").alias("ns"), "word", "band")
     large = prefix.select(F.col("id").alias("l"), F.col("n").alias("nl"), "word", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     met = small.join(large, ["word", "band"]).filter("(ns < nl OR (ns = nl AND s < l))").filter(F.col("ns") >= F.col("nl") * threshold)

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard, terms_with_bigrams, word_set
 from ..session import exists, saved
+from .prefixes import frequent, hashed, prefixes
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,9 +29,26 @@ def idf_table(terms: DataFrame, n_docs: int) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(max(1, n_docs))) / F.col("df")))
 
 
-def _hashed(terms: DataFrame) -> DataFrame:
-    """(id, term, tf) with terms as 64-bit hashes, which move and join as numbers."""
-    return terms.select("id", F.xxhash64("term").alias("term"), "tf")
+def hashed_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf) with terms as 64-bit hashes. Terms are counted inside their row, so nothing is shuffled; a row is a document."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row, term = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((term, row))
+            row, term = row[order], term[order]
+            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=term[:1]) != 0))
+            n = np.diff(np.append(first, len(row)))
+            row, term = row[first], term[first]
+            for i in range(0, len(row), 1 << 16):
+                at = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(term[at], pa.int64()), pa.array(n[at] / sizes[row[at]], pa.float64())], names=["id", "term", "tf"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    terms = F.transform(terms_with_bigrams(F.col(text_col)), lambda t: F.xxhash64(t))
+    return docs.select(F.col(id_col).alias("id"), terms.alias("h")).mapInArrow(run, f"id {kind}, term long, tf double")
 
 
 #: Terms that are weighed without moving their postings: as many at most, so their table may be broadcast.
@@ -47,7 +66,7 @@ class TermIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
-        return cls.of(saved(_hashed(term_table(docs, id_col, text_col)), "index-terms"), docs.count())
+        return cls.of(saved(hashed_terms(docs, id_col, text_col), "index-terms"), docs.count())
 
     @classmethod
     def of(cls, terms: DataFrame, documents: int) -> TermIndex:
@@ -68,7 +87,7 @@ class TermIndex:
         """The index with documents added, or replaced where their id is known. A document without terms still counts."""
         ids = docs.select(F.col(id_col).alias("id")).distinct()
         old = self.norms.join(ids, "id", "left_semi").count()
-        terms = self.terms.join(ids, "id", "left_anti").unionByName(_hashed(term_table(docs, id_col, text_col)))
+        terms = self.terms.join(ids, "id", "left_anti").unionByName(hashed_terms(docs, id_col, text_col))
         return TermIndex.of(saved(terms, "index-terms"), self.documents - old + ids.count())
 
     def removed(self, ids: DataFrame) -> TermIndex:
@@ -81,7 +100,7 @@ class TermIndex:
 
         Terms of the queries select the postings before anything else.
         """
-        q = _hashed(term_table(queries, id_col, text_col)).withColumnRenamed("id", "query")
+        q = hashed_terms(queries, id_col, text_col).withColumnRenamed("id", "query")
         q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("q_norm"))
         hits = self.postings.select("id", "term", "w").join(q, "term")
         dots = hits.groupBy("query", "id").agg(F.sum(F.col("w") * F.col("tf")).alias("dot")).filter("dot > 0")
@@ -140,13 +159,18 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: int = 10, text_weigh
 
 
 def recall(entries: DataFrame, queries: DataFrame, k: int, least: float = 0.3, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """The k entries most like each query by the Jaccard likeness of their word sets.
+    """The k entries most like each query by the Jaccard likeness of their word sets, at least `least` (over 0).
 
-    Only pairs with a common word can be alike: words are joined, not all pairs.
+    Prefixes of rare words are joined, so a word that is in all entries brings none of them together with a query; what met is compared exactly.
     """
-    words = lambda df, name: df.select(F.col(id_col).alias(name), word_set(F.col(text_col)).alias("_w")).select(name, F.size("_w").alias(f"_{name}_n"), F.explode("_w").alias("word"))
-    common = words(entries, "id").join(words(queries, "query"), "word").groupBy("query", "id", "_id_n", "_query_n").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.select("query", "id", (F.col("c") / (F.col("_id_n") + F.col("_query_n") - F.col("c"))).alias("score"))
+    sets = lambda df: saved(hashed(df.select(F.col(id_col).alias("id"), word_set(F.col(text_col)).alias("words")).filter(F.size("words") > 0)), "word-sets")
+    e, q = sets(entries), sets(queries)
+    hot = frequent(e)
+    met = prefixes(e, least, hot).join(prefixes(q, least, hot).select(F.col("id").alias("query"), F.col("n").alias("q_n"), "word"), "word")
+    met = met.filter((F.least("n", "q_n") >= F.greatest("n", "q_n") * least)).select("query", "id").distinct()
+    both = met.join(e.select("id", "words"), "id").join(q.select(F.col("id").alias("query"), F.col("words").alias("q_words")), "query")
+    common = F.size(F.array_intersect("words", "q_words"))
+    scored = both.select("query", "id", (common / (F.size("words") + F.size("q_words") - common)).alias("score"))
     return top_k(scored.filter(F.col("score") >= least), k)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import exists, saved
-from .search import term_table, top_k
+from .search import hashed_terms, top_k
 
 _POSTINGS, _CHANGES = "id {kind}, term long, tf double", "term long, n long"
 
@@ -99,8 +99,7 @@ class SegmentedIndex:
         """Add documents, or replace those whose id is known."""
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
         rows = saved(rows.groupBy("id").agg(F.max("text").alias("text")), "index-docs")
-        terms = term_table(rows, "id", "text").select("id", F.xxhash64("term").alias("term"), "tf")
-        self._write(rows.select("id"), terms.groupBy("id", "term").agg(F.sum("tf").alias("tf")), True)
+        self._write(rows.select("id"), hashed_terms(rows, "id", "text"), True)
         return self
 
     def remove(self, ids: DataFrame) -> SegmentedIndex:
@@ -129,7 +128,7 @@ class SegmentedIndex:
         The length of a document changes with every document added, so lengths are computed in the search, for documents that are met alone.
         """
         idf = saved(self.frequencies().select("term", F.log(F.lit(float(max(1, self.documents))) / F.col("df")).alias("idf")), "index-idf")
-        q = term_table(queries, id_col, text_col).select(F.col("id").alias("query"), F.xxhash64("term").alias("term"), F.col("tf").alias("q_tf"))
+        q = hashed_terms(queries, id_col, text_col).select(F.col("id").alias("query"), "term", F.col("tf").alias("q_tf"))
         q = saved(q, "index-query")
         q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
         asked = q.select("term").distinct().join(idf, "term")
