@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import certify, code, drift, rules, state
+from ..operators import certify, code, drift, insight, rules, state
 from ..sources import files
 from ..sources.tables import merged_rules, table
 from .pack import PROSE, findings_sql, totals_sql
@@ -285,3 +285,38 @@ def many_exemptions(spark, d):
         F.explode(F.array(*(F.lit(r) for r in RULE_OF.values()))).alias("rule_id"),
     )
     return state.exempted(v, ex.filter("scope_value IS NOT NULL")).select("id", "path", "exemption")
+
+
+@query("SELECT p_partkey, greatest(0, least(1, 1 - (p_size % 13) / 10)) AS error_handling, least(1, p_size / 20) AS complexity, CASE WHEN p_partkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0 END AS documentation FROM part")
+def feature_metrics(spark, d):
+    """Snapshot metrics of feature counts."""
+    f = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 13).alias("unwraps"), F.col("p_size").alias("cyclomatic"), (F.col("p_partkey") % 3 == 0).alias("documented"))
+    return drift.quality_metrics(f, ["p_partkey"])
+
+
+@query("""WITH v AS (SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'accept' ELSE 'reject' END AS verdict FROM events),
+g AS (SELECT user_id, count_if(verdict = 'accept') AS a, count_if(verdict <> 'accept') AS r, arg_max(verdict, (ts, event_id)) AS l, max(event_type = 'signup') AS whitelisted FROM v GROUP BY user_id),
+f AS (SELECT user_id, whitelisted, CASE WHEN l = 'accept' THEN 0.3::DOUBLE * a / (a + r) ELSE -0.3::DOUBLE * r / (a + r) END AS adjustment, greatest(a, r) >= 110 AS permanent FROM g),
+c AS (SELECT event_id, f.*, least(1, greatest(0, value / 500 + adjustment)) AS adjusted FROM events JOIN f USING (user_id))
+SELECT event_id, round(adjusted, 6) AS adjusted, CASE WHEN whitelisted THEN 'suppressed' WHEN permanent THEN CASE WHEN adjustment > 0 THEN 'accepted' ELSE 'rejected' END WHEN adjusted < 0.25 THEN 'dropped' ELSE 'reported' END AS verdict FROM c""")
+def feedback_validation(spark, d):
+    """Whitelisted and permanent patterns first, then the confidence that feedback adjusts."""
+    e = table(spark, d, "events")
+    learned = state.feedback(e.select("user_id", "ts", F.col("event_id").alias("id"), F.when(F.col("event_type").isin("click", "view", "purchase"), "accept").otherwise("reject").alias("verdict")), ["user_id"], 110)
+    white = e.groupBy("user_id").agg(F.max(F.col("event_type") == "signup").alias("whitelisted"))
+    out = insight.analysed(e.select("event_id", "user_id", (F.col("value") / 500).alias("confidence")), learned.join(white, "user_id"), ["user_id"])
+    return out.select("event_id", F.round("adjusted", 6).alias("adjusted"), "verdict")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 50 END AS depth, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'all' END AS pack,
+  least(c_nationkey * 4, 60) AS confidence, CASE WHEN c_custkey % 5 = 0 THEN 7 END AS severity FROM customer""")
+def settings_merged(spark, d):
+    """Defaults, then what a project sets, then what a user sets; of thresholds of two sources the smaller."""
+    text = lambda c: F.col(c).cast("string")
+    own = lambda when, name, value: F.when(when, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    c = table(spark, d, "customer")
+    settings = state.layered(F.create_map(F.lit("depth"), F.lit("50"), F.lit("pack"), F.lit("all")), own(F.col("c_custkey") % 3 == 0, "depth", text("c_nationkey")), own(F.col("c_custkey") % 2 == 0, "pack", F.col("c_mktsegment")))
+    one = F.create_map(F.lit("confidence"), (F.col("c_nationkey") * 4).cast("int"))
+    other = F.map_concat(F.create_map(F.lit("confidence"), F.lit(60)), F.when(F.col("c_custkey") % 5 == 0, F.create_map(F.lit("severity"), F.lit(7))).otherwise(F.create_map().cast("map<string,int>")))
+    c = c.select("c_custkey", settings.alias("s"), state.merged_thresholds(one, other).alias("t"))
+    return c.select("c_custkey", F.col("s.depth").cast("int").alias("depth"), F.col("s.pack").alias("pack"), F.col("t.confidence").alias("confidence"), F.col("t.severity").alias("severity"))
