@@ -10,6 +10,9 @@
    their page, a key range, which reads them in order of key, chains different texts of
    one key, and compares bytes with each text of the chain. Pages
    hold key, place in the chain, digest, first id and count; the directory is saved beside them.
+   An insert brings a batch of texts to the buckets that the directory names: only their pages are read and written again, under
+   new numbers. A bucket that is overfull then splits by its next bit, and the directory doubles where the bucket was as deep as it; a
+   new directory is written last, so a reader of the old one still finds its pages.
 4. *Probe*: the directory gives each fact its page and bucket, and the entry is sought
    there by key and digest. A probe of few texts reads the pages that the directory names and no others.
 
@@ -31,8 +34,8 @@ from pyspark.sql import Window as W
 
 from .common import hashed_columns, packed, partitions, saved, scratch_path, unpacked
 
-#: Keys in a bucket before it splits, and bits that the directory may use: with more
-#: keys buckets of the greatest depth get longer and stay right.
+#: Keys in a bucket before it splits, and bits that the directory may use. Where so many keys need more bits, the first build
+#: gives all buckets a larger capacity instead: the directory stays a few MB, and splitting never ends.
 CAPACITY, MAX_DEPTH = 64, 18
 #: Pages for each shuffle partition; a page has one bucket at least.
 PAGES = 8
@@ -93,22 +96,53 @@ def directory(counts: dict[int, int], depth: int = MAX_DEPTH, capacity: int = CA
     return g, slots
 
 
+def split(depth: int, slots: np.ndarray, counts: dict[int, int], capacity: int = CAPACITY, most: int = MAX_DEPTH) -> tuple[int, np.ndarray, dict[int, int]]:
+    """(depth, bucket of each entry, new bucket: old bucket) of a directory after its overfull buckets have split.
+
+    counts: keys by their first `most` bits, of the buckets in question. A bucket that is as deep as the directory doubles it; the
+    upper half of its entries gets a new bucket.
+    """
+    slots, parents = slots.copy(), {}
+    prefixes, n = np.array([*counts], np.int64), np.array([*counts.values()], np.int64)
+    while True:
+        held = np.bincount(slots[prefixes >> (most - depth)], n, slots.max() + 1)
+        over = [b for b in np.flatnonzero(held > capacity).tolist() if depth < most or np.count_nonzero(slots == b) > 1]
+        if not over:
+            return depth, slots, parents
+        if any(np.count_nonzero(slots == b) == 1 for b in over):
+            slots, depth = np.repeat(slots, 2), depth + 1
+        for b in over:
+            own = np.flatnonzero(slots == b)
+            new = int(slots.max()) + 1
+            slots[own[len(own) // 2 :]] = new
+            parents[new] = parents.get(b, b)
+
+
 @dataclass
 class Index:
-    """An index on shared files: pages/page=N and directory, under path."""
+    """An index on shared files: pages/page=N and directory=V, under path."""
 
     path: str
     depth: int  # of the directory, in bits
     buckets: int
-    pages: int
+    pages: int  # numbers that were given to pages
     kind: str  # of the ids
+    capacity: int = CAPACITY
+    page_keys: int = CAPACITY  # keys of a page when the index was built
+    version: int = 0
 
     def directory(self, spark: SparkSession) -> DataFrame:
         """(slot, bucket, page): 2 ** depth rows."""
-        return spark.read.schema("slot long, bucket int, page int").parquet(f"{self.path}/directory")
+        return spark.read.schema("slot long, bucket int, page int").parquet(f"{self.path}/directory={self.version}")
+
+    def live(self, spark: SparkSession) -> list[int]:
+        """The pages that the directory names."""
+        return sorted(r.page for r in self.directory(spark).select("page").distinct().collect())  # 2 ** MAX_DEPTH at most
 
     def read(self, spark: SparkSession, only: list[int] | None = None) -> DataFrame:
         """The entries of all pages, or of some."""
+        if only is None and self.version:  # pages that an insert replaced are still there
+            only = self.live(spark)
         paths = [f"{self.path}/pages"] if only is None else [f"{self.path}/pages/page={p}" for p in only]
         entries = spark.read.schema(f"bucket int, key long, slot int, text_sha256 string, keep_id {self.kind}, group_size long, n_bytes long, page int")
         return entries.option("basePath", f"{self.path}/pages").parquet(*paths)
@@ -126,14 +160,15 @@ def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_co
     prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
     counts = facts.select("key").distinct().groupBy(prefix.alias("p")).count().toArrow()  # at most 2 ** MAX_DEPTH rows
     counts = dict(zip(*(c.to_pylist() for c in counts.columns), strict=True))
-    g, slots = directory(counts, MAX_DEPTH, CAPACITY)
+    capacity = max(CAPACITY, 4 * sum(counts.values()) >> MAX_DEPTH)
+    g, slots = directory(counts, MAX_DEPTH, capacity)
     in_bucket = np.zeros(int(slots.max()) + 1, np.int64)
     np.add.at(in_bucket, slots[np.array([*counts], np.int64) >> (MAX_DEPTH - g)], np.array([*counts.values()], np.int64))
     page_of = paged(in_bucket, PAGES * partitions(spark))
     kind = df.schema[id_col].dataType.simpleString()
-    index = Index(scratch_path(spark, "exact-index"), g, len(in_bucket), int(page_of.max()) + 1, kind)
-    rows = pa.table({"slot": pa.array(range(1 << g), pa.int64()), "bucket": pa.array(slots, pa.int32()), "page": pa.array(page_of[slots], pa.int32())})
-    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{index.path}/directory")
+    pages = int(page_of.max()) + 1
+    index = Index(scratch_path(spark, "exact-index"), g, len(in_bucket), pages, kind, capacity, max(capacity, -(-int(in_bucket.sum()) // pages)))
+    _write_directory(spark, index, slots, page_of[slots])
     shared = spark.sparkContext.broadcast((slots, page_of))  # at most 2 ** MAX_DEPTH entries each
 
     def combine(batches):
@@ -204,15 +239,73 @@ def build_index(df: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_co
     return index
 
 
+def _write_directory(spark: SparkSession, index: Index, slots: np.ndarray, pages: np.ndarray) -> None:
+    rows = pa.table({"slot": pa.array(range(len(slots)), pa.int64()), "bucket": pa.array(slots, pa.int32()), "page": pa.array(pages, pa.int32())})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{index.path}/directory={index.version}")
+
+
+def _slot(depth: int):
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def insert(index: Index, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index with df's texts as well; only pages of buckets that get an entry are written again.
+
+    The batch's texts are combined, chained and compared byte by byte among themselves, as in a build; against entries of
+    the index, which hold no texts, by key and SHA-256.
+    """
+    spark = df.sparkSession
+    batch = build_index(df, saved(text_facts(df, id_col, text_col), "exact-facts"), id_col, text_col)
+    names = ("key", "text_sha256", "keep_id", "group_size", "n_bytes")
+    table = F.broadcast(index.directory(spark).withColumnRenamed("slot", "_slot"))  # 2 ** MAX_DEPTH rows at most
+    new = batch.read(spark).select(*names, F.lit(2**31 - 1).alias("old_slot"), _slot(index.depth).alias("_at")).join(table, F.col("_at") == F.col("_slot"))
+    new = saved(new.select(*names, "old_slot", "page"), "exact-batch")
+    touched = sorted(r.page for r in new.select("page").distinct().collect())
+    if not touched:
+        return index
+    old = index.read(spark, touched).select(*names, F.col("slot").alias("old_slot"), "page")
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), "keep_id"))["keep_id"]
+    merged = old.unionByName(new).groupBy("key", "text_sha256").agg(first.alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("n_bytes").alias("n_bytes"), F.min("old_slot").alias("old_slot"))
+    merged = saved(merged, "exact-merged")
+    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
+    counts = {r.p: r.n for r in merged.groupBy(prefix.alias("p")).agg(F.countDistinct("key").alias("n")).collect()}  # 2 ** MAX_DEPTH at most
+    was = index.directory(spark).orderBy("slot").toArrow()
+    slots, page_at = was.column(1).to_numpy(), was.column(2).to_numpy()
+    page_of = dict(zip(slots.tolist(), page_at.tolist(), strict=True))
+    depth, slots, parents = split(index.depth, slots, counts, index.capacity)
+    in_bucket: dict[int, int] = {}
+    for p, n in counts.items():
+        b = int(slots[p >> (MAX_DEPTH - depth)])
+        in_bucket[b] = in_bucket.get(b, 0) + n
+    # buckets of a touched page go to new pages, in order of key, page_keys or so in each
+    pages, last, held, next_page = {}, None, 0, index.pages - 1
+    for b in dict.fromkeys(slots.tolist()):
+        before = page_of[parents.get(b, b)]
+        if before in touched:
+            n = in_bucket.get(b, 0)
+            if before != last or held + n > 2 * index.page_keys:
+                next_page, last, held = next_page + 1, before, 0
+            pages[b], held = next_page, held + n
+        else:
+            pages[b], last = before, None
+    out = Index(index.path, depth, int(slots.max()) + 1, next_page + 1, index.kind, index.capacity, index.page_keys, index.version + 1)
+    _write_directory(spark, out, slots, np.array([pages[b] for b in slots.tolist()]))
+    table = F.broadcast(out.directory(spark).withColumnRenamed("slot", "_slot"))
+    rows = merged.withColumn("_at", _slot(depth)).join(table, F.col("_at") == F.col("_slot"))
+    chain = F.row_number().over(W.partitionBy("page", "bucket", "key").orderBy("old_slot", "text_sha256")) - 1
+    rows = rows.select("bucket", "key", chain.alias("slot"), "text_sha256", "keep_id", "group_size", "n_bytes", "page")
+    rows.repartition("page").sortWithinPartitions("page", "bucket", "key", "slot").write.mode("append").partitionBy("page").parquet(f"{index.path}/pages")
+    return out
+
+
 def probe(index: Index, facts: DataFrame, few: bool = False) -> DataFrame:
     """facts with keep_id and group_size of the index's entry of their text; rows without an entry go.
 
     few: read only the pages that the directory names for these facts (their numbers are collected).
     """
     spark = facts.sparkSession
-    slot = F.shiftrightunsigned("key", 64 - index.depth) if index.depth else F.lit(0).cast("long")
     table = index.directory(spark).withColumnRenamed("slot", "_slot")
-    placed = facts.withColumn("_at", slot).join(F.broadcast(table), F.col("_at") == F.col("_slot")).drop("_at", "_slot")  # 2 ** MAX_DEPTH rows at most
+    placed = facts.withColumn("_at", _slot(index.depth)).join(F.broadcast(table), F.col("_at") == F.col("_slot")).drop("_at", "_slot")  # 2 ** MAX_DEPTH rows at most
     only = sorted(r.page for r in placed.select("page").distinct().collect()) if few else None
     pages = index.read(spark, only).select(F.col("page").alias("_p"), F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("text_sha256").alias("_sha"), "keep_id", "group_size")
     found = (F.col("page") == F.col("_p")) & (F.col("bucket") == F.col("_b")) & (F.col("key") == F.col("_k")) & (F.col("text_sha256") == F.col("_sha"))

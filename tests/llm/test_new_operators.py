@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,3 +231,60 @@ def test_text_ids_of_pages_come_back(spark, tmp_path):
     out = warc.digests(warc.read_archive(spark, path)).collect()
     assert {r.page_id for r in out} == set(ids)
     assert {(r.record_type, r.refers_to) for r in out} == {("response", None), ("revisit", "")}
+
+
+# 3, inserts
+
+
+def _entries(spark, index):
+    return sorted((r.key, r.text_sha256, r.keep_id, r.group_size, r.n_bytes) for r in index.read(spark).collect())
+
+
+def test_inserts_equal_one_build(spark, monkeypatch):
+    from siltstone.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 8)
+    rows = [(i, f"text {i % 450}") for i in range(900)] + [(None, "text 3"), (None, "no id at all"), (5000, None)]
+    df = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    build = lambda d: exact_dedup.build_index(d, exact_dedup.text_facts(d))
+    whole = build(df(rows))
+    index = build(df(rows[:100]))
+    depth = index.depth
+    for at in (100, 500, 700):
+        index = exact_dedup.insert(index, df(rows[at : {100: 500, 500: 700, 700: 1000}[at]]))
+    assert _entries(spark, index) == _entries(spark, whole)
+    assert index.depth > depth and index.directory(spark).count() == 1 << index.depth
+    # the same buckets: no other keys together than in one build
+    held = lambda x: {frozenset(k) for k in x.read(spark).groupBy("bucket").agg(F.collect_set("key").alias("k")).toPandas()["k"].map(tuple)}
+    assert held(index) == held(whole)
+    facts = exact_dedup.text_facts(df(rows))
+    of = lambda x: Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.probe(x, facts).collect())
+    assert of(index) == of(whole) and sum(of(index).values()) == len(rows)
+    assert exact_dedup.insert(index, df([])) is index
+
+
+def test_an_insert_rewrites_only_the_page_of_its_bucket(spark, monkeypatch):
+    from siltstone.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 8)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    index = exact_dedup.build_index(df, exact_dedup.text_facts(df))
+    before = {r.bucket: r.page for r in index.directory(spark).collect()}
+    files = set(index.read(spark).inputFiles())
+    more = exact_dedup.insert(index, spark.createDataFrame([(7000, "one more text")], "doc_id long, text string"))
+    after = {r.bucket: r.page for r in more.directory(spark).collect()}
+    moved = {before[b] for b in before if after[b] != before[b]}
+    assert len(moved) == 1 and len(set(before.values())) > 10
+    kept = set(more.read(spark).inputFiles())
+    assert len(files - kept) == 1 and {f for f in kept - files if int(f.split("page=")[1].split("/")[0]) < index.pages} == set()
+    assert exact_dedup.probe(index, exact_dedup.text_facts(df)).count() == 300  # the old directory still finds its pages
+
+
+def test_splitting_ends_where_the_directory_of_one_build_does():
+    from siltstone.llm import exact_dedup
+
+    rng = random.Random(2)
+    counts = Counter(rng.getrandbits(18) >> rng.choice([0, 0, 4]) for _ in range(3000))
+    g, slots = exact_dedup.directory(counts, 18, 16)
+    h, other, parents = exact_dedup.split(0, np.zeros(1, np.int32), counts, 16, 18)
+    assert g == h and np.array_equal(np.diff(slots) != 0, np.diff(other) != 0) and set(parents.values()) == {0}
