@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import dropped, saved
 
+#: Steps of a search back that one round takes.
+STRIDE = 4
+
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (ref, comp) after joining the components that links (a, b) connect.
@@ -95,8 +98,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         frontier = saved(colours.filter("node = colour"), "component")
         own = frontier
         while True:
-            back = same.join(frontier, same["dst"] == frontier["node"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = saved(back.join(own.select("node"), "node", "left_anti"), "component")
+            step, more = frontier, None
+            for _ in range(STRIDE):
+                step = same.join(step.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+                more = step if more is None else more.union(step)
+            frontier = saved(more.distinct().join(own.select("node"), "node", "left_anti"), "component")
             if frontier.isEmpty():
                 break
             own = own.union(frontier)

@@ -72,12 +72,19 @@ def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "high").when(F.col("affected") > 3, "medium").otherwise("low"))
 
 
+#: Steps of a search without depths that one round takes.
+_STRIDE = 4
+
+
 def leading_to(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """(node): goals (node), and what reaches one."""
     own = frontier = _saved(goals.select("node").distinct(), "goals")
     for r in count(1):
-        back = edges.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        frontier = _saved(back.join(own, "node", "left_anti"), "back")
+        step, more = frontier, None
+        for _ in range(_STRIDE):
+            step = edges.join(step.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+            more = step if more is None else more.union(step)
+        frontier = _saved(more.distinct().join(own, "node", "left_anti"), "back")
         if frontier.isEmpty():
             break
         own = _with(own, frontier, r)
