@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import dropped, saved
 
-#: Steps of a search back that one round takes.
-STRIDE = 4
+#: Steps of a search back that one round takes, and edges that are left after trimming which are collected and walked in one place: as many at most.
+STRIDE, FEW = 4, 1 << 16
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -81,17 +81,56 @@ def _colours(edges: DataFrame) -> DataFrame:
     return state.drop("fell")
 
 
+def _walked(edges: list[tuple]) -> list[tuple]:
+    """(node, least node of its component) for at most FEW edges: by order of leaving, then against the edges."""
+    to, back = {}, {}
+    for a, b in edges:
+        to.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    left, seen = [], set()
+    for root in to.keys() | back.keys():
+        stack = [] if root in seen else [(root, iter(to.get(root, ())))]
+        seen.add(root)
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                left.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(to.get(nxt, ()))))
+    out, done = [], set()
+    for root in reversed(left):
+        if root in done:
+            continue
+        done.add(root)
+        own = [root]
+        for node in own:
+            more = [x for x in back.get(node, ()) if x not in done]
+            done.update(more)
+            own += dict.fromkeys(more)
+        least = min(own)
+        out += [(x, least) for x in own]
+    return out
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (src, dst): the least node of its strongly connected component.
 
     What is on no cycle is trimmed; then each node takes the least node that leads to it as its colour, and from every node that is its own
     colour a search goes back inside the colour: what it reaches is a component. The edges inside colours that are left go
-    the same way, until none is. Rounds follow the longest of the shortest paths, not the number of components.
+    the same way, until none is; at most FEW edges are collected and walked in one place. Rounds follow the longest of the shortest paths, not the number of components.
     """
     nodes = saved(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     live = trimmed(saved(edges.filter("src <> dst").select("src", "dst").distinct(), "live"))
     found = None
     while not live.isEmpty():
+        if live.count() <= FEW:
+            kind = live.schema["src"].dataType.simpleString()
+            own = live.sparkSession.createDataFrame(_walked([tuple(r) for r in live.select("src", "dst").collect()]), f"node {kind}, component {kind}")
+            found = own if found is None else found.union(own)
+            break
         colours = _colours(live)
         of = lambda x: colours.select(F.col("node").alias(x), F.col("colour").alias(f"c{x}"))  # noqa: B023, E731
         same = saved(live.join(of("src"), "src").join(of("dst"), "dst").filter("csrc = cdst").select("src", "dst"), "same")

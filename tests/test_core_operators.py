@@ -341,8 +341,10 @@ def test_audit_links_show_a_dropped_beginning(spark):
     assert changed[0] == whole[0] and not set(changed[1:]) & set(whole[1:])
 
 
-def test_components_and_chains_of_dense_graphs(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_and_chains_of_dense_graphs(spark, few, monkeypatch):
     """Many paths and no cycle: nothing is listed; components, chains and cycles of a small graph by hand."""
+    monkeypatch.setattr(components, "FEW", few)
     dag = spark.createDataFrame([(i, j) for i in range(60) for j in range(i + 1, 60)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 103), (103, 104), (104, 103), (5, 100)], "src int, dst int")
     comp = {r.node: r.component for r in components.strong_components(dag).collect()}
     assert comp == {**{i: i for i in range(60)}, 100: 100, 101: 100, 102: 100, 103: 103, 104: 103}
