@@ -4,7 +4,8 @@ A needle can only be in a text that has all its q-grams (runs of GRAM bytes of t
 one of its grams that the fewest texts have. A text's different grams meet these keys in a bitmap of fixed size, and only the rules of
 grams that are there are looked for. The plan is the same for ten rules and for a million.
 
-A pack of at most PACK_BYTES is sent to all tasks and texts are read in one narrow pass, without a shuffle. A larger
+A pack of at most PACK_BYTES is sent to all tasks and texts are read in one narrow pass, without a shuffle: where a gram of the
+pack stands, the runs around it that could be a needle are hashed and looked up, and what is found is compared by bytes. A larger
 one stays a table: (text, gram) meets (gram, rule) in a join, then the texts, and Spark's own functions verify what met.
 
 Defined cases: null text is empty; a null needle is left out, and an empty one refused, as it is everywhere; needles shorter than
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +31,17 @@ GRAM, PACK_BYTES, PIECE, MAX_BITS = 4, 32 << 20, 1 << 20, 1 << 26
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(raw: bytes, n: int) -> np.ndarray:
-    """The different runs of n bytes, as numbers that hold n as well."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
+def _grams(raw: bytes | np.ndarray, n: int) -> np.ndarray:
+    """The run of n bytes at each place, as numbers that hold n as well."""
+    b = (np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw).astype(np.uint64)
     if len(b) < n:
         return np.empty(0, np.int64)
     g = sum((b[i : len(b) - n + 1 + i] << np.uint64(8 * i) for i in range(1, n)), b[: len(b) - n + 1])
-    return np.unique(g + np.uint64(n << 32)).astype(np.int64)
+    return (g + np.uint64(n << 32)).astype(np.int64)
 
 
 def needle_grams(needle: bytes) -> np.ndarray:
-    return grams(needle, min(GRAM, len(needle)))
+    return np.unique(_grams(needle, min(GRAM, len(needle))))
 
 
 def _slots(g: np.ndarray, bits: int) -> np.ndarray:
@@ -47,12 +49,12 @@ def _slots(g: np.ndarray, bits: int) -> np.ndarray:
 
 
 def text_grams(raw: bytes, known: np.ndarray, lengths: Sequence[int]) -> np.ndarray:
-    """The text's grams that the bitmap knows."""
+    """The text's different grams that the bitmap knows."""
     found = []
     for n in lengths:
         for at in range(0, max(1, len(raw)), PIECE):
-            g = grams(raw[at : at + PIECE + n - 1], n)
-            found.append(g[known[_slots(g, len(known))]])
+            g = _grams(raw[at : at + PIECE + n - 1], n)
+            found.append(np.unique(g[known[_slots(g, len(known))]]))
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
@@ -77,26 +79,16 @@ def filed(texts: DataFrame, rules: DataFrame, text_col: str, rule_col: str, need
     known, lengths = _bitmap_of(rows)
 
     def count(batches):
-        held: dict[int, int] = {}
         for b in batches:
-            for raw in _raws(b.column(0)):
-                for g in text_grams(raw, known.value, lengths).tolist():
-                    held[g] = held.get(g, 0) + 1
-            if len(held) > 1 << 20:
-                yield from _counts(held)
-        yield from _counts(held)
+            each = [text_grams(raw, known.value, lengths) for raw in _raws(b.column(0))]
+            g, n = np.unique(np.concatenate([np.empty(0, np.int64), *each]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     seen = texts.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     least = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram"))
     return saved(rows.join(seen, "gram", "left").groupBy("rule", "needle").agg(least.alias("gram")), "pack")
 
 
-def _counts(held: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["gram", "n"])
-        held.clear()
-
-
 def _bitmap_of(pack: DataFrame):
     """A bitmap of the grams of (gram), of fixed size at most, sent to all tasks; and their lengths."""
     spark = pack.sparkSession
@@ -135,31 +127,136 @@ def _fields(rows: DataFrame, keys: Sequence[str], *more: T.StructField) -> T.Str
     return T.StructType([*(rows.schema[k] for k in keys), *more])
 
 
+class Needles:
+    """A pack for lookups by arrays: the shapes (place of the gram, length) of each gram, and needles by hash.
+
+    The hash of a run is a difference of prefix sums, so that a run of any length is hashed in constant time. Bytes are compared in the end.
+    """
+
+    _BASE = 0x5851F42D4C957F2D
+
+    def __init__(self, needles: Sequence[bytes], grams: Sequence[int]):
+        self.raw = needles
+        self.longest = max(map(len, needles), default=0)
+        size = np.array([len(x) for x in needles], np.int64)
+        place = np.array([int(np.argmax(_grams(x, min(GRAM, len(x))) == g)) for x, g in zip(needles, grams, strict=True)], np.int64)
+        shapes = np.unique(np.stack([np.array(grams, np.int64), place, size]).T.reshape(-1, 3), axis=0)
+        self.grams, self.first, self.n = np.unique(shapes[:, 0], return_index=True, return_counts=True)
+        self.place, self.size = shapes[:, 1], shapes[:, 2]
+        hashes = np.array([self._mixed(*self._sums(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0] for x in needles], np.uint64)
+        self.by_hash = np.argsort(hashes, kind="stable")
+        self.hashes, self.from_, self.same = np.unique(hashes[self.by_hash], return_index=True, return_counts=True)
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+
+    def _sums(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the bytes, each times a power, and what takes the power away again."""
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * self._powers(self._BASE, len(b)), out=sums[1:])
+        return sums, self._powers(pow(self._BASE, -1, 1 << 64), len(b) + 1)
+
+    @staticmethod
+    def _mixed(sums: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[start]) * back[start] ^ ((end - start).astype(np.uint64) * _SPREAD)
+
+    def places(self, data: np.ndarray, known: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of a needle, where it starts) of all needles in the bytes, in blocks."""
+        for at in range(0, len(data), PIECE):
+            low = max(0, at - self.longest)
+            window = data[low : at + PIECE + self.longest]
+            sums, back = self._sums(window)
+            for n in lengths:
+                g = _grams(data[at : at + PIECE + n - 1], n)
+                here = np.flatnonzero(known[_slots(g, len(known))])
+                of = np.searchsorted(self.grams, g[here])
+                of[of == len(self.grams)] = 0
+                real = self.grams[of] == g[here]
+                here, of = here[real] + (at - low), of[real]
+                if not len(here):
+                    continue
+                # so many places at a time that the shapes to be tried stay within a piece
+                cuts = np.searchsorted(np.cumsum(self.n[of]), np.arange(0, self.n[of].sum(), PIECE), side="right")
+                for i, j in zip(cuts, [*cuts[1:], len(here)], strict=True):
+                    yield from self._tried(window, sums, back, low, here[i:j], of[i:j])
+
+    def _tried(self, window: np.ndarray, sums: np.ndarray, back: np.ndarray, low: int, here: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        shape = _runs(self.first[of], self.n[of])
+        start = np.repeat(here, self.n[of]) - self.place[shape]
+        end = start + self.size[shape]
+        fits = (start >= 0) & (end <= len(window))
+        start, end = start[fits], end[fits]
+        h = self._mixed(sums, back, start, end)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        hit = self.hashes[at] == h
+        start, at = start[hit], at[hit]
+        needle = self.by_hash[_runs(self.from_[at], self.same[at])]
+        start = np.repeat(start, self.same[at])
+        raw = window.tobytes() if len(start) else b""
+        same = np.fromiter((raw.startswith(self.raw[k], s) for k, s in zip(needle.tolist(), start.tolist(), strict=True)), bool, len(start))
+        yield needle[same], start[same] + low
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, n of them."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+
+
+def _apart(start: np.ndarray, new: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the hits count when hits of one needle may not overlap; sorted by needle and start, new where another needle begins."""
+    counts = np.ones(len(start), bool)
+    close = np.flatnonzero(~new[1:] & (np.diff(start) < size[1:])) + 1
+    last_end, before = 0, -1
+    for i in close.tolist():
+        if i - 1 != before:  # the hit before stands alone, so it counts
+            last_end = start[i - 1] + size[i - 1]
+        counts[i] = start[i] >= last_end
+        if counts[i]:
+            last_end = start[i] + size[i]
+        before = i
+    return counts
+
+
+def _blocks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about PIECE bytes in all (or one longer row), with the bytes of their texts on end and where each begins."""
+    raws = pc.fill_null(b.column(column).cast(pa.large_binary()), b"")
+    sizes = pc.binary_length(raws).to_numpy(zero_copy_only=False)
+    block = (np.cumsum(sizes) - sizes) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        starts = np.concatenate([[0], np.cumsum(sizes[i:j])])
+        yield b.slice(i, j - i), np.frombuffer(b"".join(raws.slice(i, j - i).to_pylist()), np.uint8), starts
+
+
 def _sent(rows: DataFrame, keys: Sequence[str], pack: DataFrame, known, lengths: Sequence[int]) -> DataFrame:
     """One pass over the texts, with the pack in every task."""
-    by_gram: dict[int, list[tuple[int, bytes]]] = {}
     table = pack.select("rule", "needle", "gram").toArrow()  # at most PACK_BYTES
-    for i, (needle, gram) in enumerate(zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True)):
-        by_gram.setdefault(gram, []).append((i, needle.encode()))
-    shared = rows.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), by_gram))
+    needles = Needles([x.encode() for x in table.column(1).to_pylist()], table.column(2).to_pylist())
+    shared = rows.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), needles))
 
     def run(batches):
-        names, filed = shared.value
+        names, needles = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
-                of, rule, count, line = [], [], [], []
-                for i, raw in enumerate(_raws(b.column(len(keys)))):
-                    for g in text_grams(raw, known.value, lengths).tolist():
-                        for r, needle in filed.get(g, ()):
-                            first = raw.find(needle)
-                            if first >= 0:
-                                of.append(i)
-                                rule.append(r)
-                                count.append(raw.count(needle))
-                                line.append(raw.count(b"\n", 0, first) + 1)
-                take = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(keys))), names.take(pa.array(rule, pa.int64())), pa.array(count, pa.int64()), pa.array(line, pa.int32())], names=schema.names)
+            for b, data, starts in _blocks(whole, len(keys)):
+                found = [*needles.places(data, known.value, lengths)] if len(needles.raw) else []
+                needle, start = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+                row = np.searchsorted(starts, start, side="right") - 1
+                size = np.array([len(x) for x in needles.raw], np.int64)[needle]
+                inside = start + size <= starts[row + 1]
+                order = np.lexsort((start[inside], needle[inside], row[inside]))
+                row, needle, start, size = (x[inside][order] for x in (row, needle, start, size))
+                new = np.ones(len(row), bool)
+                new[1:] = (np.diff(row) != 0) | (np.diff(needle) != 0)
+                first = np.flatnonzero(new)
+                count = np.add.reduceat(_apart(start, new, size).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+                breaks = np.flatnonzero(data == 10)
+                line = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, starts[row[first]]) + 1
+                take = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(keys))), names.take(pa.array(needle[first])), pa.array(count), pa.array(line.astype(np.int32))], names=schema.names)
 
     schema = _fields(rows, keys, pack.schema["rule"], T.StructField("count", T.LongType()), T.StructField("line", T.IntegerType()))
     return rows.mapInArrow(run, schema)

@@ -56,6 +56,17 @@ def test_empty_needles_are_refused(spark):
         matching.literal_findings(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([("r", "")], "rule_id string, needle string"), ["doc_id"])
 
 
+def test_texts_without_hits_beside_others(spark, monkeypatch):
+    """Blocks of no hit, needles over the ends of pieces and texts, and long needles."""
+    monkeypatch.setattr(matching, "PIECE", 8)
+    long = "needle " * 9
+    texts = [(1, "q" * 40), (2, long + "need"), (3, "le needle"), (4, ""), (5, "x\n" * 9 + long + long)]
+    rules = [("a", long), ("b", "needle"), ("c", "eneedle"), ("d", "dlen"), ("e", "e n")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    out = matching.literal_findings(df, spark.createDataFrame(rules, "rule_id string, needle string"), ["doc_id"])
+    assert sorted(map(tuple, out.collect())) == brute(texts, rules)
+
+
 def test_nothing(spark, case):
     df = spark.createDataFrame(case[0], "doc_id long, text string")
     pack = spark.createDataFrame(case[1], "rule_id string, needle string")
