@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, history_queries, layer_queries, memory_queries, pack_queries, search_queries, stream_queries, text_queries
+from . import graph_queries, history_queries, layer_queries, memory_queries, pack_queries, search_queries, stream_queries, text_queries, tree_queries
 
-MODULES = (text_queries, layer_queries, pack_queries, search_queries, graph_queries, history_queries, memory_queries, stream_queries)
+MODULES = (text_queries, layer_queries, pack_queries, search_queries, graph_queries, history_queries, memory_queries, stream_queries, tree_queries)
 
 
 def queries() -> dict:
