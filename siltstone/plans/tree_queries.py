@@ -1,10 +1,10 @@
-"""Queries of element trees and property graphs over pages."""
+"""Queries of element trees and property graphs over pages, and of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, trees
+from ..operators import graph, runs, trees
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -87,3 +87,16 @@ def page_property_features(spark, d):
     ids = F.split("node", ":")
     out = graph.property_features(nodes, edges)
     return out.select(ids[0].cast("long").alias("page_id"), ids[1].cast("int").alias("node"), (F.array_position(F.slice("features", 1, 18), F.lit(1.0)) - 1).alias("kind"), at(18).alias("depth"), at(26).alias("in_degree"), at(27).alias("out_degree"), at(29).alias("has_cfg"), at(30).alias("has_dfg"), at(33).alias("centrality"))
+
+
+# a run for each kind of event and day; whoever has such an event that day is a finding
+@query("""WITH f AS (SELECT DISTINCT event_type AS project, strftime(ts, '%Y-%m-%d') AS run_id, user_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT project, run_id, CAST(row_number() OVER (PARTITION BY project ORDER BY run_id) AS INT) AS nth FROM (SELECT DISTINCT project, run_id FROM f)),
+x AS (SELECT f.*, nth FROM f JOIN r USING (project, run_id)),
+n AS (SELECT a.project, a.nth, count(*) AS found, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x b WHERE b.project = a.project AND b.nth = a.nth - 1 AND b.user_id IS NOT DISTINCT FROM a.user_id)) AS new FROM x a GROUP BY ALL),
+g AS (SELECT a.project, a.nth + 1 AS nth, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x b WHERE b.project = a.project AND b.nth = a.nth + 1 AND b.user_id IS NOT DISTINCT FROM a.user_id)) AS fixed FROM x a GROUP BY ALL)
+SELECT project, run_id, r.nth, coalesce(found, 0) AS found, coalesce(new, 0) AS new, coalesce(fixed, 0) AS fixed FROM r LEFT JOIN n USING (project, nth) LEFT JOIN g USING (project, nth)""")
+def run_history(spark, d):
+    rows = table(spark, d, "events").filter("event_type IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.select(F.col("event_type").alias("project"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.to_date("ts").alias("started_at"), "user_id")
+    return runs.history(rows, rows, ["user_id"])
