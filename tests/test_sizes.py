@@ -22,3 +22,9 @@ def test_equal_ranges_meet_once(spark):
     out = files.advised(deps, v)
     assert {r.id: (r.advisories, r.first_advisory) for r in out.collect()} == want
     assert "Broadcast" not in plan(out)
+
+
+@tables
+def test_versions_are_not_broadcast(spark):
+    """A version asks at each level of bins: its rows are many more than the file's size tells."""
+    assert "Broadcast" not in plan(catalog.queries()["vuln_range_join"](spark, SF))
