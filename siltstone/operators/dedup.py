@@ -20,7 +20,9 @@ def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(a, b, score), a < b: entries of different content whose word sets have this Jaccard likeness or more.
 
-    Equal contents are one entry (the least id). Prefixes of rare words are joined, inside bands of sizes, before exact likeness.
+    Equal contents are one entry (the least id). Prefixes of rare words are joined, inside bands of sizes, before exact likeness. What
+    prefixes have in common is counted: up to the end of the prefix that ends first that is all, and beyond it no more can be common
+    than is left of that set. So only pairs that can still reach the threshold are given their words.
     """
     one = rows.groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).agg(F.min(id_col).alias("id"), F.first(text_col).alias("_t"))
     sets = saved(hashed(one.select("id", F.array_sort(word_set(F.col("_t"))).alias("words")).filter(F.size("words") > 0)), "word-sets")
@@ -31,7 +33,9 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) ->
     small = prefix.select(F.col("id").alias("s"), F.col("n").alias("ns"), "word", "band")
     large = prefix.select(F.col("id").alias("l"), F.col("n").alias("nl"), "word", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     met = small.join(large, ["word", "band"]).filter("(ns < nl OR (ns = nl AND s < l))").filter(F.col("ns") >= F.col("nl") * threshold)
-    pairs = met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    least = F.ceil((F.col("ns") + F.col("nl")) * (threshold / (1 + threshold)) - 1e-9)
+    met = met.groupBy("s", "l", "ns", "nl").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") + F.ceil(F.col("nl") * threshold - 1e-9) - 1 >= least)
+    pairs = saved(met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")), "met")
     of = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from siltstone.operators import dedup
 from siltstone.plans import catalog
 from siltstone.sources import files
 
@@ -28,3 +29,14 @@ def test_equal_ranges_meet_once(spark):
 def test_versions_are_not_broadcast(spark):
     """A version asks at each level of bins: its rows are many more than the file's size tells."""
     assert "Broadcast" not in plan(catalog.queries()["vuln_range_join"](spark, SF))
+
+
+def test_pairs_that_cannot_be_alike_get_no_words(spark):
+    """All sets share the rarest words of their prefixes, and few of the others; only pairs that are alike are given their words."""
+    own = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    texts = {i: [*own(0, 3), *own(i // 2 + 1, 36), f"own{i}"] for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id int, text string").repartition(2)
+    out = dedup.near_pairs(docs, "doc_id", "text", 0.85)
+    assert sorted((r.a, r.b) for r in out.collect()) == [(i, i + 1) for i in range(0, 40, 2)]
+    met = next(p for p in out.inputFiles() if "/met-" in p).rsplit("/", 1)[0]
+    assert spark.read.parquet(met).count() == 20
