@@ -35,11 +35,14 @@ def trends(snapshots: DataFrame, key: Sequence[str], metrics: Sequence[str] = tu
 
 
 def drift_score(trend: DataFrame, key: Sequence[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, score): sizes of declines, weighted by metric and severity, at most 1."""
+    """(key, score): sizes of declines, weighted by metric and severity, at most 1; added in the order of weights, so that runs agree to the last bit."""
     w = F.coalesce(*(F.when(F.col("metric") == m, F.lit(x)) for m, x in weights.items()), F.lit(0.0))
     f = F.coalesce(*(F.when(F.col("severity") == s, F.lit(x)) for s, x in SEVERITY_FACTOR.items()))
     part = F.when(F.col("direction") == "declining", F.abs("delta") * w * f).otherwise(0.0)
-    return trend.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(part)).alias("score"), F.max("n").alias("snapshots"))
+    # a sum for each metric has one term, whatever the order of rows
+    sums = [F.coalesce(F.sum(F.when(F.col("metric") == m, part)), F.lit(0.0)) for m in weights]
+    total = sum(sums[1:], sums[0])
+    return trend.groupBy(*key).agg(F.least(F.lit(1.0), total).alias("score"), F.max("n").alias("snapshots"))
 
 
 # What a decline of each severity adds to the flat score.

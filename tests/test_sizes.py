@@ -1,10 +1,12 @@
 """What plans do with tables that are larger than they look: nothing that was exploded is broadcast, rows meet no more often than they must."""
 
 import os
+import random
+from functools import reduce
 
 import pytest
 
-from siltstone.operators import dedup
+from siltstone.operators import dedup, drift
 from siltstone.plans import catalog
 from siltstone.sources import files
 
@@ -31,6 +33,16 @@ def test_versions_are_not_broadcast(spark):
     assert "Broadcast" not in plan(catalog.queries()["vuln_range_join"](spark, SF))
 
 
+def test_drift_adds_in_the_order_of_weights(spark):
+    """Scores on the border of an alert do not depend on the order in which rows arrive."""
+    rng = random.Random(5)
+    deltas = {f: {m: -rng.randrange(4, 40) / 60 for m in drift.WEIGHTS} for f in range(60)}
+    rows = [(f, m, x, "declining", "low", 3) for f, each in deltas.items() for m, x in reversed(each.items())]
+    trend = spark.createDataFrame(rows, "f int, metric string, delta double, direction string, severity string, n long").coalesce(1)
+    want = {f: min(1.0, reduce(float.__add__, (-x * drift.WEIGHTS[m] for m, x in each.items()))) for f, each in deltas.items()}
+    assert {r.f: r.score for r in drift.drift_score(trend, ["f"]).collect()} == want
+
+
 def test_pairs_that_cannot_be_alike_get_no_words(spark):
     """All sets share the rarest words of their prefixes, and few of the others; only pairs that are alike are given their words."""
     own = lambda i, n: [f"w{i}x{k}" for k in range(n)]
