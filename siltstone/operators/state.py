@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import saved
+
 # Rules and words of rule domains by compliance tier.
 TIER_RULES = {"inviolable": ["SEC001", "SEC002", "SUPP001"], "strict": ["LOGIC001", "ARCH001"]}
 TIER_WORDS = {"inviolable": ["secur", "supply", "crypto"], "strict": ["logic", "memory", "architect", "concurr"]}
@@ -44,23 +46,28 @@ def tier(rule: Column, domain: Column) -> Column:
 def exempted(violations: DataFrame, exemptions: DataFrame) -> DataFrame:
     """violations (rule_id, path) with the first exemption (ordinal) whose scope has them: file, dir, glob or project.
 
-    A scope is filed under the folder that it names (a glob under what stands before its first wildcard), a path asks each folder
-    above it: an equi-join, in which a rule with very many exemptions shows a path those of its own folders alone.
+    A scope is filed under the folder or file that it names, a glob under what stands before its first wildcard; a path asks itself, each folder
+    above it, and its beginnings of those lengths that globs have: an equi-join, in which a rule with very many exemptions shows a path those alone that begin as it does.
     """
     from ..functions.text import glob_column
 
     value = F.coalesce(F.col("scope_value"), F.lit(""))
-    fixed = F.regexp_extract(value, r"^([^*?]*)/[^/]*[*?]", 1)
     of = F.when(F.col("scope_kind") == "project", "p:").when(F.col("scope_kind") == "file", F.concat(F.lit("f:"), value)).when(F.col("scope_kind") == "dir", F.concat(F.lit("d:"), F.rtrim(value)))
-    of = of.when((F.col("scope_kind") == "glob") & ~value.rlike("[*?]"), F.concat(F.lit("f:"), value)).when(F.col("scope_kind") == "glob", F.concat(F.lit("g:"), F.regexp_replace(fixed, r"[^/]*[*?].*$", "")))
+    of = of.when((F.col("scope_kind") == "glob") & ~value.rlike("[*?]"), F.concat(F.lit("f:"), value)).when(F.col("scope_kind") == "glob", F.concat(F.lit("g:"), F.regexp_extract(value, "^[^*?]*", 0)))
     glob = F.when(F.col("scope_kind") == "glob", glob_column(value))
     e = exemptions.select(F.col("rule_id").alias("_r"), of.alias("_of"), glob.alias("_g"), "ordinal", F.col("id").alias("exemption"))
+    e = saved(e, "exemptions")  # its size is known then, also where it was exploded
+    kind = F.substring("_of", 1, 2)
+    kinds = e.select(kind.alias("kind"), F.when(kind == "g:", F.length("_of") - 2).alias("n")).filter("kind IS NOT NULL").distinct().collect()  # the kinds, and no more lengths than the longest glob has
+    lengths = F.array(*(F.lit(r.n) for r in kinds if r.n is not None)).cast("array<int>")
     paths = violations.select("rule_id", "path").distinct()
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
     named = lambda kind: F.transform(above, lambda x: F.concat(F.lit(kind), x))
-    asked = F.concat(F.array(F.lit("p:"), F.lit("g:"), F.concat(F.lit("f:"), F.col("path"))), named("d:"), named("g:"))
+    begins = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.concat(F.lit("g:"), F.left("path", n)))
+    asks = {"p:": F.array(F.lit("p:")), "f:": F.array(F.concat(F.lit("f:"), F.col("path"))), "d:": named("d:"), "g:": begins}
+    asked = F.concat(F.array().cast("array<string>"), *(asks[k] for k in sorted({r.kind for r in kinds})))
     rows = paths.select("rule_id", "path", F.explode(F.array_distinct(asked)).alias("_ask"))
     met = rows.join(e, (F.col("rule_id") == F.col("_r")) & (F.col("_ask") == F.col("_of"))).filter("_g IS NULL OR path rlike _g")
     first = met.groupBy("rule_id", "path").agg(F.min_by("exemption", "ordinal").alias("exemption"))

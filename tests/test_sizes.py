@@ -6,7 +6,7 @@ from functools import reduce
 
 import pytest
 
-from siltstone.operators import dedup, drift
+from siltstone.operators import dedup, drift, state
 from siltstone.plans import catalog
 from siltstone.sources import files
 
@@ -52,3 +52,15 @@ def test_pairs_that_cannot_be_alike_get_no_words(spark):
     assert sorted((r.a, r.b) for r in out.collect()) == [(i, i + 1) for i in range(0, 40, 2)]
     met = next(p for p in out.inputFiles() if "/met-" in p).rsplit("/", 1)[0]
     assert spark.read.parquet(met).count() == 20
+
+
+def test_globs_meet_the_paths_that_begin_as_they_do(spark):
+    """Very many globs in one folder: a path is matched with those alone whose beginning it has."""
+    v = spark.createDataFrame([("R", f"u/f{i}") for i in range(40)] + [("R", None), ("S", "u/f1")], "rule_id string, path string")
+    e = spark.createDataFrame([(i, "R", "glob", f"u/f{i}*", i) for i in range(100)] + [(-1, "R", "glob", "*/f2?", 999), (-2, "R", "glob", "u/f3", -1)], "id int, rule_id string, scope_kind string, scope_value string, ordinal int")
+    out = state.exempted(v, e)
+    want = {f"u/f{i}": -2 if i == 3 else i if i < 10 else i // 10 for i in range(40)}
+    assert {r.path: r.exemption for r in out.filter("rule_id = 'R' AND path IS NOT NULL").collect()} == want
+    assert [r.exemption for r in out.filter("rule_id = 'S' OR path IS NULL").collect()] == [None, None]
+    filed = next(p for p in out.inputFiles() if "/exemptions-" in p).rsplit("/", 1)[0]
+    assert spark.read.parquet(filed).filter("_of = 'g:u/f3'").count() == 1
