@@ -52,13 +52,16 @@ def _with(seen: DataFrame, more: DataFrame, r: int) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(start, node, depth): what each start reaches along edges, and the fewest steps; at most max_depth unless None."""
+    """(start, node, depth): what each start reaches along edges, and the fewest steps; at most max_depth unless None.
+
+    Files of numbers are much smaller than their rows, so no round leaves it to their size whether it sends a side to the driver.
+    """
     e = _saved(edges.select("src", "dst").distinct(), "edges")
     seen = _saved(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "starts")
     frontier = seen
     for d in _rounds(max_depth):
-        nxt = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _saved(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        nxt = frontier.join(e.hint("merge"), frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+        frontier = _saved(nxt.join(seen.select("start", "node").hint("merge"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
         seen = _with(seen, frontier, d)
@@ -68,7 +71,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
 def impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, affected, risk): all transitive callers of each start; over 10 high, over 3 medium."""
     n = reach(reverse(edges), starts).groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
-    rows = starts.select("node").distinct().join(n, "node", "left").select("node", F.coalesce("affected", F.lit(0)).alias("affected"))
+    rows = starts.select("node").distinct().join(n.hint("merge"), "node", "left").select("node", F.coalesce("affected", F.lit(0)).alias("affected"))
     return rows.withColumn("risk", F.when(F.col("affected") > 10, "high").when(F.col("affected") > 3, "medium").otherwise("low"))
 
 

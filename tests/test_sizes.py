@@ -6,7 +6,7 @@ from functools import reduce
 
 import pytest
 
-from siltstone.operators import dedup, drift, state
+from siltstone.operators import dedup, drift, graph, state
 from siltstone.plans import catalog
 from siltstone.sources import files
 
@@ -64,3 +64,15 @@ def test_globs_meet_the_paths_that_begin_as_they_do(spark):
     assert [r.exemption for r in out.filter("rule_id = 'S' OR path IS NULL").collect()] == [None, None]
     filed = next(p for p in out.inputFiles() if "/exemptions-" in p).rsplit("/", 1)[0]
     assert spark.read.parquet(filed).filter("_of = 'g:u/f3'").count() == 1
+
+
+def test_rounds_of_a_search_are_not_broadcast(spark):
+    """Neither a frontier nor the edges nor what was seen goes through the driver, however small their files are."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    edges = spark.range(60).selectExpr("id AS src", "id div 2 AS dst").filter("src > 0")
+    found = graph.impact(edges, spark.range(3).selectExpr("id AS node"))
+    assert {r.node: r.affected for r in found.collect()} == {0: 59, 1: 58, 2: 30}
+    done = store.executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(before, done.size())]
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
