@@ -7,6 +7,7 @@ words have to be known for that: at most HOT of them, sent to all tasks. Each se
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent words that are told apart by their number of sets.
-HOT = 65_536
+#: Frequent words that are told apart by their number of sets, and words of sets that are sorted at a time (or one larger set).
+HOT, PIECE = 65_536, 1 << 18
 
 
 def hashed(sets: DataFrame) -> DataFrame:
@@ -34,12 +35,20 @@ def frequent(sets: DataFrame) -> Broadcast:
     return sets.sparkSession.sparkContext.broadcast((w[order], n[order]))
 
 
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about PIECE words in all, so that the arrays of a task do not grow with a batch."""
+    sizes = np.diff(b.column(1).offsets.to_numpy())
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PIECE)) + 1).tolist(), len(sizes)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield b.slice(i, j - i)
+
+
 def prefixes(sets: DataFrame, threshold: float, hot: Broadcast) -> DataFrame:
     """(id, n, word) for the prefix of each hashed set; words are hashes."""
 
     def run(batches):
         w, count = hot.value
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole)):
             lists = b.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             values = lists.flatten().to_numpy(zero_copy_only=False)

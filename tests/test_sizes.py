@@ -4,9 +4,10 @@ import os
 import random
 from functools import reduce
 
+import pyarrow as pa
 import pytest
 
-from siltstone.operators import dedup, drift, graph, state
+from siltstone.operators import dedup, drift, graph, prefixes, state
 from siltstone.plans import catalog
 from siltstone.sources import files
 
@@ -76,3 +77,12 @@ def test_rounds_of_a_search_are_not_broadcast(spark):
     done = store.executionsList()
     plans = [done.apply(i).physicalPlanDescription() for i in range(before, done.size())]
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_sets_are_sorted_in_pieces(monkeypatch):
+    monkeypatch.setattr(prefixes, "PIECE", 8)
+    sets = [[1, 2, 3], [], [4] * 20, [5], [6, 7], [], [8, 9, 10, 11]]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h"])
+    got = [x.to_pydict() for x in prefixes.pieces(b)]
+    assert [i for x in got for i in x["id"]] == list(range(7)) and [h for x in got for h in x["h"]] == sets
+    assert len(got) > 1 and all(sum(map(len, x["h"][:-1])) <= 8 for x in got)
