@@ -6,7 +6,7 @@ grams that are there are looked for. The plan is the same for ten rules and for
 
 A pack of at most PACK_BYTES is sent to all tasks and texts are read in one narrow pass, without a shuffle: where a gram of the
 pack stands, the runs around it that could be a needle are hashed and looked up, and what is found is compared by bytes. A larger
-one stays a table: (text, gram) meets (gram, rule) in a join, then the texts, and Spark's own functions verify what met.
+one stays a table: (block of texts, gram) meets (gram, rule) in a join, and each block is searched in the same way for the rules that it met.
 
 Defined cases: null text is empty; a null needle is left out, and an empty one refused, as it is everywhere; needles shorter than
 GRAM are their own gram; equal needles are rules of their own; hits of a needle do not overlap; a needle is sought in the whole text, so one that holds a
@@ -20,14 +20,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import saved
 
-#: Bytes of a gram, of a pack that is sent to all tasks, of text that is cut into grams at a time, and bits of the bitmap.
-GRAM, PACK_BYTES, PIECE, MAX_BITS = 4, 32 << 20, 1 << 20, 1 << 26
+#: Bytes of a gram, of a pack that is sent to all tasks, of text that is cut into grams at a time, of a block of texts that a larger pack meets, and bits of the bitmap.
+GRAM, PACK_BYTES, PIECE, BLOCK, MAX_BITS = 4, 32 << 20, 1 << 20, 4 << 20, 1 << 26
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +120,7 @@ def literal_findings(texts: DataFrame, rules: DataFrame, key: Sequence[str], tex
     rows = texts.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), F.col(text_col).alias("text"))
     keys = [f"k{i}" for i in range(len(key))]
     n_bytes = pack.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
-    found = (_sent if n_bytes <= pack_bytes else _joined)(rows, keys, pack, known, lengths)
+    found = _sent(rows, keys, pack, known, lengths) if n_bytes <= pack_bytes else _joined(rows, keys, pack, known, lengths, n_bytes)
     return found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(key)), F.col("rule").alias(rule_col), "count", "line")
 
 
@@ -139,14 +140,36 @@ class Needles:
         self.raw = needles
         self.longest = max(map(len, needles), default=0)
         size = np.array([len(x) for x in needles], np.int64)
-        place = np.array([int(np.argmax(_grams(x, min(GRAM, len(x))) == g)) for x, g in zip(needles, grams, strict=True)], np.int64)
-        shapes = np.unique(np.stack([np.array(grams, np.int64), place, size]).T.reshape(-1, 3), axis=0)
+        grams = np.array(grams, np.int64)
+        ends = np.cumsum(size)
+        place, hashes = np.zeros(len(size), np.int64), np.zeros(len(size), np.uint64)
+        # needles on end, about a piece at a time: the hash of a run is the same wherever it stands
+        for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(ends // PIECE)) + 1):
+            data = np.frombuffer(b"".join(needles[rows[0] : rows[-1] + 1]) if len(rows) else b"", np.uint8)
+            to = np.cumsum(size[rows])
+            hashes[rows] = self._mixed(*self._sums(data), to - size[rows], to)
+            place[rows] = self._first(data, size[rows], grams[rows])
+        shapes = np.unique(np.stack([grams, place, size]).T.reshape(-1, 3), axis=0)
         self.grams, self.first, self.n = np.unique(shapes[:, 0], return_index=True, return_counts=True)
         self.place, self.size = shapes[:, 1], shapes[:, 2]
-        hashes = np.array([self._mixed(*self._sums(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0] for x in needles], np.uint64)
         self.by_hash = np.argsort(hashes, kind="stable")
         self.hashes, self.from_, self.same = np.unique(hashes[self.by_hash], return_index=True, return_counts=True)
 
+    @staticmethod
+    def _first(data: np.ndarray, size: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Where in each of the needles that stand on end its gram begins first."""
+        out = np.zeros(len(size), np.int64)
+        ends = np.cumsum(size)
+        for n in range(1, GRAM + 1):
+            own = np.flatnonzero(np.minimum(size, GRAM) == n)
+            if len(own):
+                tried = size[own] - n + 1
+                at = _runs(ends[own] - size[own], tried)
+                hit = np.flatnonzero(_grams(data, n)[at] == np.repeat(grams[own], tried))
+                which, first = np.unique(np.repeat(np.arange(len(own)), tried)[hit], return_index=True)
+                out[own[which]] = at[hit[first]] - (ends - size)[own[which]]
+        return out
+
     def _powers(self, base: int, n: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
         out[:1] = 1
@@ -232,6 +255,27 @@ def _blocks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np
         yield b.slice(i, j - i), np.frombuffer(b"".join(raws.slice(i, j - i).to_pylist()), np.uint8), starts
 
 
+def _found(whole: pa.RecordBatch, n_keys: int, names: pa.Array, needles: Needles, known: np.ndarray, lengths: Sequence[int], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """(keys, rule, count, line) of a batch of (keys, text)."""
+    sizes = np.array([len(x) for x in needles.raw], np.int64)
+    for b, data, starts in _blocks(whole, n_keys):
+        found = [*needles.places(data, known, lengths)] if len(needles.raw) else []
+        needle, start = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        row = np.searchsorted(starts, start, side="right") - 1
+        size = sizes[needle]
+        inside = start + size <= starts[row + 1]
+        order = np.lexsort((start[inside], needle[inside], row[inside]))
+        row, needle, start, size = (x[inside][order] for x in (row, needle, start, size))
+        new = np.ones(len(row), bool)
+        new[1:] = (np.diff(row) != 0) | (np.diff(needle) != 0)
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(_apart(start, new, size).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        breaks = np.flatnonzero(data == 10)
+        line = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, starts[row[first]]) + 1
+        take = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(n_keys)), names.take(pa.array(needle[first])), pa.array(count), pa.array(line.astype(np.int32))], names=columns)
+
+
 def _sent(rows: DataFrame, keys: Sequence[str], pack: DataFrame, known, lengths: Sequence[int]) -> DataFrame:
     """One pass over the texts, with the pack in every task."""
     table = pack.select("rule", "needle", "gram").toArrow()  # at most PACK_BYTES
@@ -240,40 +284,67 @@ def _sent(rows: DataFrame, keys: Sequence[str], pack: DataFrame, known, lengths:
 
     def run(batches):
         names, needles = shared.value
-        for whole in batches:
-            for b, data, starts in _blocks(whole, len(keys)):
-                found = [*needles.places(data, known.value, lengths)] if len(needles.raw) else []
-                needle, start = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-                row = np.searchsorted(starts, start, side="right") - 1
-                size = np.array([len(x) for x in needles.raw], np.int64)[needle]
-                inside = start + size <= starts[row + 1]
-                order = np.lexsort((start[inside], needle[inside], row[inside]))
-                row, needle, start, size = (x[inside][order] for x in (row, needle, start, size))
-                new = np.ones(len(row), bool)
-                new[1:] = (np.diff(row) != 0) | (np.diff(needle) != 0)
-                first = np.flatnonzero(new)
-                count = np.add.reduceat(_apart(start, new, size).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-                breaks = np.flatnonzero(data == 10)
-                line = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, starts[row[first]]) + 1
-                take = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(len(keys))), names.take(pa.array(needle[first])), pa.array(count), pa.array(line.astype(np.int32))], names=schema.names)
+        for b in batches:
+            yield from _found(b, len(keys), names, needles, known.value, lengths, schema.names)
 
     schema = _fields(rows, keys, pack.schema["rule"], T.StructField("count", T.LongType()), T.StructField("line", T.IntegerType()))
     return rows.mapInArrow(run, schema)
 
 
-def _joined(rows: DataFrame, keys: Sequence[str], pack: DataFrame, known, lengths: Sequence[int]) -> DataFrame:
-    """The pack as a table: grams of texts meet rules, what met meets the texts and is verified."""
-    rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), "texts")
+def _joined(rows: DataFrame, keys: Sequence[str], pack: DataFrame, known, lengths: Sequence[int], n_bytes: int) -> DataFrame:
+    """The pack as a table: grams of blocks of texts meet rules, and a block is searched for the rules that it met.
 
-    def run(batches):
+    A block's texts have about BLOCK bytes (or are one longer text). Rules are dealt into parts of about PACK_BYTES, and a task has one
+    block with one part, so what it holds is bounded whatever the pack's size is.
+    """
+    parts = -(-n_bytes // PACK_BYTES) or 1
+    blocked = T.StructType([T.StructField("block", T.LongType()), *rows.schema])
+
+    def deal(batches):
+        block, free = TaskContext.get().partitionId() << 32, BLOCK
         for b in batches:
-            each = [text_grams(raw, known.value, lengths) for raw in _raws(b.column(1))]
-            take = pa.array(np.repeat(np.arange(len(each)), [len(g) for g in each]), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(np.concatenate(each) if each else [], pa.int64())], names=["at", "gram"])
-
-    met = rows.select("at", "text").mapInArrow(run, "at long, gram long").join(pack, "gram").select("at", "rule", "needle")
-    both = rows.join(met, "at").filter(F.contains("text", F.col("needle")))
-    count = (F.octet_length("text") - F.octet_length(F.replace("text", F.col("needle"), F.lit("")))) / F.octet_length("needle")
-    before = F.expr("substring(text, 1, instr(text, needle) - 1)")
-    return both.select(*keys, "rule", count.cast("long").alias("count"), F.size(F.split(before, "\n")).alias("line"))
+            sizes = pc.fill_null(pc.binary_length(b.column(len(keys)).cast(pa.large_binary())), 0).to_pylist()
+            own = []
+            for n in sizes:
+                if n > free and free < BLOCK:
+                    block, free = block + 1, BLOCK
+                free -= n
+                own.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *b.columns], names=blocked.names)
+
+    rows = saved(rows.mapInArrow(deal, blocked), "texts")
+
+    def cut(batches):
+        for b in batches:
+            block = b.column(0).to_numpy()
+            for i, j in _same(block):
+                each = [text_grams(raw, known.value, lengths) for raw in _raws(b.column(1).slice(i, j - i))]
+                g = np.unique(np.concatenate(each))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block[i])), pa.array(g)], names=["block", "gram"])
+
+    grams = rows.select("block", "text").mapInArrow(cut, "block long, gram long").distinct()
+    met = grams.join(pack.withColumn("part", F.pmod(F.xxhash64("rule", "needle"), F.lit(parts))), "gram")
+    if parts > 1:
+        met = saved(met, "met")
+        asked = rows.join(met.select("block", F.col("part").alias("own")).distinct(), "block")
+    else:
+        asked = rows.withColumn("own", F.lit(0).cast("long"))
+    schema = _fields(rows, keys, pack.schema["rule"], T.StructField("count", T.LongType()), T.StructField("line", T.IntegerType()))
+
+    def run(texts, rules):
+        arrow = [pa.array([], t) for t in (*(texts.schema.field(k).type for k in keys), rules.schema.field("rule").type, pa.int64(), pa.int32())]
+        found = [pa.RecordBatch.from_arrays(arrow, names=schema.names)]
+        if len(texts) and len(rules):
+            needles = Needles([x.encode() for x in rules.column("needle").to_pylist()], rules.column("gram").to_numpy())
+            names = rules.column("rule").combine_chunks()
+            for b in texts.select([*keys, "text"]).combine_chunks().to_batches():
+                found += _found(b, len(keys), names, needles, known.value, lengths, schema.names)
+        return pa.Table.from_batches(found)
+
+    return asked.groupBy("block", "own").cogroup(met.groupBy("block", "part")).applyInArrow(run, schema)
+
+
+def _same(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where equal values stand side by side."""
+    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)] if len(x) else []
+    return zip(cuts, cuts[1:], strict=False)

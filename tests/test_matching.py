@@ -31,6 +31,17 @@ def test_against_loops(spark, case, monkeypatch, pack_bytes):
     assert sorted(map(tuple, out.collect())) == brute(texts, rules)
 
 
+def test_joined_pack_meets_blocks(spark, case, monkeypatch):
+    """Texts are not repeated for each rule that might be in them, also when blocks are short and the pack has many parts."""
+    monkeypatch.setattr(matching, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(matching, "PACK_BYTES", 2000)
+    texts, rules = case
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    out = matching.literal_findings(df, spark.createDataFrame(rules, "rule_id string, needle string"), ["doc_id"], pack_bytes=0)
+    assert sorted(map(tuple, out.collect())) == brute(texts, rules)
+    assert "Contains(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_same_findings_as_the_unrolled_plan(spark, case):
     texts, rules = case
     df = spark.createDataFrame(texts, "doc_id long, text string").filter("doc_id <> 93")
