@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,9 @@ class LineRule:
     in_comments: bool = False
 
 
+_LOOP = re.compile("for|while|loop")
+
+
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def loop_lines(text: pd.Series) -> pd.Series:
     """For each line of a source, whether it is inside a loop: by braces, or by indentation where there are none."""
@@ -49,6 +53,8 @@ def loop_lines(text: pd.Series) -> pd.Series:
 
 
 def _loop_lines(text: str) -> list[bool]:
+    if not _LOOP.search(text):
+        return [False] * (text.count("\n") + 1)
     code = blanked(text).split("\n")
     head = re.compile(r"^\s*(for|while|loop)\b|\b(for|while)\s*\(")
     out: list[bool] = []
@@ -81,6 +87,7 @@ def _loop_lines(text: str) -> list[bool]:
 
 
 _TEST = re.compile(r"^\s*#\[(cfg\(test\)|test|tokio::test|async_test|rstest)\]|\bfn (test|\w+_test\b)")
+_TESTED = re.compile(_TEST.pattern, re.M)
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -90,6 +97,8 @@ def test_lines(text: pd.Series) -> pd.Series:
 
 
 def _test_lines(text: str) -> list[bool]:
+    if not _TESTED.search(text):
+        return [False] * (text.count("\n") + 1)
     out, inside, opened, depth = [], False, False, 0
     for line, code in zip(text.split("\n"), blanked(text, hashes=False).split("\n"), strict=True):
         if not inside and _TEST.search(line):
@@ -105,9 +114,12 @@ def _test_lines(text: str) -> list[bool]:
 def flagged_lines(texts: DataFrame, key: Sequence[str], text_col: str = "text", rules: Sequence[LineRule] | None = None) -> DataFrame:
     """(key, line, content, in_loop, in_test) of sources; loops are only sought if one of the rules asks for them."""
     loops = loop_lines(F.col(text_col)) if rules is None or any(r.context == "in_loop" for r in rules) else F.array().cast("array<boolean>")
-    rows = texts.select(*key, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_l"), loops.alias("_f"), test_lines(F.col(text_col)).alias("_t"))
+    # carriage returns go before the lines are rows: a filter on the content would take their removal with it, once for each rule
+    each = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    each = F.when(F.contains(F.col(text_col), F.lit("\r")), F.transform(each, lambda x: F.regexp_replace(x, "\r$", ""))).otherwise(each)
+    rows = texts.select(*key, each.alias("_l"), loops.alias("_f"), test_lines(F.col(text_col)).alias("_t"))
     flag = lambda c: F.coalesce(f"_z.{c}", F.lit(False))
-    return rows.select(*key, F.posexplode(F.arrays_zip("_l", "_f", "_t")).alias("_i", "_z")).select(*key, (F.col("_i") + 1).alias("line"), F.regexp_replace("_z._l", "\r$", "").alias("content"), flag("_f").alias("in_loop"), flag("_t").alias("in_test"))
+    return rows.select(*key, F.posexplode(F.arrays_zip("_l", "_f", "_t")).alias("_i", "_z")).select(*key, (F.col("_i") + 1).alias("line"), F.col("_z._l").alias("content"), flag("_f").alias("in_loop"), flag("_t").alias("in_test"))
 
 
 def _hit(rule: LineRule, content: Column) -> Column:
@@ -148,6 +160,9 @@ def line_findings(rows: DataFrame, key: Sequence[str], rules: Sequence[LineRule]
         ok = ok & contexts[r.context]() if r.context else ok
         return F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity")))
 
+    # few lines hold any needle: the rules are for them alone, and lines that none can hit are not carried on
+    some = [F.contains(c, F.lit(x)) for x in dict.fromkeys(r.needle for r in rules)]
+    rows = rows.filter(reduce(Column.__or__, some))
     found = rows.select(*key, "line", F.explode(F.array_distinct(F.filter(F.array(*map(one, rules)), lambda x: x.isNotNull()))).alias("f"))
     return found.select(*key, "f.rule_id", "f.severity", "line")
 

@@ -60,11 +60,14 @@ def repeated(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 def balance(texts: DataFrame, key: Sequence[str], pairs: Sequence[tuple[str, str]] = (("(", ")"), ("[", "]"), ("{", "}")), text_col: str = "text") -> DataFrame:
     """For each kind of bracket: how many more open than close, and whether one closes before it opens."""
     rows = texts.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    out = [*key]
+    n = lambda x: F.length("_t") - F.length(F.replace("_t", F.lit(x)))
+    open_, early = [n(a) - n(b) for a, b in pairs], []
     for a, b in pairs:
-        only = F.regexp_replace("_t", f"[^\\{a}\\{b}]", "")
-        fold = F.aggregate(F.split(only, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda s, c: F.struct((s["d"] + F.when(c == a, 1).when(c == b, -1).otherwise(0)).alias("d"), F.least(s["m"], s["d"] + F.when(c == a, 1).when(c == b, -1).otherwise(0)).alias("m")))
-        out.append(fold.alias(f"_f{a}"))
-    rows = rows.select(*out)
-    open_, early = [F.col(f"`_f{a}`")["d"] for a, _ in pairs], [F.col(f"`_f{a}`")["m"] < 0 for a, _ in pairs]
-    return rows.select(*key, sum(open_[1:], open_[0]).alias("unclosed"), F.greatest(*(e.cast("int") for e in early)).cast("boolean").alias("early_close"), (F.greatest(*(F.abs(o) for o in open_)) > 0).alias("unbalanced"))
+        step = lambda c: F.when(c == a, 1).when(c == b, -1).otherwise(0)  # noqa: B023, E731
+        low = lambda s, c: F.struct((s["d"] + step(c)).alias("d"), F.least(s["m"], s["d"] + step(c)).alias("m"))  # noqa: B023, E731
+        only = F.regexp_replace("_t", f"[^\\{a}\\{b}]+", "")
+        # only a fold knows where brackets close before they open; pairs with nothing between them say nothing, and most texts have few others
+        only = F.regexp_replace(F.regexp_replace(only, f"(\\{a}\\{b})+", ""), f"(\\{a}\\{b})+", "")
+        early.append(F.when(only == "", False).otherwise(F.aggregate(F.split(only, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), low)["m"] < 0))
+    unbalanced = F.greatest(*(F.abs(o) for o in open_)) > 0
+    return rows.select(*key, sum(open_[1:], open_[0]).alias("unclosed"), F.greatest(*(e.cast("int") for e in early)).cast("boolean").alias("early_close"), unbalanced.alias("unbalanced"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from ..operators import code, graph, layers, lines, matching, packs, validate
+from ..session import spread
 from ..sources.tables import table
 from . import pack, samples
 
@@ -23,14 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
+#: Parts to a task.
+ROWS = 20_000
+
+
 def _dealt(spark, d, values: Sequence, name: str):
     """Each part's number and one of the values."""
     return F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("p_partkey") % len(values) + 1).cast("int")).alias(name)
 
 
 def sources(spark, d):
-    """(p_partkey, language, text)."""
-    p = table(spark, d, "part")
+    """(p_partkey, language, text), dealt to tasks before texts are made of the short rows."""
+    p = spread(table(spark, d, "part").select("p_partkey"), ROWS, "p_partkey")
     return p.select("p_partkey", _dealt(spark, d, [x for x, _ in samples.SOURCES], "language"), _dealt(spark, d, [x for _, x in samples.SOURCES], "text"))
 
 

@@ -50,6 +50,11 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df in parts of about so many rows, dealt by the columns: a small file is one task's, whatever is then made of its rows."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -86,3 +86,30 @@ def test_sets_are_sorted_in_pieces(monkeypatch):
     got = [x.to_pydict() for x in prefixes.pieces(b)]
     assert [i for x in got for i in x["id"]] == list(range(7)) and [h for x in got for h in x["h"]] == sets
     assert len(got) > 1 and all(sum(map(len, x["h"][:-1])) <= 8 for x in got)
+
+
+@tables
+def test_sources_of_a_small_file_are_dealt_to_tasks(spark, monkeypatch):
+    """Sources are made of short rows: one file of them is not one task's."""
+    from siltstone.plans import pack_queries
+
+    monkeypatch.setattr(pack_queries, "ROWS", 50, raising=False)
+    assert pack_queries.sources(spark, SF).rdd.getNumPartitions() > 2
+
+
+def test_brackets_against_a_loop(spark):
+    from siltstone.operators import lines
+
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("([{)]}a") for _ in range(rng.randint(0, 9)))) for i in range(200)] + [(200, None)]
+
+    def brute(text):
+        depth, early = dict.fromkeys("([{", 0), False
+        for c in text or "":
+            if c != "a":
+                depth["([{"["([{)]}".index(c) % 3]] += 1 if c in "([{" else -1
+                early |= min(depth.values()) < 0
+        return sum(depth.values()), early, any(depth.values())
+
+    out = lines.balance(spark.createDataFrame(texts, "i int, text string"), ["i"])
+    assert {r.i: (r.unclosed, r.early_close, r.unbalanced) for r in out.collect()} == {i: brute(t) for i, t in texts}
