@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Comments, and elements whose content is not markup; the tag of an element, opening or closing.
 COMMENTS, RAW, TAG = r"(?s)<!--.*?-->", r"(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)>)", r"</?[A-Za-z][A-Za-z0-9]*"
 
+#: Bytes of the texts whose elements are one task's.
+PART = 4 << 20
+
 #: Names that a key may not have.
 _NAMES = {"node", "parent", "depth", "last", "kind", "tag", "step", "sum", "low", "level", "whole", "at", "above", "asks", "e", "of", "own", "before", "nth", "src", "dst", "def", "use", "name", "made", "seen", "until"}
 
@@ -40,8 +43,10 @@ def element_tree(texts: DataFrame, key: str, text_col: str = "html") -> DataFram
     they stand and not mended.
     """
     _key(key)
+    # tags are shuffled as few bytes and sorted many times: parts are made by the texts, and Spark does not join them again
+    parts = -(-(texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART) or 1
     plain = F.regexp_replace(F.regexp_replace(F.col(text_col), COMMENTS, ""), RAW, "$1$2")
-    tags = texts.select(key, F.posexplode(F.regexp_extract_all(plain, F.lit(TAG), 0)).alias("node", "tag")).repartition(key)
+    tags = texts.select(key, F.posexplode(F.regexp_extract_all(plain, F.lit(TAG), 0)).alias("node", "tag")).repartition(parts, key)
     step = F.when(F.col("tag").startswith("</"), -1).otherwise(1)
     rows = tags.select(key, "node", F.lower(F.translate("tag", "</", "")).alias("kind"), step.alias("step"))
     # levels of one name count from 0; below that, a closing tag has nothing to close

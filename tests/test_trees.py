@@ -108,3 +108,10 @@ def test_nothing_and_names(spark):
     assert trees.property_edges(tree, "id", defines=F.col("kind"), uses=F.col("kind")).count() == 0
     with pytest.raises(ValueError, match="rename"):
         trees.element_tree(df.withColumnRenamed("id", "node"), "node")
+
+
+def test_parts_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(trees, "PART", 100, raising=False)
+    texts = spark.createDataFrame([(i, "<p><b>x</b></p>" * 4) for i in range(20)], "i long, html string")
+    assert trees.element_tree(texts, "i").rdd.getNumPartitions() == 12
+    assert trees.element_tree(texts, "i").count() == 160
