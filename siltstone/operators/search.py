@@ -7,48 +7,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import jaccard, terms_with_bigrams, word_set
+from ..functions.text import jaccard, word_set
 from ..session import exists, saved
 from .prefixes import frequent, hashed, prefixes
-
-
-def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, n, tf): counts, and counts over all terms of the text."""
-    rows = docs.select(F.col(id_col).alias("id"), terms_with_bigrams(F.col(text_col)).alias("_t"))
-    rows = rows.select("id", F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    return rows.groupBy("id", "term", "_n").agg(F.count(F.lit(1)).alias("n")).select("id", "term", "n", (F.col("n") / F.col("_n")).alias("tf"))
+from .terms import hashed_terms, term_table
 
 
 def idf_table(terms: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf): ln(N / df)."""
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(max(1, n_docs))) / F.col("df")))
-
-
-def hashed_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) with terms as 64-bit hashes. Terms are counted inside their row, so nothing is shuffled; a row is a document."""
-
-    def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            row, term = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.lexsort((term, row))
-            row, term = row[order], term[order]
-            first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(term, prepend=term[:1]) != 0))
-            n = np.diff(np.append(first, len(row)))
-            row, term = row[first], term[first]
-            for i in range(0, len(row), 1 << 16):
-                at = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(term[at], pa.int64()), pa.array(n[at] / sizes[row[at]], pa.float64())], names=["id", "term", "tf"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    terms = F.transform(terms_with_bigrams(F.col(text_col)), lambda t: F.xxhash64(t))
-    return docs.select(F.col(id_col).alias("id"), terms.alias("h")).mapInArrow(run, f"id {kind}, term long, tf double")
+    return weighed(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs)
+
+
+def weighed(frequencies: DataFrame, n_docs: int) -> DataFrame:
+    """frequencies (term, df) with idf."""
+    return frequencies.withColumn("idf", F.log(F.lit(float(max(1, n_docs))) / F.col("df")))
 
 
 #: Terms that are weighed without moving their postings: as many at most, so their table may be broadcast.

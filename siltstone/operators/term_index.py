@@ -1,9 +1,10 @@
 """A TF-IDF index in segments: additions, replacements and removals write what they change, and searches read what is live.
 
-Under a folder of the shared store, segment k has the postings (id, term, tf) and ids of the documents that one call added, or the ids
-that it removed, and how much the call changes each term's number of documents. An id in segment k ends the same id in all earlier ones, so
-nothing old is rewritten; the number of documents with a term is the sum of the changes of all segments. A manifest of the segments in use
-is written last: a call that fails on the way leaves the index as it was. compact() writes the live documents as one segment.
+Under a folder of the shared store, segment k has the terms and ids of the documents that one call added, or the ids that it removed. A
+document is a row with arrays of its terms, so what finds the live ones moves a row for each. An id in segment k ends the same id in all earlier ones, so
+nothing old is rewritten or read by a change; a search counts the documents with a term where it brings a term's postings together to weigh them. A manifest
+of the segments in use is written last: a call that fails on the way leaves the index as it was. compact() writes the live documents as one segment.
+Documents are read twice by add(), so they must be files or another deterministic scan.
 
 Defined cases: a document without terms counts as one; null text has no terms; a null id is left out; of rows that repeat an id in one call
 one counts (that with the largest text); an index without documents finds nothing.
@@ -15,11 +16,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import exists, saved
-from .search import hashed_terms, top_k
+from .search import top_k
+from .terms import hashed_terms, postings, term_vectors
 
-_POSTINGS, _CHANGES = "id {kind}, term long, tf double", "term long, n long"
+_POSTINGS = "id {kind}, size int, terms array<long>, tf array<double>"
+#: Postings of a part that are weighed together, and ended documents up to which they may be sent to all tasks.
+PART, ENDED = 8 << 20, 1 << 20
 
 
 @dataclass
@@ -57,49 +62,59 @@ class SegmentedIndex:
         last = ids.groupBy("id").agg(F.max(F.struct("segment", "alive")).alias("last"))
         return last.filter("last.alive").select("id", F.col("last.segment").alias("segment"))
 
-    def postings(self) -> DataFrame:
-        """(id, term, tf) of the live documents; terms are 64-bit hashes."""
+    def vectors(self) -> DataFrame:
+        """(id, size, terms, tf) of the live documents; terms are 64-bit hashes.
+
+        A segment of which all is live is read as it is, one of which nothing is live is not read.
+        """
         rows = self._read("postings", _POSTINGS.format(kind=self.kind))
-        if len(self.segments) > 1:  # in one segment all is live
-            rows = rows.join(self.live(), ["id", "segment"], "left_semi")
-        return rows.select("id", "term", "tf")
+        if len(self.segments) > 1:
+            ids = self._read("ids", f"id {self.kind}, alive boolean").filter("alive").select("id", "segment")
+            ended = ids.join(self.live(), ["id", "segment"], "left_anti")
+            held, gone = ({r.segment: r["count"] for r in df.groupBy("segment").count().collect()} for df in (ids, ended))
+            mixed = [k for k in held if 0 < gone.get(k, 0) < held[k]]
+            whole = rows.filter(F.col("segment").isin([k for k in held if not gone.get(k)]))
+            if mixed:
+                ended = ended.filter(F.col("segment").isin(mixed))
+                ended = F.broadcast(ended) if sum(gone[k] for k in mixed) <= ENDED else ended
+                whole = whole.unionByName(rows.filter(F.col("segment").isin(mixed)).join(ended, ["id", "segment"], "left_anti"))
+            rows = whole
+        return rows.select("id", "size", "terms", "tf")
+
+    def postings(self) -> DataFrame:
+        """(id, term, tf) of the live documents."""
+        return postings(self.vectors())
 
     def frequencies(self) -> DataFrame:
-        """(term, df) of the live documents: sums of what segments changed, not a count of postings."""
-        return self._read("changes", _CHANGES).groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0")
+        """(term, df) of the live documents."""
+        return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def _commit(self, segments: list[int], documents: int) -> None:
         row = self.spark.createDataFrame([(self.version + 1, segments, documents)], "version int, segments array<int>, documents long")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         self.version, self.segments, self.documents = self.version + 1, segments, documents
 
-    def _write(self, ids: DataFrame, postings: DataFrame | None, alive: bool) -> None:
-        """A new segment: ids that are added or removed, and postings of the added ones."""
+    def _write(self, ids: DataFrame, vectors: DataFrame | None, alive: bool) -> None:
+        """A new segment: ids that are added or removed, and terms of the added ones."""
         # a number of its own, also after a call that failed: its files are never in a manifest
         k = max([*self.segments, self.version * 1000]) + 1
         while exists(self.spark, f"{self.path}/ids/segment={k}"):
             k += 1
-        to = lambda df, what: df.write.parquet(f"{self.path}/{what}/segment={k}")
+        to = lambda df, what: df.write.option("compression", "zstd").parquet(f"{self.path}/{what}/segment={k}")
         to(ids.select("id", F.lit(alive).alias("alive")), "ids")
         ids = self.spark.read.parquet(f"{self.path}/ids/segment={k}").select("id")
-        if postings is None:
-            postings = self.spark.createDataFrame([], _POSTINGS.format(kind=self.kind))
-        to(postings, "postings")
-        changes = self.spark.read.schema(_POSTINGS.format(kind=self.kind)).parquet(f"{self.path}/postings/segment={k}").select("term", F.lit(1).cast("long").alias("n"))
-        ended = 0
-        if self.segments:
-            gone = self.live().join(ids, "id", "left_semi")
-            ended = gone.count()
-            old = self._read("postings", _POSTINGS.format(kind=self.kind)).join(gone, ["id", "segment"], "left_semi")
-            changes = changes.unionByName(old.select("term", F.lit(-1).cast("long").alias("n")))
-        to(changes.groupBy("term").agg(F.sum("n").alias("n")).filter("n <> 0"), "changes")
+        if vectors is None:
+            vectors = self.spark.createDataFrame([], _POSTINGS.format(kind=self.kind))
+        to(vectors, "postings")
+        ended = self.live().join(ids, "id", "left_semi").count() if self.segments else 0
         self._commit([*self.segments, k], self.documents - ended + (ids.count() if alive else 0))
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SegmentedIndex:
         """Add documents, or replace those whose id is known."""
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
-        rows = saved(rows.groupBy("id").agg(F.max("text").alias("text")), "index-docs")
-        self._write(rows.select("id"), hashed_terms(rows, "id", "text"), True)
+        if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+            rows = saved(rows.groupBy("id").agg(F.max("text").alias("text")), "index-docs")
+        self._write(rows.select("id"), term_vectors(rows, "id", "text"), True)
         return self
 
     def remove(self, ids: DataFrame) -> SegmentedIndex:
@@ -116,9 +131,9 @@ class SegmentedIndex:
         """The live documents as one segment; the old segments' files stay for readers of older versions."""
         if len(self.segments) < 2:
             return self
-        ids, postings = saved(self.live().select("id"), "index-ids"), self.postings()
+        ids, vectors = saved(self.live().select("id"), "index-ids"), self.vectors()
         whole = SegmentedIndex(self.spark, self.path, self.kind, self.version)
-        whole._write(ids, postings, True)
+        whole._write(ids, vectors, True)
         self.version, self.segments, self.documents = whole.version, whole.segments, whole.documents
         return self
 
@@ -126,18 +141,24 @@ class SegmentedIndex:
         """(query, id, score, rank): the k best documents of each query by the cosine of its TF with their TF-IDF; ties go to the smaller id.
 
         The length of a document changes with every document added, so lengths are computed in the search, for documents that are met alone.
+        All postings are dealt by term once, into parts of bounded size; their numbers of documents are counted where they are weighed.
         """
-        idf = saved(self.frequencies().select("term", F.log(F.lit(float(max(1, self.documents))) / F.col("df")).alias("idf")), "index-idf")
+        n = float(max(1, self.documents))
         q = hashed_terms(queries, id_col, text_col).select(F.col("id").alias("query"), "term", F.col("tf").alias("q_tf"))
         q = saved(q, "index-query")
         q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
-        asked = q.select("term").distinct().join(idf, "term")
-        postings = self.postings()
-        hits = postings.join(asked, "term").join(q, "term")
+        vectors = self.vectors()
+        found = saved(postings(vectors).join(q.select("term").distinct(), "term", "left_semi"), "index-found")
+        idf = F.log(F.lit(n) / F.col("df"))
+        asked = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
+        hits = found.join(asked.join(q, "term"), "term")
         dots = hits.groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q_tf")).alias("dot")).filter("dot > 0")
         dots = saved(dots, "index-dots")
-        met = postings.join(dots.select("id").distinct(), "id", "left_semi").join(idf, "term")
-        norms = met.groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+        total = vectors.agg(F.sum("size")).first()[0] or 0
+        parts = max(-(-total // PART), 2 * self.spark.sparkContext.defaultParallelism)
+        by_term = postings(vectors).repartition(parts, "term")
+        df = by_term.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
+        w = df.select("id", F.pow(F.col("tf") * idf, 2).alias("w2"))
+        norms = w.groupBy("id").agg(F.sqrt(F.sum("w2")).alias("norm")).join(dots.select("id").distinct(), "id", "left_semi")
         scored = dots.join(norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0")
         return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
-
