@@ -16,15 +16,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import exists, saved
-from .search import top_k
-from .terms import hashed_terms, postings, term_vectors
+from .search import cosine_topk
+from .terms import postings, term_vectors
 
 _POSTINGS = "id {kind}, size int, terms array<long>, tf array<double>"
-#: Postings of a part that are weighed together, and ended documents up to which they may be sent to all tasks.
-PART, ENDED = 8 << 20, 1 << 20
+#: Ended documents up to which they may be sent to all tasks.
+ENDED = 1 << 20
 
 
 @dataclass
@@ -141,24 +140,5 @@ class SegmentedIndex:
         """(query, id, score, rank): the k best documents of each query by the cosine of its TF with their TF-IDF; ties go to the smaller id.
 
         The length of a document changes with every document added, so lengths are computed in the search, for documents that are met alone.
-        All postings are dealt by term once, into parts of bounded size; their numbers of documents are counted where they are weighed.
         """
-        n = float(max(1, self.documents))
-        q = hashed_terms(queries, id_col, text_col).select(F.col("id").alias("query"), "term", F.col("tf").alias("q_tf"))
-        q = saved(q, "index-query")
-        q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
-        vectors = self.vectors()
-        found = saved(postings(vectors).join(q.select("term").distinct(), "term", "left_semi"), "index-found")
-        idf = F.log(F.lit(n) / F.col("df"))
-        asked = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
-        hits = found.join(asked.join(q, "term"), "term")
-        dots = hits.groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q_tf")).alias("dot")).filter("dot > 0")
-        dots = saved(dots, "index-dots")
-        total = vectors.agg(F.sum("size")).first()[0] or 0
-        parts = max(-(-total // PART), 2 * self.spark.sparkContext.defaultParallelism)
-        by_term = postings(vectors).repartition(parts, "term")
-        df = by_term.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
-        w = df.select("id", F.pow(F.col("tf") * idf, 2).alias("w2"))
-        norms = w.groupBy("id").agg(F.sqrt(F.sum("w2")).alias("norm")).join(dots.select("id").distinct(), "id", "left_semi")
-        scored = dots.join(norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0")
-        return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
+        return cosine_topk(self.vectors(), self.documents, queries, k, id_col, text_col)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import terms_with_bigrams
-from siltstone.operators import terms
+from siltstone.operators import search, terms
 from siltstone.operators.term_index import SegmentedIndex
 from siltstone.plans import catalog
 from siltstone.session import scratch_path
@@ -62,3 +62,12 @@ def test_a_document_is_a_row_of_a_segment(spark):
     assert "Join" not in plan and index.vectors().count() == 20
     index.remove(rows.filter("doc_id < 5").select(F.col("doc_id").alias("id")))
     assert sorted(r.id for r in index.vectors().collect()) == list(range(5, 20))
+
+
+def test_a_search_weighs_postings_without_saving_them(spark, docs):
+    """The rows of a saved index, from the documents' vectors alone."""
+    queries = spark.createDataFrame([(1, "ab x1 running"), (2, "stones")], "item_id int, text string")
+    found = search.tfidf_search(docs, queries, 3)
+    assert not any("/index-postings-" in p or "/index-terms-" in p for p in found.inputFiles())
+    rows = lambda df: sorted((r.query, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    assert rows(found) == rows(search.TermIndex.build(docs).search(queries, 3))
