@@ -117,3 +117,40 @@ def test_tiers_read_through(spark, batches):
     got = spark.read.schema(out.schema).parquet(f"{path}/out").orderBy("id").collect()
     assert [r.found for r in got] == want
     assert [r.uses for r in got] == list(range(1, len(uses) + 1)) and max(r.short_size for r in got) == 2
+
+
+def test_owners_share_a_bundle(spark, monkeypatch):
+    """A key of the stream is a bundle of owners: each has its own tiers, in one batch and over several, with timers between them."""
+    monkeypatch.setattr(tiers, "BUNDLES", 2)
+    start, size, short, medium = datetime(2024, 1, 1), 2, 300_000, 3_600_000
+    uses, want, seen = [], {}, {}
+    for i in range(600):
+        owner, entry = (i * 7919 % 23) or None, "abcd"[i * 31 % 97 % 4] if i % 11 else None
+        uses.append((owner, i, entry, start + timedelta(seconds=i * i * 37 // 1000)))
+        at = int((uses[-1][3] - start).total_seconds() * 1000)
+        past = seen.setdefault(owner, [])
+        last = max((t for t, e in past if e == entry), default=None)
+        between = {e for t, e in past[max((k for k, x in enumerate(past) if x[1] == entry), default=-1) + 1 :]}
+        if last is None:
+            want[i] = "new"
+        else:
+            want[i] = "short" if at - last <= short and len(between) < size else "medium" if at - last <= medium else "long"
+        past.append((at, entry))
+    assert set(want.values()) == {"new", "short", "medium", "long"}
+    schema = "owner long, id long, entry string, ts timestamp"
+    path = scratch_path(spark, "uses")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tiers.ROCKS)
+    try:
+        for b in range(3):
+            spark.createDataFrame(uses[b * 200 : (b + 1) * 200], schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+            out = tiers.read_through(stream, size, short, medium)
+            q = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.schema(out.schema).parquet(f"{path}/out").collect()
+    assert out.schema["owner"].dataType.typeName() == "long" and {(r.owner, r.id, r.entry) for r in got} == {u[:3] for u in uses}
+    assert {r.id: r.found for r in got} == want and max(r.short_size for r in got) == size
+    last = {owner: sum(u[0] == owner for u in uses) for owner in seen}
+    assert {owner: max(r.uses for r in got if r.owner == owner) for owner in seen} == last
