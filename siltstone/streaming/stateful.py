@@ -1,6 +1,6 @@
 """Stateful streams: occurrence learning, bounded rings with alerts, watched paths, tiers with a life time.
 
-Each is a function of one key's new rows and its state, for applyInPandasWithState,
+Each is a function of the new rows and the state of one key, or of a bundle of keys, for applyInPandasWithState,
 so state is partitioned by key, checkpointed, and bounded per key.
 """
 
@@ -14,18 +14,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: A group costs milliseconds of pandas whatever its size: keys with few rows share a group. A batch rewrites the
+#: states of the bundles that it meets, so more of them rewrite less. A checkpoint keeps the number that it began with.
+BUNDLES = 2048
+
+
 def learn(violations: DataFrame, at: int = 3) -> DataFrame:
-    """(rule_id, path, ts, occurrence, action): the at-th hit of a rule in a path is learned, later ones accepted."""
+    """(rule_id, path, ts, occurrence, action): the at-th hit of a rule in a path is learned, later ones accepted.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+    A group of the stream is a bundle of (rule_id, path); its state is the hits of each so far, as columns.
+    """
+
+    def step(bundle: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hits = {(rule, path): n for rule, path, n in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(batches).sort_values(["ts", "id"])
-        rows["occurrence"] = range(n + 1, n + 1 + len(rows))
-        rows["action"] = ["warn" if i < at else "learn" if i == at else "accept" for i in rows["occurrence"]]
-        state.update((n + len(rows),))
+        occurrence = []
+        for k in zip(rows["rule_id"].tolist(), rows["path"].tolist(), strict=True):
+            hits[k] = n = hits.get(k, 0) + 1
+            occurrence.append(n)
+        rows["occurrence"] = occurrence
+        rows["action"] = ["warn" if i < at else "learn" if i == at else "accept" for i in occurrence]
+        state.update(([k[0] for k in hits], [k[1] for k in hits], list(hits.values())))
         yield rows[["rule_id", "path", "ts", "id", "occurrence", "action"]]
 
-    return violations.groupBy("rule_id", "path").applyInPandasWithState(step, "rule_id string, path string, ts timestamp, id long, occurrence long, action string", "n long", "append", GroupStateTimeout.NoTimeout)
+    rows = violations.withColumn("bundle", F.pmod(F.xxhash64("rule_id", "path"), F.lit(BUNDLES)))
+    schema = "rule_id string, path string, ts timestamp, id long, occurrence long, action string"
+    return rows.groupBy("bundle").applyInPandasWithState(step, schema, "rules array<string>, paths array<string>, hits array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def ring_alerts(snapshots: DataFrame, size: int = 100, fall: float = 0.15, least: int = 3) -> DataFrame:

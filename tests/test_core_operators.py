@@ -272,6 +272,22 @@ def test_stream_state_goes_on_where_it_ended(spark, tmp_path):
     assert [got[i] for i in range(6)] == ["warn", "warn", "learn", "accept", "accept", "accept"]
 
 
+def test_hits_of_many_paths_share_a_group(spark, tmp_path, monkeypatch):
+    """Rules and paths of one bundle, some without a name, are counted apart over three batches."""
+    monkeypatch.setattr(stateful, "BUNDLES", 2)
+    src, schema = f"{tmp_path}/in", "rule_id string, path string, ts timestamp, id long"
+    names = ["a", "b", None]
+    rows = [(names[i % 3], names[i // 3 % 3] and f"{i * 31 % 7}", datetime(2024, 1, 1) + timedelta(hours=i // 2), i) for i in range(300)]
+    for part in (rows[:100], rows[100:150], rows[150:]):
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(src)
+        windows.to_table(stateful.learn(spark.readStream.schema(schema).parquet(src)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    n, want = {}, {}
+    for rule, path, _, i in rows:
+        n[rule, path] = k = n.get((rule, path), 0) + 1
+        want[i] = (rule, path, k, "warn" if k < 3 else "learn" if k == 3 else "accept")
+    assert {r.id: (r.rule_id, r.path, r.occurrence, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     src, schema = f"{tmp_path}/in", "ts timestamp, k string, v double"
     t = datetime(2024, 1, 1)
