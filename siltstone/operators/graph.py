@@ -94,6 +94,10 @@ def leading_to(edges: DataFrame, goals: DataFrame) -> DataFrame:
     return own
 
 
+#: Rows of a frontier up to which it is sent to all tasks (some 12 MB), so that a round shuffles neither the edges nor all that was seen.
+_SENT = 1 << 18
+
+
 def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, goal, path): one shortest path each (the least by node names); of any length if max_depth is None.
 
@@ -107,13 +111,17 @@ def chains(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int
     # a start that leads to no goal has no chain
     firsts = starts.select("node").distinct().join(useful, "node", "left_semi")
     frontier = _saved(firsts.select(F.col("node").alias("start"), "node", F.lit(1).alias("rank")), "frontier")
-    seen, depths = frontier.select("start", "node"), []
+    seen, depths, rows = frontier.select("start", "node"), [], frontier.count()
     for d in _rounds(max_depth):
-        nxt = frontier.join(e, frontier["node"] == e["src"]).groupBy("start", F.col("dst")).agg(F.min(F.struct("rank", F.col("node").alias("pred"))).alias("by"))
-        nxt = nxt.select("start", F.col("dst").alias("node"), "by").join(seen, ["start", "node"], "left_anti")
+        sent, known = frontier.hint("merge"), seen
+        if rows <= _SENT:  # late rounds are many and have few starts
+            sent, known = F.broadcast(frontier), seen.join(F.broadcast(frontier.select("start").distinct()), "start", "left_semi")
+        nxt = e.join(sent, e["src"] == sent["node"]).groupBy("start", F.col("dst")).agg(F.min(F.struct("rank", F.col("node").alias("pred"))).alias("by"))
+        nxt = nxt.select("start", F.col("dst").alias("node"), "by").join(known.hint("merge"), ["start", "node"], "left_anti")
         order = W.partitionBy("start").orderBy("by.rank", "node")
         frontier = _saved(nxt.select("start", "node", F.col("by.pred").alias("pred"), F.row_number().over(order).alias("rank")), "frontier")
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
         depths.append(frontier)
         seen = _with(seen, frontier.select("start", "node"), d)

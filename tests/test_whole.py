@@ -73,6 +73,15 @@ def test_chains_and_cycles_of_any_length(spark):
     assert [r.path for r in graph.cycles(e).collect()] == [list(range(9))]
 
 
+@pytest.mark.parametrize("sent", [0, 2, 1 << 18])
+def test_chains_with_frontiers_that_are_sent_or_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(graph, "_SENT", sent)
+    rows = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 6), (7, 3), (7, 1), (8, 9)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    got = graph.chains(e, spark.createDataFrame([(1,), (7,), (8,)], "node long"), spark.createDataFrame([(6,), (2,), (7,)], "node long")).collect()
+    assert {(r.start, r.goal): r.path for r in got} == {(1, 6): [1, 2, 4, 5, 6], (7, 6): [7, 3, 4, 5, 6], (1, 2): [1, 2], (7, 2): [7, 1, 2]}
+
+
 @tables
 def test_call_chain_reaches_node_1_from_every_start(spark):
     starts = {key for key, _ in read(spark, "part", "p_partkey", "p_size") if key % 50 == 0 and key > 1}
