@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
 from ..session import saved
-from .prefixes import frequent, hashed, prefixes
+from .parts import near, spaced
 
 
 def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,29 +16,26 @@ def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+#: Texts with copies up to which they may be sent to all tasks.
+COPIED = 1 << 19
+
+
 def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(a, b, score), a < b: entries of different content whose word sets have this Jaccard likeness or more.
 
-    Equal contents are one entry (the least id). Prefixes of rare words are joined, inside bands of sizes, before exact likeness. What
-    prefixes have in common is counted: up to the end of the prefix that ends first that is all, and beyond it no more can be common
-    than is left of that set. So only pairs that can still reach the threshold are given their words.
+    Equal contents are one entry (the least id). Sets meet by the parts that alike ones must have equal (parts.py); only those that meet are read
+    again and compared, in the squares of their groups. Texts are read several times and not moved, so rows must be files or another deterministic scan.
     """
-    one = rows.groupBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).agg(F.min(id_col).alias("id"), F.first(text_col).alias("_t"))
-    sets = saved(hashed(one.select("id", F.array_sort(word_set(F.col("_t"))).alias("words")).filter(F.size("words") > 0)), "word-sets")
-    prefix = prefixes(sets, threshold, frequent(sets))
-    # the larger of two alike sets is in the size band of the smaller or the next: words meet inside bands alone
-    prefix = prefix.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n").cast("long"))
-    prefix = saved(prefix, "prefixes")
-    small = prefix.select(F.col("id").alias("s"), F.col("n").alias("ns"), "word", "band")
-    large = prefix.select(F.col("id").alias("l"), F.col("n").alias("nl"), "word", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    met = small.join(large, ["word", "band"]).filter("(ns < nl OR (ns = nl AND s < l))").filter(F.col("ns") >= F.col("nl") * threshold)
-    least = F.ceil((F.col("ns") + F.col("nl")) * (threshold / (1 + threshold)) - 1e-9)
-    met = met.groupBy("s", "l", "ns", "nl").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") + F.ceil(F.col("nl") * threshold - 1e-9) - 1 >= least)
-    pairs = saved(met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")), "met")
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("score")).filter(F.col("score") >= threshold)
+    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("digest", F.unhex(F.sha2("_t", 256)))
+    copied = saved(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "copied")
+    copied = F.broadcast(copied) if copied.count() <= COPIED else copied
+    one = rows.join(copied, "digest", "left").filter("id IS NOT NULL AND (first IS NULL OR id = first)")
+    if one.select("id", "digest").distinct().groupBy("id").count().filter("count > 1").isEmpty():
+        return near(one.select("id", spaced(F.col("_t")).alias("words")), threshold)
+    # an id of several texts: they are told apart by their digests
+    found = near(one.select(F.hex("digest").alias("id"), spaced(F.col("_t")).alias("words")), threshold)
+    of = lambda x: one.select(F.hex("digest").alias(x), F.col("id").alias(f"i{x}")).distinct()
+    return found.join(of("a"), "a").join(of("b"), "b").filter("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "score")
 
 
 def merged(entries: DataFrame, key: Sequence[str]) -> DataFrame:
