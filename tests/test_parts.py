@@ -5,6 +5,7 @@ import random
 import pytest
 
 from siltstone.operators import dedup, parts
+from siltstone.plans import catalog
 
 
 def brute(docs, threshold):
@@ -61,3 +62,10 @@ def test_words_that_many_sets_have_bring_nothing_together(spark):
     assert named.count() < 605 * 40
     assert sorted((r.a, r.b) for r in parts.met(named, 0.85, 4).collect()) == [(i, 600 + i) for i in range(5)]
     assert dedup.near_pairs(df, "doc_id", "text", 0.85).count() == 5
+
+
+def test_no_text_is_not_merged_with_an_empty_one(spark, tmp_path):
+    rows = [(1, None, "s", 0), (2, "", "t", 0), (3, None, "u", 1), (4, "a b", "u", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["dup_merge"](spark, str(tmp_path)).collect()
+    assert {(r.component, r.id, r.merged) for r in out} == {(1, 3, 2), (2, 2, 1), (4, 4, 1)}
