@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from ..functions.text import jaccard, word_set
 from ..session import exists, saved
 from .prefixes import frequent, hashed, prefixes
-from .terms import hashed_terms, postings, term_table, term_vectors
+from .term_weights import QUERIED, SENT, lengths, products
+from .terms import hashed_terms, postings, stem_vectors, stemmed
 
 
 def idf_table(terms: DataFrame, n_docs: int) -> DataFrame:
@@ -84,38 +85,35 @@ class TermIndex:
         return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
 
 
-#: Postings of a part that are weighed together.
-PART = 8 << 20
+def cosine_topk(stems: DataFrame, documents: int, queries: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text", repeats: bool = False) -> DataFrame:
+    """The k best of so many documents, of which there are saved stems (terms.stemmed), for every query, without a saved index of their terms.
 
-
-def cosine_topk(vectors: DataFrame, documents: int, queries: DataFrame, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The k best of so many documents, of which there are saved term_vectors(), for every query, without a saved index of their weights.
-
-    All postings are dealt by term once, into parts of bounded size; their numbers of documents are counted where they are weighed.
+    Terms are counted where they are used. All postings are dealt by term once, as arrays; their numbers of documents are counted where they are weighed,
+    and only lengths leave those tasks. Where queries have few postings, the products with a document are added in its own row. repeats: an id may have several rows.
     """
-    n = float(max(1, documents))
-    q = hashed_terms(queries, id_col, text_col).select(F.col("id").alias("query"), "term", F.col("tf").alias("q_tf"))
-    q = saved(q, "index-query")
+    q = saved(hashed_terms(queries, id_col, text_col).select(F.col("id").alias("query"), "term", F.col("tf").alias("q_tf")), "index-query")
     q_norms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
-    found = saved(postings(vectors).join(q.select("term").distinct(), "term", "left_semi"), "index-found")
-    idf = F.log(F.lit(n) / F.col("df"))
-    asked = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
-    hits = found.join(asked.join(q, "term"), "term")
-    dots = hits.groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q_tf")).alias("dot")).filter("dot > 0")
-    dots = saved(dots, "index-dots")
-    total = vectors.agg(F.sum("size")).first()[0] or 0
-    parts = max(-(-total // PART), 2 * vectors.sparkSession.sparkContext.defaultParallelism)
-    by_term = postings(vectors).repartition(parts, "term")
-    df = by_term.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
-    w = df.select("id", F.pow(F.col("tf") * idf, 2).alias("w2"))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum("w2")).alias("norm")).join(dots.select("id").distinct(), "id", "left_semi")
-    scored = dots.join(norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0")
+    asked = q.select("term").distinct()
+    few = q.count() <= QUERIED
+    norms, df = lengths(stems, documents, asked if few else None)
+    if few:
+        idf = F.log(F.lit(float(max(1, documents))) / F.col("df"))
+        dots = products(stems, q.join(df, "term").select("query", "term", (F.col("q_tf") * idf).alias("w")))
+        if repeats:
+            dots = dots.groupBy("query", "id").agg(F.sum("dot").alias("dot"))
+    else:
+        found = saved(postings(stem_vectors(stems)).join(asked, "term", "left_semi"), "index-found")
+        weights = idf_table(found, documents).select("term", "idf")
+        dots = found.join(weights.join(q, "term"), "term").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q_tf")).alias("dot"))
+    norms = F.broadcast(norms) if documents <= SENT else norms
+    scored = dots.filter("dot > 0").join(norms, "id").join(q_norms, "query").filter("norm > 0 AND q_norm > 0")
     return top_k(scored.select("query", "id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")), k)
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of every query, by term vectors made for this search."""
-    return cosine_topk(saved(term_vectors(docs, doc_id, text_col), "term-vectors"), docs.count(), queries, k, query_id, text_col)
+    """The k best documents of every query, by stems that are saved for this search."""
+    repeats = not docs.groupBy(doc_id).count().filter("count > 1").isEmpty()
+    return cosine_topk(saved(stemmed(docs, doc_id, text_col), "stems"), docs.count(), queries, k, query_id, text_col, repeats)
 
 
 def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query",)) -> DataFrame:

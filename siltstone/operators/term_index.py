@@ -1,7 +1,7 @@
 """A TF-IDF index in segments: additions, replacements and removals write what they change, and searches read what is live.
 
-Under a folder of the shared store, segment k has the terms and ids of the documents that one call added, or the ids that it removed. A
-document is a row with arrays of its terms, so what finds the live ones moves a row for each. An id in segment k ends the same id in all earlier ones, so
+Under a folder of the shared store, segment k has the stems and ids of the documents that one call added, or the ids that it removed. A
+document is a row with its stems in their order, of which a search counts the terms, so what finds the live ones moves a row for each. An id in segment k ends the same id in all earlier ones, so
 nothing old is rewritten or read by a change; a search counts the documents with a term where it brings a term's postings together to weigh them. A manifest
 of the segments in use is written last: a call that fails on the way leaves the index as it was. compact() writes the live documents as one segment.
 Documents are read twice by add(), so they must be files or another deterministic scan.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..session import exists, saved
 from .search import cosine_topk
-from .terms import postings, term_vectors
+from .terms import postings, stem_vectors, stemmed
 
-_POSTINGS = "id {kind}, size int, terms array<long>, tf array<double>"
+_POSTINGS = "id {kind}, words int, stems string"
 #: Ended documents up to which they may be sent to all tasks.
 ENDED = 1 << 20
 
@@ -61,8 +61,8 @@ class SegmentedIndex:
         last = ids.groupBy("id").agg(F.max(F.struct("segment", "alive")).alias("last"))
         return last.filter("last.alive").select("id", F.col("last.segment").alias("segment"))
 
-    def vectors(self) -> DataFrame:
-        """(id, size, terms, tf) of the live documents; terms are 64-bit hashes.
+    def stems(self) -> DataFrame:
+        """(id, words, stems) of the live documents.
 
         A segment of which all is live is read as it is, one of which nothing is live is not read.
         """
@@ -78,7 +78,11 @@ class SegmentedIndex:
                 ended = F.broadcast(ended) if sum(gone[k] for k in mixed) <= ENDED else ended
                 whole = whole.unionByName(rows.filter(F.col("segment").isin(mixed)).join(ended, ["id", "segment"], "left_anti"))
             rows = whole
-        return rows.select("id", "size", "terms", "tf")
+        return rows.select("id", "words", "stems")
+
+    def vectors(self) -> DataFrame:
+        """(id, size, terms, tf) of the live documents; terms are 64-bit hashes."""
+        return stem_vectors(self.stems())
 
     def postings(self) -> DataFrame:
         """(id, term, tf) of the live documents."""
@@ -93,8 +97,8 @@ class SegmentedIndex:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         self.version, self.segments, self.documents = self.version + 1, segments, documents
 
-    def _write(self, ids: DataFrame, vectors: DataFrame | None, alive: bool) -> None:
-        """A new segment: ids that are added or removed, and terms of the added ones."""
+    def _write(self, ids: DataFrame, stems: DataFrame | None, alive: bool) -> None:
+        """A new segment: ids that are added or removed, and stems of the added ones."""
         # a number of its own, also after a call that failed: its files are never in a manifest
         k = max([*self.segments, self.version * 1000]) + 1
         while exists(self.spark, f"{self.path}/ids/segment={k}"):
@@ -102,9 +106,9 @@ class SegmentedIndex:
         to = lambda df, what: df.write.option("compression", "zstd").parquet(f"{self.path}/{what}/segment={k}")
         to(ids.select("id", F.lit(alive).alias("alive")), "ids")
         ids = self.spark.read.parquet(f"{self.path}/ids/segment={k}").select("id")
-        if vectors is None:
-            vectors = self.spark.createDataFrame([], _POSTINGS.format(kind=self.kind))
-        to(vectors, "postings")
+        if stems is None:
+            stems = self.spark.createDataFrame([], _POSTINGS.format(kind=self.kind))
+        to(stems, "postings")
         ended = self.live().join(ids, "id", "left_semi").count() if self.segments else 0
         self._commit([*self.segments, k], self.documents - ended + (ids.count() if alive else 0))
 
@@ -113,7 +117,7 @@ class SegmentedIndex:
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
         if not rows.groupBy("id").count().filter("count > 1").isEmpty():
             rows = saved(rows.groupBy("id").agg(F.max("text").alias("text")), "index-docs")
-        self._write(rows.select("id"), term_vectors(rows, "id", "text"), True)
+        self._write(rows.select("id"), stemmed(rows, "id", "text"), True)
         return self
 
     def remove(self, ids: DataFrame) -> SegmentedIndex:
@@ -130,9 +134,9 @@ class SegmentedIndex:
         """The live documents as one segment; the old segments' files stay for readers of older versions."""
         if len(self.segments) < 2:
             return self
-        ids, vectors = saved(self.live().select("id"), "index-ids"), self.vectors()
+        ids, stems = saved(self.live().select("id"), "index-ids"), self.stems()
         whole = SegmentedIndex(self.spark, self.path, self.kind, self.version)
-        whole._write(ids, vectors, True)
+        whole._write(ids, stems, True)
         self.version, self.segments, self.documents = whole.version, whole.segments, whole.documents
         return self
 
@@ -141,4 +145,4 @@ class SegmentedIndex:
 
         The length of a document changes with every document added, so lengths are computed in the search, for documents that are met alone.
         """
-        return cosine_topk(self.vectors(), self.documents, queries, k, id_col, text_col)
+        return cosine_topk(self.stems(), self.documents, queries, k, id_col, text_col)
