@@ -103,7 +103,7 @@ class SegmentedIndex:
         k = max([*self.segments, self.version * 1000]) + 1
         while exists(self.spark, f"{self.path}/ids/segment={k}"):
             k += 1
-        to = lambda df, what: df.write.option("compression", "zstd").parquet(f"{self.path}/{what}/segment={k}")
+        to = lambda df, what: df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("parquet.page.size", str(8 << 20)).parquet(f"{self.path}/{what}/segment={k}")
         to(ids.select("id", F.lit(alive).alias("alive")), "ids")
         ids = self.spark.read.parquet(f"{self.path}/ids/segment={k}").select("id")
         if stems is None:

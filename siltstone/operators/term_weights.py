@@ -17,6 +17,8 @@ from .terms import ROWS, counted
 
 #: Postings of a bucket, and of a task, which has several buckets.
 BUCKET, PART = 2 << 20, 16 << 20
+#: Bytes of stems whose postings are dealt together, and kinds of ids that are packed.
+WHOLE, WHOLES = 8 << 20, ("bigint", "int", "smallint", "tinyint")
 #: Postings of queries that are sent to all tasks, products that are added at once, and documents whose lengths may be sent to all tasks.
 QUERIED, ADDED, SENT = 1 << 20, 1 << 22, 1 << 20
 
@@ -33,10 +35,12 @@ def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def _dealt(stems: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ids, sizes, n, terms, places, times): the postings of a piece in a bucket, by term; places are those of their documents in ids."""
+    """(bucket, ids, n, docs, terms, places, times, sizes, known): the postings of a piece in a bucket, by term; places are those of their documents in ids.
+
+    Ids that are whole numbers are packed as differences."""
 
     def run(batches):
-        for b, c in counted(batches, True):
+        for b, c in counted(batches, True, WHOLE):
             h = c.all_hashes().view(np.uint64)
             if not len(h):
                 continue
@@ -44,20 +48,27 @@ def _dealt(stems: DataFrame, buckets: int) -> DataFrame:
             h, doc, times = h[order], c.row[order], c.n[order].astype(np.uint32)
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             some, begin = np.unique(bucket, return_index=True)
-            ids, ends, own = [], [0], [[], [], []]
+            known = b.column(0).to_numpy(zero_copy_only=False) if whole and not b.column(0).null_count else None
+            ids, ends, own, docs_of = [], [0], [[], [], [], [], []], []
             for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True):
                 here, place = np.unique(doc[i:j], return_inverse=True)
+                docs_of.append(len(here))
+                own[3].append(packed(c.size[here].astype(np.int64)))
+                own[4].append(None if known is None else packed(np.diff(known[here], prepend=0).astype(np.int64)))
+                here = here if known is None else here[:0]
                 ids.append(here)
                 ends.append(ends[-1] + len(here))
                 own[0].append(packed(np.diff(h[i:j], prepend=np.uint64(0))))
                 own[1].append(packed(place.astype(np.uint32)))
                 own[2].append(packed(times[i:j]))
             docs, ends = np.concatenate(ids), pa.array(np.array(ends, np.int32))
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (b.column(0).take(pa.array(docs)), pa.array(c.size[docs]))]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists, pa.array(np.diff(np.append(begin, len(h))).astype(np.int32)), *(pa.array(x, pa.binary()) for x in own)], names=["bucket", "ids", "sizes", "n", "terms", "places", "times"])
+            lists = pa.ListArray.from_arrays(ends, b.column(0).take(pa.array(docs)))
+            count = [pa.array(np.array(x, np.int32)) for x in (np.diff(np.append(begin, len(h))), docs_of)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), lists, *count, *(pa.array(x, pa.binary()) for x in own)], names=["bucket", "ids", "n", "docs", "terms", "places", "times", "sizes", "known"])
 
     kind = stems.schema["id"].dataType.simpleString()
-    return stems.select("id", "stems").mapInArrow(run, f"bucket int, ids array<{kind}>, sizes array<long>, n int, terms binary, places binary, times binary")
+    whole = kind in WHOLES
+    return stems.select("id", "stems").mapInArrow(run, f"bucket int, ids array<{kind}>, n int, docs int, terms binary, places binary, times binary, sizes binary, known binary")
 
 
 def lengths(stems: DataFrame, documents: int, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,8 +104,10 @@ def lengths(stems: DataFrame, documents: int, asked: DataFrame | None = None) ->
                     yield from weighed(rows)
                     rows = []
                 here = bucket
-                ids, sizes = (b.column(x).slice(i, 1).flatten() for x in (1, 2))
-                rows.append((ids, sizes.to_numpy(), b.column(3)[i].as_py(), *(b.column(x)[i].as_py() for x in (4, 5, 6))))
+                ids, (n, docs, terms, places, times, sizes, known) = b.column(1).slice(i, 1).flatten(), (b.column(x)[i].as_py() for x in range(2, 9))
+                if known is not None:
+                    ids = pa.array(np.cumsum(unpacked(known, docs, np.int64))).cast(ids.type)
+                rows.append((ids, unpacked(sizes, docs, np.int64), n, terms, places, times))
         if rows:
             yield from weighed(rows)
 
